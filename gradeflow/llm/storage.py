@@ -81,3 +81,7 @@ def list_files(uri: str, suffix: str = "") -> list[tuple[str, int]]:
     host = "" if isinstance(fs, pafs.LocalFileSystem) else uri.split("://", 1)[1].split("/", 1)[0]
     infos = fs.get_file_info(pafs.FileSelector(path))
     return sorted((f"{scheme}{host}{i.path}", i.size) for i in infos if i.type == pafs.FileType.File and i.path.endswith(suffix))
+
+
+def unique() -> str:
+    return uuid.uuid4().hex
