@@ -16,7 +16,7 @@ weighted Jaccard coefficient of the two multisets of shingles is at least 0.75.
 SimHash is random: at a similarity of 0.75 the distance is about 11 with deviation 3, so a radius of 24 loses
 about one pair in 100,000 at the very threshold and fewer above.
 
-Words are maximal runs of characters other than 0x20 and 0x09-0x0D, A-Z lower-cased. An item of fewer than
+Words are maximal runs of characters other than 0x20 and 0x09-0x0D, in lower case. An item of fewer than
 five words is one shingle of all its words, and is held where these words follow one another. Items and
 documents that are null or without words hold nothing. Items with equal ids count each by itself.
 """
@@ -36,18 +36,18 @@ RADIUS = 24
 MAX_BROADCAST = 500_000
 #: Test shingles against a set within the scan up to so many; count all anchors by a join above.
 MAX_IN_PLAN = 200_000
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-
-def _word_hashes(text: str) -> Column:
-    words = F.filter(F.split(F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), _UPPER, _LOWER), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return F.transform(words, lambda w: F.xxhash64(w))
+def _words(text: str) -> Column:
+    flat = F.lower(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    for c in "\t\n\x0b\x0c\r":  # plain replacements and a split at one character are several times faster than patterns
+        flat = F.replace(flat, F.lit(c), F.lit(" "))
+    return F.filter(F.split(flat, " "), lambda w: w != "")
 
 
 def _shingles(words: str, size: int) -> Column:
     """Hashes of all runs of `size` words, in order."""
     count = F.size(words) - (size - 1)
-    runs = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(size))))
+    runs = F.transform(F.slice(words, F.lit(1), F.greatest(count, F.lit(0))), lambda w, i: F.xxhash64(w, *(F.get(words, i + k) for k in range(1, size))))
     return F.when(count > 0, runs).otherwise(F.array().cast("array<long>"))
 
 
@@ -73,7 +73,7 @@ def _needed(m: Column, percent: int) -> Column:
 
 def items_of(benchmark: DataFrame) -> DataFrame:
     """(item_id, item, size, m, shingles) of every item with words; `size` words make a shingle."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), _word_hashes("text").alias("words"))
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), _words("text").alias("words"))
     items = items.withColumn("size", F.least(F.size("words"), F.lit(WORDS))).where("size > 0")
     shingles = F.coalesce(*(F.when(F.col("size") == n, _shingles("words", n)) for n in range(1, WORDS + 1)))
     return items.select("item_id", F.monotonically_increasing_id().alias("item"), "size", shingles.alias("shingles")).withColumn("m", F.size("shingles"))
@@ -90,16 +90,17 @@ def find(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, radius:
     hint = F.broadcast if small else (lambda df: df)
     grams = items.select("item", "size", "m", "need", F.explode("shingles").alias("h")).distinct()
 
-    # a number in each projection keeps Spark from copying its expressions into the filter below
+    # Spark copies what a filter tests into the filter itself, here a text's words into each of its shingles,
+    # unless a projection has a column that must not be computed twice
     apart = F.monotonically_increasing_id
-    rows = docs.select(apart().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), _word_hashes("text").alias("words"))
+    rows = docs.select(apart().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), _words("text").alias("words"))
     found, kept = None, []
     for r in sizes:
         own = rows.select("rid", "doc_id", F.lit(r["size"]).alias("size"), _shingles("words", r["size"]).alias("hashes"), apart().alias("mark"))
         wanted = [x.h for x in grams.where(F.col("size") == r["size"]).select("h").distinct().limit(MAX_IN_PLAN + 1).collect()]  # bounded
         inside = f"h IN ({', '.join(f'{h}L' for h in wanted)})" if len(wanted) <= MAX_IN_PLAN else "true"
         at = F.expr(f"filter(transform(hashes, (h, i) -> if({inside}, i, null)), i -> i IS NOT NULL)")
-        own = own.withColumns({"at": at, "mark": apart()}).where(F.size("at") >= r["need"]).drop("mark")
+        own = own.withColumns({"at": at, "mark": apart()}).where(F.size("at") >= r["need"])
         found = own if found is None else found.unionByName(own)
     found, uri = storage.written(found, "anchors")
     kept.append(uri)
@@ -112,13 +113,16 @@ def find(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, radius:
     windows = storage.checkpointed(near.select("rid", "size", "m", F.explode(starts).alias("start")).distinct())
     met = windows.join(found.select("rid", "size", "doc_id", "hashes"), ["rid", "size"]).where("start + m <= size(hashes)")
     met = met.select("rid", "doc_id", "size", "m", "start", F.expr("slice(hashes, start + 1, m)").alias("window"))
-    met = met.withColumn("print", simhash(F.col("window")))
+    met, uri = storage.written(met.withColumn("print", simhash(F.col("window"))), "windows")  # so that no fingerprint is computed twice
+    kept.append(uri)
     # multi-index blocks
     count = F.expr("transform(array_distinct(shingles), h -> named_struct('h', h, 'n', size(filter(shingles, x -> x = h))))")
     index = items.select("item_id", "item", "size", "m", F.col("print").alias("item_print"), count.alias("counted"), F.posexplode(_blocks("print", radius)).alias("block", "value"))
     met = met.select("*", F.posexplode(_blocks("print", radius)).alias("block", "value")).join(hint(index), ["size", "m", "block", "value"])
     first = F.array_position(F.zip_with(_blocks("print", radius), _blocks("item_print", radius), lambda a, b: a == b), True) - 1
     met = met.withColumn("distance", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))).where((first == F.col("block")) & (F.col("distance") <= radius))
+    met, uri = storage.written(met.drop("block", "value", "item_print"), "pairs")  # so that no pair beyond the radius is verified
+    kept.append(uri)
     common = F.expr("aggregate(counted, 0, (a, c) -> a + least(c.n, size(filter(window, x -> x = c.h))))")
     met = met.withColumn("common", common).where(f"100 * common >= {percent} * (2 * m - common)")
     best = met.groupBy("rid", "item").agg(F.max(F.struct("common", (-F.col("start")).alias("back"), "doc_id", "item_id", "m", "size", "distance")).alias("b"))

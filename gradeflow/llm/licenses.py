@@ -75,11 +75,12 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.transform(F.split(text, "\n"), words).alias("lines"))
     # a unit's distinct bigrams may be fewer than its words, so only lines of one repeated phrase go on in vain
     units = F.concat(F.array(F.when(F.size("lines") > 1, F.flatten("lines")).otherwise(F.array().cast("array<string>"))), F.col("lines"))
-    rows = rows.select("doc_id", F.posexplode(units).alias("line", "words")).where("size(words) > 0")
+    rows = rows.select("doc_id", F.posexplode_outer(units).alias("line", "words")).where("size(words) > 0")
     pairs = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.concat_ws(" ", F.get("words", i - 1), F.get("words", i)))
     grams = F.array_distinct(F.when(F.size("words") > 1, pairs).otherwise(F.array(F.concat(F.get("words", F.lit(0)), F.lit(" ")))))
-    # the number keeps Spark from computing the bigrams in the filter once more
-    rows = rows.select("doc_id", "line", grams.alias("grams"), F.monotonically_increasing_id().alias("mark")).withColumn("size", F.size("grams")).where(F.col("size").between(1, most))
+    # a size that Spark must not compute twice keeps it from computing the bigrams in the filter once more
+    once = (0 * F.monotonically_increasing_id()).cast("int")
+    rows = rows.select("doc_id", "line", grams.alias("grams")).withColumn("size", F.size("grams") + once).where(F.col("size").between(1, most))
     met = rows.join(table, "size").withColumn("dice", 2.0 * F.size(F.array_intersect("grams", "template")) / (F.col("size") + F.col("template_size"))).where(F.col("dice") >= threshold)
     best = met.groupBy("doc_id", "line").agg(F.min(F.struct((-F.col("dice")).alias("dice"), "license")).alias("b"))
     return best.select("doc_id", F.col("line").cast("long").alias("line"), "b.license", (-F.col("b.dice")).alias("dice"))

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import storage, textscan, vertical
 from .components import components
+from .rows import text_hash
 
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
@@ -46,7 +47,7 @@ FRAGMENTS = len(CUTS) + 1
 SKETCH = 4
 _KEY_SHIFT = np.uint64(24)
 _SEEDS = np.random.default_rng(7).integers(1, 2**63, SKETCH, dtype=np.uint64)
-_OUT = "rid long, doc_id long, n_shingles long, set_a long, set_b long, kept boolean, sketch array<long>, prefix array<long>, " + ", ".join(f"part{k} array<long>" for k in range(FRAGMENTS))
+_OUT = "rid long, doc_id long, text_hash long, n_shingles long, set_a long, set_b long, kept boolean, sketch array<long>, prefix array<long>, " + ", ".join(f"part{k} array<long>" for k in range(FRAGMENTS))
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -62,7 +63,7 @@ def _sets(column: pa.Array, size: int) -> Iterator[list[np.ndarray]]:
 
 def _profiles(docs: DataFrame, percent: int, size: int) -> tuple[DataFrame, str]:
     """A row a document: the size and a fingerprint of its set and, where the prefix filter leaves it, the shared shingles by fragment."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_hash().alias("text_hash"))
 
     def extract(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for sets in _sets(batch.column("text"), size):
@@ -76,7 +77,7 @@ def _profiles(docs: DataFrame, percent: int, size: int) -> tuple[DataFrame, str]
         check, rid = vertical.Checksum(), TaskContext.get().partitionId() << 33
         for batch in batches:
             row = 0
-            ids = check.add(batch).column("doc_id")
+            ids, hashes = check.add(batch).column("doc_id"), batch.column("text_hash")
             for sets in _sets(batch.column("text"), size):
                 out = []
                 frequency = vertical.lookup(keys, sums, np.concatenate(sets) >> _KEY_SHIFT) if sets else []
@@ -87,7 +88,7 @@ def _profiles(docs: DataFrame, percent: int, size: int) -> tuple[DataFrame, str]
                     shared = own[df >= 2]
                     prefix = prefix_length(n, percent) - (n - len(shared))  # of the shared ones
                     ids_of_set = (int(own.sum(dtype=np.uint64).view(np.int64)), int(textscan.mix(own).sum(dtype=np.uint64).view(np.int64))) if n else (0, 0)
-                    line = [rid, None, n, *ids_of_set, bool(n and prefix > 0)]
+                    line = [rid, None, None, n, *ids_of_set, bool(n and prefix > 0)]
                     if n and prefix > 0:
                         df = df[df >= 2]
                         order = np.lexsort((shared, df))
@@ -100,9 +101,9 @@ def _profiles(docs: DataFrame, percent: int, size: int) -> tuple[DataFrame, str]
                     out.append(line)
                     rid += 1
                 fields = list(zip(*out, strict=True))
-                fields[1] = ids.slice(row, len(out))
+                fields[1], fields[2] = ids.slice(row, len(out)), hashes.slice(row, len(out))
                 row += len(out)
-                kinds = [pa.int64()] * 5 + [pa.bool_()] + [pa.list_(pa.int64())] * (2 + FRAGMENTS)
+                kinds = [pa.int64()] * 6 + [pa.bool_()] + [pa.list_(pa.int64())] * (2 + FRAGMENTS)
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(fields, kinds, strict=True)], names=[c.split()[0] for c in _OUT.split(", ")])
         vertical.verify(check, expected)
 
@@ -128,17 +129,36 @@ def similarity_groups(docs: DataFrame, percent: int = PERCENT, size: int = WORDS
     """
     profiles, uri = _profiles(docs, percent, size)
     try:
-        return _groups(profiles, percent)
+        return _groups(profiles, percent).select("doc_id", "n_shingles", "component_id")
     finally:
         storage.remove(uri)
 
 
+def representatives(docs: DataFrame, percent: int = PERCENT, size: int = WORDS) -> DataFrame:
+    """(doc_id, text_hash, n, times) of the rows that stand for their groups, for `rows.take`: n rows have this key, one is kept.
+
+    The row with the least doc_id (null last), then the least hash, stands for its group. Rows without words are
+    groups by doc_id and text.
+    """
+    profiles, uri = _profiles(docs, percent, size)
+    try:
+        groups = _groups(profiles, percent)
+    finally:
+        storage.remove(uri)
+    order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_hash")
+    least = storage.checkpointed(groups.where("comp IS NOT NULL").groupBy("comp").agg(F.min(order).alias("head")).select("head.doc_id", "head.text_hash"))
+    keys = groups.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"), F.bool_or(F.col("comp").isNull()).alias("alone"))
+    heads = least.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).distinct()
+    keys = keys.join(heads, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
+    return storage.checkpointed(keys.where("alone OR h IS NOT NULL").select("doc_id", "text_hash", "n", F.lit(1).alias("times")))
+
+
 def _groups(profiles: DataFrame, percent: int) -> DataFrame:
-    rows = storage.checkpointed(profiles.select("rid", "doc_id", "n_shingles", "set_a", "set_b", "kept"))
+    rows = storage.checkpointed(profiles.select("rid", "doc_id", "text_hash", "n_shingles", "set_a", "set_b", "kept"))
     same = ["set_a", "set_b", "n_shingles"]
     classes = storage.checkpointed(rows.where("kept").groupBy(*same).agg(F.min("rid").alias("class"), F.count("*").alias("size")))
     heads = classes.select(F.col("class").alias("rid"))
-    texts = storage.checkpointed(profiles.where("kept").drop("doc_id", "set_a", "set_b", "kept").join(heads, "rid", "left_semi"))
+    texts = storage.checkpointed(profiles.where("kept").drop("doc_id", "text_hash", "set_a", "set_b", "kept").join(heads, "rid", "left_semi"))
     parts = texts.select("rid", F.posexplode(F.array(*(f"part{k}" for k in range(FRAGMENTS)))).alias("frag", "items")).where("size(items) > 0")
     known = None  # links found so far
 
@@ -174,6 +194,6 @@ def _groups(profiles: DataFrame, percent: int) -> DataFrame:
     add(storage.checkpointed(cross.select(F.col("rid_a").alias("a"), F.col("rid_b").alias("b"), F.col("n_a").alias("na"), F.col("n_b").alias("nb")).distinct()))
     # from classes back to rows
     named = storage.checkpointed(classes.join(labels().withColumnRenamed("rid", "class"), "class").select(*same, "comp"))
-    placed = storage.checkpointed(rows.join(named, same, "left").select("doc_id", "n_shingles", F.when(F.col("kept"), F.col("comp")).alias("comp")))
+    placed = storage.checkpointed(rows.join(named, same, "left").select("doc_id", "text_hash", "n_shingles", F.when(F.col("kept"), F.col("comp")).alias("comp")))
     least = storage.checkpointed(placed.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id")))
-    return storage.checkpointed(placed.join(least, "comp", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
+    return storage.checkpointed(placed.join(least, "comp", "left").select("doc_id", "text_hash", "n_shingles", "comp", F.coalesce("component_id", "doc_id").alias("component_id")))

@@ -32,6 +32,8 @@ BITS = 20
 STEMS = (4, 5)
 MAX_LABELLED = 16_000
 THRESHOLD = 0.3
+#: Documents with at least this score are rejected by the pipeline.
+REJECT = 0.5
 PASSES = 120
 _APART = np.ones(256, bool)
 _APART[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1), *range(0x80, 0x100)]] = False
