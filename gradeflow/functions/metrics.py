@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from .text import plain
+from .udf import batched
 
 Z = 1.96
 #: Code points that stand for words: from here up to the surrogates.
@@ -52,14 +53,15 @@ def nearest_rank(value: Column, q: float) -> Column:
 
 def wilson_upper(k: Column, n: Column, z: float = Z) -> Column:
     """Upper bound of a share, at most 1; null for n = 0."""
-    p = k / F.nullif(n, F.lit(0))
+    n = F.nullif(n, F.lit(0))
+    p = k / n
     centre, spread = p + z * z / (2 * n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
-    return F.least(F.lit(1.0), (centre + spread) / (1 + z * z / n))
+    return F.when(n.isNotNull(), F.least(F.lit(1.0), (centre + spread) / (1 + z * z / n)))
 
 
 def length_flags(truth: Column, answer: Column, error: Column) -> list[Column]:
     """error, else empty; too_long or too_short for truths of at least 20 characters. Null where a flag is not set."""
-    ratio, long_enough = F.length(answer) / F.length(truth), F.length(truth) >= 20
+    ratio, long_enough = F.length(answer) / F.nullif(F.length(truth), F.lit(0)), F.length(truth) >= 20
     failed = F.coalesce(error, F.lit("")) != ""
     return [
         F.when(failed, "error").when((answer == "") & (truth != ""), "empty"),
@@ -81,7 +83,7 @@ def repeated_unit(text: str, least: int = 100) -> str | None:
     return None
 
 
-@F.pandas_udf("boolean")
+@batched("boolean")
 def has_repetition(texts: pd.Series) -> pd.Series:
     """Of the text without mark-up, so that rows of empty cells are no repetition."""
     return texts.map(lambda t: repeated_unit(plain(t or "")) is not None)
@@ -133,6 +135,6 @@ def recall_by_position(truth: str, answer: str, chunk: int = 8, least: float = 8
     return quarters([float(partial_ratio(c, answer) >= least) for c in chunks])
 
 
-@F.pandas_udf("array<double>")
+@batched("array<double>")
 def position_recall(truths: pd.Series, answers: pd.Series) -> pd.Series:
     return pd.Series([recall_by_position(t or "", a or "") for t, a in zip(truths, answers, strict=True)])
