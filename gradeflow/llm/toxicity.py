@@ -35,6 +35,7 @@ THRESHOLD = 0.3
 #: Documents with at least this score are rejected by the pipeline.
 REJECT = 0.5
 PASSES = 120
+RATE, DECAY = 0.05, 3e-4
 _APART = np.ones(256, bool)
 _APART[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1), *range(0x80, 0x100)]] = False
 _STOP = np.zeros(256, bool)
@@ -71,7 +72,7 @@ class Model:
         return np.where(np.bincount(row, minlength=n) > 0, -np.expm1(clean), self.empty)
 
 
-def fit(bags: list[list[np.ndarray]], labels: np.ndarray, passes: int = PASSES, rate: float = 0.1, decay: float = 2e-5) -> Model:
+def fit(bags: list[list[np.ndarray]], labels: np.ndarray, passes: int = PASSES, rate: float = RATE, decay: float = DECAY) -> Model:
     """Trains on bags of sentences (arrays of hashed words) by Adam on whole passes."""
     share = float(labels.mean()) if len(labels) else 0.0
     has = np.array([len(b) > 0 for b in bags], bool)
