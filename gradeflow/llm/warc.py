@@ -28,6 +28,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from . import storage
 
 MIN_REVISIT = 1000
+#: Broadcast repeated payloads up to so many rows (80 bytes each).
+MAX_BROADCAST = 100_000
 SPLIT_BYTES = 32 << 20
 _CRLF = "\r\n"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -50,7 +52,9 @@ def write(pages: DataFrame, uri: str, least: int = MIN_REVISIT) -> None:
     known = rows.where(F.col("bytes") >= least)
     repeated = known.groupBy("digest", "bytes").agg(F.count("*").alias("n"), F.max("page_id").alias("first")).where("n > 1")
     repeated = storage.checkpointed(repeated.select("digest", "bytes", "first"))
-    met = rows.join(repeated, ["digest", "bytes"], "left")
+    # few repeated payloads go to the pages; many would be met by shuffling the pages
+    small = repeated.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    met = rows.join(F.broadcast(repeated) if small else repeated, ["digest", "bytes"], "left")
     # the row of the largest id is the response; if several rows have it, the first of them
     tied = storage.checkpointed(known.join(repeated, ["digest", "bytes"]).where("page_id <=> first").groupBy("digest", "bytes").count().where("count > 1"))
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
