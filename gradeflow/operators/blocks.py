@@ -46,7 +46,7 @@ def adjacent_groups(boxes: DataFrame, overlap: float = 0.5) -> DataFrame:
     order = Window.partitionBy("page").orderBy("i")
     y1, y2 = F.lag("y1").over(order), F.lag("y2").over(order)
     shared = F.least(F.col("y2"), y2) - F.greatest(F.col("y1"), y1)
-    apart = F.coalesce(shared < overlap * F.least(F.col("y2") - F.col("y1"), y2 - y1), F.lit(True))
+    apart = y1.isNull() | (shared < overlap * F.least(F.col("y2") - F.col("y1"), y2 - y1))
     return boxes.withColumn("_apart", apart).withColumn("group", F.sum(F.col("_apart").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_apart")
 
 

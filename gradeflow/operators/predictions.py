@@ -58,17 +58,22 @@ def apply_adapter(items: DataFrame, adapter, schema: str = "id string, text stri
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         adapter.load()
         names = [c.split()[0] for c in schema.split(", ")]
+
+        def whole(frame: pd.DataFrame) -> pd.DataFrame:
+            frame = frame.reindex(columns=names).astype(object)
+            return frame.where(frame.notna(), None)
+
         try:
             for batch in batches:
                 try:
-                    yield adapter.predict_batch(batch).reindex(columns=names)
+                    yield whole(adapter.predict_batch(batch))
                 except Exception:  # noqa: BLE001 - any model error is data here
                     for i in range(len(batch)):
                         one = batch.iloc[i : i + 1]
                         try:
-                            yield adapter.predict_batch(one).reindex(columns=names)
+                            yield whole(adapter.predict_batch(one))
                         except Exception as why:  # noqa: BLE001
-                            yield pd.DataFrame({"id": one["id"], "error": f"{type(why).__name__}: {why}"}).reindex(columns=names)
+                            yield whole(pd.DataFrame({"id": one["id"], "error": f"{type(why).__name__}: {why}"}))
         finally:
             adapter.close()
 

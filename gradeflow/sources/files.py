@@ -48,7 +48,7 @@ def manifest_errors(items: DataFrame) -> DataFrame:
 def with_truth_files(items: DataFrame, root: str) -> DataFrame:
     """Truths that stand in files below root, joined by path; inline truths stay."""
     spark = items.sparkSession
-    text = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True).select(F.regexp_extract(F.input_file_name(), F.lit("[^/]+$"), 0).alias("_name"), F.col("value").alias("_text"))
+    text = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True).select(F.regexp_extract(F.input_file_name(), "[^/]+$", 0).alias("_name"), F.col("value").alias("_text"))
     met = items.withColumn("_name", F.regexp_extract("gt_file", "[^/]+$", 0)).join(text, "_name", "left")
     return met.withColumn("gt", F.coalesce("gt", "_text")).drop("_name", "_text")
 
