@@ -30,7 +30,7 @@ from . import textscan
 BITS = 20
 #: Lengths in bytes of the beginnings of words that are features too.
 STEMS = (4, 5)
-MAX_LABELLED = 16_000
+MAX_LABELLED = 8_000
 THRESHOLD = 0.3
 #: Documents with at least this score are rejected by the pipeline.
 REJECT = 0.5
@@ -79,15 +79,17 @@ def fit(bags: list[list[np.ndarray]], labels: np.ndarray, passes: int = PASSES,
     empty = float(labels[~has].mean()) if (~has).any() else share
     weights, bias = np.zeros(1 << BITS), -4.0
     if not has.any() or share in (0.0, 1.0):
-        return Model(weights, float(np.log((share + 1e-3) / (1 - share + 1e-3))) if not has.any() or share else -12.0, empty)
-    sentences = [s for b in bags for s in b]
-    words = np.concatenate(sentences)
-    sentence = np.repeat(np.arange(len(sentences)), [len(s) for s in sentences])
+        return Model(weights, float(np.log((share + 1e-3) / (1 - share + 1e-3))), empty)
+    # only features of several documents can be told from chance
+    documents = np.zeros(1 << BITS, np.int32)
+    for bag in bags:
+        if bag:
+            documents[np.unique(np.concatenate(bag))] += 1
+    often = documents >= 3
+    sentences = [s[often[s]] for b in bags for s in b]
+    words = np.concatenate(sentences).astype(np.int32)
+    sentence = np.repeat(np.arange(len(sentences), dtype=np.int32), [len(s) for s in sentences])
     row = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    # only words of several documents can be told from chance
-    pairs = np.unique(row[sentence] << BITS | words)
-    often = np.bincount(pairs & ((1 << BITS) - 1), minlength=1 << BITS) >= 3
-    words, sentence = words[often[words]], sentence[often[words]]
     first, second, n, m = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1), len(bags), len(sentences)
     y = labels.astype(float)
     for step in range(1, passes + 1):
