@@ -73,7 +73,7 @@ class Model:
 
 
 def fit(bags: list[list[np.ndarray]], labels: np.ndarray, passes: int = PASSES, rate: float = RATE, decay: float = DECAY) -> Model:
-    """Trains on bags of sentences (arrays of hashed words) by Adam on whole passes."""
+    """Trains on bags of sentences (arrays of hashed words) by Adam on whole passes. The list of bags is emptied."""
     share = float(labels.mean()) if len(labels) else 0.0
     has = np.array([len(b) > 0 for b in bags], bool)
     empty = float(labels[~has].mean()) if (~has).any() else share
@@ -90,15 +90,20 @@ def fit(bags: list[list[np.ndarray]], labels: np.ndarray, passes: int = PASSES,
     words = np.concatenate(sentences).astype(np.int32)
     sentence = np.repeat(np.arange(len(sentences), dtype=np.int32), [len(s) for s in sentences])
     row = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    first, second, n, m = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1), len(bags), len(sentences)
+    n, m = len(bags), len(sentences)
+    bags.clear()  # the driver holds each feature once
+    del sentences
+    cuts = np.searchsorted(sentence, np.linspace(0, m, 17).astype(np.int32))  # what a pass computes is for a piece at a time
+    pieces = [(words[a:b], sentence[a:b]) for a, b in zip(cuts, cuts[1:])]
+    first, second = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     y = labels.astype(float)
     for step in range(1, passes + 1):
-        z = np.bincount(sentence, weights[words], m) + bias
+        z = sum(np.bincount(s, weights[w], m) for w, s in pieces) + bias
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         clean = np.bincount(row, np.log1p(-np.minimum(p, 1 - 1e-12)), n)
         toxic = np.maximum(-np.expm1(clean), 1e-12)
         pull = np.where(y == 1, (1 - toxic) / toxic, -1.0)[row] * p  # of the log likelihood by z
-        grad = np.r_[np.bincount(words, pull[sentence], 1 << BITS), pull.sum()] / n
+        grad = np.r_[sum(np.bincount(w, pull[s], 1 << BITS) for w, s in pieces), pull.sum()] / n
         grad[:-1] -= decay * weights
         first = 0.9 * first + 0.1 * grad
         second = 0.99 * second + 0.01 * grad * grad
