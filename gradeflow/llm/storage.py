@@ -8,6 +8,7 @@ again writes the same name with the same content.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -55,6 +56,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets go of what earlier steps of a long operator left: Spark removes shuffle and checkpoint files once the driver has
+    collected the frames they belong to, and the driver keeps less memory."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def put_file(uri: str, *chunks: bytes) -> None:
     """Writes a whole file under a temporary name and renames it."""
     fs, path = pafs.FileSystem.from_uri(uri)

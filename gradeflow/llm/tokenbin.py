@@ -11,23 +11,28 @@ Format of a file (little-endian):
 Files are named by their order: all documents of a file come before those of the next in ascending doc_id
 order (null first; rows with the same id by text), and so do the documents of a file.
 
-Writing takes two scans. The first counts every id over the whole corpus (counts are summed in each task
-and added in a tree; the vocabulary bounds them). The second sorts documents by ranges of ids and encodes
-each range into a file. Tokenizing twice is cheaper than keeping ids in between, for nearly all words of a
-partition have been seen before: the tokenizer splits at blanks before anything else, so the ids of a text
-are those of its blank-separated pieces, and a piece's ids are kept from its first occurrence.
+Writing sorts the texts by ranges of ids, tokenizes each range once and keeps the ids as a table in the
+shared folder. Every id is counted over the whole table (counts are summed in each task; the vocabulary bounds
+them), and then each range is encoded into a file and the table removed.
+
+The tokenizer splits at blanks before anything else, so the ids of a text are those of its blank-separated
+pieces. Each distinct piece of some MB of text is tokenized once: pieces of letters, less the sentence marks
+after them, are joined to long texts for the tokenizer, whose word ends then tell them apart; others are
+given to it one by one.
 
 Reading plans one task a file; its first document's position in the corpus follows from the footers.
 """
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -38,68 +43,153 @@ MAGIC, END_MAGIC, VERSION = b"GFTB", b"GFTE", 1
 #: Ids in a block before it is closed (a document is never cut).
 BLOCK_IDS = 1 << 19
 #: Pieces whose ids a task keeps; then it starts afresh.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 250_000
+#: Bytes of text whose distinct pieces are found at once.
+SLICE_BYTES = 12 << 20
 END_ID = 1
 
 
 class Pieces:
-    """Ids of texts by a tokenizer that never looks across blanks, line feeds, tabs and carriage returns."""
+    """Ids of texts by a tokenizer that never looks across blanks, line feeds, tabs and carriage returns, and ends words in `</w>`."""
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self.size = self._tokenizer.get_vocab_size()
-        self._kept: dict[str, np.ndarray] = {}
-
-    def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        kept = self._kept
-        if len(kept) > KEPT_PIECES:
-            kept.clear()
-            kept[""] = b""
-        new = list({p for pieces in split for p in pieces if p not in kept})
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for piece, got in zip(some, self._tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                kept[piece] = np.array(got.ids, np.uint32).tobytes()
-        for pieces in split:
-            yield np.frombuffer(b"".join([kept[p] for p in pieces]), np.uint32)
-
-
-def _texts(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[list, list[str]]]:
-    """Ids and texts (null as empty) of a batch, about so many characters at a time."""
-    ids, texts, size = [], [], 0
-    for i, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
-        ids.append(i.as_py())
-        texts.append(text.as_py() or "")
-        size += len(texts[-1])
-        if size >= most:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-    if texts:
-        yield ids, texts
-
-
-def count_ids(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> np.ndarray:
-    """How often each id occurs in all texts, with one end id a document."""
+        self._kind = np.uint16 if self.size <= 1 << 16 else np.uint32
+        self._is_end = np.zeros(self.size, bool)
+        for token, i in self._tokenizer.get_vocab().items():
+            self._is_end[i] = token.endswith("</w>")
+        self._forget()
+
+    def _forget(self) -> None:
+        self._known: dict[str, int] = {"": 0}
+        self._ids, self._begins, self._ends = [np.zeros(0, self._kind)], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
+        self._stored = 0
+
+    def _keep(self, keys: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        at = len(self._known)
+        self._known.update(zip(keys, range(at, at + len(keys)), strict=True))
+        ends = self._stored + np.cumsum(lengths)
+        self._ids.append(ids)
+        self._begins.append(ends - lengths)
+        self._ends.append(ends)
+        self._stored += len(ids)
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self._kind) for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, keys: list[str]) -> None:
+        letters, others = [k for k in keys if k.isalpha()], [k for k in keys if not k.isalpha()]
+        for at in range(0, len(letters), 10_000):
+            some = letters[at : at + 10_000]
+            ids = np.concatenate(self._encode([" ".join(some[i : i + 500]) for i in range(0, len(some), 500)]))
+            ends = np.flatnonzero(self._is_end[ids]) + 1
+            if len(ends) == len(some) and ends[-1] == len(ids):
+                self._keep(some, ids, np.diff(ends, prepend=0))
+            else:
+                others += some
+        for at in range(0, len(others), 2_000):
+            some = others[at : at + 2_000]
+            got = self._encode(some)
+            self._keep(some, np.concatenate(got), np.array([len(g) for g in got]))
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts (no nulls) one after another, and each text's number of them."""
+        for blank in "\n\t\r":
+            texts = pc.replace_substring(texts, blank, " ")
+        split = pc.split_pattern(texts, " ")
+        coded = split.flatten().dictionary_encode()
+        if len(self._known) > KEPT_PIECES:
+            self._forget()
+        # a distinct piece is one key, or a key of letters (less capitals, where these are ASCII) and one of the marks after them
+        pieces = coded.dictionary
+        word = pc.utf8_rtrim(pieces, ".,!?")
+        letters = pc.utf8_is_alpha(word)
+        word = pc.if_else(letters, pc.if_else(pc.string_is_ascii(word), pc.ascii_lower(word), word), pieces)
+        marks = pc.if_else(letters, pc.replace_substring_regex(pieces, r"(?s)^.*?([.,!?]*)$", r"\1"), "")
+        parts = []
+        for keys in (word.dictionary_encode(), marks.dictionary_encode()):
+            names = keys.dictionary.to_pylist()
+            self._learn([k for k in names if k not in self._known])
+            parts.append(np.array([self._known[k] for k in names], np.int64)[keys.indices.to_numpy()])
+        store, begins, ends = (np.concatenate(x) for x in (self._ids, self._begins, self._ends))
+        self._ids, self._begins, self._ends = [store], [begins], [ends]
+        # ids of the distinct pieces one after another, and then those of all pieces
+        flat, lengths = _gathered(store, begins, ends - begins, np.stack(parts, 1).ravel())
+        lengths = lengths.reshape(-1, 2).sum(1)
+        out, lengths = _gathered(flat, np.cumsum(lengths) - lengths, lengths, coded.indices.to_numpy())
+        at = np.asarray(split.offsets)
+        return out, np.diff(np.r_[0, np.cumsum(lengths)][at - at[0]])
+
+
+def _gathered(store: np.ndarray, begins: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of `store` numbered in `which`, one after another, and their lengths."""
+    kind = np.int32 if len(store) < 2**31 else np.int64
+    lengths, begins = lengths.astype(kind)[which], begins.astype(kind)[which]
+    sums = np.cumsum(lengths)
+    total = int(sums[-1]) if len(sums) else 0
+    if total >= 2**31 and kind is np.int32:
+        return _gathered(store, begins.astype(np.int64), lengths.astype(np.int64), np.arange(len(which)))
+    at = np.repeat(begins - (sums - lengths).astype(kind), lengths)
+    at += np.arange(total, dtype=kind)
+    return store[at], lengths
+
+
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[list, pa.Array]]:
+    """Ids and texts (null as empty) of a batch, some MB at a time."""
+    texts = pc.fill_null(batch.column("text").cast(pa.large_string()), "")
+    sizes = np.cumsum(np.asarray(pc.binary_length(texts)))
+    row = 0
+    while row < len(texts):
+        end = max(row + 1, int(np.searchsorted(sizes, (sizes[row - 1] if row else 0) + SLICE_BYTES, "right")))
+        yield batch.column("doc_id").slice(row, end - row).to_pylist(), texts.slice(row, end - row)
+        row = end
+
+
+def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
+    """(part, doc_id, ids, n) of documents in ascending order, ids as little-endian 16-bit (32-bit for a vocabulary beyond) integers with the end id."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, part = Pieces(tokenizer), TaskContext.get().partitionId()
+        kind = "<u2" if pieces.size <= 1 << 16 else "<u4"
+        for batch in batches:
+            for names, texts in _texts(batch):
+                ids, counts = pieces.ids(texts)
+                ids = np.insert(ids, np.cumsum(counts), end_id).astype(kind)
+                counts = counts + 1
+                ends = np.cumsum(counts)
+                blobs = [ids[b:e].tobytes() for b, e in zip(ends - counts, ends, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([part] * len(names), pa.int32()), pa.array(names, pa.int64()), pa.array(blobs, pa.binary()), pa.array(counts, pa.int64())], names=["part", "doc_id", "ids", "n"])
+
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # rows with the same id and text are equal; a range boundary between rows of one id would do no harm either
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    return docs.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(scan, "part int, doc_id long, ids binary, n long")
+
+
+def _unpacked(ids: list[bytes], n: list[int]) -> np.ndarray:
+    return np.frombuffer(b"".join(ids), "<u2" if sum(map(len, ids)) == 2 * sum(n) else "<u4")
+
+
+def count_ids(table: DataFrame, size: int) -> np.ndarray:
+    """How often each id occurs in a table of tokenized documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(tokenizer)
-        counts = np.zeros(pieces.size, np.int64)
+        counts = np.zeros(size, np.int64)
         for batch in batches:
-            for _, texts in _texts(batch):
-                found = np.concatenate([*pieces.ids(texts)])
-                counts += np.bincount(found, minlength=len(counts))
-                counts[end_id] += len(texts)
+            for at in range(0, batch.num_rows, 200):
+                some = batch.slice(at, 200)
+                counts += np.bincount(_unpacked(some.column("ids").to_pylist(), some.column("n").to_pylist()), minlength=size)
         some = np.flatnonzero(counts)
-        for at in range(0, len(some), 10_000):
-            own = some[at : at + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(counts[own], pa.int64())], names=["id", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(counts[some], pa.int64())], names=["id", "n"])
 
-    total = docs.mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    counts = np.zeros(Pieces(tokenizer).size, np.int64)
-    for row in total.toLocalIterator():
+    total = table.select("ids", "n").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = np.zeros(size, np.int64)
+    for row in total.collect():  # as many rows as the vocabulary has ids
         counts[row.id] = row.n
     return counts
 
@@ -144,26 +234,49 @@ class _Writer:
 
 def write(docs: DataFrame, uri: str, tokenizer: str, end_id: int = END_ID) -> None:
     """Writes all rows (doc_id, text; null text is empty) to files in a folder."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counts = count_ids(docs, tokenizer, end_id)
-    lengths = code_lengths(counts)
+    spark = docs.sparkSession
+    table, kept = storage.written(tokenized(docs, tokenizer, end_id), "ids")
+    storage.tidy(spark)  # the sorted texts' shuffle files are not needed any more
+    lengths = code_lengths(count_ids(table, Pieces(tokenizer).size))
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, writer, n = Pieces(tokenizer), _Writer(Coder(lengths)), 0
-        end = np.array([end_id], np.uint32)
+        coder, writers = Coder(lengths), {}
         for batch in batches:
-            for names, texts in _texts(batch):
-                for doc_id, ids in zip(names, pieces.ids(texts), strict=True):
-                    writer.add(doc_id, np.concatenate([ids, end]))
-                    n += 1
-        if n:
-            storage.put_file(f"{uri}/part-{TaskContext.get().partitionId():06d}.tokens", *writer.finish())
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+            for at in range(0, batch.num_rows, 200):
+                some = batch.slice(at, 200)
+                counts = some.column("n").to_pylist()
+                ids = _unpacked(some.column("ids").to_pylist(), counts)
+                ends = np.cumsum(counts)
+                for part, doc_id, n, end in zip(some.column("part").to_pylist(), some.column("doc_id").to_pylist(), counts, ends, strict=True):
+                    if part not in writers:
+                        writers[part] = _Writer(coder)
+                    writers[part].add(doc_id, ids[end - n : end])
+        for part, writer in writers.items():
+            storage.put_file(f"{uri}/part-{part:06d}.tokens", *writer.finish())
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32())], names=["part"])
+
+    # one task reads each file of the table, whole and in order: a range was written as one file
+    names = [name for name, _ in storage.list_files(kept, ".parquet")]
 
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # rows with the same id and text are equal; a range boundary between rows of one id would do no harm either
-    placed = docs.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    placed.mapInArrow(store, "n long").agg(F.sum("n")).collect()
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs as pafs
+        import pyarrow.parquet as pq
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for name in batch.column("uri").to_pylist():
+                    fs, path = pafs.FileSystem.from_uri(name)
+                    with fs.open_input_file(path) as source:
+                        yield from pq.ParquetFile(source).iter_batches(1000)
+
+        yield from store(rows())
+
+    if names:
+        listed = spark.createDataFrame(list(enumerate(names)), "number int, uri string").repartitionById(len(names), "number")
+        parts = [r.part for r in listed.mapInArrow(load, "part int").collect()]
+        if len(parts) != len(set(parts)):
+            raise RuntimeError("a range of documents was written as several files")
+    storage.remove(kept)
 
 
 def footer(uri: str) -> list[tuple[int, int, int]]:
