@@ -55,7 +55,7 @@ def targets(sizes: list[int], weights: list[float], repeats: int = REPEATS) -> l
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = WINDOW) -> np.ndarray:
-    """How many documents of each length to take (at most counts) so that their words come to budget, or just below."""
+    """How many documents of each length to take (at most counts) so that their words come as near to budget as can be found."""
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
@@ -67,14 +67,15 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = WIND
             more = min(int(counts[i] - take[i]), (missing - window // 2) // int(lengths[i]))
             take[i] += max(0, more)
             missing -= max(0, more) * int(lengths[i])
-    usable = [i for i in order[::-1] if 0 < lengths[i] <= missing and counts[i] > take[i]]
-    cells = min(missing, window) + 1
+    fits = min(missing, window)
+    cells = fits + min(fits, window // 8) + 1  # a sum just above may be nearer than any below
+    usable = [i for i in order[::-1] if 0 < lengths[i] < cells and counts[i] > take[i]]
     by = np.full(cells, -1, np.int64)  # length index of the last step to a reachable sum
     used = np.zeros(cells, np.int64)  # how many of that length the sum holds
     reach = np.zeros(cells, bool)
     reach[0] = True
     for i in usable:
-        if reach[-1]:
+        if reach[fits]:
             break
         step, room = int(lengths[i]), int(counts[i] - take[i])
         old = reach.copy()
@@ -84,7 +85,8 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = WIND
             fresh &= ~reach
             by[fresh], used[fresh] = i, n
             reach |= fresh
-    at = int(np.flatnonzero(reach)[-1])
+    sums = np.flatnonzero(reach)
+    at = int(sums[np.argmin(np.abs(sums - fits))])
     while at:
         i, n = by[at], used[at]
         take[i] += n
@@ -93,13 +95,13 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = WIND
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
-    """(doc_id, size, source, source_size, target, times, taken) of every row; `weights` go to sources in order, repeating.
+    """(doc_id, size, source, source_size, target, times, taken, text_hash) of every row; `weights` go to sources in order, repeating.
 
     times is how often the mix takes the document, taken the words that this makes.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = storage.checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(text, F.lit(seed)).alias("tie")))
+    rows = storage.checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(text).alias("tie")))
     # a length that very many documents share is counted in each task first
     counts = rows.groupBy("source", "size").agg(F.count("*").alias("n"))
     counts = storage.checkpointed(counts)
@@ -135,4 +137,4 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = RE
     rest = rows.where("left IS NULL OR left >= n").withColumn("again", F.when(F.col("left").isNull(), 0).otherwise(1).cast("long"))
     out = rest.unionByName(edge).join(F.broadcast(plan.withColumnRenamed("source", "of")), same("source", "of"), "left")
     times = F.when(F.col("size") > 0, F.col("whole") + F.col("again")).otherwise(0)
-    return out.select("doc_id", "size", "source", "source_size", "target", times.alias("times"), (times * F.col("size")).alias("taken"))
+    return out.select("doc_id", "size", "source", "source_size", "target", times.alias("times"), (times * F.col("size")).alias("taken"), F.col("tie").alias("text_hash"))
