@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .storage import checkpointed
+from .storage import checkpointed, tidy
 
 
 def _step(edges: DataFrame, large: bool) -> DataFrame:
@@ -41,4 +41,5 @@ def components(links: DataFrame, a: str, b: str, rounds: int = 64) -> DataFrame:
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         before = now
+        tidy(edges.sparkSession)
     raise RuntimeError(f"no fixpoint after {rounds} rounds")

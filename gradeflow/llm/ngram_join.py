@@ -178,6 +178,7 @@ def _groups(profiles: DataFrame, percent: int) -> DataFrame:
         nonlocal known
         found = _linked(pairs, parts, percent)
         known = storage.checkpointed(found if known is None else known.unionByName(found))
+        storage.tidy(known.sparkSession)
 
     add(star(texts.select("rid", F.col("n_shingles").alias("n"), F.posexplode("sketch").alias("i", "h")).select("rid", "n", F.xxhash64("i", "h").alias("w"))))
     shared = reduce(lambda a, b: a + b, (F.coalesce(F.size(f"part{k}"), F.lit(0)) for k in range(FRAGMENTS)))
