@@ -11,10 +11,10 @@ add-one share of their count among the class's. The probabilities of all words s
 was never seen in each class of rare words.
 
 Training is truncated back-propagation in numpy, over windows of STEPS tokens with the state carried from
-window to window. It is distributed: in each of ROUNDS rounds every input partition trains from the same
-weights on its own share of the sampled training documents (one in SAMPLE a round, so it grows with the
-corpus) and the results are averaged by tokens trained, slice by slice, on the executors. Biases start from
-the corpus counts.
+window to window. It is distributed: the training documents are dealt by hash to ROUNDS rounds, each document to one;
+in each round every input partition trains from the same weights on its own documents of the round, and the
+results are averaged by tokens trained, slice by slice, on the executors. Every training document is trained
+once. Biases start from the corpus counts.
 
 Scoring carries the state through the complete document, however long: many documents advance in step, the
 longest last.
@@ -30,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import storage, textscan, vertical
 
@@ -40,7 +40,6 @@ FREQUENT_CLASSES = 32
 RARE_CLASSES = 48
 STEPS = 32
 ROUNDS = 2
-SAMPLE = 16
 #: Documents that a training step advances at once.
 BATCH = 24
 RATE = 0.01
@@ -257,13 +256,16 @@ def train_documents(p: dict, v: Vocabulary, docs: Iterator[np.ndarray], rate: fl
     lanes: list[np.ndarray] = [np.zeros(0, np.uint64)] * BATCH
     state = np.zeros((BATCH, HIDDEN), np.float32)
     while True:
-        for i in range(BATCH):  # a lane takes its next document once the last has been read to its end
+        for i in range(len(lanes)):  # a lane takes its next document once the last has been read to its end
             if not len(lanes[i]) and (new := next(queue, None)) is not None:
                 lanes[i], state[i] = new, 0
         longest = min(STEPS, max(len(x) for x in lanes))
         if not longest:
             break
-        keys, real = np.zeros((longest, BATCH), np.uint64), np.zeros((longest, BATCH), bool)
+        if not all(map(len, lanes)):  # no more documents: go on with those not read to their end
+            on = [i for i, lane in enumerate(lanes) if len(lane)]
+            lanes, state = [lanes[i] for i in on], state[on]
+        keys, real = np.zeros((longest, len(lanes)), np.uint64), np.zeros((longest, len(lanes)), bool)
         for i, lane in enumerate(lanes):
             n = min(longest, len(lane))
             keys[:n, i], real[:n, i] = lane[:n], True
@@ -293,8 +295,13 @@ def _unpack(values: np.ndarray, like: dict) -> dict:
     return out
 
 
-def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS, sample: int = SAMPLE) -> dict[str, np.ndarray]:
-    """Weights from documents (doc_id, text, held_out) that are not held out."""
+def in_round(turn: int, rounds: int = ROUNDS) -> Column:
+    """Whether a row is trained in a round; each row is in exactly one."""
+    return F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == turn
+
+
+def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+    """Weights from all documents (doc_id, text, held_out) that are not held out."""
     spark = docs.sparkSession
     p = initial(v)
     for turn in range(rounds):
@@ -325,7 +332,7 @@ def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS, sample: int = SA
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([tokens[i]], pa.int64()), pa.array([sums[i].tobytes()], pa.binary())], names=["slice", "tokens", "sums"])
 
         schema = "slice int, tokens long, sums binary"
-        some = docs.where(~F.col("held_out") & (F.pmod(F.xxhash64("doc_id"), F.lit(sample)) == turn)).select("text")
+        some = docs.where(~F.col("held_out") & in_round(turn, rounds)).select("text")
         got = some.mapInArrow(fit, schema).repartitionById(SLICES, "slice").mapInArrow(average, schema).collect()  # SLICES rows
         if got:
             p = _unpack(np.concatenate([np.frombuffer(r.sums) / r.tokens for r in sorted(got, key=lambda r: r.slice)]), p)

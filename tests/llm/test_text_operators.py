@@ -368,3 +368,14 @@ def test_language_model_gradients():
             down = loss()
             p[name][at] = kept
             assert math.isclose((up - down) / 2e-5, grads[name][at], rel_tol=2e-3, abs_tol=1e-6), name
+
+
+def test_language_model_trains_every_document(spark):
+    own = [f"own{i}" for i in range(60)]
+    table = [(None if i % 10 == 0 else i, f"{w} " * 100, i == 59) for i, w in enumerate(own)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, held_out boolean")
+    keys = np.array([gru_lm.token_keys(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]))[0] for w in own])
+    order = np.argsort(keys)
+    v = gru_lm.vocabulary([gru_lm._stats(keys[order], np.full(60, 100, np.uint64))])
+    moved = (gru_lm.train(docs, v)["x"] != gru_lm.initial(v)["x"]).any(1)
+    assert [w for w, row in zip(own, v.index(keys)[0]) if not moved[row]] == ["own59"]
