@@ -32,8 +32,8 @@ BITS = 20
 STEMS = (4, 5)
 MAX_LABELLED = 8_000
 THRESHOLD = 0.3
-#: Documents with at least this score are rejected by the pipeline.
-REJECT = 0.5
+#: Documents with at least this score are rejected by the pipeline: those that the operator calls toxic.
+REJECT = THRESHOLD
 PASSES = 120
 RATE, DECAY = 0.05, 3e-4
 _APART = np.ones(256, bool)

@@ -62,3 +62,10 @@ def test_stages_take_awkward_rows(spark, sf_dir):
             assert len(out) == 6
         assert stage(spark, docs.limit(0), sf_dir).collect() == []
     assert decontam.WORDS == 5
+
+
+def test_toxicity_stage_rejects_what_the_operator_calls_toxic(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    called = {r.doc_id for r in queries.op9_toxicity(spark, sf_dir).where("predicted = 1").collect()}
+    kept = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, sf_dir).select("doc_id").collect()}
+    assert called and kept == {r.doc_id for r in docs.select("doc_id").collect()} - called
