@@ -6,7 +6,8 @@ passes over the source and a remainder is met by taking every document k times a
 subset of documents once more. Which lengths the subset holds is fitted on the count of documents by exact
 length: first the same fraction of every length (so that the subset looks like the source), then whole
 documents from the longest length down, and last a bounded-knapsack dynamic program over what is left of
-each length for the words still missing. Which documents of a length are taken is decided by a seeded hash
+each length for the words still missing; where that leaves words missing, one document more, one fewer or one
+for another, of any length, as long as the sum gets nearer. Which documents of a length are taken is decided by a seeded hash
 of their ids.
 
 Only counts meet in one place: one row a source on the driver (at most MAX_SOURCES, else an error), and one
@@ -67,9 +68,15 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = WIND
             more = min(int(counts[i] - take[i]), (missing - window // 2) // int(lengths[i]))
             take[i] += max(0, more)
             missing -= max(0, more) * int(lengths[i])
+    _fill(lengths, counts, take, missing, window)
+    return _nearer(lengths, counts, take, budget, window)
+
+
+def _fill(lengths: np.ndarray, counts: np.ndarray, take: np.ndarray, missing: int, window: int) -> None:
+    """Adds to take the documents left whose words come nearest to what is missing, up to the window."""
     fits = min(missing, window)
     cells = fits + min(fits, window // 8) + 1  # a sum just above may be nearer than any below
-    usable = [i for i in order[::-1] if 0 < lengths[i] < cells and counts[i] > take[i]]
+    usable = [i for i in np.argsort(lengths, kind="stable") if 0 < lengths[i] < cells and counts[i] > take[i]]
     by = np.full(cells, -1, np.int64)  # length index of the last step to a reachable sum
     used = np.zeros(cells, np.int64)  # how many of that length the sum holds
     reach = np.zeros(cells, bool)
@@ -91,6 +98,26 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = WIND
         i, n = by[at], used[at]
         take[i] += n
         at -= int(n * lengths[i])
+
+
+def _nearer(lengths: np.ndarray, counts: np.ndarray, take: np.ndarray, budget: int, window: int) -> np.ndarray:
+    """Moves single documents of any length, while one in, one out or one for another brings the sum nearer to budget."""
+    while missing := budget - int((lengths * take).sum()):
+        into, out = np.append(np.flatnonzero(counts > take), -1), np.append(np.flatnonzero(take > 0), -1)  # -1: none
+        gain, loss = (np.where(i < 0, 0, lengths[i]) for i in (into, out))
+        order = np.argsort(gain, kind="stable")
+        near = np.searchsorted(gain[order], missing + loss)
+        near = np.clip([near - 1, near], 0, len(order) - 1)
+        off = np.abs(missing + loss - gain[order[near]])
+        side, at = np.unravel_index(np.argmin(off), off.shape)
+        if off[side, at] >= abs(missing):
+            break
+        for i, n in ((into[order[near[side, at]]], 1), (out[at], -1)):
+            if i >= 0:
+                take[i] += n
+        missing = budget - int((lengths * take).sum())
+        if missing > 0:
+            _fill(lengths, counts, take, missing, window)
     return take
 
 

@@ -139,6 +139,23 @@ def test_targets_reshare_what_is_cut_off():
     assert mixing.targets([0, 10], [1, 2]) == [0.0, 10.0]
 
 
+def test_fit_of_few_and_of_long_documents():
+    one = lambda n, budget: int(mixing.fit(np.array([n]), np.array([1]), budget)[0])
+    assert (one(3000, 2400), one(3000, 1400), one(10_000, 9900), one(10_000, 100)) == (1, 0, 1, 0)
+    assert mixing.fit(np.array([20_000]), np.array([10]), 119_000).tolist() == [6]
+    assert mixing.fit(np.array([5500, 6000, 7000]), np.ones(3, int), 11_500).tolist() == [1, 1, 0]
+    rng = np.random.default_rng(2)
+    for _ in range(100):
+        lengths = np.sort(rng.choice(np.arange(1, 20_000), rng.integers(1, 7), replace=False))
+        counts = rng.integers(1, 4, len(lengths))
+        budget = int(rng.integers(0, (lengths * counts).sum()))
+        take = mixing.fit(lengths, counts, budget)
+        assert (take >= 0).all() and (take <= counts).all()
+        missing = budget - int((lengths * take).sum())
+        more, less = lengths[take < counts], lengths[take > 0]
+        assert all(abs(missing) <= abs(missing - a + b) for a in [0, *more] for b in [0, *less])
+
+
 def brute_winnow(text, k=winnow.K, window=winnow.WINDOW):
     hashes = [int(x) for x in winnow.gram_hashes(winnow.code_points(text), k)]
     width = min(window, len(hashes))
