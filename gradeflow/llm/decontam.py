@@ -1,10 +1,12 @@
 """Benchmark decontamination: documents that hold a passage like a benchmark item.
 
-A window is as many successive 5-word shingles of a document as an item has. It holds the item when the
+A window is as many successive 5-word shingles of a document as an item has, or the whole document if it has
+fewer. It holds the item when the
 weighted Jaccard coefficient of the two multisets of shingles is at least 0.75. All in DataFrame operations:
 
 1. Anchors. A window that holds an item shares at least 6/7 of the item's shingles (both have the same
-   total weight m, and 0.75 of the union is 2 * 0.75 / 1.75 * m). Positions whose shingle occurs in any item
+   total weight m, and 0.75 of the union is 2 * 0.75 / 1.75 * m); a document of n < m shingles shares at least
+   3/7 of n + m, so at least 3/4 of m. Positions whose shingle occurs in any item
    are found while the text is scanned; documents with fewer than the smallest item needs go no further. For
    each item, only windows with enough of its shingles inside are formed. Nothing is lost here.
 2. SimHash. Every such window and every item gets a 64-bit fingerprint of its weighted shingles.
@@ -68,7 +70,12 @@ def _blocks(fingerprint: str, radius: int) -> Column:
 
 def _needed(m: Column, percent: int) -> Column:
     """Least number of an item's m shingles in a window of m that may hold it."""
-    return F.ceil(2 * percent * m / (100 + percent) - 1e-9).cast("int")
+    return _needed_of(2 * m, percent)
+
+
+def _needed_of(both: Column, percent: int) -> Column:
+    """The same by the number of shingles that the window and the item have together."""
+    return F.ceil(percent * both / (100 + percent) - 1e-9).cast("int")
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
@@ -83,7 +90,7 @@ def find(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, radius:
     """(doc_id, item_id, start_word, n_words, similarity, distance): of each row and item it holds, the likest window, the first among equals."""
     schema = "doc_id long, item_id long, start_word long, n_words long, similarity double, distance int"
     items = storage.checkpointed(items_of(benchmark).withColumn("need", _needed(F.col("m"), percent)).withColumn("print", simhash(F.col("shingles"))))
-    sizes = items.groupBy("size").agg(F.min("need").alias("need"), F.sum("m").alias("rows")).collect()  # at most WORDS rows
+    sizes = items.groupBy("size").agg(F.min("need").alias("need"), F.sum("m").alias("rows"), F.min("m").alias("least"), F.max("m").alias("most")).collect()  # at most WORDS rows
     if not sizes:
         return docs.sparkSession.createDataFrame([], schema)
     small = sum(r["rows"] for r in sizes) <= MAX_BROADCAST
@@ -100,18 +107,22 @@ def find(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, radius:
         wanted = [x.h for x in grams.where(F.col("size") == r["size"]).select("h").distinct().limit(MAX_IN_PLAN + 1).collect()]  # bounded
         inside = f"h IN ({', '.join(f'{h}L' for h in wanted)})" if len(wanted) <= MAX_IN_PLAN else "true"
         at = F.expr(f"filter(transform(hashes, (h, i) -> if({inside}, i, null)), i -> i IS NOT NULL)")
-        own = own.withColumns({"at": at, "mark": apart()}).where(F.size("at") >= r["need"])
+        # a document shorter than an item needs fewer
+        need = F.when(F.size("hashes") < r["most"], math.ceil(percent * r["least"] / 100 - 1e-9)).otherwise(r["need"])
+        own = own.withColumns({"at": at, "mark": apart()}).where(F.size("at") >= need)
         found = own if found is None else found.unionByName(own)
     found, uri = storage.written(found, "anchors")
     kept.append(uri)
-    hits = found.select("rid", "size", F.explode("at").alias("pos"), "hashes").select("rid", "size", "pos", F.get("hashes", F.col("pos")).alias("h")).join(hint(grams), ["size", "h"])
-    near = hits.groupBy("rid", "size", "item", "m", "need").agg(F.array_sort(F.collect_list("pos")).alias("at")).where("size(at) >= need")
+    hits = found.select("rid", "size", F.explode("at").alias("pos"), "hashes").select("rid", "size", "pos", F.size("hashes").alias("n"), F.get("hashes", F.col("pos")).alias("h")).join(hint(grams), ["size", "h"])
+    near = hits.groupBy("rid", "size", "n", "item", "m", "need").agg(F.array_sort(F.collect_list("pos")).alias("at"))
+    near = near.where(F.size("at") >= F.when(F.col("n") < F.col("m"), _needed_of(F.col("n") + F.col("m"), percent)).otherwise(F.col("need")))
     # from the first of `need` successive hits that lie within m positions to the last: all windows that hold them
-    starts = F.transform(F.sequence(F.lit(0), F.size("at") - F.col("need")), lambda i: F.struct(F.get("at", i).alias("first"), F.get("at", i + F.col("need") - 1).alias("last")))
+    starts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("at") - F.col("need"))), lambda i: F.struct(F.get("at", i).alias("first"), F.get("at", i + F.col("need") - 1).alias("last")))
     starts = F.filter(starts, lambda s: s["last"] - s["first"] < F.col("m"))
     starts = F.array_distinct(F.flatten(F.transform(starts, lambda s: F.sequence(F.greatest(F.lit(0), s["last"] - F.col("m") + 1), s["first"]))))
+    starts = F.when(F.col("n") < F.col("m"), F.array(F.lit(0))).otherwise(starts)
     windows = storage.checkpointed(near.select("rid", "size", "m", F.explode(starts).alias("start")).distinct())
-    met = windows.join(found.select("rid", "size", "doc_id", "hashes"), ["rid", "size"]).where("start + m <= size(hashes)")
+    met = windows.join(found.select("rid", "size", "doc_id", "hashes"), ["rid", "size"]).where("start + least(m, size(hashes)) <= size(hashes)")
     met = met.select("rid", "doc_id", "size", "m", "start", F.expr("slice(hashes, start + 1, m)").alias("window"))
     met, uri = storage.written(met.withColumn("print", simhash(F.col("window"))), "windows")  # so that no fingerprint is computed twice
     kept.append(uri)
@@ -124,9 +135,9 @@ def find(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, radius:
     met, uri = storage.written(met.drop("block", "value", "item_print"), "pairs")  # so that no pair beyond the radius is verified
     kept.append(uri)
     common = F.expr("aggregate(counted, 0, (a, c) -> a + least(c.n, size(filter(window, x -> x = c.h))))")
-    met = met.withColumn("common", common).where(f"100 * common >= {percent} * (2 * m - common)")
-    best = met.groupBy("rid", "item").agg(F.max(F.struct("common", (-F.col("start")).alias("back"), "doc_id", "item_id", "m", "size", "distance")).alias("b"))
-    out = best.select("b.doc_id", "b.item_id", (-F.col("b.back")).cast("long").alias("start_word"), (F.col("b.m") + F.col("b.size") - 1).cast("long").alias("n_words"), F.expr("b.common / (2D * b.m - b.common)").alias("similarity"), "b.distance")
+    met = met.withColumn("common", common).where(f"100 * common >= {percent} * (m + size(window) - common)")
+    best = met.groupBy("rid", "item").agg(F.max(F.struct("common", (-F.col("start")).alias("back"), "doc_id", "item_id", "m", F.size("window").alias("n"), "size", "distance")).alias("b"))
+    out = best.select("b.doc_id", "b.item_id", (-F.col("b.back")).cast("long").alias("start_word"), (F.col("b.n") + F.col("b.size") - 1).cast("long").alias("n_words"), F.expr("b.common / cast(b.m + b.n - b.common AS double)").alias("similarity"), "b.distance")
     out = storage.checkpointed(out)
     for uri in kept:
         storage.remove(uri)

@@ -296,6 +296,22 @@ def test_decontamination(spark, documents, empty):
     assert decontam.find(empty, benchmark).collect() == [] and decontam.find(documents, benchmark.limit(0)).collect() == []
 
 
+def test_decontamination_of_documents_shorter_than_an_item(spark):
+    item = [f"t{i}" for i in range(59)]
+    texts = [item[:-4], item[3:-4], item[:-20], item[:44], item, ["x", *item[5:], "y"], item[:48] + ["z"]]
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    expected = []
+    for d, t in docs:
+        a, b = shingle_set(t), shingle_set(" ".join(item))
+        like = len(a & b) / len(a | b)
+        if like >= 0.75:
+            expected.append((d, 7, 0, len(words(t)), round(like, 9)))
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item)), (8, " ".join(f"u{i}" for i in range(30)))], "item_id long, text string")
+    got = decontam.find(*frames).collect()
+    assert sorted((r.doc_id, r.item_id, r.start_word, r.n_words, round(r.similarity, 9)) for r in got) == expected
+    assert {0, 1, 4, 6} <= {e[0] for e in expected} and len(expected) < len(docs)
+
+
 def test_toxicity_finds_documents_and_sentences(spark):
     rng = np.random.default_rng(2)
     table, labels = [], []
