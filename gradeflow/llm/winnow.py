@@ -22,7 +22,8 @@ from . import storage
 from .textscan import mix
 
 K = 16
-WINDOW = 64
+#: A match of WINDOW + K - 1 = 23 code points is found, so a text of 36 or more shares a hash with its edited text.
+WINDOW = 8
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -102,6 +103,8 @@ def edited(text: str, following: str) -> str:
 
 
 _COLUMNS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: Between the stages: instead of the edited fingerprint, how many hashes of the first begin it, and the rest.
+_STORED = _COLUMNS.replace("edited_fingerprint string", "shared int, rest string")
 _EDGES = "part int, last boolean"
 
 
@@ -119,14 +122,16 @@ def compare_with_next(docs: DataFrame, edit: Callable[[str, str], str] = edited,
     ends = storage.new_dir(spark, "ends")
 
     def result(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}
-        fields = [c.split() for c in _COLUMNS.split(", ")]
+        kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
+        fields = [c.split() for c in _STORED.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
 
     def compared(doc_id: int | None, text: str, own: np.ndarray, following: str, other: np.ndarray) -> tuple:
         new = edit(text, following)
         changed = own if new == text else winnow(code_points(new), k, window)[0]
-        return doc_id, len(text), hashlib.sha256(new.encode()).hexdigest(), as_string(own), as_string(changed), likeness(own, changed), likeness(own, other)
+        n = min(len(own), len(changed))
+        shared = int(np.append(own[:n] == changed[:n], False).argmin())
+        return doc_id, len(text), hashlib.sha256(new.encode()).hexdigest(), as_string(own), shared, as_string(changed[shared:]), likeness(own, changed), likeness(own, other)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, first, out, size = None, None, [], 0
@@ -163,10 +168,14 @@ def compare_with_next(docs: DataFrame, edit: Callable[[str, str], str] = edited,
                 own, other = (winnow(code_points(t), k, window)[0] for t in (text, following))
                 yield result([compared(doc_id, text, own, following, other)])
 
+    def whole(stored: DataFrame) -> DataFrame:
+        changed = F.concat(F.substring("fingerprint", F.lit(1), F.col("shared") * 8), F.col("rest"))
+        return stored.withColumn("edited_fingerprint", changed).select(*(c.split()[0] for c in _COLUMNS.split(", ")))
+
     placed = docs.repartitionByRange(parts, *order).sortWithinPartitions(*order, "text")
-    inner, uri = storage.written(placed.mapInArrow(scan, _COLUMNS), "winnowed")
+    inner, uri = storage.written(placed.mapInArrow(scan, _STORED), "winnowed")
     files = [name for name, _ in storage.list_files(ends, ".ends")]
     if not files:
-        return inner
+        return whole(inner)
     pairs = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(files, [*files[1:], files[0]], strict=True))], "number int, here string, there string")
-    return inner.unionByName(pairs.repartitionById(min(len(files), parts), F.col("number") % min(len(files), parts)).mapInArrow(across, _COLUMNS))
+    return whole(inner.unionByName(pairs.repartitionById(min(len(files), parts), F.col("number") % min(len(files), parts)).mapInArrow(across, _STORED)))

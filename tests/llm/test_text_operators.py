@@ -200,6 +200,11 @@ def test_compare_with_next(table, request):
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
 
 
+def test_short_texts_share_a_hash_with_their_edited_text(documents):
+    got = [r for r in winnow.compare_with_next(documents).collect() if 36 <= r.n_chars < 150]
+    assert got and all(r.near_edited > 0 for r in got)
+
+
 def test_winnow_of_nothing(empty, spark):
     assert winnow.compare_with_next(empty).collect() == []
     assert winnow.compare_with_next(spark.createDataFrame([(1, "alone")], "doc_id long, text string")).first().near_next == 1.0
