@@ -12,10 +12,11 @@ weighted Jaccard coefficient of the two multisets of shingles is at least 0.75.
 2. SimHash. Every such window and every item gets a 64-bit fingerprint of its weighted shingles.
 3. Multi-index Hamming blocks. The 64 bits are cut into RADIUS + 1 blocks; two fingerprints within RADIUS
    agree in at least one block, so joining on (size, block, value) finds all of them. A pair is kept in its
-   first common block only, and if it is within RADIUS.
+   first common block only, and if it is within RADIUS. Where the window's or the item's shingles repeat, pairs of
+   an item and a window formed for it are kept at any distance.
 4. Verification by the exact weighted Jaccard coefficient.
 
-SimHash is random: at a similarity of 0.75 the distance is about 11 with deviation 3, so a radius of 24 loses
+SimHash is random: with distinct shingles, at a similarity of 0.75 the distance is about 11 with deviation 3, so a radius of 24 loses
 about one pair in 100,000 at the very threshold and fewer above.
 
 Words are maximal runs of characters other than 0x20 and 0x09-0x0D, in lower case. An item of fewer than
@@ -121,18 +122,26 @@ def find(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, radius:
     starts = F.filter(starts, lambda s: s["last"] - s["first"] < F.col("m"))
     starts = F.array_distinct(F.flatten(F.transform(starts, lambda s: F.sequence(F.greatest(F.lit(0), s["last"] - F.col("m") + 1), s["first"]))))
     starts = F.when(F.col("n") < F.col("m"), F.array(F.lit(0))).otherwise(starts)
-    windows = storage.checkpointed(near.select("rid", "size", "m", F.explode(starts).alias("start")).distinct())
+    anchored = storage.checkpointed(near.select("rid", "size", "m", "item", F.explode(starts).alias("start")))
+    windows = anchored.select("rid", "size", "m", "start").distinct()
     met = windows.join(found.select("rid", "size", "doc_id", "hashes"), ["rid", "size"]).where("start + least(m, size(hashes)) <= size(hashes)")
     met = met.select("rid", "doc_id", "size", "m", "start", F.expr("slice(hashes, start + 1, m)").alias("window"))
     met, uri = storage.written(met.withColumn("print", simhash(F.col("window"))), "windows")  # so that no fingerprint is computed twice
     kept.append(uri)
+    formed = met
     # multi-index blocks
     count = F.expr("transform(array_distinct(shingles), h -> named_struct('h', h, 'n', size(filter(shingles, x -> x = h))))")
     index = items.select("item_id", "item", "size", "m", F.col("print").alias("item_print"), count.alias("counted"), F.posexplode(_blocks("print", radius)).alias("block", "value"))
     met = met.select("*", F.posexplode(_blocks("print", radius)).alias("block", "value")).join(hint(index), ["size", "m", "block", "value"])
     first = F.array_position(F.zip_with(_blocks("print", radius), _blocks("item_print", radius), lambda a, b: a == b), True) - 1
     met = met.withColumn("distance", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))).where((first == F.col("block")) & (F.col("distance") <= radius))
-    met, uri = storage.written(met.drop("block", "value", "item_print"), "pairs")  # so that no pair beyond the radius is verified
+    # the distance says little where shingles repeat: there anchored pairs beyond the radius are verified too
+    repeats = lambda c: F.size(F.array_distinct(c)) < F.size(c)
+    whole = items.select("item_id", "item", F.col("print").alias("item_print"), count.alias("counted"), repeats("shingles").alias("repeats"))
+    loose = formed.join(anchored, ["rid", "size", "m", "start"]).join(hint(whole), "item").where(F.col("repeats") | repeats("window"))
+    loose = loose.withColumn("distance", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))).where(F.col("distance") > radius)
+    met = met.drop("block", "value", "item_print").unionByName(loose.drop("repeats", "item_print"))
+    met, uri = storage.written(met, "pairs")  # so that no pair beyond the radius is verified
     kept.append(uri)
     common = F.expr("aggregate(counted, 0, (a, c) -> a + least(c.n, size(filter(window, x -> x = c.h))))")
     met = met.withColumn("common", common).where(f"100 * common >= {percent} * (m + size(window) - common)")

@@ -317,6 +317,17 @@ def test_decontamination_of_documents_shorter_than_an_item(spark):
     assert {0, 1, 4, 6} <= {e[0] for e in expected} and len(expected) < len(docs)
 
 
+def test_decontamination_of_repeated_shingles(spark):
+    docs, items = [], []
+    for i in range(20):
+        shared = [f"s{i}x{k}" for k in range(124)]
+        docs.append((i, " ".join([f"a{i}"] * 20 + shared)))
+        items.append((i, " ".join([f"b{i}"] * 20 + shared)))
+    got = decontam.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    expected = [(d, d, b[1], round(b[2], 9)) for (d, t), (_, u) in zip(docs, items) if (b := brute_windows(t, u))]
+    assert sorted((r.doc_id, r.item_id, r.start_word, round(r.similarity, 9)) for r in got) == expected and len(expected) == 20
+
+
 def test_toxicity_finds_documents_and_sentences(spark):
     rng = np.random.default_rng(2)
     table, labels = [], []
