@@ -1,45 +1,48 @@
-"""Connected components of a distributed edge list by alternating large-star and small-star steps.
+"""Connected components of a distributed edge list by contraction.
 
-The links never leave the executors: every step is one aggregation (the least neighbour, combined before
-the shuffle) and one join, and ends in a reliable checkpoint. A node with very many links is only ever the
-hot key of a shuffled join whose other side has one row a key, which adaptive execution splits.
+In each round every node moves to the least of itself and its neighbours, by number in even rounds and by a
+hash that differs in each odd round; links whose ends meet disappear, the others link what they moved to.
+The moves are a map of the graph onto a smaller one with the same components, and by random order at least half of
+the nodes that still have links are expected to move, so the rounds end after about log2 of the longest chain. The
+rounds' maps are then followed from the last to the first.
+
+The links never leave the executors. A round is two queries, whose results are written to the shared folder:
+an aggregation that is combined before its shuffle, and two joins whose other side has one row a key, so a
+node with very many links is only ever a key that adaptive execution splits.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .storage import checkpointed, tidy
-
-
-def _step(edges: DataFrame, large: bool) -> DataFrame:
-    """Edges (u, v), u > v. Large star: greater neighbours go to the least; small star: the others and the node itself do."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")))
-    if large:
-        # of each node u, neighbours v > u are linked with min(neighbours of u and u)
-        joined = edges.select(F.col("v").alias("u"), F.col("u").alias("v")).join(least, "u")
-        moved = joined.select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
-    else:
-        joined = edges.join(least, "u")
-        moved = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return checkpointed(moved.where("u > v").distinct())
+from .storage import Scratch, checkpointed
 
 
-def components(links: DataFrame, a: str, b: str, rounds: int = 64) -> DataFrame:
+def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) for every node with a link; the component is its least node.
 
     Null ends and links of a node with itself are ignored; no links give no rows.
     """
-    edges = links.where(f"{a} <> {b}").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    edges = checkpointed(edges.distinct())
-    before = None
-    for _ in range(rounds):
-        edges = _step(_step(edges, True), False)
-        # done when each node has one link and no link ends in a node that has a link itself
-        now = edges.agg(F.count("*"), F.sum("u"), F.sum("v"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        before = now
-        tidy(edges.sparkSession)
-    raise RuntimeError(f"no fixpoint after {rounds} rounds")
+    with Scratch(links.sparkSession, "components") as scratch:
+        edges = scratch.keep(links.where(f"{a} <> {b}").select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct())
+        moves: list[DataFrame] = []
+        while not edges.isEmpty():
+            turn = len(moves)
+
+            def rank(node: str, turn: int = turn):
+                return F.struct((F.xxhash64(node, F.lit(turn)) if turn % 2 else F.col(node)).alias("rank"), F.col(node).alias("id"))
+
+            both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.min(rank("v")).alias("m")).select("u", F.least(rank("u"), "m").getField("id").alias("to"))
+            move = scratch.keep(least)
+            moves.append(move)
+            ends = edges.join(move, "u").select(F.col("to").alias("a"), F.col("v").alias("u")).join(move, "u").where("a <> to")
+            edges = scratch.keep(ends.select(F.least("a", "to").alias("u"), F.greatest("a", "to").alias("v")).distinct())
+        if not moves:
+            return links.sparkSession.createDataFrame([], "node long, component long")
+        found = moves.pop().select("u", F.col("to").alias("end"))
+        while moves:
+            last = found.withColumnRenamed("u", "to")
+            found = scratch.keep(moves.pop().join(last, "to", "left").select("u", F.coalesce("end", "to").alias("end")))
+        names = found.groupBy("end").agg(F.min("u").alias("component"))
+        return checkpointed(found.join(names, "end").select(F.col("u").alias("node"), "component"))

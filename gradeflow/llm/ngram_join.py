@@ -12,10 +12,11 @@ first. It serves twice:
   is counted in each fragment separately and summed per pair.
 
 Equal sets are one class from the start. Links are wanted for components, so pairs whose ends are already
-connected need no check: first every class is compared with the representative of its min-hash buckets,
-then with those of its prefix shingles, and last every pair across components that shares a prefix shingle
-and passes the length and position bounds is compared. The last step leaves out no pair that could link two
-components, so the result is exact, while a group of n near copies costs about n comparisons, not n * n.
+connected need no check: first every class is compared with the first of its min-hash buckets and of its
+prefix shingles, then with another of each prefix shingle that several components still hold, and last every pair
+across components that shares a prefix shingle and passes the length and position bounds is compared. The last step leaves
+out no pair that could link two components, so the result is exact, while a group of n near copies costs about n
+comparisons, not n * n. Each step's components are found on the components of the one before.
 
 Null or empty texts have no shingles and no links. Rows with the same text or the same doc_id are separate
 rows of one class. A null doc_id takes part; it is reported as null and never names a component that has
@@ -31,7 +32,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import storage, textscan, vertical
 from .components import components
@@ -114,12 +115,13 @@ def _profiles(docs: DataFrame, percent: int, size: int) -> tuple[DataFrame, str]
 
 
 def _linked(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b, na, nb), those that link: overlaps by fragment, summed per pair."""
-    some = pairs.select("a", "b").join(parts.select(F.col("rid").alias("b"), "frag", F.col("items").alias("items_b")), "b")
+    """Of distinct pairs (a, b, na, nb, ...), those that link: overlaps by fragment, summed per pair."""
+    own = pairs.columns
+    some = pairs.join(parts.select(F.col("rid").alias("b"), "frag", F.col("items").alias("items_b")), "b")
     some = some.join(parts.select(F.col("rid").alias("a"), "frag", F.col("items").alias("items_a")), ["a", "frag"])
-    partial = some.select("a", "b", F.size(F.array_intersect("items_a", "items_b")).alias("common"))
-    overlap = partial.groupBy("a", "b").agg(F.sum("common").alias("common"))
-    return overlap.join(pairs, ["a", "b"]).where(f"100 * common >= {percent} * (na + nb - common)").select("a", "b")
+    partial = some.select(*own, F.size(F.array_intersect("items_a", "items_b")).alias("common"))
+    overlap = partial.groupBy(*own).agg(F.sum("common").alias("common"))
+    return overlap.where(f"100 * common >= {percent} * (na + nb - common)").select(*own)
 
 
 def similarity_groups(docs: DataFrame, percent: int = PERCENT, size: int = WORDS) -> DataFrame:
@@ -154,47 +156,57 @@ def representatives(docs: DataFrame, percent: int = PERCENT, size: int = WORDS)
 
 
 def _groups(profiles: DataFrame, percent: int) -> DataFrame:
-    rows = storage.checkpointed(profiles.select("rid", "doc_id", "text_hash", "n_shingles", "set_a", "set_b", "kept"))
+    with storage.Scratch(profiles.sparkSession, "groups") as scratch:
+        return _grouped(profiles, percent, scratch)
+
+
+def _grouped(profiles: DataFrame, percent: int, scratch: storage.Scratch) -> DataFrame:
     same = ["set_a", "set_b", "n_shingles"]
-    classes = storage.checkpointed(rows.where("kept").groupBy(*same).agg(F.min("rid").alias("class"), F.count("*").alias("size")))
-    heads = classes.select(F.col("class").alias("rid"))
-    texts = storage.checkpointed(profiles.where("kept").drop("doc_id", "text_hash", "set_a", "set_b", "kept").join(heads, "rid", "left_semi"))
+    classes = scratch.keep(profiles.where("kept").groupBy(*same).agg(F.min("rid").alias("class")))
+    texts = profiles.where("kept").drop("doc_id", "text_hash", "set_a", "set_b", "kept").withColumnRenamed("n_shingles", "n")
+    texts = scratch.keep(texts.join(classes.select(F.col("class").alias("rid")), "rid", "left_semi"))
     parts = texts.select("rid", F.posexplode(F.array(*(f"part{k}" for k in range(FRAGMENTS)))).alias("frag", "items")).where("size(items) > 0")
-    known = None  # links found so far
-
-    def labels() -> DataFrame:
-        own = texts.select("rid")
-        return storage.checkpointed(own.join(components(known, "a", "b").withColumnRenamed("node", "rid"), "rid", "left").select("rid", F.coalesce("component", "rid").alias("comp"))) if known is not None else own.select("rid", F.col("rid").alias("comp"))
-
-    def star(keyed: DataFrame) -> DataFrame:
-        """Pairs of the rows of a key (w, rid, n) with the least of them, but for those of its component already."""
-        keyed = storage.checkpointed(keyed.join(labels(), "rid"))
-        firsts = keyed.groupBy("w").agg(F.min(F.struct("rid", "n", "comp")).alias("first"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-        firsts = storage.checkpointed(firsts.select("w", "first.*").toDF("w", "a", "na", "ca"))
-        met = keyed.select("w", F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb")).join(firsts, "w").where(f"ca <> cb AND 100 * least(na, nb) >= {percent} * greatest(na, nb)")
-        return storage.checkpointed(met.select("a", "b", "na", "nb").distinct())
-
-    def add(pairs: DataFrame) -> None:
-        nonlocal known
-        found = _linked(pairs, parts, percent)
-        known = storage.checkpointed(found if known is None else known.unionByName(found))
-        storage.tidy(known.sparkSession)
-
-    add(star(texts.select("rid", F.col("n_shingles").alias("n"), F.posexplode("sketch").alias("i", "h")).select("rid", "n", F.xxhash64("i", "h").alias("w"))))
+    alike = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
+
+    def relabelled(rows: DataFrame, moves: DataFrame) -> DataFrame:
+        """Rows (..., comp) with the components that theirs have become part of."""
+        others = [c for c in rows.columns if c != "comp"]
+        return rows.join(moves.select(F.col("node").alias("comp"), "component"), "comp", "left").select(*others, F.coalesce("component", "comp").alias("comp"))
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        """Of rows (w, ..., comp), those whose w is met in several components."""
+        several = rows.groupBy("w").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("w")
+        return scratch.keep(rows.join(several, "w", "left_semi"))
+
+    def star(rows: DataFrame, rank: Column) -> DataFrame:
+        """Pairs of the rows (w, rid, n, comp) of a w with the first of them by rank, but for those of its component."""
+        first = rows.groupBy("w").agg(F.min(F.struct(rank.alias("rank"), "rid", "n", "comp")).alias("f")).select("w", F.col("f.rid").alias("a"), F.col("f.n").alias("na"), F.col("f.comp").alias("ca"))
+        met = rows.select("w", F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb")).join(first, "w")
+        return met.where(f"ca <> cb AND {alike}").select("a", "b", "na", "nb", "ca", "cb").distinct()
+
+    def across(rows: DataFrame) -> DataFrame:
+        """All pairs of rows (w, rid, n, rest, comp) with one w that different components hold and that the bounds leave."""
+        a, b = (rows.select("w", *(F.col(c).alias(f"{c[0]}{x}") for c in ("n", "comp")), F.col("rid").alias(x), F.col("rest").alias(f"rest_{x}")) for x in "ab")
+        bound = f"(100 + {percent}) * least(rest_a, rest_b) >= {percent} * (na + nb)"
+        return a.join(b, "w").where(f"a < b AND ca <> cb AND {alike} AND {bound}").select("a", "b", "na", "nb", "ca", "cb").distinct()
+
+    def merged(pairs: DataFrame) -> DataFrame:
+        return components(scratch.keep(_linked(pairs, parts, percent).select("ca", "cb")), "ca", "cb")
+
     shared = reduce(lambda a, b: a + b, (F.coalesce(F.size(f"part{k}"), F.lit(0)) for k in range(FRAGMENTS)))
-    prefix = texts.select("rid", F.col("n_shingles").alias("n"), (F.col("n_shingles") - shared).alias("alone"), F.posexplode("prefix").alias("i", "w"))
-    prefix = prefix.select("rid", "n", "w", (F.col("n") - F.col("alone") - F.col("i")).alias("rest"))  # shingles from this one on
-    add(star(prefix.select("rid", "n", "w")))
-    # every remaining pair across components
-    keyed = storage.checkpointed(prefix.join(labels(), "rid"))
-    mixed = storage.checkpointed(keyed.groupBy("w").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("w"))
-    keyed = storage.checkpointed(keyed.join(mixed, "w", "left_semi"))
-    a, b = (keyed.select("w", *(F.col(c).alias(f"{c}_{x}") for c in ("rid", "n", "rest", "comp"))) for x in "ab")
-    bound = f"(100 + {percent}) * least(rest_a, rest_b) >= {percent} * (n_a + n_b)"
-    cross = a.join(b, "w").where(f"rid_a < rid_b AND comp_a <> comp_b AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) AND {bound}")
-    add(storage.checkpointed(cross.select(F.col("rid_a").alias("a"), F.col("rid_b").alias("b"), F.col("n_a").alias("na"), F.col("n_b").alias("nb")).distinct()))
-    # from classes back to rows
-    named = storage.checkpointed(classes.join(labels().withColumnRenamed("rid", "class"), "class").select(*same, "comp"))
-    placed = storage.checkpointed(rows.join(named, same, "left").select("doc_id", "text_hash", "n_shingles", F.when(F.col("kept"), F.col("comp")).alias("comp")))
-    least = storage.checkpointed(placed.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id")))
+    prefix = texts.select("rid", "n", (F.col("n") - shared).alias("alone"), F.posexplode("prefix").alias("i", "w"), F.col("rid").alias("comp"))
+    prefix = prefix.select("w", "rid", "n", (F.col("n") - F.col("alone") - F.col("i")).alias("rest"), "comp")  # rest: shingles from this one on
+    sketch = texts.select(F.posexplode("sketch").alias("i", "h"), "rid", "n", F.col("rid").alias("comp")).select(F.xxhash64("i", "h").alias("w"), "rid", "n", "comp")
+    moves = [merged(star(sketch.unionByName(prefix.drop("rest")), F.col("rid")))]
+    rows = mixed(relabelled(prefix, moves[0]))
+    for pairs in (lambda rows: star(rows, F.xxhash64("rid")), across):
+        if rows.isEmpty():
+            break
+        moves.append(merged(pairs(rows)))
+        rows = mixed(relabelled(rows, moves[-1])) if pairs is not across else rows
+    named = classes.withColumn("comp", F.col("class"))
+    for move in moves:
+        named = relabelled(named, move)
+    placed = scratch.keep(profiles.select("doc_id", "text_hash", *same, "kept").join(named.drop("class"), same, "left").select("doc_id", "text_hash", "n_shingles", F.when(F.col("kept"), F.col("comp")).alias("comp")))
+    least = placed.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     return storage.checkpointed(placed.join(least, "comp", "left").select("doc_id", "text_hash", "n_shingles", "comp", F.coalesce("component_id", "doc_id").alias("component_id")))

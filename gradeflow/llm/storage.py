@@ -8,6 +8,8 @@ again writes the same name with the same content.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -50,6 +52,35 @@ def written(df: DataFrame, label: str, parts: list[str] | None = None) -> tuple[
     return spark.read.schema(df.schema).parquet(uri), uri
 
 
+def until_exit(uri: str) -> None:
+    """Has a folder that a result still to be computed reads removed when the driver ends."""
+
+    def gone() -> None:
+        with contextlib.suppress(OSError):
+            remove(uri)
+
+    atexit.register(gone)
+
+
+class Scratch:
+    """Parquet tables of the steps of one operator, in one folder below the shared one, removed together at the end."""
+
+    def __init__(self, spark: SparkSession, label: str) -> None:
+        self.spark, self.uri, self.number = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}", 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """The frame, written and read again: later steps plan a scan, not what came before."""
+        self.number += 1
+        df.write.option("compression", "zstd").parquet(f"{self.uri}/{self.number}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.uri}/{self.number}")
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        remove(self.uri)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """A reliable checkpoint; Spark removes its files once nothing refers to the frame."""
     shared_dir(df.sparkSession)
