@@ -11,12 +11,12 @@ The likeness of two fingerprints is the Jaccard coefficient of their sets of has
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from . import storage
 from .textscan import mix
@@ -102,80 +102,77 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - cut] + following[:cut]
 
 
-_COLUMNS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-#: Between the stages: instead of the edited fingerprint, how many hashes of the first begin it, and the rest.
-_STORED = _COLUMNS.replace("edited_fingerprint string", "shared int, rest string")
-_EDGES = "part int, last boolean"
+_COLUMNS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, positions array<int>"
+_KEY = "missing boolean, rev long, h long"
 
 
 def compare_with_next(docs: DataFrame, edit: Callable[[str, str], str] = edited, k: int = K, window: int = WINDOW) -> DataFrame:
     """Each row's fingerprint against that of its edited text and of the next row, in descending doc_id, after the last the first.
 
-    Rows are sorted by ranges of ids, so that all neighbours but those across a range's end meet in one task;
-    the texts at the ends (two a range) are joined by themselves. Null ids come last; rows with the same id are
-    in order of a hash of the text, then of the text. A single row is its own next.
+    positions are the code points at which the fingerprint's hashes begin, so that hashes met in another text can be
+    placed. Null ids come last; rows with the same id are in order of a hash of the text, then of the text. A single row
+    is its own next; extra columns are ignored.
+
+    Rows are dealt once, to ranges of ids whose first keys a range partitioning of the ids alone has found (a key of
+    24 bytes a range comes to the driver). The text of each range's first row lies in a file of the shared folder,
+    where the range before it reads what follows its last row.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
+    docs = docs.select("doc_id", "text", F.col("doc_id").isNull().alias("missing"), F.coalesce(F.bitwise_not("doc_id"), F.lit(0)).alias("rev"), F.xxhash64("text").alias("h"))
+    key = F.struct("missing", "rev", "h")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ends = storage.new_dir(spark, "ends")
+    ranges = docs.select("missing", "rev", "h").repartitionByRange(parts, "missing", "rev", "h")
+    found = sorted(tuple(r.first) for r in ranges.groupBy(F.spark_partition_id()).agg(F.min(key).alias("first")).select("first").collect())
+    if not found:
+        return spark.createDataFrame([], _COLUMNS)
+    bounds = F.from_json(F.lit(json.dumps([dict(zip(("missing", "rev", "h"), b, strict=True)) for b in found])), "array<struct<missing:boolean,rev:bigint,h:bigint>>")
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(len(found).bit_length()))))
+    part = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(key >= F.get(bounds, at + step), step).otherwise(0))  # binary search
+    heads = storage.new_dir(spark, "heads")
+    storage.until_exit(heads)
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, text in zip(batch.column("part").to_pylist(), batch.column("text"), strict=True):
+                storage.put_file(f"{heads}/{number}", text.as_py().encode())
+            yield batch.select(["part"])
 
-    def result(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
-        fields = [c.split() for c in _STORED.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
+    firsts = spark.createDataFrame([(i, *b) for i, b in enumerate(found)], f"part int, {_KEY}")
+    firsts = docs.join(F.broadcast(firsts), ["missing", "rev", "h"]).groupBy("part").agg(F.min("text").alias("text"))  # a row a range
+    firsts.mapInArrow(store, "part int").agg(F.count("*")).collect()
 
-    def compared(doc_id: int | None, text: str, own: np.ndarray, following: str, other: np.ndarray) -> tuple:
-        new = edit(text, following)
-        changed = own if new == text else winnow(code_points(new), k, window)[0]
-        n = min(len(own), len(changed))
-        shared = int(np.append(own[:n] == changed[:n], False).argmin())
-        return doc_id, len(text), hashlib.sha256(new.encode()).hexdigest(), as_string(own), shared, as_string(changed[shared:]), likeness(own, changed), likeness(own, other)
+    def result(rows: list[tuple]) -> pa.RecordBatch:
+        *plain, kept = zip(*rows, strict=True)
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+        places = pa.ListArray.from_arrays(np.cumsum([0, *map(len, kept)]).astype(np.int32), np.concatenate(kept).astype(np.int32))
+        return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(plain, kinds, strict=True)), places], names=[c.split()[0] for c in _COLUMNS.split(", ")])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, first, out, size = None, None, [], 0
+        before, out, size, part = None, [], 0, 0
+
+        def compared(following: str, other: np.ndarray) -> tuple:
+            doc_id, text, (own, places) = before
+            new = edit(text, following)
+            changed = own if new == text else winnow(code_points(new), k, window)[0]
+            return doc_id, len(text), hashlib.sha256(new.encode()).hexdigest(), as_string(own), as_string(changed), likeness(own, changed), likeness(own, other), places
+
         for batch in batches:
+            part = batch.column("part")[0].as_py() if batch.num_rows else part
             for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
                 doc_id, text = doc_id.as_py(), text.as_py()
-                own = winnow(code_points(text), k, window)[0]
-                if before is None:
-                    first = (doc_id, text)
-                else:
-                    out.append(compared(*before, text, own))
+                kept = winnow(code_points(text), k, window)
+                if before is not None:
+                    out.append(compared(text, kept[0]))
                     size += len(text)
                     if size > 1 << 20:
                         yield result(out)
                         out, size = [], 0
-                before = (doc_id, text, own)
-        if out:
+                before = (doc_id, text, kept)
+        if before is not None:
+            following = storage.get_file(f"{heads}/{(part + 1) % len(found)}").decode()
+            out.append(compared(following, winnow(code_points(following), k, window)[0]))
             yield result(out)
-        if before is not None:  # what lies at the range's ends is compared afterwards
-            table = pa.table({"doc_id": pa.array([first[0], before[0]], pa.int64()), "text": [first[1], before[1]]})
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema) as stream:
-                stream.write_table(table)
-            storage.put_file(f"{ends}/{TaskContext.get().partitionId():08d}.ends", sink.getvalue().to_pybytes())
-
-    def load(uri: str) -> list[tuple]:
-        table = pa.ipc.open_stream(storage.get_file(uri)).read_all()
-        return list(zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), strict=True))
-
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for here, there in zip(batch.column("here").to_pylist(), batch.column("there").to_pylist(), strict=True):
-                (doc_id, text), (_, following) = load(here)[1], load(there)[0]
-                own, other = (winnow(code_points(t), k, window)[0] for t in (text, following))
-                yield result([compared(doc_id, text, own, following, other)])
-
-    def whole(stored: DataFrame) -> DataFrame:
-        changed = F.concat(F.substring("fingerprint", F.lit(1), F.col("shared") * 8), F.col("rest"))
-        return stored.withColumn("edited_fingerprint", changed).select(*(c.split()[0] for c in _COLUMNS.split(", ")))
-
-    placed = docs.repartitionByRange(parts, *order).sortWithinPartitions(*order, "text")
-    inner, uri = storage.written(placed.mapInArrow(scan, _STORED), "winnowed")
-    files = [name for name, _ in storage.list_files(ends, ".ends")]
-    if not files:
-        return whole(inner)
-    pairs = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(files, [*files[1:], files[0]], strict=True))], "number int, here string, there string")
-    return whole(inner.unionByName(pairs.repartitionById(min(len(files), parts), F.col("number") % min(len(files), parts)).mapInArrow(across, _STORED)))
+
+    placed = docs.withColumn("part", part).repartitionById(len(found), "part").sortWithinPartitions("missing", "rev", "h", "text")
+    return placed.select("part", "doc_id", "text").mapInArrow(scan, _COLUMNS)
