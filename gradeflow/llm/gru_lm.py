@@ -24,6 +24,7 @@ Null and empty texts are one end token. The sums are in double precision; weight
 
 from __future__ import annotations
 
+import heapq
 import io
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -40,12 +41,18 @@ FREQUENT_CLASSES = 32
 RARE_CLASSES = 48
 STEPS = 32
 ROUNDS = 2
-#: Documents that a training step advances at once.
-BATCH = 24
+#: Lanes of documents that a training step advances at once.
+BATCH = 128
 RATE = 0.01
-#: Tokens that scoring gathers before it runs them in step.
+#: Tokens that a task gathers before it runs their documents side by side.
 POOL_TOKENS = 1_500_000
+#: Documents of more tokens train as several sequences, each from state 0; in scoring they are gathered by themselves.
+LONG = 2048
 SLICES = 16
+#: Tokens whose class probabilities are computed at once: what fits a core's cache.
+BLOCK = 2048
+#: Bound of the output weights. The state lies in -1..1, so logits stay within HIDDEN * LIMIT of their biases.
+LIMIT = np.float32(4)
 _U = np.uint64
 _CLASS_MASK = _U(0xFF)
 #: The end token's key: its class is beyond those of words.
@@ -89,8 +96,9 @@ class Vocabulary:
         return FREQUENT_CLASSES + RARE_CLASSES + 1
 
     @property
-    def width(self) -> int:
-        return int(self.place.max()) + 1 if len(self.place) else 1
+    def starts(self) -> np.ndarray:
+        """Where each frequent class's words begin among the columns of the second factor."""
+        return np.r_[0, np.cumsum(np.bincount(self.klass, minlength=FREQUENT_CLASSES))]
 
     def index(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of tokens: input row, class, and place in a frequent class (-1 for others). Inputs: frequent words, rare classes, end."""
@@ -141,145 +149,201 @@ def initial(v: Vocabulary) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(5)
     ends = max(0, v.tokens - int(v.counts.sum()) - int(v.rare_tokens.sum()))
     sums = np.concatenate([np.bincount(v.klass, v.counts, FREQUENT_CLASSES), v.rare_tokens + v.rare_distinct, [ends]]) + 1.0
-    inner = np.full((FREQUENT_CLASSES, v.width), -30.0)
-    inner[v.klass, v.place] = np.log(v.counts)
+    inner = np.zeros(len(v.keys))
+    inner[v.starts[v.klass] + v.place] = np.log(v.counts)
     h, rows = HIDDEN, len(v.keys) + RARE_CLASSES + 1
     out = {
-        "x": rng.normal(0, 0.3, (rows, 3 * h)), "u": rng.normal(0, 1 / np.sqrt(h), (h, 3 * h)),
-        "c": np.zeros((h, v.classes)), "cb": np.log(sums / sums.sum()),
-        "w": np.zeros((FREQUENT_CLASSES, h, v.width)), "wb": inner,
+        "x": rng.normal(0, 0.3, (3 * h, rows)), "u": rng.normal(0, 1 / np.sqrt(h), (3 * h, h)),
+        "c": np.zeros((v.classes, h)), "cb": np.log(sums / sums.sum()),
+        "w": np.zeros((len(v.keys), h)), "wb": inner,
     }
     return {k: a.astype(np.float32) for k, a in out.items()}
 
 
-def _sigmoid(a: np.ndarray) -> np.ndarray:
-    np.negative(a, out=a)
-    np.exp(a, out=a)
-    a += 1
-    return np.reciprocal(a, out=a)
-
-
-def _log_softmax(a: np.ndarray) -> np.ndarray:
-    a = a - a.max(1, keepdims=True)
-    return a - np.log(np.exp(a).sum(1, keepdims=True))
-
-
-def _advance(p: dict, state: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(new state, gates z and r, candidate, recurrent part of the candidate)."""
+def _advance(p: dict, state: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(new state, gates z and r, candidate, recurrent part of the candidate); a column an item, x the tokens' inputs."""
     h = HIDDEN
-    x, g = p["x"][rows], state @ p["u"]
-    zr = np.clip(x[:, : 2 * h] + g[:, : 2 * h], -20, 20)
-    zr = _sigmoid(zr)
-    n = np.tanh(x[:, 2 * h :] + zr[:, h:] * g[:, 2 * h :])
-    return n + zr[:, :h] * (state - n), zr, n, g[:, 2 * h :]
-
-
-def _by_class(klass: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    g = p["u"] @ state
+    zr = x[: 2 * h] + g[: 2 * h]
+    np.negative(zr, out=zr)
+    with np.errstate(over="ignore"):  # a gate is 0 there
+        np.exp(zr, out=zr)
+    zr += 1
+    np.reciprocal(zr, out=zr)
+    gn = g[2 * h :]
+    n = zr[h:] * gn
+    n += x[2 * h :]
+    np.tanh(n, out=n)
+    new = state - n
+    new *= zr[:h]
+    new += n
+    return new, zr, n, gn
+
+
+def _by_class(v: Vocabulary, klass: np.ndarray, place: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """The output rows of each frequent class that is met, and where it is."""
     frequent = np.flatnonzero(place >= 0)
-    order = frequent[np.argsort(klass[frequent], kind="stable")]
-    cuts = np.searchsorted(klass[order], np.arange(FREQUENT_CLASSES + 1))
+    order = frequent[np.argsort(klass[frequent].astype(np.uint8), kind="stable")]
+    cuts, starts = np.searchsorted(klass[order], np.arange(FREQUENT_CLASSES + 1)), v.starts
     for c in range(FREQUENT_CLASSES):
         if cuts[c] < cuts[c + 1]:
-            yield c, order[cuts[c] : cuts[c + 1]]
-
-
-def log_probs(p: dict, states: np.ndarray, klass: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Natural log of P(class) and, of frequent words, P(word | class), given the states before them."""
-    logits = states @ p["c"]
-    logits += p["cb"]
-    top = logits.max(1)
-    out = logits[np.arange(len(klass)), klass] - top
-    logits -= top[:, None]
-    np.exp(logits, out=logits)
-    out -= np.log(logits.sum(1))
-    for c, at in _by_class(klass, place):
-        inner = states[at] @ p["w"][c]
-        inner += p["wb"][c]
-        top = inner.max(1)
-        out[at] += inner[np.arange(len(at)), place[at]] - top - np.log(np.exp(inner - top[:, None]).sum(1))
+            yield slice(starts[c], starts[c + 1]), order[cuts[c] : cuts[c + 1]]
+
+
+def _exp_logits(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(exp of the logits, a column an item; the logits wanted). LIMIT keeps the logits where exp is finite."""
+    logits = weights @ states
+    logits += bias[:, None]
+    chosen = logits[wanted, np.arange(len(wanted))]
+    return np.exp(logits, out=logits), chosen
+
+
+def log_probs(p: dict, v: Vocabulary, states: np.ndarray, klass: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Natural log of P(class) and, of frequent words, P(word | class), given the states before them (a column each)."""
+    out = np.empty(len(klass), states.dtype)
+    for at in range(0, len(klass), BLOCK):
+        part = slice(at, at + BLOCK)
+        exps, chosen = _exp_logits(states[:, part], p["c"], p["cb"], klass[part])
+        out[part] = chosen - np.log(exps.sum(0))
+    for rows, at in _by_class(v, klass, place):
+        exps, chosen = _exp_logits(states[:, at], p["w"][rows], p["wb"][rows], place[at])
+        out[at] += chosen - np.log(exps.sum(0))
     return out
 
 
-def _gradients(p: dict, state: np.ndarray, rows: np.ndarray, klass: np.ndarray, place: np.ndarray, real: np.ndarray) -> tuple[dict, np.ndarray]:
-    """Of the mean log probability of a window (steps x documents), through the window's steps; and the state after it."""
-    steps, docs, h = *rows.shape, HIDDEN
-    kept, before = [], []
+def _gradients(p: dict, v: Vocabulary, state: np.ndarray, rows: np.ndarray, klass: np.ndarray, place: np.ndarray, real: np.ndarray, fresh: np.ndarray) -> tuple[dict, np.ndarray]:
+    """Of the mean log probability of a window (steps x lanes), through the window's steps; and the state after it.
+
+    A lane holds documents one after the other; where one begins (fresh) the state is 0.
+    """
+    (steps, lanes), h = rows.shape, HIDDEN
+    kept, before, whole = [], [], bool(real.all())
+    inputs = np.take(p["x"], rows.ravel(), axis=1, mode="clip")
+    old, begins_at = ~fresh, fresh.any(1)
     for t in range(steps):
+        if begins_at[t]:
+            state = state * old[t]
         before.append(state)
-        new, zr, n, gn = _advance(p, state, rows[t])
+        new, zr, n, gn = _advance(p, state, inputs[:, t * lanes : (t + 1) * lanes])
         kept.append((zr, n, gn))
-        state = np.where(real[t][:, None], new, state)
-    flat = np.concatenate(before)
+        state = new if whole else np.where(real[t], new, state)
+    flat = np.concatenate(before, 1)
     k, pl, ok = klass.ravel(), place.ravel(), real.ravel()
-    scale = np.float32(1 / max(1, ok.sum()))
-    probs = np.exp(_log_softmax(flat @ p["c"] + p["cb"]))
-    dc = -probs
-    dc[np.arange(len(k)), k] += 1
-    dc *= (ok * scale)[:, None].astype(np.float32)
-    g = {"c": flat.T @ dc, "cb": dc.sum(0), "w": np.zeros_like(p["w"]), "wb": np.zeros_like(p["wb"])}
-    back = dc @ p["c"].T
-    for c, at in _by_class(k, np.where(ok, pl, -1)):
-        d = -np.exp(_log_softmax(flat[at] @ p["w"][c] + p["wb"][c]))
-        d[np.arange(len(at)), pl[at]] += 1
-        d *= scale
-        g["w"][c], g["wb"][c] = flat[at].T @ d, d.sum(0)
-        back[at] += d @ p["w"][c].T
-    back = back.reshape(steps, docs, h)
-    dstate = np.zeros((docs, h), np.float32)
-    dx, du = np.zeros((steps, docs, 3 * h), np.float32), np.zeros_like(p["u"])
+    scale = state.dtype.type(1 / max(1, ok.sum()))
+    dc, _ = _exp_logits(flat, p["c"], p["cb"], k)
+    dc *= (np.where(ok, -scale, 0) / dc.sum(0)).astype(state.dtype)
+    dc[k, np.arange(len(k))] += np.where(ok, scale, 0)
+    g = {"c": dc @ flat.T, "cb": dc.sum(1), "w": np.zeros_like(p["w"]), "wb": np.zeros_like(p["wb"])}
+    back = p["c"].T @ dc
+    for out, at in _by_class(v, k, np.where(ok, pl, -1)):
+        some = flat[:, at]
+        d, _ = _exp_logits(some, p["w"][out], p["wb"][out], pl[at])
+        d *= -scale / d.sum(0)
+        d[pl[at], np.arange(len(at))] += scale
+        g["w"][out], g["wb"][out] = d @ some.T, d.sum(1)
+        back[:, at] += p["w"][out].T @ d
+    dstate = np.zeros((h, lanes), state.dtype)
+    dx, du, back_through = np.empty((3 * h, len(k)), state.dtype), np.zeros_like(p["u"]), np.ascontiguousarray(p["u"].T)
     for t in range(steps - 1, -1, -1):
-        on = real[t][:, None]
         (zr, n, gn), prior = kept[t], before[t]
-        z, r = zr[:, :h], zr[:, h:]
-        d = np.where(on, dstate, 0)
-        dn = d * (1 - z) * (1 - n * n)
-        dz = d * (prior - n) * z * (1 - z)
-        dr = dn * gn * r * (1 - r)
-        dx[t] = np.concatenate([dz, dr, dn], 1)
-        dg = np.concatenate([dz, dr, dn * r], 1)
-        du += prior.T @ dg
-        dstate = np.where(on, d * z + dg @ p["u"].T, dstate) + back[t]
-    order = np.argsort(rows.ravel(), kind="stable")
+        z, r = zr[:h], zr[h:]
+        d = dstate if whole else np.where(real[t], dstate, 0)
+        dz = d * z
+        dn = d - dz
+        dn *= 1 - n * n
+        dg = np.empty((3 * h, lanes), state.dtype)
+        np.multiply(dn, r, out=dg[2 * h :])
+        np.multiply(dg[2 * h :], gn, out=dg[h : 2 * h])
+        dg[h : 2 * h] *= 1 - r
+        np.subtract(prior, n, out=dg[:h])
+        dg[:h] *= dz
+        dg[:h] *= 1 - z
+        own = slice(t * lanes, (t + 1) * lanes)
+        dx[: 2 * h, own], dx[2 * h :, own] = dg[: 2 * h], dn
+        du += dg @ prior.T
+        through = back_through @ dg
+        through += dz
+        dstate = (through if whole else np.where(real[t], through, dstate)) + back[:, own]
+        if begins_at[t]:
+            dstate *= old[t]
+    g["u"] = du
+    order = np.argsort(rows.ravel().astype(np.uint16), kind="stable")  # a radix sort
     sorted_rows = rows.ravel()[order]
     begins = np.flatnonzero(np.r_[True, sorted_rows[1:] != sorted_rows[:-1]])
     g["x"] = np.zeros_like(p["x"])
-    g["x"][sorted_rows[begins]] = np.add.reduceat(dx.reshape(-1, 3 * h)[order], begins)
-    g["u"] = du
+    g["x"][:, sorted_rows[begins]] = np.add.reduceat(np.take(dx, order, axis=1, mode="clip"), begins, axis=1)
     return g, state
 
 
+def _in_lanes(lengths: np.ndarray, lanes: int, seed: int) -> list[list[int]]:
+    """Documents dealt to lanes of about equal length, the longest lane first; in a lane they stand in random order."""
+    loads, held = [(0, i) for i in range(lanes)], [[] for _ in range(lanes)]
+    for i in np.argsort(-lengths, kind="stable"):
+        load, lane = loads[0]
+        held[lane].append(int(i))
+        heapq.heapreplace(loads, (load + int(lengths[i]), lane))
+    rng = np.random.default_rng(seed)
+    return [rng.permutation(held[lane]).tolist() for _, lane in sorted(loads, key=lambda x: -x[0])]
+
+
+def _windows(v: Vocabulary, docs: list[np.ndarray], seed: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(rows, class, place, real, fresh), steps x lanes, of successive windows over whole documents in lanes."""
+    lengths = np.array([len(d) for d in docs])
+    begins = np.r_[0, np.cumsum(lengths)]
+    lanes = _in_lanes(lengths, min(BATCH, len(docs)), seed)
+    loads = np.array([lengths[lane].sum() for lane in lanes])
+    at, fresh = np.full((loads[0], len(lanes)), begins[-1]), np.zeros((loads[0], len(lanes)), bool)
+    for i, lane in enumerate(lanes):
+        at[: loads[i], i] = np.concatenate([np.arange(begins[d], begins[d + 1]) for d in lane])
+        fresh[np.r_[0, np.cumsum(lengths[lane])[:-1]], i] = True
+    index = [np.append(a, 0) for a in v.index(np.concatenate(docs))]
+    for t in range(0, int(loads[0]), STEPS):
+        n = int(np.searchsorted(-loads, -t))  # lanes that go on
+        window = at[t : t + STEPS, :n]
+        yield *(a[window] for a in index), window < begins[-1], fresh[t : t + STEPS, :n]
+
+
+def _pools(docs: Iterator[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """Documents, the longer ones cut into sequences of at most LONG tokens, in lists of about POOL_TOKENS."""
+    pool, size = [], 0
+    for doc in docs:
+        pool += np.split(doc, range(LONG, len(doc), LONG))
+        size += len(doc)
+        if size >= POOL_TOKENS:
+            yield pool
+            pool, size = [], 0
+    if pool:
+        yield pool
+
+
 def train_documents(p: dict, v: Vocabulary, docs: Iterator[np.ndarray], rate: float = RATE) -> tuple[dict, int]:
-    """Adam over windows of BATCH documents at a time, each as long as it is; (weights, tokens trained)."""
+    """Adam over windows of STEPS tokens of BATCH lanes of whole documents; (weights, tokens trained)."""
     p = {k: a.copy() for k, a in p.items()}
     first, second = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
-    queue, tokens, step = iter(docs), 0, 0
-    lanes: list[np.ndarray] = [np.zeros(0, np.uint64)] * BATCH
-    state = np.zeros((BATCH, HIDDEN), np.float32)
-    while True:
-        for i in range(len(lanes)):  # a lane takes its next document once the last has been read to its end
-            if not len(lanes[i]) and (new := next(queue, None)) is not None:
-                lanes[i], state[i] = new, 0
-        longest = min(STEPS, max(len(x) for x in lanes))
-        if not longest:
-            break
-        if not all(map(len, lanes)):  # no more documents: go on with those not read to their end
-            on = [i for i, lane in enumerate(lanes) if len(lane)]
-            lanes, state = [lanes[i] for i in on], state[on]
-        keys, real = np.zeros((longest, len(lanes)), np.uint64), np.zeros((longest, len(lanes)), bool)
-        for i, lane in enumerate(lanes):
-            n = min(longest, len(lane))
-            keys[:n, i], real[:n, i] = lane[:n], True
-            lanes[i] = lane[n:]
-        rows, klass, place = (a.reshape(keys.shape) for a in v.index(keys.ravel()))
-        grads, state = _gradients(p, state, rows, klass, place, real)
-        step += 1
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-        for k, g in grads.items():
-            g *= np.float32(min(1, 1 / (norm + 1e-9)))
-            first[k] += 0.1 * (g - first[k])
-            second[k] += 0.01 * (g * g - second[k])
-            p[k] += np.float32(rate / (1 - 0.9**step)) * first[k] / (np.sqrt(second[k] / np.float32(1 - 0.99**step)) + np.float32(1e-6))
-        tokens += int(real.sum())
+    tokens, step = 0, 0
+    for number, pool in enumerate(_pools(docs)):
+        state = np.zeros((HIDDEN, BATCH), np.float32)
+        for window in _windows(v, pool, number):
+            grads, state = _gradients(p, v, state[:, : window[0].shape[1]], *window)
+            step += 1
+            norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values()))
+            for k, g in grads.items():
+                g *= np.float32(min(1, 1 / (norm + 1e-9)))
+                first[k] *= np.float32(0.9)
+                first[k] += np.float32(0.1) * g
+                second[k] *= np.float32(0.99)
+                g *= g
+                g *= np.float32(0.01)
+                second[k] += g
+                np.multiply(second[k], np.float32(1 / (1 - 0.99**step)), out=g)
+                np.sqrt(g, out=g)
+                g += np.float32(1e-6)
+                np.divide(first[k], g, out=g)
+                g *= np.float32(rate / (1 - 0.9**step))
+                p[k] += g
+            for k in ("c", "w"):
+                np.clip(p[k], -LIMIT, LIMIT, out=p[k])
+            tokens += int(window[3].sum())
     return p, tokens
 
 
@@ -347,22 +411,22 @@ def score_pool(p: dict, v: Vocabulary, keys: np.ndarray, begins: np.ndarray, rar
     lengths, begins = lengths[order], begins[:-1][order]
     rows, klass, place = v.index(keys)
     out = np.bincount(np.repeat(np.arange(len(order)), np.diff(starts)), rare, len(order))[order]
-    state = np.zeros((len(order), HIDDEN), np.float32)
-    for at in range(0, int(lengths[0]) if len(lengths) else 0, STEPS):
-        active = int(np.searchsorted(-lengths, -at, "left"))
-        state = state[:active]
-        states, tokens, docs = [], [], []
-        for t in range(at, min(at + STEPS, int(lengths[0]))):
-            n = int(np.searchsorted(-lengths, -t, "left"))
-            token = begins[:n] + t
-            states.append(state[:n])
+    state = np.zeros((HIDDEN, len(order)), np.float32)
+    going = np.searchsorted(-lengths, -np.arange(int(lengths[0]) if len(lengths) else 0), "left")  # documents that have a token t
+    for at in range(0, len(going), STEPS):
+        active = int(going[at])
+        state = state[:, :active]
+        states, tokens = [], []
+        for n in going[at : at + STEPS].tolist():
+            token = begins[:n] + at + len(tokens)
+            prior = state[:, :n]
+            states.append(prior)
             tokens.append(token)
-            docs.append(np.arange(n))
-            new = _advance(p, state[:n], rows[token])[0]
-            state = new if n == len(state) else np.concatenate([new, state[n:]])
+            new = _advance(p, prior, np.take(p["x"], rows[token], axis=1, mode="clip"))[0]
+            state = new if n == state.shape[1] else np.concatenate([new, state[:, n:]], 1)
         token = np.concatenate(tokens)
-        logs = log_probs(p, np.concatenate(states), klass[token], place[token])
-        out[:active] += np.bincount(np.concatenate(docs), logs, active)
+        logs = log_probs(p, v, np.concatenate(states, 1), klass[token], place[token])
+        out[:active] += np.bincount(np.concatenate([np.arange(len(x)) for x in tokens]), logs, active)
     result = np.zeros(len(order))
     result[order] = out / np.log(10)
     return result
@@ -392,10 +456,10 @@ def score(docs: DataFrame, held_out) -> DataFrame:
         check = vertical.Checksum()
         room = np.log(words.rare_tokens + words.rare_distinct + 1.0)
         whole = np.log10(words.tokens + words.distinct + 1.0)
-        pool: list[tuple] = []
-        size = 0
+        pools: dict[bool, list[tuple]] = {False: [], True: []}  # long documents wait for others to advance with
+        sizes = {False: 0, True: 0}
 
-        def flush() -> pa.RecordBatch:
+        def flush(pool: list[tuple]) -> pa.RecordBatch:
             ids = pa.concat_arrays([x for x, *_ in pool])
             out = np.concatenate([x for _, x, *_ in pool])
             keys = np.concatenate([x for _, _, x, _ in pool])
@@ -417,14 +481,17 @@ def score(docs: DataFrame, held_out) -> DataFrame:
             out = np.asarray(batch.column("held_out"))
             for row, end, keys, begins in _tokens(batch.column("text")):
                 lengths = np.diff(begins) + 1
-                pool.append((batch.column("doc_id").slice(row, end - row), out[row:end], np.insert(keys, begins[1:], END_KEY), lengths))
-                size += int(lengths.sum())
-                if size >= POOL_TOKENS:
-                    yield flush()
-                    pool.clear()
-                    size = 0
-        if pool:
-            yield flush()
+                keys = np.insert(keys, begins[1:], END_KEY)
+                for long, kind in ((x, lengths > LONG if x else lengths <= LONG) for x in (False, True)):
+                    if kind.any():
+                        pools[long].append((batch.column("doc_id").slice(row, end - row).filter(pa.array(kind)), out[row:end][kind], keys[np.repeat(kind, lengths)], lengths[kind]))
+                        sizes[long] += int(lengths[kind].sum())
+                    if sizes[long] >= POOL_TOKENS:
+                        yield flush(pools[long])
+                        pools[long], sizes[long] = [], 0
+        for pool in pools.values():
+            if pool:
+                yield flush(pool)
         vertical.verify(check, expected)
 
     out = storage.checkpointed(docs.mapInArrow(run, fields))  # a few numbers a document
