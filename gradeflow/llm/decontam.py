@@ -21,7 +21,8 @@ about one pair in 100,000 at the very threshold and fewer above.
 
 Words are maximal runs of characters other than 0x20 and 0x09-0x0D, in lower case. An item of fewer than
 five words is one shingle of all its words, and is held where these words follow one another. Items and
-documents that are null or without words hold nothing. Items with equal ids count each by itself.
+documents that are null or without words hold nothing. Items with equal ids count each by itself, and so do
+documents with equal or null ids: text_hash (that of `rows.text_hash`) tells which row was found. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import storage
+from .rows import text_hash
 
 WORDS = 5
 PERCENT = 75
@@ -88,8 +90,8 @@ def items_of(benchmark: DataFrame) -> DataFrame:
 
 
 def find(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, item_id, start_word, n_words, similarity, distance): of each row and item it holds, the likest window, the first among equals."""
-    schema = "doc_id long, item_id long, start_word long, n_words long, similarity double, distance int"
+    """(doc_id, text_hash, item_id, start_word, n_words, similarity, distance): of each row and item it holds, the likest window, the first among equals."""
+    schema = "doc_id long, text_hash long, item_id long, start_word long, n_words long, similarity double, distance int"
     items = storage.checkpointed(items_of(benchmark).withColumn("need", _needed(F.col("m"), percent)).withColumn("print", simhash(F.col("shingles"))))
     sizes = items.groupBy("size").agg(F.min("need").alias("need"), F.sum("m").alias("rows"), F.min("m").alias("least"), F.max("m").alias("most")).collect()  # at most WORDS rows
     if not sizes:
@@ -101,10 +103,10 @@ def find(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, radius:
     # Spark copies what a filter tests into the filter itself, here a text's words into each of its shingles,
     # unless a projection has a column that must not be computed twice
     apart = F.monotonically_increasing_id
-    rows = docs.select(apart().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), _words("text").alias("words"))
+    rows = docs.select(apart().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), _words("text").alias("words"))
     found, kept = None, []
     for r in sizes:
-        own = rows.select("rid", "doc_id", F.lit(r["size"]).alias("size"), _shingles("words", r["size"]).alias("hashes"), apart().alias("mark"))
+        own = rows.select("rid", "doc_id", "text_hash", F.lit(r["size"]).alias("size"), _shingles("words", r["size"]).alias("hashes"), apart().alias("mark"))
         wanted = [x.h for x in grams.where(F.col("size") == r["size"]).select("h").distinct().limit(MAX_IN_PLAN + 1).collect()]  # bounded
         inside = f"h IN ({', '.join(f'{h}L' for h in wanted)})" if len(wanted) <= MAX_IN_PLAN else "true"
         at = F.expr(f"filter(transform(hashes, (h, i) -> if({inside}, i, null)), i -> i IS NOT NULL)")
@@ -124,8 +126,8 @@ def find(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, radius:
     starts = F.when(F.col("n") < F.col("m"), F.array(F.lit(0))).otherwise(starts)
     anchored = storage.checkpointed(near.select("rid", "size", "m", "item", F.explode(starts).alias("start")))
     windows = anchored.select("rid", "size", "m", "start").distinct()
-    met = windows.join(found.select("rid", "size", "doc_id", "hashes"), ["rid", "size"]).where("start + least(m, size(hashes)) <= size(hashes)")
-    met = met.select("rid", "doc_id", "size", "m", "start", F.expr("slice(hashes, start + 1, m)").alias("window"))
+    met = windows.join(found.select("rid", "size", "doc_id", "text_hash", "hashes"), ["rid", "size"]).where("start + least(m, size(hashes)) <= size(hashes)")
+    met = met.select("rid", "doc_id", "text_hash", "size", "m", "start", F.expr("slice(hashes, start + 1, m)").alias("window"))
     met, uri = storage.written(met.withColumn("print", simhash(F.col("window"))), "windows")  # so that no fingerprint is computed twice
     kept.append(uri)
     formed = met
@@ -145,8 +147,8 @@ def find(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, radius:
     kept.append(uri)
     common = F.expr("aggregate(counted, 0, (a, c) -> a + least(c.n, size(filter(window, x -> x = c.h))))")
     met = met.withColumn("common", common).where(f"100 * common >= {percent} * (m + size(window) - common)")
-    best = met.groupBy("rid", "item").agg(F.max(F.struct("common", (-F.col("start")).alias("back"), "doc_id", "item_id", "m", F.size("window").alias("n"), "size", "distance")).alias("b"))
-    out = best.select("b.doc_id", "b.item_id", (-F.col("b.back")).cast("long").alias("start_word"), (F.col("b.n") + F.col("b.size") - 1).cast("long").alias("n_words"), F.expr("b.common / cast(b.m + b.n - b.common AS double)").alias("similarity"), "b.distance")
+    best = met.groupBy("rid", "item").agg(F.max(F.struct("common", (-F.col("start")).alias("back"), "doc_id", "text_hash", "item_id", "m", F.size("window").alias("n"), "size", "distance")).alias("b"))
+    out = best.select("b.doc_id", "b.text_hash", "b.item_id", (-F.col("b.back")).cast("long").alias("start_word"), (F.col("b.n") + F.col("b.size") - 1).cast("long").alias("n_words"), F.expr("b.common / cast(b.m + b.n - b.common AS double)").alias("similarity"), "b.distance")
     out = storage.checkpointed(out)
     for uri in kept:
         storage.remove(uri)

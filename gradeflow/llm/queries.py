@@ -71,7 +71,7 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontam.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
 def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Model:
@@ -82,8 +82,9 @@ def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicit
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    scored = toxicity.score(docs.select("doc_id", "text"), toxicity_model(spark, sf_dir, docs))
-    return scored.select("doc_id", (F.pmod(toxicity.crc_of_id(), F.lit(4)) == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+    scored = toxicity.score(docs.select("doc_id", "text"), toxicity_model(spark, sf_dir, docs), worst=True)
+    held, predicted = F.pmod(toxicity.crc_of_id(), F.lit(4)) == 2, (F.col("score") >= toxicity.THRESHOLD).cast("int")
+    return scored.select("doc_id", held.alias("held_out"), "score", predicted.alias("predicted"), "worst_sentence", "worst_score", "worst_start", "worst_end")
 
 
 def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,12 +7,13 @@ that best explain it. The same weights then score every sentence, and so locate
 
 Words are maximal runs of ASCII letters (lower-cased) and bytes of other scripts; they and their first few
 bytes (for inflected and compound forms) are hashed to 2**BITS weights. Sentences end at . ! ? or a line break. The model is fitted on at most MAX_LABELLED labelled
-documents, those with the least hash of id and text; with fewer, on all. The driver holds their hashed
-words only.
+documents, those with the least hash of the id; with fewer, on all. One task holds their hashed words and trains;
+the driver gets the weights only.
 
 Null and empty texts have no sentence; they score the share of label 1 among such documents in training, or
 the overall share where training had none. Rows without a usable label (null, or several labels for an id that
-disagree) do not train.
+disagree) do not train. Rows with the same id or text are scored each by itself, and all rows of a labelled id train.
+Columns of other names pass through untouched.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ _STOP[[ord(c) for c in ".!?\n"]] = True
 
 
 def _sentences(column: pa.Array) -> Iterator[tuple]:
-    """Of pieces of a column: first row, end row, bytes, starts and ends of words, hashed features, the sentence of each feature and of each word, and the row of each sentence."""
+    """Of pieces of a column: first row, end row, bytes, offsets of texts, starts and ends of words, hashed features, the sentence of each feature and of each word, and the row of each sentence."""
     for row, end, data, offsets in textscan.chunks(column):
         starts, ends, begins = textscan.word_bounds(data, offsets, _APART)
         long = [np.flatnonzero(ends - starts > n) for n in STEMS]
@@ -54,7 +55,7 @@ def _sentences(column: pa.Array) -> Iterator[tuple]:
         fresh[1:] = (stops[1:] != stops[:-1]) | (doc[1:] != doc[:-1])
         sentence = np.cumsum(fresh) - 1
         features = np.concatenate([textscan.mix(h) >> np.uint64(64 - BITS) for h in hashes]).astype(np.int64)
-        yield row, end, data, starts, ends, features, np.concatenate([sentence, *(sentence[at] for at in long)]), sentence, doc[np.flatnonzero(fresh)]
+        yield row, end, data, offsets, starts, ends, features, np.concatenate([sentence, *(sentence[at] for at in long)]), sentence, doc[np.flatnonzero(fresh)]
 
 
 @dataclass(frozen=True)
@@ -129,20 +130,30 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, passes:
             own = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
             at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
             batch = batch.filter(pa.array((ids[at] == own) & np.asarray(batch.column("doc_id").is_valid())))
-            for row, end, _, _, _, words, sentence, _, rows in _sentences(batch.column("text")):
+            for row, end, _, _, _, _, words, sentence, _, rows in _sentences(batch.column("text")):
                 keys = np.unique(sentence << BITS | words)  # words of a sentence count once
                 sentence, words = keys >> BITS, (keys & ((1 << BITS) - 1)).astype(np.int32)
                 cuts = np.searchsorted(rows[sentence], np.arange(end - row + 1))
                 out = [(words[a:b].tobytes(), (sentence[a:b] - sentence[a] if b > a else sentence[:0]).astype(np.int32).tobytes()) for a, b in zip(cuts, cuts[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, end - row), pa.array([w for w, _ in out], pa.binary()), pa.array([s for _, s in out], pa.binary())], names=["doc_id", "words", "sentences"])
 
+    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = sorted((i, w, n) for batch in batches for i, w, n in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        bags, marks = [], np.array([wanted[i] for i, _, _ in held])
+        for k, (_, w, n) in enumerate(held):
+            words, sentence = np.frombuffer(w, np.int32), np.frombuffer(n, np.int32)
+            bags.append(np.split(words, np.flatnonzero(np.diff(sentence)) + 1) if len(words) else [])
+            held[k] = None
+        if bags:
+            model = fit(bags, marks, passes)
+            yield pa.RecordBatch.from_arrays([pa.array([model.weights.astype(np.float32).tobytes()]), pa.array([model.bias]), pa.array([model.empty])], names=["weights", "bias", "empty"])
+
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    bags, marks = [], []
-    for r in sorted(texts.mapInArrow(hashed, "doc_id long, words binary, sentences binary").toLocalIterator(), key=lambda r: (r.doc_id, bytes(r.words))):
-        words, sentence = np.frombuffer(r.words, np.int32), np.frombuffer(r.sentences, np.int32)
-        bags.append(np.split(words, np.flatnonzero(np.diff(sentence)) + 1) if len(words) else [])
-        marks.append(wanted[r.doc_id])
-    return fit(bags, np.array(marks), passes)
+    features = texts.mapInArrow(hashed, "doc_id long, words binary, sentences binary")
+    found = features.repartitionById(1, F.lit(0)).mapInArrow(trained, "weights binary, bias double, empty double").collect()  # at most one row
+    if not found:
+        return fit([], np.zeros(0))
+    return Model(np.frombuffer(found[0].weights, np.float32), found[0].bias, found[0].empty)
 
 
 def _distinct_words(words: np.ndarray, sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,16 +161,19 @@ def _distinct_words(words: np.ndarray, sentence: np.ndarray) -> tuple[np.ndarray
     return keys & ((1 << BITS) - 1), keys >> BITS
 
 
-def score(docs: DataFrame, model: Model, worst: bool = False) -> DataFrame:
-    """All columns of docs, and score (0 to 1); with `worst` also worst_sentence and worst_score, the sentence most to blame."""
+def score(docs: DataFrame, model: Model, worst: bool = False, name: str = "score") -> DataFrame:
+    """All columns of docs, and `name` (0 to 1); with `worst` also what locates the sentence most to blame, the first among equals.
+
+    worst_sentence is its text, worst_score its score, worst_start and worst_end the bytes of the text's UTF-8 from its first
+    word to its last (null without a sentence). Columns of docs with one of these names are replaced.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS weights: 8 MB, however many documents
-    column = "text"
-    fields = "row_text string, score double" + ", worst_sentence string, worst_score double" * worst
+    extra = [f"`{name}` double", *["worst_sentence string", "worst_score double", "worst_start long", "worst_end long"] * worst]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
         for batch in batches:
-            for row, end, data, starts, ends, words, sentence, of_word, rows in _sentences(batch.column(column)):
+            for row, end, data, offsets, starts, ends, words, sentence, of_word, rows in _sentences(batch.column("text")):
                 n = len(rows)
                 words_once, sentence_once = _distinct_words(words, sentence)
                 each = own.sentence_scores(words_once, sentence_once, n)
@@ -169,18 +183,17 @@ def score(docs: DataFrame, model: Model, worst: bool = False) -> DataFrame:
                     last = order[np.flatnonzero(np.r_[rows[order][1:] != rows[order][:-1], n > 0])] if n else order
                     begin, stop = np.searchsorted(of_word, last), np.searchsorted(of_word, last, "right")
                     texts = [None] * (end - row)
-                    scores: list = [None] * (end - row)
+                    scores, froms, tos = ([None] * (end - row) for _ in range(3))
                     for s, b, e in zip(last, begin, stop, strict=True):
                         texts[rows[s]] = data[starts[b] : ends[e - 1]].tobytes().decode("utf-8", "replace")
-                        scores[rows[s]] = float(each[s])
-                    out += [pa.array(texts, pa.string()), pa.array(scores, pa.float64())]
+                        scores[rows[s]], froms[rows[s]], tos[rows[s]] = float(each[s]), starts[b] - offsets[rows[s]], ends[e - 1] - offsets[rows[s]]
+                    out += [pa.array(texts, pa.string()), pa.array(scores, pa.float64()), pa.array(froms, pa.int64()), pa.array(tos, pa.int64())]
                 yield pa.RecordBatch.from_arrays(out, names=names)
 
-    extra = ["score", *["worst_sentence", "worst_score"] * worst]
-    kept = docs.drop(*extra)
+    kept = docs.drop(*(c.split()[0].strip("`") for c in extra))
     kept = kept.withColumn("text", F.col("text").cast("string"))
-    names = [*kept.columns, *extra]
-    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept.schema.fields) + fields.removeprefix("row_text string")
+    names = [*kept.columns, *(c.split()[0].strip("`") for c in extra)]
+    schema = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept.schema.fields), *extra])
     return kept.mapInArrow(scan, schema)
 
 
