@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("gradeflow.llm")
 import corpus_pipeline  # noqa: E402
@@ -51,19 +52,49 @@ def test_stages(spark, sf_dir):
         kept, docs = new, out
 
 
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def clashing(docs):
+    """With columns that have the names that operators use."""
+    return docs.withColumns({c: F.lit(f"own {c}") for c in ("score", "toxicity", "_key_doc_id", "_n", "_times", "_row", "times", "text_hash", "rid", "size", "target")})
+
+
 def test_stages_take_awkward_rows(spark, sf_dir):
     text = " ".join(f"w{i}" for i in range(40))
-    docs = spark.createDataFrame([(None, text, "en", "a", 1), (5, text, "en", "a", 1), (5, text, "en", "a", 1), (6, None, None, None, None), (7, "", "en", "b", 0), (8, text + " more", "en", "b", 1)], "doc_id long, text string, lang string, source string, n_chars long")
-    for name, stage in corpus_pipeline.STAGES[1:]:
-        out = stage(spark, docs, sf_dir).collect()
+    long = " ".join(f"x{i}" for i in range(30_000))
+    docs = [(None, text, "en", "a", 1), (5, text, "en", "a", 1), (5, text, "en", "a", 1), (6, None, None, None, None), (7, "", "en", "b", 0), (8, text + " more", "en", "b", 1), (9, long, "en", "c", 1)]
+    docs = clashing(spark.createDataFrame(docs, COLUMNS))
+    for name, stage in corpus_pipeline.STAGES:
+        result = stage(spark, docs, sf_dir)
+        out = result.collect()
+        if name == "toxicity":
+            assert len(out) == 7
         if name == "ngram_jaccard":
-            assert sorted((r.doc_id for r in out), key=repr) == [5, 6, 7]
+            assert sorted((r.doc_id for r in out), key=repr) == [5, 6, 7, 9]
         if name == "decontamination":
-            assert len(out) == 6
+            assert len(out) == 7
+        if name != "token_binary":
+            assert result.columns == docs.columns and {r.score for r in out} == {"own score"} and {r["_row"] for r in out} == {"own _row"}
         assert stage(spark, docs.limit(0), sf_dir).collect() == []
     assert decontam.WORDS == 5
 
 
+def test_decontamination_stage_goes_by_row(spark, sf_dir):
+    bad = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").first().text
+    docs = spark.createDataFrame([(None, bad), (1, bad), (1, "clean words only"), (2, "other clean words"), (None, "clean without an id")], "doc_id long, text string")
+    out = corpus_pipeline.drop_contaminated(spark, docs, sf_dir).collect()
+    assert sorted(map(tuple, out), key=repr) == sorted([(1, "clean words only"), (2, "other clean words"), (None, "clean without an id")], key=repr)
+
+
+def test_mixing_stage_takes_each_source_its_own(spark, sf_dir):
+    docs = spark.createDataFrame([(i % 7, "same words in all", "en", s, 1) for i in range(70) for s in ("a", "b", None)], COLUMNS)
+    plan = Counter()
+    for r in mixing.mix(docs).collect():
+        plan[r.source] += r.times
+    assert Counter(r.source for r in corpus_pipeline.mix_sources(spark, docs, sf_dir).collect()) == plan
+
+
 def test_toxicity_stage_rejects_what_the_operator_calls_toxic(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     called = {r.doc_id for r in queries.op9_toxicity(spark, sf_dir).where("predicted = 1").collect()}

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 llm = pytest.importorskip("gradeflow.llm")
-from gradeflow.llm import components, decontam, gru_lm, huffman, licenses, mixing, ngram_join, queries, rows, storage, tokenbin, toxicity, winnow  # noqa: E402
+from gradeflow.llm import components, decontam, gru_lm, huffman, licenses, mixing, ngram_join, queries, rows, storage, textscan, tokenbin, toxicity, winnow  # noqa: E402
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 WORDS = " ".join(f"word{i}" for i in range(60))
@@ -183,6 +183,11 @@ def test_winnow_guarantee():
     assert set(a.tolist()) & set(b.tolist())
 
 
+def brute_likeness(a, b):
+    a, b = {h for h, _ in a}, {h for h, _ in b}
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
 @pytest.mark.parametrize("table", ["documents", "awkward"])
 def test_compare_with_next(table, request):
     docs = request.getfixturevalue(table)
@@ -195,9 +200,10 @@ def test_compare_with_next(table, request):
     expected = {}
     for (d, t), (_, following) in zip(order, [*order[1:], order[0]]):
         new = winnow.edited(t, following)
-        expected.setdefault(d, set()).add((len(t), hashlib.sha256(new.encode()).hexdigest(), "".join(f"{h:08x}" for h, _ in brute_winnow(t)), "".join(f"{h:08x}" for h, _ in brute_winnow(new))))
-    assert all((r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) in expected[r.doc_id] for r in got)
-    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+        kept, changed, after = brute_winnow(t), brute_winnow(new), brute_winnow(following)
+        prints = ["".join(f"{h:08x}" for h, _ in x) for x in (kept, changed)]
+        expected.setdefault(d, set()).add((len(t), hashlib.sha256(new.encode()).hexdigest(), *prints, brute_likeness(kept, changed), brute_likeness(kept, after), tuple(at for _, at in kept)))
+    assert all((r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next, tuple(r.positions)) in expected[r.doc_id] for r in got)
 
 
 def test_short_texts_share_a_hash_with_their_edited_text(documents):
@@ -344,11 +350,37 @@ def test_toxicity_finds_documents_and_sentences(spark):
     held = [r for r in got if r.doc_id is not None and 400 <= r.doc_id < 600]
     assert all((r.score >= 0.3) == (r.doc_id % 5 == 0) for r in held)
     assert all("vile" in r.worst_sentence for r in held if r.doc_id % 5 == 0)
+    texts = dict(table)
+    assert all(texts[r.doc_id][r.worst_start : r.worst_end] == r.worst_sentence for r in held)
     none = toxicity.train(docs, marks.limit(0))
     assert all(0 <= r.score <= 1 for r in toxicity.score(docs, none).collect())
     assert toxicity.score(docs.limit(0), none).collect() == []
 
 
+def test_noisy_or_against_definition(spark):
+    rng = np.random.default_rng(8)
+    model = toxicity.Model(rng.normal(0, 2, 1 << toxicity.BITS).astype(np.float32), -1.5, 0.25)
+    texts = ["One two. Two two three!\nfour? ...", "abcdefgh abcdefxy", "", None, "é ü words 12 mixed3in", "a " * 5000 + ". b"]
+    feature = lambda data, plus=0: int(textscan.mix(textscan.word_hashes(np.frombuffer(data, np.uint8), np.array([0]), np.array([len(data)])) + np.uint64(plus))[0] >> np.uint64(64 - toxicity.BITS))
+
+    def brute(text):
+        clean, worst = 1.0, None
+        for sentence in re.split(rb"[.!?\n]", (text or "").encode().translate(LOWER)):
+            found = re.findall(rb"[a-z\x80-\xff]+", sentence)
+            if found:
+                features = {feature(w) for w in found} | {feature(w[:n], n) for w in found for n in toxicity.STEMS if len(w) > n}
+                p = 1 / (1 + math.exp(-max(-30, min(30, sum(float(model.weights[f]) for f in features) + model.bias))))
+                clean *= 1 - min(p, 1 - 1e-12)
+                worst = p if worst is None else max(worst, p)
+        return (model.empty if worst is None else 1 - clean), worst
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for r in toxicity.score(docs, model, worst=True).collect():
+        score, worst = brute(texts[r.doc_id])
+        assert math.isclose(r.score, score, rel_tol=1e-6, abs_tol=1e-9) and (r.worst_score is None) == (worst is None)
+        assert worst is None or math.isclose(r.worst_score, worst, rel_tol=1e-6)
+
+
 def test_language_model(spark, documents, awkward, empty):
     held = F.pmod(toxicity.crc_of_id(), F.lit(7)) == 2
     for docs in (documents, awkward):
@@ -373,15 +405,15 @@ def test_language_model_is_a_distribution():
     p["c"] = rng.normal(0, 1, p["c"].shape).astype(np.float32)
     every = np.append(keys, gru_lm.END_KEY)
     _, klass, place = v.index(every)
-    states = np.repeat(rng.normal(0, 1, (1, gru_lm.HIDDEN)).astype(np.float32), len(every), 0)
-    logs = gru_lm.log_probs(p, states, klass, place).astype(float)
+    states = np.repeat(rng.normal(0, 1, (gru_lm.HIDDEN, 1)).astype(np.float32), len(every), 1)
+    logs = gru_lm.log_probs(p, v, states, klass, place).astype(float)
     rare = (place < 0) & (klass < v.classes - 1)
     at = np.where(rare, klass - gru_lm.FREQUENT_CLASSES, 0)
     room = v.rare_tokens + v.rare_distinct + 1.0
     counts = np.append(totals, 9).astype(float)
     logs += np.where(rare, np.log((counts + 1) / room[at]), 0)
-    unseen = np.exp(gru_lm.log_probs(p, states[: gru_lm.RARE_CLASSES], np.arange(gru_lm.RARE_CLASSES) + gru_lm.FREQUENT_CLASSES, np.full(gru_lm.RARE_CLASSES, -1)).astype(float)) / room
-    empty_classes = np.exp(gru_lm.log_probs(p, states[: gru_lm.FREQUENT_CLASSES], np.arange(gru_lm.FREQUENT_CLASSES), np.full(gru_lm.FREQUENT_CLASSES, -1)).astype(float))
+    unseen = np.exp(gru_lm.log_probs(p, v, states[:, : gru_lm.RARE_CLASSES], np.arange(gru_lm.RARE_CLASSES) + gru_lm.FREQUENT_CLASSES, np.full(gru_lm.RARE_CLASSES, -1)).astype(float)) / room
+    empty_classes = np.exp(gru_lm.log_probs(p, v, states[:, : gru_lm.FREQUENT_CLASSES], np.arange(gru_lm.FREQUENT_CLASSES), np.full(gru_lm.FREQUENT_CLASSES, -1)).astype(float))
     empty_classes[np.unique(v.klass)] = 0
     assert math.isclose(np.exp(logs).sum() + unseen.sum() + empty_classes.sum(), 1, rel_tol=1e-4)
 
@@ -396,16 +428,19 @@ def test_language_model_gradients():
     rows_, klass, place = (a.reshape(6, 3) for a in v.index(tokens.ravel()))
     real = np.ones((6, 3), bool)
     real[4:, 1] = False
-    state = np.zeros((3, gru_lm.HIDDEN))
+    fresh = np.zeros((6, 3), bool)
+    fresh[0], fresh[3, 0], fresh[5, 2] = True, True, True
+    state = np.zeros((gru_lm.HIDDEN, 3))
 
     def loss():
         s, total = state, 0.0
         for t in range(6):
-            total += gru_lm.log_probs(p, s, klass[t], place[t])[real[t]].sum()
-            s = np.where(real[t][:, None], gru_lm._advance(p, s, rows_[t])[0], s)
+            s = np.where(fresh[t], 0, s)
+            total += gru_lm.log_probs(p, v, s, klass[t], place[t])[real[t]].sum()
+            s = np.where(real[t], gru_lm._advance(p, s, p["x"][:, rows_[t]])[0], s)
         return total / real.sum()
 
-    grads, _ = gru_lm._gradients(p, state, rows_, klass, place, real)
+    grads, _ = gru_lm._gradients(p, v, state, rows_, klass, place, real, fresh)
     for name in p:
         flat = np.argsort(-np.abs(grads[name]).ravel())[:4]
         for i in flat:
@@ -426,5 +461,35 @@ def test_language_model_trains_every_document(spark):
     keys = np.array([gru_lm.token_keys(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]))[0] for w in own])
     order = np.argsort(keys)
     v = gru_lm.vocabulary([gru_lm._stats(keys[order], np.full(60, 100, np.uint64))])
-    moved = (gru_lm.train(docs, v)["x"] != gru_lm.initial(v)["x"]).any(1)
+    moved = (gru_lm.train(docs, v)["x"] != gru_lm.initial(v)["x"]).any(0)
     assert [w for w, row in zip(own, v.index(keys)[0]) if not moved[row]] == ["own59"]
+
+
+def test_language_model_scores_token_by_token():
+    """The batched scores of whole documents against one document and one token at a time, in double precision."""
+    rng = np.random.default_rng(9)
+    keys = np.sort((rng.integers(1, 2**62, 900, dtype=np.uint64) & ~gru_lm._CLASS_MASK) | rng.integers(0, gru_lm.RARE_CLASSES, 900).astype(np.uint64))
+    v = gru_lm.vocabulary([gru_lm._stats(keys, rng.integers(1, 50, 900).astype(np.uint64))])
+    docs = [np.append(keys[rng.zipf(1.3, n) % 900], gru_lm.END_KEY) for n in (0, 1, 5000, 40, 33, 32, 31, 700)]
+    p, tokens = gru_lm.train_documents(gru_lm.initial(v), v, iter(docs * 2))
+    assert tokens == 2 * sum(map(len, docs))
+    h, exact = gru_lm.HIDDEN, {k: a.astype(float) for k, a in p.items()}
+    sigmoid = lambda a: 1 / (1 + np.exp(-a))
+
+    def brute(doc):
+        state, total = np.zeros(h), 0.0
+        for row, klass, place in zip(*(a.tolist() for a in v.index(doc)), strict=True):
+            logits = exact["c"] @ state + exact["cb"]
+            total += logits[klass] - np.log(np.exp(logits).sum())
+            if place >= 0:
+                own = slice(v.starts[klass], v.starts[klass + 1])
+                inner = exact["w"][own] @ state + exact["wb"][own]
+                total += inner[place] - np.log(np.exp(inner).sum())
+            x, g = exact["x"][:, row], exact["u"] @ state
+            z, r = sigmoid(x[:h] + g[:h]), sigmoid(x[h : 2 * h] + g[h : 2 * h])
+            n = np.tanh(x[2 * h :] + r * g[2 * h :])
+            state = (1 - z) * n + z * state
+        return total / np.log(10)
+
+    got = gru_lm.score_pool(p, v, np.concatenate(docs), np.r_[0, np.cumsum([len(d) for d in docs])], np.zeros(sum(map(len, docs))))
+    assert np.allclose(got, [brute(d) for d in docs], rtol=1e-4)
