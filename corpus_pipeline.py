@@ -14,31 +14,50 @@ from gradeflow.llm import decontam, mixing, ngram_join, queries, rows, storage,
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose toxicity is below the threshold; the model is fitted on the labelled ones among them."""
-    model = queries.toxicity_model(spark, sf_dir, docs)
-    return toxicity.score(docs, model).where(F.col("score") < toxicity.REJECT).select(*docs.columns)
+    """Rows whose toxicity is below the threshold; the model is fitted on the labelled ones among them.
+
+    Rows without text or words score what such rows did in training; rows with null or repeated ids are judged each by
+    itself. All columns of docs pass through, whatever their names. An empty table gives an empty one.
+    """
+    model, score = queries.toxicity_model(spark, sf_dir, docs), rows.fresh(docs, "toxicity")
+    return toxicity.score(docs, model, name=score).where(F.col(score) < toxicity.REJECT).select(*(f"`{c}`" for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the row with the least doc_id; rows without words stay, once each."""
+    """Of each group of near-duplicates the row with the least doc_id; rows without words stay, once each.
+
+    Null ids come last within a group; of equal rows one stays. Extra columns go with their rows.
+    """
     return rows.take(docs, ngram_join.representatives(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold no passage like a benchmark item."""
+    """Rows that hold no passage like a benchmark item.
+
+    A row goes by its own text: clean rows stay that share a null or repeated id with a contaminated one. Rows without
+    words stay; without benchmark items all do. Extra columns go with their rows.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return rows.leave_out(docs, decontam.find(docs, benchmark).select("doc_id"))
+    return rows.leave_out(docs, decontam.find(docs, benchmark).select("doc_id", "text_hash"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix takes it: not at all, once, or up to three times."""
-    mixed = mixing.mix(docs).groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"), F.sum("times").alias("times"))
+    """Each row as often as the mix takes it: not at all, once, or up to three times.
+
+    Rows without words weigh nothing and are not taken. Rows that agree in id, text and source share what they are taken;
+    a null source is one of its own. Extra columns go with their rows.
+    """
+    mixed = mixing.mix(docs).groupBy("doc_id", "text_hash", "source").agg(F.count("*").alias("n"), F.sum("times").alias("times"))
     return rows.take(docs, storage.checkpointed(mixed))
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes all rows as token ids and returns what the files hold: doc_id, start, n_tokens, ids_crc32."""
+    """Writes all rows as token ids and returns what the files hold: doc_id, start, n_tokens, ids_crc32.
+
+    Rows without text are the end id alone; rows with null or repeated ids are written each by itself.
+    """
     uri = storage.new_dir(spark, "tokens")
+    storage.until_exit(uri)
     tokenbin.write(docs, uri, queries.tokenizer_path())
     return tokenbin.read(spark, uri, keep_ids=False)
 
