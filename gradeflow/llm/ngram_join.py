@@ -107,6 +107,8 @@ def _profiles(docs: DataFrame, percent: int, size: int) -> tuple[DataFrame, str]
                 kinds = [pa.int64()] * 6 + [pa.bool_()] + [pa.list_(pa.int64())] * (2 + FRAGMENTS)
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(fields, kinds, strict=True)], names=[c.split()[0] for c in _OUT.split(", ")])
         vertical.verify(check, expected)
+        keys = sums = None
+        storage.release()
 
     try:
         return storage.written(docs.mapInArrow(profile, _OUT), "profiles")

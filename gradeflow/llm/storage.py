@@ -10,10 +10,13 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -94,14 +97,28 @@ def tidy(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def put_file(uri: str, *chunks: bytes) -> None:
-    """Writes a whole file under a temporary name and renames it."""
+@contextlib.contextmanager
+def new_file(uri: str) -> Iterator[pa.NativeFile]:
+    """A stream to a temporary name that becomes the file once it is complete."""
     fs, path = pafs.FileSystem.from_uri(uri)
     temp = f"{path}.{uuid.uuid4().hex}.tmp"
     with fs.open_output_stream(temp) as out:
+        yield out
+    fs.move(temp, path)
+
+
+def put_file(uri: str, *chunks: bytes) -> None:
+    with new_file(uri) as out:
         for chunk in chunks:
             out.write(chunk)
-    fs.move(temp, path)
+
+
+def release() -> None:
+    """In a task that has let go of large arrays: gives the memory back, for Python workers are used again by later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def get_file(uri: str) -> bytes | None:

@@ -12,8 +12,8 @@ Files are named by their order: all documents of a file come before those of the
 order (null first; rows with the same id by text), and so do the documents of a file.
 
 Writing sorts the texts by ranges of ids, tokenizes each range once and keeps the ids as a table in the
-shared folder. Every id is counted over the whole table (counts are summed in each task; the vocabulary bounds
-them), and then each range is encoded into a file and the table removed.
+shared folder. Every id is counted on the way (a count an id and range; the vocabulary bounds them), the ranges' counts are
+summed, and then each range is encoded into a file, block by block, and the table removed.
 
 The tokenizer splits at blanks before anything else, so the ids of a text are those of its blank-separated
 pieces. Each distinct piece of some MB of text is tokenized once: pieces of letters, less the sentence marks
@@ -29,6 +29,8 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import compress, repeat
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +45,9 @@ MAGIC, END_MAGIC, VERSION = b"GFTB", b"GFTE", 1
 #: Ids in a block before it is closed (a document is never cut).
 BLOCK_IDS = 1 << 19
 #: Pieces whose ids a task keeps; then it starts afresh.
-KEPT_PIECES = 250_000
+KEPT_PIECES = 600_000
 #: Bytes of text whose distinct pieces are found at once.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 6 << 20
 END_ID = 1
 
 
@@ -81,8 +83,8 @@ class Pieces:
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self._kind) for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, keys: list[str]) -> None:
-        letters, others = [k for k in keys if k.isalpha()], [k for k in keys if not k.isalpha()]
+    def _learn(self, keys: list[str], alpha: list[bool]) -> None:
+        letters, others = list(compress(keys, alpha)), list(compress(keys, map(not_, alpha)))
         for at in range(0, len(letters), 10_000):
             some = letters[at : at + 10_000]
             ids = np.concatenate(self._encode([" ".join(some[i : i + 500]) for i in range(0, len(some), 500)]))
@@ -113,8 +115,14 @@ class Pieces:
         parts = []
         for keys in (word.dictionary_encode(), marks.dictionary_encode()):
             names = keys.dictionary.to_pylist()
-            self._learn([k for k in names if k not in self._known])
-            parts.append(np.array([self._known[k] for k in names], np.int64)[keys.indices.to_numpy()])
+            at = np.fromiter(map(self._known.get, names, repeat(-1)), np.int64, len(names))
+            fresh = np.flatnonzero(at < 0)
+            if len(fresh):
+                some = keys.dictionary.take(pa.array(fresh))
+                new = some.to_pylist()
+                self._learn(new, pc.utf8_is_alpha(some).to_pylist())
+                at[fresh] = np.fromiter(map(self._known.__getitem__, new), np.int64, len(new))
+            parts.append(at[keys.indices.to_numpy()])
         store, begins, ends = (np.concatenate(x) for x in (self._ids, self._begins, self._ends))
         self._ids, self._begins, self._ends = [store], [begins], [ends]
         # ids of the distinct pieces one after another, and then those of all pieces
@@ -125,6 +133,16 @@ class Pieces:
         return out, np.diff(np.r_[0, np.cumsum(lengths)][at - at[0]])
 
 
+#: A worker's pieces by tokenizer: its next task goes on with what is known.
+_OF_WORKER: dict[str, Pieces] = {}
+
+
+def pieces_of_worker(path: str) -> Pieces:
+    if path not in _OF_WORKER:
+        _OF_WORKER[path] = Pieces(path)
+    return _OF_WORKER[path]
+
+
 def _gathered(store: np.ndarray, begins: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs of `store` numbered in `which`, one after another, and their lengths."""
     kind = np.int32 if len(store) < 2**31 else np.int64
@@ -149,20 +167,27 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[list, pa.Array]]:
         row = end
 
 
-def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """(part, doc_id, ids, n) of documents in ascending order, ids as little-endian 16-bit (32-bit for a vocabulary beyond) integers with the end id."""
+def tokenized(docs: DataFrame, tokenizer: str, counted: str, end_id: int = END_ID) -> DataFrame:
+    """(part, doc_id, ids, n) of documents in ascending order, ids as little-endian 16-bit (32-bit for a vocabulary beyond) integers with the end id.
+
+    How often each id occurs in a range goes to a file of the folder `counted`.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, part = Pieces(tokenizer), TaskContext.get().partitionId()
+        pieces, part = pieces_of_worker(tokenizer), TaskContext.get().partitionId()
         kind = "<u2" if pieces.size <= 1 << 16 else "<u4"
+        total = np.zeros(pieces.size, np.int64)
         for batch in batches:
             for names, texts in _texts(batch):
                 ids, counts = pieces.ids(texts)
                 ids = np.insert(ids, np.cumsum(counts), end_id).astype(kind)
+                total += np.bincount(ids, minlength=pieces.size)
                 counts = counts + 1
                 ends = np.cumsum(counts)
                 blobs = [ids[b:e].tobytes() for b, e in zip(ends - counts, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([part] * len(names), pa.int32()), pa.array(names, pa.int64()), pa.array(blobs, pa.binary()), pa.array(counts, pa.int64())], names=["part", "doc_id", "ids", "n"])
+        storage.put_file(f"{counted}/{part}.counts", zlib.compress(total.tobytes(), 1))
+        storage.release()
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -175,38 +200,42 @@ def _unpacked(ids: list[bytes], n: list[int]) -> np.ndarray:
     return np.frombuffer(b"".join(ids), "<u2" if sum(map(len, ids)) == 2 * sum(n) else "<u4")
 
 
-def count_ids(table: DataFrame, size: int) -> np.ndarray:
-    """How often each id occurs in a table of tokenized documents."""
+def count_ids(spark: SparkSession, counted: str, size: int) -> np.ndarray:
+    """How often each id occurs, from the ranges' files: each task sums its share of them."""
+    names = [name for name, _ in storage.list_files(counted, ".counts")]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                some = batch.slice(at, 200)
-                counts += np.bincount(_unpacked(some.column("ids").to_pylist(), some.column("n").to_pylist()), minlength=size)
+            for name in batch.column("uri").to_pylist():
+                counts += np.frombuffer(zlib.decompress(storage.get_file(name)), np.int64)
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(counts[some], pa.int64())], names=["id", "n"])
 
-    total = table.select("ids", "n").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     counts = np.zeros(size, np.int64)
-    for row in total.collect():  # as many rows as the vocabulary has ids
-        counts[row.id] = row.n
+    if names:
+        listed = spark.createDataFrame([(n,) for n in names], "uri string").repartition(min(len(names), 32))
+        for row in listed.mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # as many rows as the vocabulary has ids
+            counts[row.id] = row.n
     return counts
 
 
 class _Writer:
-    """A file in memory: its compressed blocks are much smaller than the texts of a range."""
+    """Blocks of documents, each written as soon as it is full."""
 
-    def __init__(self, coder: Coder) -> None:
-        self._coder = coder
+    def __init__(self, coder: Coder, out: pa.NativeFile) -> None:
+        self._coder, self._out, self._size = coder, out, 0
         packed = zlib.compress(coder.lengths.astype(np.uint8).tobytes())
-        self.chunks = [MAGIC + struct.pack("<III", VERSION, len(coder.lengths), len(packed)) + packed]
-        self._size = len(self.chunks[0])
+        self._write(MAGIC + struct.pack("<III", VERSION, len(coder.lengths), len(packed)) + packed)
         self._footer: list[tuple[int, int, int]] = []
         self._docs: list[tuple] = []
         self._ids: list[np.ndarray] = []
         self._count = 0
 
+    def _write(self, data: bytes) -> None:
+        self._out.write(data)
+        self._size += len(data)
+
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self._docs.append((doc_id, len(ids)))
         self._ids.append(ids)
@@ -223,53 +252,48 @@ class _Writer:
         table = zlib.compress(names + np.array([n for _, n in self._docs], np.uint64).tobytes())
         block = struct.pack("<IQQI", len(self._docs), len(ids), len(stream), len(table)) + table + checkpoints.tobytes() + stream
         self._footer.append((self._size, len(self._docs), len(ids)))
-        self.chunks.append(block)
-        self._size += len(block)
+        self._write(block)
         self._docs, self._ids, self._count = [], [], 0
 
-    def finish(self) -> list[bytes]:
+    def finish(self) -> None:
         self.close_block()
-        return [*self.chunks, np.array(self._footer, np.uint64).tobytes() + struct.pack("<I", len(self._footer)) + END_MAGIC]
+        self._write(np.array(self._footer, np.uint64).tobytes() + struct.pack("<I", len(self._footer)) + END_MAGIC)
 
 
 def write(docs: DataFrame, uri: str, tokenizer: str, end_id: int = END_ID) -> None:
     """Writes all rows (doc_id, text; null text is empty) to files in a folder."""
     spark = docs.sparkSession
-    table, kept = storage.written(tokenized(docs, tokenizer, end_id), "ids")
+    counted = storage.new_dir(spark, "counts")
+    _, kept = storage.written(tokenized(docs, tokenizer, counted, end_id), "ids")
     storage.tidy(spark)  # the sorted texts' shuffle files are not needed any more
-    lengths = code_lengths(count_ids(table, Pieces(tokenizer).size))
-
-    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, writers = Coder(lengths), {}
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                some = batch.slice(at, 200)
-                counts = some.column("n").to_pylist()
-                ids = _unpacked(some.column("ids").to_pylist(), counts)
-                ends = np.cumsum(counts)
-                for part, doc_id, n, end in zip(some.column("part").to_pylist(), some.column("doc_id").to_pylist(), counts, ends, strict=True):
-                    if part not in writers:
-                        writers[part] = _Writer(coder)
-                    writers[part].add(doc_id, ids[end - n : end])
-        for part, writer in writers.items():
-            storage.put_file(f"{uri}/part-{part:06d}.tokens", *writer.finish())
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32())], names=["part"])
+    lengths = code_lengths(count_ids(spark, counted, pieces_of_worker(tokenizer).size))
+    storage.remove(counted)
 
     # one task reads each file of the table, whole and in order: a range was written as one file
     names = [name for name, _ in storage.list_files(kept, ".parquet")]
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs as pafs
         import pyarrow.parquet as pq
+        from pyarrow import fs as pafs
 
-        def rows() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for name in batch.column("uri").to_pylist():
-                    fs, path = pafs.FileSystem.from_uri(name)
-                    with fs.open_input_file(path) as source:
-                        yield from pq.ParquetFile(source).iter_batches(1000)
-
-        yield from store(rows())
+        coder = Coder(lengths)
+        for name in (n for batch in batches for n in batch.column("uri").to_pylist()):
+            fs, path = pafs.FileSystem.from_uri(name)
+            with fs.open_input_file(path) as source:
+                table = pq.ParquetFile(source)
+                part = next((b.column("part")[0].as_py() for b in table.iter_batches(1, columns=["part"])), None)
+                if part is None:
+                    continue
+                with storage.new_file(f"{uri}/part-{part:06d}.tokens") as out:
+                    writer = _Writer(coder, out)
+                    for some in table.iter_batches(200, columns=["doc_id", "ids", "n"]):
+                        counts = some.column("n").to_pylist()
+                        ids = _unpacked(some.column("ids").to_pylist(), counts)
+                        for doc_id, n, end in zip(some.column("doc_id").to_pylist(), counts, np.cumsum(counts), strict=True):
+                            writer.add(doc_id, ids[end - n : end])
+                    writer.finish()
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32())], names=["part"])
+        storage.release()
 
     if names:
         listed = spark.createDataFrame(list(enumerate(names)), "number int, uri string").repartitionById(len(names), "number")

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from . import textscan
+from . import storage, textscan
 
 BITS = 20
 #: Lengths in bytes of the beginnings of words that are features too.
@@ -146,6 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, passes:
             held[k] = None
         if bags:
             model = fit(bags, marks, passes)
+            storage.release()
             yield pa.RecordBatch.from_arrays([pa.array([model.weights.astype(np.float32).tobytes()]), pa.array([model.bias]), pa.array([model.empty])], names=["weights", "bias", "empty"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -163,6 +163,7 @@ def partition_totals(docs: DataFrame, extract: Callable[[pa.RecordBatch], Iterat
                 yield _row(part % frags, part, CHECK, b"", np.uint64(check.value).tobytes())
 
         yield from _batches(rows())
+        storage.release()
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
@@ -197,6 +198,7 @@ def partition_totals(docs: DataFrame, extract: Callable[[pa.RecordBatch], Iterat
                 yield _row(int(parts[b]) % frags, int(parts[b]), KEYS, pack_sorted(keys[b:e][fresh]), pack(totals[b:e][fresh]))
 
         yield from _batches(rows())
+        storage.release()
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
@@ -219,6 +221,7 @@ def partition_totals(docs: DataFrame, extract: Callable[[pa.RecordBatch], Iterat
                 storage.put_file(f"{uri}/{part}.totals", np.uint64(len(keys)).tobytes(), check, body)
 
         yield from _batches(rows())
+        storage.release()
 
     found = docs.mapInArrow(scan, _SCHEMA).repartitionById(frags, "frag").mapInArrow(total, _SCHEMA)
     found = found.repartitionById(frags, "frag").mapInArrow(store, _SCHEMA)
