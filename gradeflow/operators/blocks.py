@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.layout import TEXT_CATEGORIES
+from ..functions.metrics import char_edits
 
 
 def copied_cells(blocks: DataFrame, least: int = 3) -> DataFrame:
@@ -65,6 +66,50 @@ def outside_regions(blocks: DataFrame, regions: DataFrame, part: float = 0.5) ->
     return b.join(r, (F.col("b.page") == F.col("r.page")) & (side("x1", "x2") * side("y1", "y2") / area > part), "left_anti")
 
 
+def clamped(blocks: DataFrame) -> DataFrame:
+    """Blocks (..., x1, y1, x2, y2, width, height) with the ends of boxes in order, inside the page, and one pixel apart at least."""
+    inside = {c: F.greatest(F.lit(0), F.least(F.col(c), F.col(side))) for c, side in (("x1", "width"), ("x2", "width"), ("y1", "height"), ("y2", "height"))}
+    out = blocks.withColumns(inside)
+    ends = {}
+    for a, b, side in (("x1", "x2", "width"), ("y1", "y2", "height")):
+        flat, edge = F.col(a) == F.col(b), F.greatest(a, b) >= F.col(side)
+        ends |= {a: F.least(a, b) - (flat & edge).cast("int"), b: F.greatest(a, b) + (flat & ~edge).cast("int")}
+    return out.withColumns(ends)
+
+
+def region_around(blocks: DataFrame, pad: float = 0.5) -> DataFrame:
+    """(page, x1, y1, x2, y2) around a page's blocks (page, x1, y1, x2, y2, width, height), wider by `pad` of their upper median height, inside the page."""
+    tall = F.array_sort(F.collect_list(F.col("y2") - F.col("y1")))  # a page's few blocks
+    hull = blocks.groupBy("page").agg(*(F.min(c).alias(c) for c in ("x1", "y1")), *(F.max(c).alias(c) for c in ("x2", "y2", "width", "height")), tall.alias("tall"))
+    more = F.floor(F.get("tall", F.floor(F.size("tall") / 2).cast("int")) * pad).cast("int")
+    low, high = {c: F.greatest(F.lit(0), F.col(c) - more) for c in ("x1", "y1")}, {c: F.least(F.col(s), F.col(c) + more) for c, s in (("x2", "width"), ("y2", "height"))}
+    return hull.select("page", *(v.alias(k) for k, v in (low | high).items()))
+
+
+def spliced(blocks: DataFrame, runs: DataFrame, new: DataFrame, overlap: float = 0.5) -> DataFrame:
+    """Blocks (page, i, x1, y1, x2, y2, ...) with the run (page, first, last) of each page replaced, in place, by those of the
+    new ones (page, k, x1, ...) that no remaining block of the page covers by `overlap`; i is the new order."""
+    met = blocks.join(runs, "page", "left")
+    kept = met.where(F.col("first").isNull() | ~F.col("i").between(F.col("first"), F.col("last"))).drop("first", "last")
+    n, b = new.alias("n"), kept.alias("b")
+    side = lambda a, c: F.greatest(F.lit(0), F.least(F.col(f"n.{c}"), F.col(f"b.{c}")) - F.greatest(F.col(f"n.{a}"), F.col(f"b.{a}")))
+    area = F.greatest(F.lit(1), (F.col("n.x2") - F.col("n.x1")) * (F.col("n.y2") - F.col("n.y1")))
+    fresh = n.join(b, (F.col("n.page") == F.col("b.page")) & (side("x1", "x2") * side("y1", "y2") / area >= overlap), "left_anti").join(runs.select("page", "first"), "page")
+    both = kept.withColumns({"_at": F.col("i"), "_k": F.lit(-1)}).unionByName(fresh.withColumns({"_at": F.col("first"), "_k": F.col("k"), "i": F.col("first")}).drop("first", "k"))
+    order = Window.partitionBy("page").orderBy("_at", "_k")
+    return both.withColumn("i", F.row_number().over(order) - 1).drop("_at", "_k")
+
+
+def with_pictures(blocks: DataFrame, regions: DataFrame) -> DataFrame:
+    """Blocks without those that lie mostly in a region of their page, and the regions (page, category, x1, ...) among them,
+    each before the first block that begins lower; i is the new order. Regions at the same place stand by height."""
+    kept = outside_regions(blocks, regions)
+    below = kept.alias("b").join(regions.alias("r"), "page", "right").groupBy("r.page", "r.category", "r.x1", "r.y1", "r.x2", "r.y2").agg(F.min(F.when(F.col("b.y1") > F.col("r.y1"), F.col("b.i"))).alias("_at"))
+    placed = below.select("page", "category", "x1", "y1", "x2", "y2", F.lit("").alias("text"), F.coalesce(F.col("_at").cast("double") - 0.5, F.lit(float("inf"))).alias("_at"))
+    both = kept.select("page", "category", "x1", "y1", "x2", "y2", "text", F.col("i").cast("double").alias("_at")).unionByName(placed)
+    return both.withColumn("i", F.row_number().over(Window.partitionBy("page").orderBy("_at", "y1", "x1")) - 1).drop("_at")
+
+
 def votes(readings: DataFrame, least: int = 2) -> DataFrame:
     """(cell, value, n) applied: of readings (cell, pass, candidate), passes with one candidate vote; one value, and enough votes for it."""
     single = readings.groupBy("cell", "pass").agg(F.count_distinct("candidate").alias("n"), F.min("candidate").alias("value")).where("n = 1")
@@ -85,7 +130,7 @@ def row_of_label(labels: DataFrame, lines: DataFrame) -> DataFrame:
 def agreement(texts: DataFrame) -> DataFrame:
     """(a, b, agreement): mean over pages of max(0, 1 - edits / length of a), of every two systems on texts (page, system, text)."""
     a, b = (texts.select("page", F.col("system").alias(n), F.col("text").alias(f"text_{n}")) for n in "ab")
-    share = F.greatest(F.lit(0.0), 1 - F.levenshtein("text_a", "text_b") / F.greatest(F.lit(1), F.length("text_a")))
+    share = F.greatest(F.lit(0.0), 1 - char_edits(F.col("text_a"), F.col("text_b")) / F.greatest(F.lit(1), F.length("text_a")))
     return a.join(b, "page").where("a <> b").groupBy("a", "b").agg(F.avg(F.round(share, 3)).alias("agreement"))
 
 

@@ -13,33 +13,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import hashing, layout, metrics, tables, text
 from ..operators import blocks, dataset, decide, leaderboard, predictions, score
 from ..streaming import progress
+from . import registry
+from .registry import query, table
 
 SEED, HOLDOUT = 13, 0.2
 MODELS = ["oracle", "empty", "truncated", "swapped", "loop"]
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
-
+    from . import documents, reports  # noqa: F401 - they register their queries
 
-def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    return dict(registry.QUERIES)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def oracle_sql() -> dict[str, str]:
+    queries()
+    return dict(registry.ORACLES)
 
 
 # The labelled set.
@@ -192,9 +180,27 @@ def score_rows_short(spark, sf_dir):
     return short_rows(spark, sf_dir).select("model", "id", "char_edits", "ref_chars", F.round("cer", 9).alias("cer"))
 
 
-@query()
+_WORDS = """w AS (SELECT p.*, list_filter(string_split_regex(gt, '\\s+'), lambda x: x <> '') AS w, list_filter(string_split_regex(answer, '\\s+'), lambda x: x <> '') AS v FROM pairs p WHERE model <> 'swapped'),
+e AS (SELECT model, id, len(w)::INTEGER AS ref_words, CASE model WHEN 'oracle' THEN 0 WHEN 'empty' THEN len(w) WHEN 'loop' THEN 80
+  ELSE len(w) - len(v) + CASE WHEN len(v) = 0 OR v[len(v)] = w[len(v)] OR list_contains(w[len(v) + 1:], v[len(v)]) THEN 0 ELSE 1 END END::INTEGER AS word_edits FROM w)"""
+
+
+@query(f"""WITH {_ROWS}, {_WORDS} SELECT model, id, word_edits, ref_words, round(CASE WHEN ref_words > 0 THEN word_edits / ref_words::DOUBLE WHEN word_edits = 0 THEN 0.0 ELSE 1.0 END, 9) AS wer FROM e""")
 def word_errors(spark, sf_dir):
-    return short_rows(spark, sf_dir).select("model", "id", "word_edits", "ref_words", "wer")
+    """All test models but the one whose distances only a distance can tell."""
+    return short_rows(spark, sf_dir).where("model <> 'swapped'").select("model", "id", "word_edits", "ref_words", F.round("wer", 9).alias("wer"))
+
+
+@query("""WITH i AS (SELECT conv_id || ':' || turn AS id, text AS gt, length(text) AS n FROM conversations), m(model) AS (VALUES ('oracle'), ('empty'), ('truncated'), ('loop')),
+  e AS (SELECT model, id, n::INTEGER AS ref_chars, CASE model WHEN 'oracle' THEN 0 WHEN 'empty' THEN n WHEN 'truncated' THEN n - n // 2 ELSE 480 END::INTEGER AS char_edits FROM i, m)
+  SELECT *, round(CASE WHEN ref_chars > 0 THEN char_edits / ref_chars::DOUBLE WHEN char_edits = 0 THEN 0.0 ELSE 1.0 END, 9) AS cer FROM e""")
+def score_rows_unicode(spark, sf_dir):
+    """Distances over code points of texts as they are, by models whose edits follow from lengths."""
+    items = short_items(spark, sf_dir).drop("gt").join(table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), F.col("text").alias("gt")), "id")
+    names = ["oracle", "empty", "truncated", "loop"]
+    models = spark.createDataFrame([(m, i) for i, m in enumerate(names)], "model string, model_ordinal int")
+    rows = score.score(score.pair(items, models, predictions.run_models(items, names)), normalised=True, repetition=False)
+    return rows.select("model", "id", "ref_chars", "char_edits", F.round("cer", 9).alias("cer"))
 
 
 @query(f"WITH {_ROWS} SELECT model, count(*) FILTER (is_empty)::BIGINT AS n_empty, count(*) FILTER (too_long)::BIGINT AS n_long, count(*) FILTER (too_short)::BIGINT AS n_short FROM scored GROUP BY model")
@@ -231,30 +237,60 @@ def worst_k(spark, sf_dir):
     return score.worst(rows, short_items(spark, sf_dir)).withColumns({"cer": F.round("cer", 9), "rank": F.col("rank").cast("long")})
 
 
-@query()
+@query("""SELECT model, conv_id || ':' || turn AS id, model = 'loop' AS repeated FROM conversations, (VALUES ('oracle'), ('loop')) AS m(model)""")
 def repetition_flags(spark, sf_dir):
     rows = short_items(spark, sf_dir)
     made = predictions.run_models(rows, ["oracle", "loop"])
-    return made.select("model", "id", metrics.has_repetition("text").alias("repeated"))
+    return made.select("model", "id", metrics.has_repetition(F.col("text")).alias("repeated"))
 
 
-@query()
+@query(r"""WITH i AS (SELECT conv_id || ':' || turn AS id, (len(list_filter(string_split_regex(regexp_replace(text, '[^\x00-\x7F]', '?', 'g'), '\s+'), lambda x: x <> '')) + 7) // 8 AS n FROM conversations),
+  p AS (SELECT id, list_transform(range(n), lambda i: least(3, 4 * i // n)) AS q FROM i)
+  SELECT model, id, CASE WHEN list_contains(q, 0) THEN v END AS q1, CASE WHEN list_contains(q, 1) THEN v END AS q2, CASE WHEN list_contains(q, 2) THEN v END AS q3, CASE WHEN list_contains(q, 3) THEN v END AS q4
+  FROM p, (VALUES ('oracle', 1.0::DOUBLE), ('empty', 0.0::DOUBLE)) AS m(model, v)""")
 def position_recall(spark, sf_dir):
-    made = predictions.run_models(short_items(spark, sf_dir), ["oracle", "truncated"]).join(short_items(spark, sf_dir).select("id", "gt"), "id")
-    return made.select("model", "id", metrics.position_recall("gt", "text").alias("pos_q"))
+    made = predictions.run_models(short_items(spark, sf_dir), ["oracle", "empty"]).join(short_items(spark, sf_dir).select("id", "gt"), "id")
+    return made.select("model", "id", metrics.position_recall("gt", "text").alias("p")).select("model", "id", *(F.get("p", F.lit(i)).alias(f"q{i + 1}") for i in range(4)))
+
+
+#: Every character that the native rules drop or change takes the place of some letter, so that each rule has work.
+_STRANGE = {"q": "ـ", "w": "٣", "x": "۴", "k": "٫", "z": "َ", "j": "ٰ", "y": "\u200f", "v": "\ufeff", "p": "\u00a0", "b": "\u2003", "g": "٬"}
+_PLAIN_OF = {"q": "", "w": "3", "x": "4", "k": ".", "z": "", "j": "", "y": "", "v": "", "p": " ", "b": " ", "g": ","}
 
 
-@query(r"""SELECT doc_id, sha256(trim(regexp_replace(translate(text, 'ـ٠١٢٣٤٥٦٧٨٩', '0123456789'), '[\s\x0B\x1C-\x1F\x{0085}\x{00A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'))) AS digest FROM documents""".replace("'ـ٠١٢٣٤٥٦٧٨٩', '0123456789'", "'٠١٢٣٤٥٦٧٨٩', '0123456789'"))
+@query(f"""SELECT doc_id, sha256(trim(regexp_replace({"".join("replace(" for _ in _PLAIN_OF)}text{"".join(f", '{a}', '{b}')" for a, b in _PLAIN_OF.items())}, '[\\s\\x0B\\x1C-\\x1F\\x{{0085}}\\x{{00A0}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+', ' ', 'g'))) AS digest FROM documents""")
 def normalize_rules(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.normalize_native(F.col("text")), 256).alias("digest"))
+    strange = F.translate("text", "".join(_STRANGE), "".join(_STRANGE.values()))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.normalize_native(strange), 256).alias("digest"))
+
+
+_SPACE = r"[\s\x0B\x1C-\x1F\x{0085}\x{00A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_RULE = r"^\|?\s*:?-{2,}:?\s*(?:\|\s*:?-{2,}:?\s*)*\|?$"
+_STEPS = [(r"^#{1,6}\s+", ""), (r"^[-*+]\s+", ""), (r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]*)\]\([^)]*\)", r"\1"), (r"\*\*|__", "")]
 
 
-@query()
+def _lines_sql(text: str) -> str:
+    """What Markdown adds taken from a text's lines, in SQL."""
+    line = r"CASE WHEN starts_with(l, '|') OR ends_with(l, '|') THEN regexp_replace(trim(l, '|'), '\s*\|\s*', ' ', 'g') ELSE l END"
+    for pattern, to in _STEPS:
+        line = f"regexp_replace({line}, '{pattern}', '{to}', 'g')"
+    lines = rf"list_transform(string_split_regex(regexp_replace({text}, '(?:\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{{0085}}\x{{2028}}\x{{2029}}])$', ''), '\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{{0085}}\x{{2028}}\x{{2029}}]'), lambda l: regexp_replace(l, '^{_SPACE}+|{_SPACE}+$', '', 'g'))"
+    return f"array_to_string(list_transform(list_filter({lines}, lambda l: NOT (starts_with(l, '```') OR regexp_matches(l, '{_RULE}'))), lambda l: {line}), chr(10))"
+
+
+@query(f"""SELECT doc_id, sha256(trim(regexp_replace({_lines_sql("nfc_normalize(text)")}, '{_SPACE}+', ' ', 'g'))) AS digest FROM documents""")
 def normalize_full(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.normalize(F.col("text")), 256).alias("digest"))
 
 
-@query()
+_TAGS = "html"
+for _pattern, _to, _how in ((r"<br\s*/?>", "chr(10)", "gi"), (r"</(?:p|div|tr|li|h[1-6]|table|caption)>", "chr(10)", "gi"), (r"</t[dh]>", "' '", "gi"), (r"</?[a-zA-Z][a-zA-Z0-9]*(?:\s[^<>]*)?/?>", "' '", "g")):
+    _TAGS = f"regexp_replace({_TAGS}, '{_pattern}', {_to}, '{_how}')"
+for _entity, _to in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "''"), ("&amp;", "&")):
+    _TAGS = f"replace({_TAGS}, '{_entity}', '{_to}')"
+
+
+@query(f"SELECT page_id, {_lines_sql(_TAGS)} AS text FROM pages")
 def plain_text_pages(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.plain_text(F.col("html")).alias("text"))
 
@@ -386,10 +422,17 @@ def row_count_off(spark, sf_dir):
     return rows.groupBy("kind").agg(F.count_if(F.col("gt") != F.col("got")).alias("row_count_off"), F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH {_CELLS}, r AS (SELECT l_orderkey AS id, l_orderkey % 4 AS kind, count(*) AS n, count(*) FILTER (l_orderkey % 4 = 0 AND l_linenumber = 2) AS k FROM lineitem GROUP BY ALL),
+  x AS (SELECT t.id, t.i, unnest(t.c) AS v, unnest(range(1, 5)) AS j, a.c AS ac FROM truth t LEFT JOIN a ON a.id = t.id AND a.i = t.i),
+  e AS (SELECT id, count(*) FILTER (ac[j] = v) / count(*)::DOUBLE AS cell_exact FROM x GROUP BY id)
+  SELECT id, round(1 - CASE kind WHEN 0 THEN 5 * k WHEN 3 THEN 0 ELSE n END / (2 + 5 * n)::DOUBLE, 9) AS teds, round(1 - CASE kind WHEN 0 THEN 5 * k WHEN 1 THEN n ELSE 0 END / (2 + 5 * n)::DOUBLE, 9) AS teds_struct,
+    round(cell_exact, 9) AS cell_exact, round(CASE kind WHEN 0 THEN (n - k) / n::DOUBLE WHEN 3 THEN 1.0 ELSE 0.75 END, 9) AS cell_aligned, n::INTEGER AS gt_rows, (n - k)::INTEGER AS pred_rows, CASE kind WHEN 1 THEN n ELSE 0 END::INTEGER AS rows_wrong_ncols
+  FROM r JOIN e USING (id)""")
 def table_scores(spark, sf_dir):
+    """Answers without a row, without cells, with a wrong cell a row, and right ones: what each costs follows from the counts."""
     pairs = order_tables(spark, sf_dir).select("id", html_of(F.col("truth")).alias("gt"), html_of(F.col("answer")).alias("answer"), F.lit(1).alias("pages"))
-    return score.score_tables(pairs).drop("gt", "answer", "pages")
+    rounded = [F.round(c, 9).alias(c) for c in ("teds", "teds_struct", "cell_exact", "cell_aligned")]
+    return score.score_tables(pairs).select("id", *rounded, "gt_rows", "pred_rows", "rows_wrong_ncols")
 
 
 def order_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -426,11 +469,10 @@ def tail_loop(spark, sf_dir):
     return blocks.tail_runs(rows, least=2, characters=5)
 
 
-@query("""WITH v AS (SELECT user_id AS cell, date_trunc('day', ts) AS pass, count(DISTINCT event_type) AS n, min(event_type) AS value FROM events GROUP BY ALL HAVING count(DISTINCT event_type) = 1)
+@query("""WITH v AS (SELECT l_partkey AS cell, l_suppkey AS pass, min(l_returnflag) AS value FROM lineitem GROUP BY ALL HAVING count(DISTINCT l_returnflag) = 1)
   SELECT cell, min(value) AS value, count(*)::BIGINT AS n FROM v GROUP BY cell HAVING count(DISTINCT value) = 1 AND count(*) >= 2""")
 def marker_votes(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("cell"), F.date_trunc("day", "ts").alias("pass"), F.col("event_type").alias("candidate"))
-    return blocks.votes(rows)
+    return blocks.votes(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("cell"), F.col("l_suppkey").alias("pass"), F.col("l_returnflag").alias("candidate")))
 
 
 @query(f"""WITH {_ROWS} SELECT a.model AS a, b.model AS b, round(avg(round(greatest(0.0, 1 - levenshtein(a.answer, b.answer) / greatest(1, length(a.answer))::DOUBLE), 3)), 6) AS agreement
@@ -447,13 +489,18 @@ def layout_markdown(spark, sf_dir):
     return rows.select("page", layout.to_markdown(F.col("blocks")).alias("markdown"))
 
 
-@query()
+@query(f"""WITH {_BLOCKS}, c AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY i DESC, category DESC, text DESC, y1 DESC) AS back FROM b),
+  k AS (SELECT page, category, text, y1, y2, count(*) AS times FROM c WHERE NOT (page % 3 = 1 AND back = 1) GROUP BY ALL)
+  SELECT p.page, CASE WHEN count(k.page) = 0 THEN 'failed' WHEN p.page % 3 = 1 OR max(times) > 1 THEN 'repaired' ELSE 'ok' END AS status, count(k.page)::INTEGER AS n, coalesce(sum(10 + k.y1 + 198 + k.y2), 0)::BIGINT AS ends
+  FROM (SELECT DISTINCT page FROM b) p LEFT JOIN k ON p.page = k.page GROUP BY p.page""")
 def layout_parse(spark, sf_dir):
-    """Pages as JSON, every third cut short and every third with a repeated block."""
+    """Pages as JSON, every third cut short in its last box; ends: all ends of boxes, brought to a page of 1000 x 1400."""
     one = F.struct("category", "text", F.array("x1", "y1", "x2", "y2").alias("bbox"))
     rows = order_blocks(spark, sf_dir).groupBy("page").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("i", one.alias("b")))), lambda x: x["b"])).alias("json"))
     cut = F.when(F.col("page") % 3 == 1, F.expr("substring(json, 1, length(json) - 5)")).otherwise(F.col("json"))
-    return rows.select("page", layout.parse_layout(layout.repair_layout(cut), F.lit(1000), F.lit(1400)).alias("p")).select("page", "p.status", F.size("p.blocks").alias("n"), F.to_json("p.blocks").alias("blocks"))
+    found = rows.select("page", cut.alias("json")).withColumn("json", layout.repair_layout("json")).select("page", layout.parse_layout(F.col("json"), F.lit(1000), F.lit(1400)).alias("p"))
+    ends = F.aggregate(F.flatten(F.transform("p.blocks", lambda b: b["bbox"])), F.lit(0).cast("long"), lambda a, v: a + v)
+    return found.select("page", "p.status", F.size("p.blocks").alias("n"), ends.alias("ends"))
 
 
 @query("""WITH w AS (SELECT l_orderkey AS page, l_suppkey % 2 AS block, l_linenumber AS ord, l_returnflag AS word, (l_partkey % 50)::INT AS x1, l_linenumber::INT AS y1, (l_partkey % 50 + 9)::INT AS x2, (l_linenumber + 1)::INT AS y2 FROM lineitem)
@@ -481,7 +528,7 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("user_id", "event_id", "event_type", "value", "ts", F.col("event_type").alias("model"), (F.col("event_type") == "error").alias("is_error"), F.col("value").alias("latency_s"))
 
 
-@query(_ORACLES["latest_prediction"])
+@query(registry.ORACLES["latest_prediction"])
 def stream_latest(spark, sf_dir):
     rows = _stream(spark, sf_dir).select("user_id", F.struct("ts", "event_id").alias("seq"), "event_id", "event_type", "value")
     return progress.drained(progress.latest_stream(rows, "user_id"), "update", ["user_id"]).select("user_id", "event_id", "event_type", "value")

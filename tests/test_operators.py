@@ -129,6 +129,14 @@ def test_labels_regions_and_groups(spark):
     boxes = "page int, i int, x1 int, y1 int, x2 int, y2 int"
     kept = blocks.outside_regions(spark.createDataFrame([(1, 0, 0, 0, 10, 10), (1, 1, 20, 0, 30, 10), (2, 0, 0, 0, 10, 10)], boxes), spark.createDataFrame([(1, 0, 0, 0, 8, 8)], boxes))
     assert {(r.page, r.i) for r in kept.collect()} == {(1, 1), (2, 0)}
+    pages = spark.createDataFrame([(1, 30, 20, 10, 5), (2, 0, 0, 0, 0), (3, 90, 0, 200, 10), (4, 100, 5, 120, 5)], "page int, x1 int, y1 int, x2 int, y2 int").withColumns({"width": F.lit(100), "height": F.lit(50)})
+    assert [tuple(r)[1:5] for r in blocks.clamped(pages).orderBy("page").collect()] == [(10, 5, 30, 20), (0, 0, 1, 1), (90, 0, 100, 10), (99, 5, 100, 6)]
+    around = blocks.region_around(spark.createDataFrame([(1, 10, 10, 20, 20), (1, 12, 30, 40, 50), (1, 9, 60, 20, 64)], boxes.replace("i int, ", "")).withColumns({"width": F.lit(100), "height": F.lit(66)}))
+    assert tuple(around.first()) == (1, 4, 5, 45, 66)
+    old = spark.createDataFrame([(1, i, 0, 10 * i, 10, 10 * i + 10) for i in range(5)], boxes)
+    new = spark.createDataFrame([(1, 0, 0, 12, 10, 18), (1, 1, 0, 20, 10, 30), (1, 2, 0, 5, 10, 12)], boxes.replace("i int", "k int"))
+    replaced = blocks.spliced(old, spark.createDataFrame([(1, 1, 2)], "page int, first int, last int"), new).orderBy("i").collect()
+    assert [(r.i, r.y1) for r in replaced] == [(0, 0), (1, 12), (2, 20), (3, 30), (4, 40)]
     groups = blocks.adjacent_groups(spark.createDataFrame([(1, 0, 0, 10), (1, 1, 4, 12), (1, 2, 11, 20)], "page int, i int, y1 int, y2 int")).orderBy("i").collect()
     assert [r.group for r in groups] == [1, 1, 2]
     jobs = spark.sql("SELECT '2026-01-01' AS id, array(named_struct('name', 'f')) AS files UNION ALL SELECT '2026-02-01', array(named_struct('name', 'f'), named_struct('name', 'g'))")
