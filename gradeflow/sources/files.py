@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 PREDICTION = "id string, text string, confidence double, latency_s double, extra string, error string"
 MANIFEST = "id string, image string, category string, gt string, gt_file string, gt_type string, doc_id string, split string, lang string"
@@ -13,9 +13,20 @@ TRUTH_TYPES = {"html": "table_html", "htm": "table_html", "md": "text", "txt": "
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, ordinal, line) of text files, each line with its number. A file is read whole, by one task."""
-    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    return text.select("file", F.posexplode(F.split("value", "\r?\n")).alias("ordinal", "line"))
+    """(file, at, line) of text files, read in splits; at orders the lines of a file: struct(start of the split, place in it)."""
+    text = spark.read.text(path).select("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("place"), "value")
+    return text.select(F.col("file_path").alias("file"), F.struct(F.col("file_block_start").alias("start"), "place").alias("at"), F.regexp_replace("value", "\r$", "").alias("line"))
+
+
+def numbered(spark: SparkSession, path: str) -> DataFrame:
+    """(file, ordinal, line): lines with their numbers over all files, in order of the files' paths. Only the number of lines of
+    each split meets in one place."""
+    read = lines(spark, path)
+    splits = read.groupBy("file", "at.start").agg(F.min("at.place").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a split
+    offsets = splits.withColumn("before", before).select(F.col("file").alias("_file"), "start", "first", "before")
+    met = read.join(F.broadcast(offsets), (F.col("at.start") == F.col("start")) & (F.col("file") == F.col("_file")))
+    return met.select("file", (F.col("before") + F.col("at.place") - F.col("first")).alias("ordinal"), "line")
 
 
 def truth_type(path: Column, explicit: Column) -> Column:
@@ -26,12 +37,14 @@ def truth_type(path: Column, explicit: Column) -> Column:
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """Items of a JSON Lines manifest; blank lines and those that begin with # are skipped. `image` may be a text or a list."""
-    rows = lines(spark, path).where("trim(line) <> '' AND NOT startswith(trim(line), '#')")
+    rows = numbered(spark, path).where("trim(line) <> '' AND NOT startswith(trim(line), '#')")
     rows = rows.select("file", "ordinal", "line", F.from_json("line", MANIFEST).alias("j"), F.try_parse_json("line").alias("meta"))
     images = F.coalesce(F.try_variant_get("meta", "$.image", "array<string>"), F.array("j.image"))
     group = F.coalesce(F.nullif("j.doc_id", F.lit("")), F.col("j.id"))
     kind = truth_type(F.coalesce("j.gt_file", F.lit("")), F.col("j.gt_type"))
-    return rows.select("ordinal", "j.id", images.alias("images"), "j.category", "j.gt", "j.gt_file", kind.alias("gt_type"), group.alias("doc_id"), "j.split", "j.lang", "meta")
+    raw = F.to_json(F.try_variant_get("meta", "$.id", "variant"))  # as it stands: 1 and "1" are two ids here
+    folder = F.regexp_replace("file", "[^/]*$", "")
+    return rows.select("ordinal", "j.id", raw.alias("raw_id"), images.alias("images"), "j.category", "j.gt", "j.gt_file", kind.alias("gt_type"), group.alias("doc_id"), "j.split", "j.lang", folder.alias("folder"), "meta")
 
 
 def manifest_errors(items: DataFrame) -> DataFrame:
@@ -41,16 +54,32 @@ def manifest_errors(items: DataFrame) -> DataFrame:
         .when(F.size(F.filter("images", lambda x: x.isNotNull() & (x != ""))) == 0, "no image")
         .when(F.col("split").isNotNull() & ~F.col("split").isin("dev", "holdout"), "bad split").when(F.coalesce("gt", "gt_file").isNull(), "no truth")
     )
-    twice = items.groupBy("id").agg(F.count("*").alias("n"), F.max("ordinal").alias("ordinal")).where("n > 1 AND id IS NOT NULL").select("ordinal", "id", F.lit("duplicate id").alias("problem"))
+    twice = items.groupBy("raw_id").agg(F.count("*").alias("n"), F.max("ordinal").alias("ordinal"), F.max("id").alias("id")).where("n > 1 AND id IS NOT NULL").select("ordinal", "id", F.lit("duplicate id").alias("problem"))
     return items.select("ordinal", "id", problem.alias("problem")).where("problem IS NOT NULL").unionByName(twice)
 
 
+def _resolved(folder: Column, path: Column) -> Column:
+    """A path relative to a folder, without `.` and `..`, as files are listed."""
+    whole = F.when(path.startswith("/") | path.rlike("^[a-z]+:"), path).otherwise(F.concat(folder, path))
+    parts = F.split(F.regexp_replace(whole, "^[a-z]+:/*", "/"), "/")
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda a, p: F.when(p.isin("", "."), a).when(p == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.array_append(a, p)))
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
 def with_truth_files(items: DataFrame, root: str) -> DataFrame:
-    """Truths that stand in files below root, joined by path; inline truths stay."""
+    """Truths that stand in files below root, joined by their whole path, which is relative to the manifest; inline truths stay."""
     spark = items.sparkSession
-    text = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True).select(F.regexp_extract(F.input_file_name(), "[^/]+$", 0).alias("_name"), F.col("value").alias("_text"))
-    met = items.withColumn("_name", F.regexp_extract("gt_file", "[^/]+$", 0)).join(text, "_name", "left")
-    return met.withColumn("gt", F.coalesce("gt", "_text")).drop("_name", "_text")
+    text = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True).select(_resolved(F.lit("/"), F.col("_metadata.file_path")).alias("_path"), F.col("value").alias("_text"))
+    met = items.withColumn("_path", _resolved(F.col("folder"), F.col("gt_file"))).join(text, "_path", "left")
+    return met.withColumn("gt", F.coalesce("gt", "_text")).drop("_path", "_text")
+
+
+def missing_files(items: DataFrame, root: str) -> DataFrame:
+    """(id, path) of images and truth files that items (id, images, gt_file, folder) name and that are not below root."""
+    spark = items.sparkSession
+    present = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(_resolved(F.lit("/"), F.col("path")).alias("path"))
+    named = items.select("id", "folder", F.explode(F.array_compact(F.array_append("images", F.col("gt_file")))).alias("name"))
+    return named.select("id", _resolved(F.col("folder"), F.col("name")).alias("path")).join(present, "path", "left_anti").select("id", "path")
 
 
 def paired_files(spark: SparkSession, root: str) -> DataFrame:
@@ -66,8 +95,8 @@ def paired_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def prediction_log(spark: SparkSession, path: str) -> DataFrame:
-    """Records of append-only JSON Lines logs with seq, the line's number; torn and blank lines are left out."""
-    rows = lines(spark, path).select("file", F.col("ordinal").cast("long").alias("seq"), F.from_json("line", PREDICTION).alias("p"), F.try_parse_json("line").alias("whole"))
+    """Records of append-only JSON Lines logs with seq, which orders those of a log; torn and blank lines are left out."""
+    rows = lines(spark, path).select("file", F.col("at").alias("seq"), F.from_json("line", PREDICTION).alias("p"), F.try_parse_json("line").alias("whole"))
     return rows.where("whole IS NOT NULL AND p.id IS NOT NULL").select(F.regexp_extract("file", r"([^/]+)/[^/]+$", 1).alias("model"), "seq", "p.*")
 
 
@@ -110,8 +139,28 @@ def write_summary(aggregates: DataFrame, path: str) -> None:
     aggregates.select(*plain).write.mode("overwrite").option("header", "true").csv(path)
 
 
-def markdown(frame: DataFrame, most: int = 1000) -> str:
-    """A Markdown table of a report's few rows, at most `most`; percent signs and rounding are the report's."""
-    rows = frame.limit(most).collect()
+def write_lock(digests: DataFrame, path: str) -> None:
+    """One file of lines `digest  name`, by name, as `lock` reads it."""
+    digests.orderBy("name").select(F.concat_ws("  ", "digest", "name")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def append_session(sessions: DataFrame, path: str) -> None:
+    """Sessions of runs (model, started, finished, spec, fingerprint, peak_vram_mib, ...) are only ever added; what is true of a model follows from all of them."""
+    sessions.write.mode("append").partitionBy("model").parquet(path)
+
+
+def metadata_of(sessions: DataFrame) -> DataFrame:
+    """(model, spec, peak_vram_mib, interrupted, sessions) from a model's sessions: the last specification, the peak over all (0 is unknown), any without an end."""
+    return sessions.groupBy("model").agg(F.max_by("spec", "started").alias("spec"), F.nullif(F.max("peak_vram_mib"), F.lit(0)).alias("peak_vram_mib"), F.bool_or(F.col("finished").isNull()).alias("interrupted"), F.count("*").alias("sessions"))
+
+
+def append_job(job: DataFrame, root: str) -> None:
+    """A job's record, in a folder of its own by id."""
+    job.write.mode("append").partitionBy("id").json(root)
+
+
+def markdown(frame: DataFrame) -> str:
+    """A Markdown table of a report's rows, which are few; percent signs and rounding are the report's."""
+    rows = frame.collect()
     show = lambda v: "—" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v).replace("|", "\\|")
     return "\n".join(["| " + " | ".join(frame.columns) + " |", "|" + "---|" * len(frame.columns), *("| " + " | ".join(map(show, r)) + " |" for r in rows)]) + "\n"

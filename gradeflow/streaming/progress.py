@@ -6,13 +6,17 @@ restart goes on from the checkpoint, and a record read twice changes nothing (re
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.layout import CATEGORY_AND_TEXT
+
 BREAK_AT = 10
+LOOP_BLOCKS, LOOP_CHARACTERS = 25, 6
 
 
 def latest_stream(log: DataFrame, key: str) -> DataFrame:
@@ -48,8 +52,8 @@ def breaker_stream(log: DataFrame, key: str, at: int = BREAK_AT) -> DataFrame:
     return log.select(key, "seq", "is_error").groupBy(key).applyInPandasWithState(advance, f"{key} {kind}, streak long, longest long, tripped boolean", "streak long, longest long, seen long", "update", GroupStateTimeout.NoTimeout)
 
 
-def token_loop_stream(tokens: DataFrame, key: str, stops: Callable[[list[int]], bool], tail: int = 4096) -> DataFrame:
-    """(key, n, stopped): token batches (key, seq, tokens) against a rule on the last `tail` tokens."""
+def token_loop_stream(tokens: DataFrame, key: str, stops: Callable[[list[int]], bool], tail: int) -> DataFrame:
+    """(key, n, stopped): token batches (key, seq, tokens) against a rule on the last `tail` tokens, which are as many as the rule looks at."""
 
     def advance(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, n, stopped = state.get if state.exists else ([], 0, False)
@@ -65,25 +69,56 @@ def token_loop_stream(tokens: DataFrame, key: str, stops: Callable[[list[int]],
     return tokens.groupBy(key).applyInPandasWithState(advance, f"{key} {kind}, n long, stopped boolean", "held array<long>, n long, stopped boolean", "update", GroupStateTimeout.NoTimeout)
 
 
-def append_new(batch: DataFrame, path: str) -> None:
-    """For foreachBatch: appends records whose (model, id, seq) is not in the log yet, so a replayed batch adds nothing."""
-    spark = batch.sparkSession
-    try:
-        known = spark.read.parquet(path).select("model", "id", "seq")
-        batch = batch.join(known, ["model", "id", "seq"], "left_anti")
-    except Exception as why:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(why) and "UNABLE_TO_INFER_SCHEMA" not in str(why):
-            raise
-    batch.write.mode("append").parquet(path)
+def text_loop_stream(texts: DataFrame, key: str) -> DataFrame:
+    """(key, n, stopped): pieces of layout JSON (key, seq, text) so far, and whether its last block has come too often in a row.
+
+    The state is the last block and how often it came, and the text after the last whole one.
+    """
+    pattern = re.compile(CATEGORY_AND_TEXT)
+
+    def advance(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, times, rest, n = state.get if state.exists else ("", 0, "", 0)
+        for piece in pd.concat(list(frames)).sort_values("seq")["text"]:
+            rest, n, end = rest + piece, n + len(piece), 0
+            for found in pattern.finditer(rest):
+                times = times + 1 if found[0] == last else 1
+                last, end = found[0], found.end()
+            rest = rest[end:]
+        said = pattern.fullmatch(last)
+        state.update((last, times, rest, n))
+        yield pd.DataFrame({key: [keys[0]], "n": [n], "stopped": [bool(said) and times >= LOOP_BLOCKS and len(said[2]) >= LOOP_CHARACTERS]})
+
+    kind = texts.schema[key].dataType.simpleString()
+    return texts.groupBy(key).applyInPandasWithState(advance, f"{key} {kind}, n long, stopped boolean", "last string, times long, rest string, n long", "update", GroupStateTimeout.NoTimeout)
+
 
+def peak_stream(samples: DataFrame, key: str, value: str) -> DataFrame:
+    """The greatest sample of each key so far (update mode)."""
+    return samples.groupBy(key).agg(F.max(value).alias("peak"), F.count("*").alias("samples"))
 
-def drained(stream: DataFrame, mode: str, keys: list[str]) -> DataFrame:
-    """Runs a stream over what its source holds now and returns the last row of each key as a table."""
+
+def append_new(batch: DataFrame, path: str, number: int) -> None:
+    """For foreachBatch: writes a batch's records to the batch's own folder, so that a batch that is played again replaces itself and the log is never read."""
+    batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
+def drained(stream: DataFrame, mode: str, keys: list[str], path: str | None = None) -> DataFrame:
+    """Runs a stream over what its source holds now and returns the last row of each key as a table. Rows go through files, not the driver."""
+    import tempfile
     import uuid
 
-    spark, name = stream.sparkSession, f"drained_{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    spark = stream.sparkSession
+    shared = path or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("a cluster needs a shared folder: set spark.checkpoint.dir")
+    place = f"{(shared or tempfile.mkdtemp(prefix='drained-')).rstrip('/')}/drained-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        append_new(batch, f"{place}/rows", number)
+
+    query = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    rows = spark.table(name).withColumn("_at", F.monotonically_increasing_id())  # batches are kept in order
+    rows = spark.read.schema(stream.schema).option("basePath", f"{place}/rows").parquet(f"{place}/rows")
+    rows = rows.withColumn("_batch", F.regexp_extract("_metadata.file_path", r"/batch=(\d+)/", 1).cast("long"))
     rest = [c for c in stream.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_at").alias("_last")).select(*keys, "_last.*")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_last")).select(*keys, "_last.*")

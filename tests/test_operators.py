@@ -23,7 +23,26 @@ def test_manifest_round(spark, tmp_path):
     assert got[2].images == ["x/a.png"] and got[3].images == ["b1.png", "b2.png"] and got[3].gt_type == "table_html" and got[2].doc_id == "a" and got[5].id is None
     assert sorted(r.problem for r in files.manifest_errors(items).collect()) == ["bad JSON", "duplicate id", "no id", "no image"]
     assert [r.doc_id for r in dataset.leaked_groups(items).collect()] == ["a"]
-    assert {r.id: r.gt for r in files.with_truth_files(items, str(tmp_path / "t")).collect() if r.id == "b"} == {"b": "<table></table>"}
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other/b.html").write_text("another file of that name")
+    assert {r.id: r.gt for r in files.with_truth_files(items, str(tmp_path)).collect() if r.id == "b"} == {"b": "<table></table>"}
+    (tmp_path / "b1.png").write_text("x")
+    assert {(r.id, r.path.rsplit("/", 1)[1]) for r in files.missing_files(items.where("id = 'b'"), str(tmp_path)).collect()} == {("b", "b2.png")}
+
+
+def test_lines_of_several_files_and_splits(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(json.dumps({"id": f"{name}{i}", "text": str(i) * 20}) for i in range(500)) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1024")
+    try:
+        got = files.numbered(spark, str(tmp_path)).collect()
+        assert sorted((r.ordinal, json.loads(r.line)["id"]) for r in got) == list(enumerate([f"{n}{i}" for n in "ab" for i in range(500)]))
+        log = files.prediction_log(spark, str(tmp_path)).collect()
+        assert [r.id for r in sorted((r for r in log if r.id[0] == "b"), key=lambda r: r.seq)] == [f"b{i}" for i in range(500)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
 def test_paired_files_and_locks(spark, tmp_path):
@@ -152,9 +171,9 @@ def test_streams_resume_and_ignore_replays(spark, tmp_path):
     got = progress.drained(progress.breaker_stream(stream, "model", 3), "update", ["model"]).first()
     assert (got.longest, got.tripped, got.streak) == (3, True, 0)
     batch = spark.read.schema(schema).parquet(f"{log}/0")
-    for _ in range(2):
-        progress.append_new(batch, str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+    for number in (0, 0, 1):
+        progress.append_new(batch, str(tmp_path / "out"), number)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 4
 
 
 def test_scores_replace_their_own_parts_only(spark, tmp_path):
