@@ -5,10 +5,13 @@ labels reversed, then the path, so that a rule's prefix is an interval of sorted
 labels between host and path, so a url has one key for each suffix of its host, and a rule fits exactly if
 one of these keys lies in its interval. Intervals of prefixes are nested or apart. A sweep over rules and
 keys in sorted order therefore needs a stack of the open rules only: the running sum of starts and ends is
-its height, and the last rule started at that height is its top. Both are window functions.
+its height, and the last rule started at that height is its top. Both are window functions, the second within one
+height, so rules may be nested as deeply as they like. Keys are compared as UTF-8, where no byte is 0xFF: a prefix with
+that byte after it ends its interval.
 
 The sweep runs apart for each rule host and salt: rules are copied to every salt of their host, so that a
-host with most of all urls is swept in many tasks. Only suffixes that are some rule's host are swept.
+host with most of all urls is swept in many tasks. A host has a salt for SWEPT urls, or for COPIES of its rules if that is more, by
+its counted urls. Only suffixes that are some rule's host are swept.
 
 The longest rule (host and path together) wins, the least by code point among equals, block among rules
 that are the same. Null urls and those without `://` have empty host and path and fit no rule.
@@ -21,12 +24,10 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from . import storage
 
 ALLOW, BLOCK = "allow", "block"
-#: Salts of a host: tasks that share the sweep of one host's urls.
-SALTS = 64
-#: Deepest nesting of rules of one host; more is an error.
-MAX_DEPTH = 32
-#: Above every character of a url in code point order: ends an interval.
-_TOP = "\U0010ffff"
+#: Broadcast what is a row a rule host up to so many rules.
+MAX_BROADCAST = 100_000
+#: Urls of a host that one sweep takes, and at least so many for each rule that is copied to it.
+SWEPT, COPIES = 2_000, 16
 
 
 def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
@@ -42,7 +43,7 @@ def split_url(url) -> tuple:
     return host, path
 
 
-def judge(urls: DataFrame, rules: DataFrame, default: str = ALLOW, salts: int = SALTS) -> DataFrame:
+def judge(urls: DataFrame, rules: DataFrame, default: str = ALLOW, swept: int = SWEPT) -> DataFrame:
     """(id, host, path, rule, verdict) of rows (id, url); rule is null and the verdict the default where none fits.
 
     Ids may repeat or be null: each row is judged by itself. rules as from rule_table; without rules all get the default.
@@ -55,18 +56,24 @@ def judge(urls: DataFrame, rules: DataFrame, default: str = ALLOW, salts: int =
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     keys = asked.select("host", "path", F.explode(suffixes).alias("at")).join(rules.select(F.col("rule_host").alias("at")).distinct(), "at", "left_semi")
+    keys = storage.checkpointed(keys)
+    # a row a rule host
+    load = keys.groupBy("at").agg(F.count("*").alias("urls")).join(rules.groupBy(F.col("rule_host").alias("at")).agg(F.count("*").alias("rules")), "at")
+    load = load.select("at", F.ceil(F.col("urls") / F.greatest(F.lit(swept), COPIES * F.col("rules"))).alias("salts"))
+    spread = F.broadcast(load) if rules.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else load
     # within one host the canonical keys differ in the path alone
-    point = keys.select("at", F.pmod(F.xxhash64("host", "path"), F.lit(salts)).alias("salt"), F.col("path").alias("key"), F.lit(2).alias("kind"), F.lit(0).alias("order"), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("rule_verdict"))
-    copied = rules.select(F.col("rule_host").alias("at"), "prefix", "rule", "rule_verdict", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
-    none = F.lit(None).cast("string")
-    start = copied.select("at", "salt", F.col("prefix").alias("key"), F.lit(1).alias("kind"), F.length("prefix").alias("order"), none.alias("host"), none.alias("path"), "rule", "rule_verdict")
-    end = copied.select("at", "salt", F.concat("prefix", F.lit(_TOP)).alias("key"), F.lit(0).alias("kind"), (-F.length("prefix")).alias("order"), none.alias("host"), none.alias("path"), none.alias("rule"), none.alias("rule_verdict"))
+    none, bytes_ = F.lit(None).cast("string"), lambda c: F.encode(c, "UTF-8")
+    point = keys.join(spread, "at").select("at", F.pmod(F.xxhash64("host", "path"), F.col("salts")).alias("salt"), bytes_(F.col("path")).alias("key"), F.lit(2).alias("kind"), F.lit(0).alias("order"), "host", "path", none.alias("rule"), none.alias("rule_verdict"))
+    copied = rules.withColumnRenamed("rule_host", "at").join(load, "at").select("at", "prefix", "rule", "rule_verdict", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    start = copied.select("at", "salt", bytes_(F.col("prefix")).alias("key"), F.lit(1).alias("kind"), F.length("prefix").alias("order"), none.alias("host"), none.alias("path"), "rule", "rule_verdict")
+    end = copied.select("at", "salt", F.concat(bytes_(F.col("prefix")), F.unhex(F.lit("FF"))).alias("key"), F.lit(0).alias("kind"), (-F.length("prefix")).alias("order"), none.alias("host"), none.alias("path"), none.alias("rule"), none.alias("rule_verdict"))
     events = point.unionByName(start).unionByName(end)
     sweep = Window.partitionBy("at", "salt").orderBy("key", "kind", "order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    swept = events.withColumn("height", F.sum(F.when(F.col("kind") == 1, 1).when(F.col("kind") == 0, -1).otherwise(0)).over(sweep))
-    started = [F.last(F.when((F.col("kind") == 1) & (F.col("height") == d), F.struct("rule", "rule_verdict")), ignorenulls=True).over(sweep) for d in range(1, MAX_DEPTH + 1)]
-    swept = swept.withColumn("stack", F.array(*started)).where("kind = 2 AND height > 0")
-    checked = F.when(F.col("height") <= MAX_DEPTH, F.expr("stack[height - 1]")).otherwise(F.raise_error(F.lit("rules are nested too deeply")))
-    best = swept.select("host", "path", checked.alias("top")).groupBy("host", "path").agg(F.min(F.struct((-F.length("top.rule")).alias("k"), F.col("top.rule").alias("rule"), F.col("top.rule_verdict").alias("verdict"))).alias("best"))
+    step = F.when(F.col("kind") == 1, 1).when(F.col("kind") == 0, -1).otherwise(0)
+    events = events.withColumn("height", F.sum(step).over(sweep)).where("kind > 0 AND height > 0")
+    level = Window.partitionBy("at", "salt", "height").orderBy("key", "kind", "order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    top = F.last(F.when(F.col("kind") == 1, F.struct("rule", "rule_verdict")), ignorenulls=True).over(level)
+    swept_ = events.withColumn("top", top).where("kind = 2")
+    best = swept_.select("host", "path", "top").groupBy("host", "path").agg(F.min(F.struct((-F.length("top.rule")).alias("k"), F.col("top.rule").alias("rule"), F.col("top.rule_verdict").alias("verdict"))).alias("best"))
     best = storage.checkpointed(best.select("host", "path", "best.rule", "best.verdict"))
     return rows.join(best, ["host", "path"], "left").select("id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
