@@ -6,8 +6,11 @@ MIN_REVISIT bytes, that with the largest page id is a response and the others ar
 payload; smaller ones are all responses. Payloads are compared by SHA-1 and length. Which payloads repeat is
 counted in each task first, and only payloads that do repeat are joined.
 
+Every record has an id of its own and the date of writing; page ids stand in headers X-Page-ID and X-Refers-To-Page,
+since they may repeat. Where records begin, one every INDEX_BYTES, lies in a file beside each part file.
+
 Reading. Files are cut into ranges of about SPLIT_BYTES; a range holds the records that begin in it. A reader
-steps from record to record by Content-Length. It parses the headers, tests the pushed-down predicates on
+begins at the last indexed record before its range and steps from record to record by Content-Length. It parses the headers, tests the pushed-down predicates on
 record type and headers, and reads and decodes the payload only if all hold and a column needs it.
 Predicates are pushed down where spark.sql.python.filterPushdown.enabled is true; Spark checks them again.
 
@@ -20,8 +23,11 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
+import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
@@ -31,6 +37,8 @@ MIN_REVISIT = 1000
 #: Broadcast repeated payloads up to so many rows (80 bytes each).
 MAX_BROADCAST = 100_000
 SPLIT_BYTES = 32 << 20
+INDEX_BYTES = 1 << 20
+_INDEX = "_index"
 _CRLF = "\r\n"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _START = b"WARC/1.1\r\n"
@@ -40,12 +48,9 @@ HEADER_COLUMNS = "page_id long, url string, record_type string, payload_bytes lo
 SCHEMA = HEADER_COLUMNS + ", payload binary"
 
 
-def _record_id(page_id) -> F.Column:
-    return F.concat(F.lit("<urn:page:"), page_id.cast("string"), F.lit(">"))
-
-
-def write(pages: DataFrame, uri: str, least: int = MIN_REVISIT) -> None:
-    """Writes a record for every row (page_id, url, html)."""
+def write(pages: DataFrame, uri: str, least: int = MIN_REVISIT, date: str | None = None) -> None:
+    """Writes a record for every row (page_id, url, html); date: when the pages were fetched (ISO, UTC), now if not given."""
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     rows = rows.withColumns({"bytes": F.octet_length("html").cast("long"), "digest": F.sha1("html")})
@@ -72,15 +77,63 @@ def write(pages: DataFrame, uri: str, least: int = MIN_REVISIT) -> None:
     block = F.when(revisit, F.lit(_HTTP)).otherwise(F.concat(F.lit(_HTTP), F.col("html")))
     record = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), kind, F.lit(_CRLF),
-        head("WARC-Record-ID", _record_id(F.col("page_id"))),
-        head("WARC-Target-URI", clean),
-        head("WARC-Refers-To", F.when(revisit, _record_id(F.col("first")))),
+        F.lit("WARC-Record-ID: <urn:uuid:"), F.uuid(), F.lit(f">\r\nWARC-Date: {date}\r\n"),
+        head("WARC-Target-URI", clean), head("X-Page-ID", F.col("page_id").cast("string")), head("X-Refers-To-Page", F.when(revisit, F.col("first").cast("string"))),
         F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n")).otherwise(""),
         head("WARC-Payload-Digest", digest), head("X-Payload-Length", F.col("bytes").cast("string")),
         F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"),
         block,
     )
     met.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").text(uri)
+    _write_index(pages.sparkSession, uri)
+
+
+def _parts(uri: str) -> list[tuple[str, int]]:
+    return [x for x in storage.list_files(uri) if not x[0].rsplit("/", 1)[1].startswith(("_", "."))]
+
+
+def _index_of(name: str) -> str:
+    folder, file = name.rsplit("/", 1)
+    return f"{folder}/{_INDEX}/{file}"
+
+
+def _write_index(spark: SparkSession, uri: str) -> None:
+    """For each part file, the offsets of records, one every INDEX_BYTES: one walk over headers a file."""
+    names = [name for name, size in _parts(uri) if size]
+    if not names:
+        return
+    fs, path = pafs.FileSystem.from_uri(uri)
+    fs.create_dir(f"{path}/{_INDEX}")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column("uri").to_pylist():
+                kept, due = [], 0
+                fs, path = pafs.FileSystem.from_uri(name)
+                with fs.open_input_file(path) as source:
+                    for at in _starts(source, 0, source.size()):
+                        if at >= due:
+                            kept.append(at)
+                            due = at + INDEX_BYTES
+                storage.put_file(_index_of(name), np.array(kept, np.int64).tobytes())
+            yield batch
+
+    spark.createDataFrame(list(enumerate(names)), "number int, uri string").repartitionById(len(names), "number").mapInArrow(walk, "number int, uri string").agg(F.count("*")).collect()
+
+
+def _header(source: pa.NativeFile, at: int, size: int) -> tuple[dict[str, str], int]:
+    """The fields of the record that begins at an offset, and where its block begins."""
+    head = b""
+    while (n := head.find(_GAP)) < 0 and at + len(head) < size:
+        head += source.read_at(min(1024 + len(head), size - at - len(head)), at + len(head))
+    return dict(x.split(": ", 1) for x in head[:n].decode("utf-8", "replace").split(_CRLF)[1:] if ": " in x), at + n + len(_GAP)
+
+
+def _starts(source: pa.NativeFile, at: int, size: int) -> Iterator[int]:
+    while at < size:
+        yield at
+        fields, block = _header(source, at, size)
+        at = block + int(fields["Content-Length"]) + len(_GAP)
 
 
 class _Range(InputPartition):
@@ -90,8 +143,7 @@ class _Range(InputPartition):
 
 
 def _number(text: str | None) -> int | None:
-    digits = (text or "").removeprefix("<urn:page:").rstrip(">")
-    return int(digits) if digits.lstrip("-").isdigit() else None
+    return int(text) if text and text.lstrip("-").isdigit() else None
 
 
 def _digest(text: str | None) -> str | None:
@@ -119,8 +171,7 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        files = [x for x in storage.list_files(self._uri) if not x[0].rsplit("/", 1)[1].startswith(("_", "."))]
-        cut = [_Range(name, at, min(size, at + self._split)) for name, size in files for at in range(0, size, self._split)]
+        cut = [_Range(name, at, min(size, at + self._split)) for name, size in _parts(self._uri) for at in range(0, size, self._split)]
         return cut or [_Range("", 0, 0)]
 
     def _passes(self, row: dict) -> bool:
@@ -142,45 +193,34 @@ class WarcReader(DataSourceReader):
             yield pa.RecordBatch.from_pylist(held, schema=self._schema)
 
     def _records(self, part: _Range) -> Iterator[dict]:
-        from pyarrow import fs as pafs
-
         if not part.uri:
             return
         fs, path = pafs.FileSystem.from_uri(part.uri)
         with fs.open_input_file(path) as source:
             size = source.size()
-            at = self._first(source, part.begin, size)
-            while at is not None and at < part.end:
-                head = b""
-                while (n := head.find(_GAP)) < 0 and at + len(head) < size:
-                    head += source.read_at(min(1024 + len(head), size - at - len(head)), at + len(head))
-                fields = dict(x.split(": ", 1) for x in head[:n].decode("utf-8", "replace").split(_CRLF)[1:] if ": " in x)
-                body, length = at + n + len(_GAP), int(fields["Content-Length"])
+            for at in _starts(source, self._indexed(part), size):
+                if at >= part.end:
+                    break
+                if at < part.begin:
+                    continue
+                fields, body = _header(source, at, size)
                 row = {
-                    "page_id": _number(fields.get("WARC-Record-ID")), "url": fields.get("WARC-Target-URI"), "record_type": fields.get("WARC-Type"),
-                    "payload_bytes": _number(fields.get("X-Payload-Length")), "payload_digest": _digest(fields.get("WARC-Payload-Digest")), "refers_to": _number(fields.get("WARC-Refers-To")),
+                    "page_id": _number(fields.get("X-Page-ID")), "url": fields.get("WARC-Target-URI"), "record_type": fields.get("WARC-Type"),
+                    "payload_bytes": _number(fields.get("X-Payload-Length")), "payload_digest": _digest(fields.get("WARC-Payload-Digest")), "refers_to": _number(fields.get("X-Refers-To-Page")),
                 }
                 if self._passes(row):
                     if "payload" in self._columns and row["record_type"] == "response":
-                        block = source.read_at(length, body)
+                        block = source.read_at(int(fields["Content-Length"]), body)
                         row["payload"] = block[block.index(_GAP) + len(_GAP) :]
                     yield {k: row.get(k) for k in self._columns}
-                at = body + length + len(_GAP)
 
     @staticmethod
-    def _first(source, begin: int, size: int) -> int | None:
-        """Where the first record at or after an offset begins. Only a walk by lengths from the file's start tells
-        records from payloads that quote them; it reads headers alone."""
-        if begin == 0:
-            return 0
-        at = 0
-        while at < begin:
-            head = b""
-            while (n := head.find(_GAP)) < 0 and at + len(head) < size:
-                head += source.read_at(min(1024 + len(head), size - at - len(head)), at + len(head))
-            length = next(int(x[16:]) for x in head[:n].decode("utf-8", "replace").split(_CRLF) if x.startswith("Content-Length: "))
-            at += n + 2 * len(_GAP) + length
-        return at if at < size else None
+    def _indexed(part: _Range) -> int:
+        """The last indexed record not after the range's begin; the file's first without an index. Only a walk by lengths from a
+        known record tells records from payloads that quote them."""
+        known = storage.get_file(_index_of(part.uri)) if part.begin else None
+        starts = np.frombuffer(known or b"", np.int64)
+        return int(starts[np.searchsorted(starts, part.begin, "right") - 1]) if len(starts) else 0
 
 
 class WarcSource(DataSource):
