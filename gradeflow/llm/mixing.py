@@ -35,7 +35,7 @@ SEED = 20240229
 MAX_SOURCES = 200_000
 #: Hash buckets among which documents of one source and length are ranked.
 BUCKETS = 4096
-#: Words that the dynamic program fits at most: its table has that many cells for each length.
+#: Words that the dynamic program fits at least: its table has a cell for each.
 WINDOW = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -55,12 +55,18 @@ def targets(sizes: list[int], weights: list[float], repeats: int = REPEATS) -> l
     return out
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = WINDOW) -> np.ndarray:
-    """How many documents of each length to take (at most counts) so that their words come as near to budget as can be found."""
+def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int | None = None) -> np.ndarray:
+    """How many documents of each length to take (at most counts) so that their words come as near to budget as can be found.
+
+    The dynamic program fits `window` words, by default WINDOW or four of the longest documents, whichever is more, so that it
+    always has several documents of any length to choose from.
+    """
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
-    take = np.array([int(c) * budget // total for c in counts], np.int64) if total else np.zeros(len(counts), np.int64)
+    window = window or max(WINDOW, 4 * int(lengths[counts > 0].max()))
+    # a source that the table holds as a whole is fitted as a whole
+    take = np.array([int(c) * budget // total for c in counts], np.int64) if total > window else np.zeros(len(counts), np.int64)
     missing = budget - int((lengths * take).sum())
     order = np.argsort(-lengths, kind="stable")
     for i in order:  # leave the dynamic program some words to fit
@@ -73,31 +79,38 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = WIND
 
 
 def _fill(lengths: np.ndarray, counts: np.ndarray, take: np.ndarray, missing: int, window: int) -> None:
-    """Adds to take the documents left whose words come nearest to what is missing, up to the window."""
+    """Adds to take the documents left whose words come nearest to what is missing, up to the window.
+
+    Documents of one length go in by lots of 1, 2, 4, ..., of which any number of them can be made; a sum remembers the lot that
+    reached it first, and the sums before it the lots before.
+    """
     fits = min(missing, window)
-    cells = fits + min(fits, window // 8) + 1  # a sum just above may be nearer than any below
-    usable = [i for i in np.argsort(lengths, kind="stable") if 0 < lengths[i] < cells and counts[i] > take[i]]
-    by = np.full(cells, -1, np.int64)  # length index of the last step to a reachable sum
-    used = np.zeros(cells, np.int64)  # how many of that length the sum holds
+    cells = 2 * fits + 1  # a sum above may be nearer than any below
+    by = np.full(cells, -1, np.int32)
     reach = np.zeros(cells, bool)
     reach[0] = True
-    for i in usable:
+    lots: list[tuple[int, int]] = []
+    for i in np.argsort(-lengths, kind="stable"):  # long ones first: short ones fill up
+        step, room = int(lengths[i]), int(counts[i] - take[i])
+        if not 0 < step < cells:
+            continue
+        room, size = min(room, (cells - 1) // step), 1
+        while room and not reach[fits]:
+            n = min(size, room)
+            fresh = np.flatnonzero(reach[: cells - n * step]) + n * step
+            fresh = fresh[~reach[fresh]]
+            by[fresh] = len(lots)
+            reach[fresh] = True
+            lots.append((i, n))
+            room, size = room - n, 2 * size
         if reach[fits]:
             break
-        step, room = int(lengths[i]), int(counts[i] - take[i])
-        old = reach.copy()
-        for n in range(1, min(room, (cells - 1) // step) + 1):
-            fresh = np.zeros(cells, bool)
-            fresh[n * step :] = old[: cells - n * step]
-            fresh &= ~reach
-            by[fresh], used[fresh] = i, n
-            reach |= fresh
     sums = np.flatnonzero(reach)
     at = int(sums[np.argmin(np.abs(sums - fits))])
     while at:
-        i, n = by[at], used[at]
+        i, n = lots[by[at]]
         take[i] += n
-        at -= int(n * lengths[i])
+        at -= n * int(lengths[i])
 
 
 def _nearer(lengths: np.ndarray, counts: np.ndarray, take: np.ndarray, budget: int, window: int) -> np.ndarray:
