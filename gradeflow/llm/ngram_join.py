@@ -12,11 +12,11 @@ first. It serves twice:
   is counted in each fragment separately and summed per pair.
 
 Equal sets are one class from the start. Links are wanted for components, so pairs whose ends are already
-connected need no check: first every class is compared with the first of its min-hash buckets and of its
-prefix shingles, then with another of each prefix shingle that several components still hold, and last every pair
-across components that shares a prefix shingle and passes the length and position bounds is compared. The last step leaves
-out no pair that could link two components, so the result is exact, while a group of n near copies costs about n
-comparisons, not n * n. Each step's components are found on the components of the one before.
+connected need no check: first every class is compared with the first of its min-hash buckets; then, as long as a
+tenth of the components goes each time, with the first, in an order that changes, of each prefix shingle that several
+components still hold; and last every pair across components that shares a prefix shingle and passes the length and
+position bounds is compared. The last step leaves out no pair that could link two components, so the result is exact, while
+a group of n near copies costs a few n comparisons, not n * n. Each step's components are found on the components of the one before.
 
 Null or empty texts have no shingles and no links. Rows with the same text or the same doc_id are separate
 rows of one class. A null doc_id takes part; it is reported as null and never names a component that has
@@ -32,7 +32,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from . import storage, textscan, vertical
 from .components import components
@@ -180,9 +180,10 @@ def _grouped(profiles: DataFrame, percent: int, scratch: storage.Scratch) -> Dat
         several = rows.groupBy("w").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("w")
         return scratch.keep(rows.join(several, "w", "left_semi"))
 
-    def star(rows: DataFrame, rank: Column) -> DataFrame:
-        """Pairs of the rows (w, rid, n, comp) of a w with the first of them by rank, but for those of its component."""
-        first = rows.groupBy("w").agg(F.min(F.struct(rank.alias("rank"), "rid", "n", "comp")).alias("f")).select("w", F.col("f.rid").alias("a"), F.col("f.n").alias("na"), F.col("f.comp").alias("ca"))
+    def star(rows: DataFrame, turn: int) -> DataFrame:
+        """Pairs of the rows (w, rid, n, comp) of a w with the first of them, but for those of its component; each turn and quarter of the w orders the rows anew."""
+        rank = F.xxhash64("rid", F.lit(turn), F.pmod("w", F.lit(4))).alias("rank")
+        first = rows.groupBy("w").agg(F.min(F.struct(rank, "rid", "n", "comp")).alias("f")).select("w", F.col("f.rid").alias("a"), F.col("f.n").alias("na"), F.col("f.comp").alias("ca"))
         met = rows.select("w", F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb")).join(first, "w")
         return met.where(f"ca <> cb AND {alike}").select("a", "b", "na", "nb", "ca", "cb").distinct()
 
@@ -199,13 +200,17 @@ def _grouped(profiles: DataFrame, percent: int, scratch: storage.Scratch) -> Dat
     prefix = texts.select("rid", "n", (F.col("n") - shared).alias("alone"), F.posexplode("prefix").alias("i", "w"), F.col("rid").alias("comp"))
     prefix = prefix.select("w", "rid", "n", (F.col("n") - F.col("alone") - F.col("i")).alias("rest"), "comp")  # rest: shingles from this one on
     sketch = texts.select(F.posexplode("sketch").alias("i", "h"), "rid", "n", F.col("rid").alias("comp")).select(F.xxhash64("i", "h").alias("w"), "rid", "n", "comp")
-    moves = [merged(star(sketch.unionByName(prefix.drop("rest")), F.col("rid")))]
+    moves = [merged(star(sketch, 0))]
     rows = mixed(relabelled(prefix, moves[0]))
-    for pairs in (lambda rows: star(rows, F.xxhash64("rid")), across):
-        if rows.isEmpty():
+    left = rows.select("comp").distinct().count()
+    while left:
+        moves.append(merged(star(rows, len(moves))))
+        rows = mixed(relabelled(rows, moves[-1]))
+        before, left = left, rows.select("comp").distinct().count()
+        if 10 * left > 9 * before:
             break
-        moves.append(merged(pairs(rows)))
-        rows = mixed(relabelled(rows, moves[-1])) if pairs is not across else rows
+    if left:
+        moves.append(merged(across(rows)))
     named = classes.withColumn("comp", F.col("class"))
     for move in moves:
         named = relabelled(named, move)
