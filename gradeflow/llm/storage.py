@@ -1,7 +1,7 @@
 """Scratch space and files in the folder that driver and executors share.
 
-The folder is ``spark.checkpoint.dir`` of the session. Only where it is unset (as in tests on one
-machine) a temporary folder of our own is made and set. Everything written here outlives the loss of
+The folder is ``spark.checkpoint.dir`` of the session. Only where it is unset and all runs on one machine (as in
+tests) a temporary folder of our own is made and set; a cluster without it is an error. Everything written here outlives the loss of
 an executor: files get their final name by one rename after they are complete, and a task that runs
 again writes the same name with the same content.
 """
@@ -25,6 +25,9 @@ def shared_dir(spark: SparkSession) -> str:
     """URI of the shared folder; sets Spark's checkpoint folder to it if there is none yet."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("a cluster needs a folder that all machines share: set spark.checkpoint.dir")
         found = "file://" + tempfile.mkdtemp(prefix="gradeflow-")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:

@@ -23,7 +23,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from . import storage
+from . import storage, textscan
 
 #: Keys that a scan gathers before it sums them and sends them off.
 FLUSH_KEYS = 3_000_000
@@ -88,8 +88,8 @@ class Checksum:
     def add(self, batch: pa.RecordBatch) -> pa.RecordBatch:
         for column in batch.columns:
             if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
-                lengths = pa.compute.fill_null(pa.compute.binary_length(column), -1)
-                self.value = zlib.crc32(np.asarray(lengths).astype(np.int64).tobytes(), self.value)
+                data, offsets = textscan.flat(column)
+                self.value = zlib.crc32(offsets.tobytes(), zlib.crc32(data, self.value))
         return batch
 
 
