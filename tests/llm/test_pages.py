@@ -1,6 +1,7 @@
 """WARC archives and URL rules."""
 
 import hashlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -46,6 +47,23 @@ def test_splits_and_pushed_filters(spark, archive):
     assert {r["record_type"] for r in found} == {"revisit"} and all(r["payload"] is None for r in found)
 
 
+def test_archives_are_as_the_standard_asks(spark, archive):
+    from pathlib import Path
+
+    text = "".join(p.read_text(newline="") for p in sorted(Path(archive.removeprefix("file://")).glob("part-*")))
+    heads = [h for h in text.split("\r\n\r\n") if h.startswith("WARC/1.1\r\nWARC-Type")]
+    assert len(heads) == len(PAGES) and len({h.split("WARC-Record-ID: ")[1].split("\r\n")[0] for h in heads}) == len(PAGES)
+    assert all(h.count("\r\nWARC-Date: 2") == 1 and "\r\nContent-Length: " in h for h in heads)
+
+
+def test_very_long_payloads_and_an_index(spark, monkeypatch):
+    pages = [(i, f"http://a.com/{i}", f"{i} " + "long payload WARC/1.1\r\n\r\n" * (40_000 if i % 5 == 0 else 50)) for i in range(40)]
+    uri = f"{storage.shared_dir(spark)}/test-warc-{storage.unique()}"
+    warc.write(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), uri)
+    got = {r.page_id: bytes(r.payload).decode() for r in spark.read.format("warc").option("splitBytes", "300000").schema(warc.SCHEMA).load(uri).collect()}
+    assert got == {i: h for i, _, h in pages}
+
+
 def test_empty_archive(spark):
     uri = f"{storage.shared_dir(spark)}/test-warc-{storage.unique()}"
     warc.write(spark.createDataFrame([], "page_id long, url string, html string"), uri)
@@ -61,11 +79,13 @@ def brute_verdict(url, rules):
 
 
 def test_rules(spark, sf_dir):
-    rules = [*queries.URL_RULES, ("block", "com", ""), ("allow", "a.com", "/x/y"), ("block", "a.com", "/x"), ("allow", "a.com", "/x/"), ("block", "b.a.com", "/x/y/z")]
-    urls = [None, "", "no scheme", "http://", "http://A.com", "https://a.com/x/y/z?q", "x://b.a.com/x/y/z", "x://ba.com/x/y", "http://a.com?x/", "http://a.com#/x", "http://a.com/xy", "://a.com/x/", "http://é.net/de/", "http://example.net/de/8?a#b", "http://a.com/x\n/y", "HTTP://B.A.COM/X"] * 2
+    rules = [*queries.URL_RULES, *(("allow" if k % 2 else "block", "deep.org", "/" + "d" * k) for k in range(60)), ("block", "com", ""), ("allow", "a.com", "/x/y"), ("block", "a.com", "/x"), ("allow", "a.com", "/x/"), ("block", "b.a.com", "/x/y/z")]
+    urls = [None, "", "no scheme", "http://", "http://A.com", "https://a.com/x/y/z?q", "x://b.a.com/x/y/z", "x://ba.com/x/y", "http://a.com?x/", "http://a.com#/x", "http://a.com/xy", "://a.com/x/", "http://é.net/de/", "http://example.net/de/8?a#b", "http://a.com/x\n/y", "HTTP://B.A.COM/X", "http://a.com/x/\U0010ffffx", "http://deep.org/" + "d" * 80, "http://x.deep.org/ddd/d", "http://deep.org/" + "d" * 59 + "\uffff", "http://a.com/x/" + "long" * 5000] * 2
     urls += [r.url for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
     frame = spark.createDataFrame(list(enumerate(urls)), "id long, url string").withColumn("host", F.lit("clash"))
     got = {r.id: (r.host, r.path, r.rule, r.verdict) for r in urlfilter.judge(frame, urlfilter.rule_table(spark, rules)).collect()}
     assert got == {i: brute_verdict(u, rules) for i, u in enumerate(urls)}
+    spread = [(i % 3 if i % 7 else None, f"http://s{i}.a.com/x/y{i}") for i in range(300)]
+    assert Counter((r.id, r.rule) for r in urlfilter.judge(spark.createDataFrame(spread, "id long, url string"), urlfilter.rule_table(spark, rules), swept=5).collect()) == Counter((i, brute_verdict(u, rules)[2]) for i, u in spread)
     assert {r.verdict for r in urlfilter.judge(frame, urlfilter.rule_table(spark, rules).limit(0)).collect()} == {"allow"}
     assert urlfilter.judge(frame.limit(0), urlfilter.rule_table(spark, rules)).collect() == []

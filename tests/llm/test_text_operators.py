@@ -156,6 +156,26 @@ def test_fit_of_few_and_of_long_documents():
         assert all(abs(missing) <= abs(missing - a + b) for a in [0, *more] for b in [0, *less])
 
 
+def test_fit_of_long_documents_and_of_few_is_exact():
+    rng = np.random.default_rng(12)
+    for _ in range(12):
+        lengths = np.unique(rng.integers(5000, 60_000, 120))
+        counts = rng.integers(1, 3, len(lengths))
+        for share in (0.1, 0.3, 0.7):
+            budget = int((lengths * counts).sum() * share)
+            assert abs(int((lengths * mixing.fit(lengths, counts, budget)).sum()) - budget) <= 3
+    for _ in range(100):
+        lengths = np.unique(rng.integers(1, 9000, rng.integers(1, 7)))
+        counts = rng.integers(1, 3, len(lengths))
+        sums = {0}
+        for n, c in zip(lengths.tolist(), counts.tolist()):
+            sums = {s + n * k for s in sums for k in range(c + 1)}
+        budget = int(rng.integers(0, max(sums) + 1))
+        got = int((lengths * mixing.fit(lengths, counts, budget)).sum())
+        if max(sums) <= max(mixing.WINDOW, 4 * int(lengths.max())):
+            assert abs(got - budget) == min(abs(s - budget) for s in sums)
+
+
 def brute_winnow(text, k=winnow.K, window=winnow.WINDOW):
     hashes = [int(x) for x in winnow.gram_hashes(winnow.code_points(text), k)]
     width = min(window, len(hashes))
@@ -216,6 +236,16 @@ def test_winnow_of_nothing(empty, spark):
     assert winnow.compare_with_next(spark.createDataFrame([(1, "alone")], "doc_id long, text string")).first().near_next == 1.0
 
 
+def test_licenses_wrapped_near_tied_and_long(spark):
+    mit = licenses.TEMPLATES["MIT permission"].split()
+    wrapped = "\n".join(" ".join(mit[i : i + 9]) for i in range(0, len(mit), 9))
+    docs = [(1, " ".join(f"before{i}" for i in range(99)) + f"\n\n{wrapped}\n \t\nand after it\nmore"), (2, licenses.TEMPLATES["MPL-2.0"].replace("Public", "Other")), (3, "all RIGHTS reserved"), (3, "all rights reserved"), (4, " ".join(f"w{i}" for i in range(50_000))), (5, None), (6, "All rights reserved. " * 30)]
+    got = {(r.doc_id, r.line): (r.license, round(r.dice, 3)) for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    grams = [set(licenses.template_bigrams(t)) for t in (docs[1][1], licenses.TEMPLATES["MPL-2.0"])]
+    near = 2 * len(grams[0] & grams[1]) / (len(grams[0]) + len(grams[1]))
+    assert got == {(1, -2): ("MIT permission", 1.0), (2, 1): ("MPL-2.0", round(near, 3)), (3, 1): ("reserved", 1.0), (6, 1): ("reserved", 0.8)}
+
+
 def test_licenses(awkward, empty):
     assert {(r.doc_id, r.line): (r.license, r.dice) for r in licenses.scan(awkward).collect()} == {(12, 1): ("MIT", 1.0), (12, 2): ("reserved", 1.0)}
     assert licenses.scan(empty).collect() == []
