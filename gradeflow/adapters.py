@@ -7,11 +7,13 @@ long as its task. Items are rows (id, category, and what the command or model ne
 from __future__ import annotations
 
 import json
+import os
 import select
 import shlex
 import subprocess
 import time
 import urllib.request
+from collections.abc import Iterator
 
 import pandas as pd
 
@@ -87,25 +89,31 @@ class LineWorker(_OneByOne):
             self.process.wait()
             self.process = None
 
-    def predict(self, item: dict) -> str:
-        if not self.process or self.process.poll() is not None:
-            self.process = subprocess.Popen(self.cmd, stdin=subprocess.PIPE, stdout=subprocess.PIPE, text=True, bufsize=1)
-        self.process.stdin.write(json.dumps(item, default=str, ensure_ascii=False) + "\n")
-        self.process.stdin.flush()
-        until = time.monotonic() + self.timeout
-        while (left := until - time.monotonic()) > 0 and select.select([self.process.stdout], [], [], left)[0]:
-            line = self.process.stdout.readline()
-            if not line:
-                self.close()
+    def _lines(self) -> Iterator[str]:
+        """Lines that the process writes, until its end or the timeout."""
+        until, held = time.monotonic() + self.timeout, b""
+        out = self.process.stdout.fileno()
+        while (left := until - time.monotonic()) > 0 and select.select([out], [], [], left)[0]:
+            data = os.read(out, 1 << 16)
+            if not data:
                 raise RuntimeError("the worker ended")
-            if line.startswith(self.prefix):
-                reply = json.loads(line[len(self.prefix) :])
-                if reply.get("error"):
-                    raise RuntimeError(reply["error"])
-                return reply.get("text", "")
-        self.close()
+            *whole, held = (held + data).split(b"\n")
+            yield from (line.decode() for line in whole)
         raise TimeoutError(f"no reply within {self.timeout} s")
 
+    def predict(self, item: dict) -> str:
+        if not self.process:
+            self.process = subprocess.Popen(self.cmd, stdin=subprocess.PIPE, stdout=subprocess.PIPE, bufsize=0)
+        try:
+            self.process.stdin.write(json.dumps(item, default=str, ensure_ascii=False).encode() + b"\n")
+            reply = json.loads(next(x for x in self._lines() if x.startswith(self.prefix))[len(self.prefix) :])
+        except Exception:
+            self.close()  # the next item gets a new one
+            raise
+        if reply.get("error"):
+            raise RuntimeError(reply["error"])
+        return reply.get("text", "")
+
 
 @adapter("http")
 class Http(_OneByOne):

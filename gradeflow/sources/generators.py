@@ -154,7 +154,11 @@ def long_texts(found: DataFrame, pages: int, budget: int, seed: int = 0) -> Data
     page = lambda i: F.least(F.lit(pages - 1), F.floor(F.get("upto", i) * pages / F.greatest("total", F.lit(1))).cast("int"))
     at = F.transform("parts", lambda p, i: F.when((p["kind"] == "h2") & (i + 1 < F.size("parts")), page(i + 1)).otherwise(page(i)))
     rows = rows.withColumn("at", at)
-    texts = [F.array_join(F.transform(F.filter("parts", lambda p, i, k=k: F.get("at", i) == k), lambda p: p["text"]), "\n") for k in range(pages)]
+
+    def on_page(k: int) -> Column:
+        return F.array_join(F.transform(F.filter("parts", lambda p, i: F.get("at", i) == k), lambda p: p["text"]), "\n")
+
+    texts = [on_page(k) for k in range(pages)]
     return rows.select("id", F.filter(F.array(*texts), lambda t: t != "").alias("pages"), F.array_join(F.transform("parts", lambda p: p["text"]), "\n").alias("gt"))
 
 
