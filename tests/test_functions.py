@@ -189,6 +189,12 @@ def test_tree_distance_against_recursion():
     for _ in range(60):
         a, b = random_table(), random_table()
         assert tables.tree_distance(tables.Tree.of(a), tables.Tree.of(b)) == distance(forest(a), forest(b))
+    shared = random_table()[:1] or [[]]
+    for _ in range(60):
+        a, b = ([shared[0] + (random_table() or [[]])[0] + shared[0]] for _ in range(2))
+        rows = [[[[{"text": c.text, "colspan": c.colspan, "rowspan": c.rowspan} for c in r] for r in t] for t in side] for side in (a, b)]
+        most = max(size(forest(t)) for t in (a, b))
+        assert math.isclose(tables._similar(*rows, 1)["teds"], max(0.0, 1 - distance(forest(a), forest(b)) / most))
 
 
 def test_long_tables_and_markdown(spark):
