@@ -12,8 +12,8 @@ first. It serves twice:
   is counted in each fragment separately and summed per pair.
 
 Equal sets are one class from the start. Links are wanted for components, so pairs whose ends are already
-connected need no check: first every class is compared with the first of its min-hash buckets; then, as long as a
-tenth of the components goes each time, with the first, in an order that changes, of each prefix shingle that several
+connected need no check: first every class is compared with the first of its min-hash buckets; then, as long as
+a tenth as many links are found as the time before, with the first, in an order that changes, of each prefix shingle that several
 components still hold; and last every pair across components that shares a prefix shingle and passes the length and
 position bounds is compared. The last step leaves out no pair that could link two components, so the result is exact, while
 a group of n near copies costs a few n comparisons, not n * n. Each step's components are found on the components of the one before.
@@ -116,14 +116,13 @@ def _profiles(docs: DataFrame, percent: int, size: int) -> tuple[DataFrame, str]
         totals.remove()
 
 
-def _linked(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Of distinct pairs (a, b, na, nb, ...), those that link: overlaps by fragment, summed per pair."""
-    own = pairs.columns
-    some = pairs.join(parts.select(F.col("rid").alias("b"), "frag", F.col("items").alias("items_b")), "b")
-    some = some.join(parts.select(F.col("rid").alias("a"), "frag", F.col("items").alias("items_a")), ["a", "frag"])
-    partial = some.select(*own, F.size(F.array_intersect("items_a", "items_b")).alias("common"))
-    overlap = partial.groupBy(*own).agg(F.sum("common").alias("common"))
-    return overlap.where(f"100 * common >= {percent} * (na + nb - common)").select(*own)
+def _linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Of distinct pairs (a, b, na, nb, ...), those that link: overlaps counted fragment by fragment, and summed per pair."""
+    parts = [f"part{k}" for k in range(FRAGMENTS)]
+    side = lambda x: texts.select(F.col("rid").alias(x), *(F.col(p).alias(f"{p}_{x}") for p in parts))
+    partial = [F.size(F.array_intersect(f"{p}_a", f"{p}_b")) for p in parts]
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select(*pairs.columns, reduce(lambda x, y: x + y, partial).alias("common"))
+    return both.where(f"100 * common >= {percent} * (na + nb - common)").select(*pairs.columns)
 
 
 def similarity_groups(docs: DataFrame, percent: int = PERCENT, size: int = WORDS) -> DataFrame:
@@ -167,7 +166,6 @@ def _grouped(profiles: DataFrame, percent: int, scratch: storage.Scratch) -> Dat
     classes = scratch.keep(profiles.where("kept").groupBy(*same).agg(F.min("rid").alias("class")))
     texts = profiles.where("kept").drop("doc_id", "text_hash", "set_a", "set_b", "kept").withColumnRenamed("n_shingles", "n")
     texts = scratch.keep(texts.join(classes.select(F.col("class").alias("rid")), "rid", "left_semi"))
-    parts = texts.select("rid", F.posexplode(F.array(*(f"part{k}" for k in range(FRAGMENTS)))).alias("frag", "items")).where("size(items) > 0")
     alike = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
 
     def relabelled(rows: DataFrame, moves: DataFrame) -> DataFrame:
@@ -193,24 +191,28 @@ def _grouped(profiles: DataFrame, percent: int, scratch: storage.Scratch) -> Dat
         bound = f"(100 + {percent}) * least(rest_a, rest_b) >= {percent} * (na + nb)"
         return a.join(b, "w").where(f"a < b AND ca <> cb AND {alike} AND {bound}").select("a", "b", "na", "nb", "ca", "cb").distinct()
 
-    def merged(pairs: DataFrame) -> DataFrame:
-        return components(scratch.keep(_linked(pairs, parts, percent).select("ca", "cb")), "ca", "cb")
+    moves: list[DataFrame] = []
+
+    def merge(pairs: DataFrame) -> int:
+        """Adds the map of components that the links among the pairs make; how many links there are."""
+        links = scratch.keep(_linked(pairs, texts, percent).select("ca", "cb"))
+        moves.append(components(links, "ca", "cb", least=False))
+        storage.tidy(links.sparkSession)
+        return links.count()
 
     shared = reduce(lambda a, b: a + b, (F.coalesce(F.size(f"part{k}"), F.lit(0)) for k in range(FRAGMENTS)))
     prefix = texts.select("rid", "n", (F.col("n") - shared).alias("alone"), F.posexplode("prefix").alias("i", "w"), F.col("rid").alias("comp"))
     prefix = prefix.select("w", "rid", "n", (F.col("n") - F.col("alone") - F.col("i")).alias("rest"), "comp")  # rest: shingles from this one on
     sketch = texts.select(F.posexplode("sketch").alias("i", "h"), "rid", "n", F.col("rid").alias("comp")).select(F.xxhash64("i", "h").alias("w"), "rid", "n", "comp")
-    moves = [merged(star(sketch, 0))]
+    found = merge(star(sketch, 0))
     rows = mixed(relabelled(prefix, moves[0]))
-    left = rows.select("comp").distinct().count()
-    while left:
-        moves.append(merged(star(rows, len(moves))))
+    while not rows.isEmpty():
+        before, found = found, merge(star(rows, len(moves)))
         rows = mixed(relabelled(rows, moves[-1]))
-        before, left = left, rows.select("comp").distinct().count()
-        if 10 * left > 9 * before:
+        if not found or 10 * found < before:
             break
-    if left:
-        moves.append(merged(across(rows)))
+    if not rows.isEmpty():
+        merge(across(rows))
     named = classes.withColumn("comp", F.col("class"))
     for move in moves:
         named = relabelled(named, move)

@@ -266,7 +266,7 @@ def write(docs: DataFrame, uri: str, tokenizer: str, end_id: int = END_ID) -> No
     counted = storage.new_dir(spark, "counts")
     _, kept = storage.written(tokenized(docs, tokenizer, counted, end_id), "ids")
     storage.tidy(spark)  # the sorted texts' shuffle files are not needed any more
-    lengths = code_lengths(count_ids(spark, counted, pieces_of_worker(tokenizer).size))
+    lengths = code_lengths(count_ids(spark, counted, Pieces(tokenizer).size))
     storage.remove(counted)
 
     # one task reads each file of the table, whole and in order: a range was written as one file
