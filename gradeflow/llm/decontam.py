@@ -11,7 +11,8 @@ weighted Jaccard coefficient of the two multisets of shingles is at least 0.75.
    each item, only windows with enough of its shingles inside are formed. Nothing is lost here.
 2. SimHash. Every such window and every item gets a 64-bit fingerprint of its weighted shingles.
 3. Multi-index Hamming blocks. The 64 bits are cut into RADIUS + 1 blocks; two fingerprints within RADIUS
-   agree in at least one block, so joining on (size, block, value) finds all of them. A pair is kept in its
+   agree in at least one block, so joining on (item, block, value) finds all of them. A window meets the items that it was
+   formed for and no others, for an item that it holds is among them. A pair is kept in its
    first common block only, and if it is within RADIUS. Where the window's or the item's shingles repeat, pairs of
    an item and a window formed for it are kept at any distance.
 4. Verification by the exact weighted Jaccard coefficient.
@@ -133,8 +134,8 @@ def find(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, radius:
     formed = met
     # multi-index blocks
     count = F.expr("transform(array_distinct(shingles), h -> named_struct('h', h, 'n', size(filter(shingles, x -> x = h))))")
-    index = items.select("item_id", "item", "size", "m", F.col("print").alias("item_print"), count.alias("counted"), F.posexplode(_blocks("print", radius)).alias("block", "value"))
-    met = met.select("*", F.posexplode(_blocks("print", radius)).alias("block", "value")).join(hint(index), ["size", "m", "block", "value"])
+    index = items.select("item_id", "item", F.col("print").alias("item_print"), count.alias("counted"), F.posexplode(_blocks("print", radius)).alias("block", "value"))
+    met = formed.join(anchored, ["rid", "size", "m", "start"]).select("*", F.posexplode(_blocks("print", radius)).alias("block", "value")).join(hint(index), ["item", "block", "value"])
     first = F.array_position(F.zip_with(_blocks("print", radius), _blocks("item_print", radius), lambda a, b: a == b), True) - 1
     met = met.withColumn("distance", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))).where((first == F.col("block")) & (F.col("distance") <= radius))
     # the distance says little where shingles repeat: there anchored pairs beyond the radius are verified too
