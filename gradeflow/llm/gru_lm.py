@@ -11,7 +11,8 @@ add-one share of their count among the class's. The probabilities of all words s
 was never seen in each class of rare words.
 
 Training is truncated back-propagation in numpy, over windows of STEPS tokens with the state carried from
-window to window. It is distributed: the training documents are dealt by hash to ROUNDS rounds, each document to one;
+window to window. Documents stand one after the other in BATCH lanes of about equal length, the state 0 where one begins;
+those of more than LONG tokens are cut into sequences. It is distributed: the training documents are dealt by hash to ROUNDS rounds, each document to one;
 in each round every input partition trains from the same weights on its own documents of the round, and the
 results are averaged by tokens trained, slice by slice, on the executors. Every training document is trained
 once. Biases start from the corpus counts.
@@ -19,7 +20,8 @@ once. Biases start from the corpus counts.
 Scoring carries the state through the complete document, however long: many documents advance in step, the
 longest last.
 
-Null and empty texts are one end token. The sums are in double precision; weights are single.
+Null and empty texts are one end token. Rows with equal or null ids are counted, trained and scored each by itself; a null
+`held_out` is held out; other columns are ignored. No rows give no rows. The sums are in double precision; weights are single.
 """
 
 from __future__ import annotations
