@@ -387,6 +387,17 @@ def test_toxicity_finds_documents_and_sentences(spark):
     assert toxicity.score(docs.limit(0), none).collect() == []
 
 
+def test_toxicity_of_awkward_rows(spark):
+    docs = [(1, "vile fool"), (1, "kind words"), (2, "vile fool " * 20_000), (3, "calm day"), (None, "vile fool"), (4, None), (5, "!!! ... 123")] + [(10 + i, "vile fool" if i % 2 else "calm day") for i in range(60)]
+    marks = [(10 + i, i % 2) for i in range(60)] + [(3, 0), (3, 1), (2, None), (None, 1), (99, 1)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"worst_sentence": F.lit("old"), "offsets": F.lit(1)})
+    model = toxicity.train(docs, spark.createDataFrame(marks, "doc_id long, toxic int"))
+    got = toxicity.score(docs, model, worst=True).collect()
+    assert len(got) == 67 and all(0 <= r.score <= 1 and r.offsets == 1 and r.worst_sentence != "old" for r in got)
+    assert all((r.score >= 0.5) == ("vile" in (r.text or "")) for r in got if r.text and r.text[0].isalpha() and r.text != "kind words")
+    assert {r.worst_start for r in got if r.doc_id in (4, 5)} == {None}
+
+
 def test_noisy_or_against_definition(spark):
     rng = np.random.default_rng(8)
     model = toxicity.Model(rng.normal(0, 2, 1 << toxicity.BITS).astype(np.float32), -1.5, 0.25)
