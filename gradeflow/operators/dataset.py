@@ -7,6 +7,10 @@ pruning would drop them.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.hashing import sample_key
@@ -56,17 +60,23 @@ def summary(items: DataFrame) -> DataFrame:
 
 
 def item_line() -> Column:
-    names = F.transform("images", lambda p: F.element_at(F.split(p, "/"), -1))
-    fields = [F.col("id"), F.col("category"), F.coalesce("split", F.lit("")), F.col("gt_type"), F.sha2("gt", 256), F.array_join(names, ",")]
-    return F.concat(*(x for f in fields for x in (f, F.lit("\t"))))
+    names = F.array_join(F.transform("images", lambda p: F.element_at(F.split(p, "/"), -1)), ",")
+    return F.concat_ws("\t", "id", "category", F.coalesce("split", F.lit("")), "gt_type", F.sha2("gt", 256), names)
 
 
 def fingerprint(items: DataFrame) -> DataFrame:
     """(fingerprint): SHA-256 of the items' lines sorted by id, 16 hex digits.
 
-    The hash is of one ordered text, so all lines (about 100 bytes each, whatever the truths' size) meet in one
-    task, as the rule demands; only lines are moved, not items.
+    The hash is of one ordered text, as the rule demands. Only lines (about 100 bytes each, whatever the truths' size) are moved;
+    one task sorts them, on disk where they are many, and hashes them as they come.
     """
-    lines = items.select("id", F.concat(F.expr("substring(line, 1, length(line) - 1)"), F.lit("\n")).alias("line")) if "line" in items.columns else items.select("id", item_line().alias("line")).select("id", F.concat(F.expr("substring(line, 1, length(line) - 1)"), F.lit("\n")).alias("line"))
-    ordered = F.array_sort(F.collect_list(F.struct("id", "line")))
-    return lines.agg(F.substring(F.sha2(F.array_join(F.transform(ordered, lambda x: x["line"]), ""), 256), 1, 16).alias("fingerprint"))
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = hashlib.sha256()
+        for batch in batches:
+            for line in batch.column("line").to_pylist():
+                whole.update(f"{line}\n".encode())
+        yield pa.RecordBatch.from_pydict({"fingerprint": [whole.hexdigest()[:16]]})
+
+    lines = items.select("id", item_line().alias("line")).repartition(1).sortWithinPartitions("id", "line")
+    return lines.select("line").mapInArrow(digest, "fingerprint string")
