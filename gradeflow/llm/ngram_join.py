@@ -13,8 +13,8 @@ first. It serves twice:
 
 Equal sets are one class from the start. Links are wanted for components, so pairs whose ends are already
 connected need no check: first every class is compared with the first of its min-hash buckets; then, as long as
-a tenth as many links are found as the time before, with the first, in an order that changes, of each prefix shingle that several
-components still hold; and last every pair across components that shares a prefix shingle and passes the length and
+more than a tenth of all links so far are found each time, with the first, in an order that changes, of each prefix shingle that
+several components still hold; and last every pair across components that shares a prefix shingle and passes the length and
 position bounds is compared. The last step leaves out no pair that could link two components, so the result is exact, while
 a group of n near copies costs a few n comparisons, not n * n. Each step's components are found on the components of the one before.
 
@@ -204,12 +204,13 @@ def _grouped(profiles: DataFrame, percent: int, scratch: storage.Scratch) -> Dat
     prefix = texts.select("rid", "n", (F.col("n") - shared).alias("alone"), F.posexplode("prefix").alias("i", "w"), F.col("rid").alias("comp"))
     prefix = prefix.select("w", "rid", "n", (F.col("n") - F.col("alone") - F.col("i")).alias("rest"), "comp")  # rest: shingles from this one on
     sketch = texts.select(F.posexplode("sketch").alias("i", "h"), "rid", "n", F.col("rid").alias("comp")).select(F.xxhash64("i", "h").alias("w"), "rid", "n", "comp")
-    found = merge(star(sketch, 0))
+    links = merge(star(sketch, 0))
     rows = mixed(relabelled(prefix, moves[0]))
     while not rows.isEmpty():
-        before, found = found, merge(star(rows, len(moves)))
+        found = merge(star(rows, len(moves)))
         rows = mixed(relabelled(rows, moves[-1]))
-        if not found or 10 * found < before:
+        links += found
+        if 10 * found <= links:
             break
     if not rows.isEmpty():
         merge(across(rows))
