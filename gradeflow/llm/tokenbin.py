@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import os
 import struct
+import threading
 import zlib
 from collections.abc import Iterator
 from itertools import compress, repeat
@@ -135,14 +136,31 @@ class Pieces:
 
 #: A worker's pieces by tokenizer: its next task goes on with what is known.
 _OF_WORKER: dict[str, Pieces] = {}
+_idle: list[threading.Timer] = []
+#: Seconds without a task after which a worker lets go of its pieces, for other stages use the same workers.
+IDLE_S = 2
 
 
 def pieces_of_worker(path: str) -> Pieces:
+    while _idle:
+        _idle.pop().cancel()
     if path not in _OF_WORKER:
         _OF_WORKER[path] = Pieces(path)
     return _OF_WORKER[path]
 
 
+def _let_go() -> None:
+    _OF_WORKER.clear()
+    storage.release()
+
+
+def task_done() -> None:
+    timer = threading.Timer(IDLE_S, _let_go)
+    timer.daemon = True
+    timer.start()
+    _idle.append(timer)
+
+
 def _gathered(store: np.ndarray, begins: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs of `store` numbered in `which`, one after another, and their lengths."""
     kind = np.int32 if len(store) < 2**31 else np.int64
@@ -188,6 +206,7 @@ def tokenized(docs: DataFrame, tokenizer: str, counted: str, end_id: int = END_I
                 yield pa.RecordBatch.from_arrays([pa.array([part] * len(names), pa.int32()), pa.array(names, pa.int64()), pa.array(blobs, pa.binary()), pa.array(counts, pa.int64())], names=["part", "doc_id", "ids", "n"])
         storage.put_file(f"{counted}/{part}.counts", zlib.compress(total.tobytes(), 1))
         storage.release()
+        task_done()
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
