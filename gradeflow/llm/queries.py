@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, gru_lm, licenses, mixing, ngram_join, storage, tokenbin, toxicity, urlfilter, warc, winnow
+from . import centroids, decontam, fim, gru_lm, licenses, mixing, ngram_join, storage, telephony, tokenbin, toxicity, urlfilter, warc, winnow
 
 #: Name of the tokenizer's vocabulary file; its place comes from the installed package of public tokenizers.
 TOKENIZER = "word_bpe_49k.json"
@@ -93,8 +93,23 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gru_lm.score(_table(spark, sf_dir, "documents"), F.pmod(toxicity.crc_of_id(), F.lit(7)) == 2)
 
 
+def op11_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telephony.round_trip(_table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(_table(spark, sf_dir, "documents"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_mix_sources, op2_winnowing, op3_license_scan, op4_warc, op5_token_binary, op6_url_filter, op7_ngram_jaccard, op8_decontaminate, op9_toxicity, op10_language_model)
+    every = (
+        op1_mix_sources, op2_winnowing, op3_license_scan, op4_warc, op5_token_binary, op6_url_filter, op7_ngram_jaccard, op8_decontaminate, op9_toxicity, op10_language_model,
+        op11_telephony, op12_fill_in_middle, op13_centroids,
+    )
     return {f.__name__: f for f in every}
 
 
@@ -107,4 +122,4 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 A
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_scan": licenses.oracle(), "op4_warc": OP4_SQL, "op6_url_filter": OP6_SQL}
+    return {"op3_license_scan": licenses.oracle(), "op4_warc": OP4_SQL, "op6_url_filter": OP6_SQL, "op12_fill_in_middle": fim.oracle(), "op13_centroids": centroids.oracle()}
