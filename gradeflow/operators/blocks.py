@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.layout import TEXT_CATEGORIES
 from ..functions.metrics import char_edits
+from . import spatial
 
 
 def copied_cells(blocks: DataFrame, least: int = 3) -> DataFrame:
@@ -59,11 +60,8 @@ def text_blocks(words: DataFrame, by_line: bool = False) -> DataFrame:
 
 
 def outside_regions(blocks: DataFrame, regions: DataFrame, part: float = 0.5) -> DataFrame:
-    """Blocks (page, i, x1, y1, x2, y2) of which no region of their page covers more than `part`: an equi-join on the page."""
-    b, r = blocks.alias("b"), regions.alias("r")
-    side = lambda a, c: F.greatest(F.lit(0), F.least(F.col(f"b.{c}"), F.col(f"r.{c}")) - F.greatest(F.col(f"b.{a}"), F.col(f"r.{a}")))
-    area = F.greatest(F.lit(1), (F.col("b.x2") - F.col("b.x1")) * (F.col("b.y2") - F.col("b.y1")))
-    return b.join(r, (F.col("b.page") == F.col("r.page")) & (side("x1", "x2") * side("y1", "y2") / area > part), "left_anti")
+    """Blocks (page, i, x1, y1, x2, y2) of which no region of their page covers more than `part`."""
+    return spatial.outside(blocks, regions, part)
 
 
 def clamped(blocks: DataFrame) -> DataFrame:
@@ -91,10 +89,7 @@ def spliced(blocks: DataFrame, runs: DataFrame, new: DataFrame, overlap: float =
     new ones (page, k, x1, ...) that no remaining block of the page covers by `overlap`; i is the new order."""
     met = blocks.join(runs, "page", "left")
     kept = met.where(F.col("first").isNull() | ~F.col("i").between(F.col("first"), F.col("last"))).drop("first", "last")
-    n, b = new.alias("n"), kept.alias("b")
-    side = lambda a, c: F.greatest(F.lit(0), F.least(F.col(f"n.{c}"), F.col(f"b.{c}")) - F.greatest(F.col(f"n.{a}"), F.col(f"b.{a}")))
-    area = F.greatest(F.lit(1), (F.col("n.x2") - F.col("n.x1")) * (F.col("n.y2") - F.col("n.y1")))
-    fresh = n.join(b, (F.col("n.page") == F.col("b.page")) & (side("x1", "x2") * side("y1", "y2") / area >= overlap), "left_anti").join(runs.select("page", "first"), "page")
+    fresh = spatial.outside(new, kept, overlap, inclusive=True).join(runs.select("page", "first"), "page")
     both = kept.withColumns({"_at": F.col("i"), "_k": F.lit(-1)}).unionByName(fresh.withColumns({"_at": F.col("first"), "_k": F.col("k"), "i": F.col("first")}).drop("first", "k"))
     order = Window.partitionBy("page").orderBy("_at", "_k")
     return both.withColumn("i", F.row_number().over(order) - 1).drop("_at", "_k")
@@ -107,7 +102,7 @@ def with_pictures(blocks: DataFrame, regions: DataFrame) -> DataFrame:
     below = kept.alias("b").join(regions.alias("r"), "page", "right").groupBy("r.page", "r.category", "r.x1", "r.y1", "r.x2", "r.y2").agg(F.min(F.when(F.col("b.y1") > F.col("r.y1"), F.col("b.i"))).alias("_at"))
     placed = below.select("page", "category", "x1", "y1", "x2", "y2", F.lit("").alias("text"), F.coalesce(F.col("_at").cast("double") - 0.5, F.lit(float("inf"))).alias("_at"))
     both = kept.select("page", "category", "x1", "y1", "x2", "y2", "text", F.col("i").cast("double").alias("_at")).unionByName(placed)
-    return both.withColumn("i", F.row_number().over(Window.partitionBy("page").orderBy("_at", "y1", "x1")) - 1).drop("_at")
+    return both.withColumn("i", F.row_number().over(Window.partitionBy("page").orderBy("_at", "y1", "x1", "category", "text")) - 1).drop("_at")
 
 
 def votes(readings: DataFrame, least: int = 2) -> DataFrame:
