@@ -18,7 +18,7 @@ summed, and then each range is encoded into a file, block by block, and the tabl
 The tokenizer splits at blanks before anything else, so the ids of a text are those of its blank-separated
 pieces. Each distinct piece of some MB of text is tokenized once: pieces of letters, less the sentence marks
 after them, are joined to long texts for the tokenizer, whose word ends then tell them apart; others are
-given to it one by one.
+given to it one by one. Marks stay at words whose last letter the tokenizer joins with them, which it is asked once a letter.
 
 Reading plans one task a file; its first document's position in the corpus follows from the footers.
 """
@@ -50,6 +50,8 @@ KEPT_PIECES = 600_000
 #: Bytes of text whose distinct pieces are found at once.
 SLICE_BYTES = 6 << 20
 END_ID = 1
+#: Sentence marks that are taken off a word's end.
+MARKS = ".,!?"
 
 
 class Pieces:
@@ -65,6 +67,7 @@ class Pieces:
         self._is_end = np.zeros(self.size, bool)
         for token, i in self._tokenizer.get_vocab().items():
             self._is_end[i] = token.endswith("</w>")
+        self._sticky: dict[str, bool] = {}
         self._forget()
 
     def _forget(self) -> None:
@@ -99,6 +102,21 @@ class Pieces:
             got = self._encode(some)
             self._keep(some, np.concatenate(got), np.array([len(g) for g in got]))
 
+    def _sticks(self, last: str) -> bool:
+        """Whether the tokenizer takes a word's last letter and a mark after it together, as where the letter's normal form ends in a combining mark."""
+        if last not in self._sticky:
+            alone, *others = (g.tolist() for g in self._encode([last, *MARKS, *(last + m for m in MARKS)]))
+            marks, both = others[: len(MARKS)], others[len(MARKS) :]
+            self._sticky[last] = any(b != alone + m for b, m in zip(both, marks, strict=True))
+        return self._sticky[last]
+
+    def _apart(self, pieces: pa.Array, word: pa.Array) -> pa.Array:
+        """Of which pieces the marks after the word can be tokenized by themselves."""
+        letters = pc.utf8_is_alpha(word)
+        last = pc.if_else(pc.or_(pc.string_is_ascii(word), pc.equal(word, pieces)), "", pc.utf8_slice_codeunits(word, -1))
+        sticky = [c for c in pc.unique(last.filter(letters)).to_pylist() if c and self._sticks(c)]
+        return pc.and_not(letters, pc.is_in(last, pa.array(sticky, last.type))) if sticky else letters
+
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (no nulls) one after another, and each text's number of them."""
         for blank in "\n\t\r":
@@ -109,8 +127,8 @@ class Pieces:
             self._forget()
         # a distinct piece is one key, or a key of letters (less capitals, where these are ASCII) and one of the marks after them
         pieces = coded.dictionary
-        word = pc.utf8_rtrim(pieces, ".,!?")
-        letters = pc.utf8_is_alpha(word)
+        word = pc.utf8_rtrim(pieces, MARKS)
+        letters = self._apart(pieces, word)
         word = pc.if_else(letters, pc.if_else(pc.string_is_ascii(word), pc.ascii_lower(word), word), pieces)
         marks = pc.if_else(letters, pc.replace_substring_regex(pieces, r"(?s)^.*?([.,!?]*)$", r"\1"), "")
         parts = []

@@ -300,6 +300,27 @@ def test_token_files(table, request, spark):
         start += r.n_tokens
 
 
+def test_pieces_are_the_tokenizers_own():
+    """Capitals whose lower case is longer, letters that come apart in their normal form, marks and joints of all kinds."""
+    import sys
+    import unicodedata
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    tokenizer, pieces = Tokenizer.from_file(queries.tokenizer_path()), tokenbin.Pieces(queries.tokenizer_path())
+    letters = [c for c in map(chr, range(128, sys.maxunicode)) if c.isalpha()]
+    odd = [c for c in letters if len(c.lower()) > 1 or len(unicodedata.normalize("NFC", c)) > 1]
+    assert "\u0130" in odd and len(odd) > 30
+    rng = np.random.default_rng(6)
+    texts = ["B\u0130LG\u0130. \u0130K\u0130, TAT\u0130L\u0130!? \u0130 \u0130.", "cafe\u0301. na\u0308ive, \u0301.", "\u039f\u0394\u039f\u03a3. \u03a3, it's. <|endoftext|>. a.b. ...", *(f"x{c}. {c}, {c}! {c}? {c}... {c}a. {c}" for c in odd)]
+    texts += [" ".join(f"ab{c}{m}" for c, m in zip(rng.choice(letters, 40), rng.choice(list(".,!?"), 40))) for _ in range(200)]
+    ids, counts = pieces.ids(pa.array(texts, pa.large_string()))
+    ends = np.cumsum(counts)
+    for t, b, e in zip(texts, ends - counts, ends):
+        assert ids[b:e].tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
 def test_token_files_of_nothing(empty, spark):
     uri = storage.new_dir(spark, "test-tokens")
     tokenbin.write(empty, uri, queries.tokenizer_path())
