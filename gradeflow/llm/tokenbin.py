@@ -30,7 +30,7 @@ import struct
 import threading
 import zlib
 from collections.abc import Iterator
-from itertools import compress, repeat
+from itertools import compress
 from operator import not_
 
 import numpy as np
@@ -71,13 +71,12 @@ class Pieces:
         self._forget()
 
     def _forget(self) -> None:
-        self._known: dict[str, int] = {"": 0}
+        self._known, self._fresh = pa.array([""], pa.large_string()), []
         self._ids, self._begins, self._ends = [np.zeros(0, self._kind)], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
         self._stored = 0
 
     def _keep(self, keys: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        at = len(self._known)
-        self._known.update(zip(keys, range(at, at + len(keys)), strict=True))
+        self._fresh.append(pa.array(keys, pa.large_string()))
         ends = self._stored + np.cumsum(lengths)
         self._ids.append(ids)
         self._begins.append(ends - lengths)
@@ -130,17 +129,20 @@ class Pieces:
         word = pc.utf8_rtrim(pieces, MARKS)
         letters = self._apart(pieces, word)
         word = pc.if_else(letters, pc.if_else(pc.string_is_ascii(word), pc.ascii_lower(word), word), pieces)
-        marks = pc.if_else(letters, pc.replace_substring_regex(pieces, r"(?s)^.*?([.,!?]*)$", r"\1"), "")
+        marked = pc.and_(letters, pc.not_equal(pc.binary_length(word), pc.binary_length(pieces)))
+        ends = pc.replace_substring_regex(pieces.filter(marked), r"(?s)^.*?([.,!?]*)$", r"\1")
+        marks = pc.replace_with_mask(pa.repeat(pa.scalar("", pa.large_string()), len(pieces)), marked, ends)
         parts = []
         for keys in (word.dictionary_encode(), marks.dictionary_encode()):
-            names = keys.dictionary.to_pylist()
-            at = np.fromiter(map(self._known.get, names, repeat(-1)), np.int64, len(names))
+            names = keys.dictionary
+            at = pc.fill_null(pc.index_in(names, self._known), -1).to_numpy().astype(np.int64)
             fresh = np.flatnonzero(at < 0)
             if len(fresh):
-                some = keys.dictionary.take(pa.array(fresh))
-                new = some.to_pylist()
-                self._learn(new, pc.utf8_is_alpha(some).to_pylist())
-                at[fresh] = np.fromiter(map(self._known.__getitem__, new), np.int64, len(new))
+                some = names.take(pa.array(fresh))
+                self._learn(some.to_pylist(), pc.utf8_is_alpha(some).to_pylist())
+                new, self._fresh = pa.concat_arrays(self._fresh), []
+                at[fresh] = len(self._known) + pc.index_in(some, new).to_numpy()
+                self._known = pa.concat_arrays([self._known, new])
             parts.append(at[keys.indices.to_numpy()])
         store, begins, ends = (np.concatenate(x) for x in (self._ids, self._begins, self._ends))
         self._ids, self._begins, self._ends = [store], [begins], [ends]
