@@ -189,6 +189,12 @@ def test_markup(spark):
     cells = spark.createDataFrame([("<table><tr><td rowspan=2>a</td><td colspan=2>b</td></tr><tr><th>c</th><td>d</td></tr></table>",)], "t string").select(markup.spanned_rows("t").alias("r"))
     placed = cells.select(markup.grid(F.col("r"))).first()[0]
     assert [(p.row, p.column, p.text, p.heading) for p in placed] == [(0, 0, "a", False), (0, 1, "b", False), (1, 1, "c", True), (1, 2, "d", False)]
+    crossing = "<table><tr><td>A</td><td rowspan=3>B</td></tr><tr><td colspan=2>C</td></tr><tr><td>D</td><td>E</td></tr></table>"
+    placed = spark.createDataFrame([(crossing,)], "t string").select(markup.grid(markup.spanned_rows("t"))).first()[0]
+    assert [(p.row, p.column, p.text) for p in placed] == [(0, 0, "A"), (0, 1, "B"), (1, 0, "C"), (2, 0, "D"), (2, 2, "E")]
+    assert markup.safe_html("<div><script>a<style>b</style>c</script>d<iframe/>e</div><p align='a b' dir='x;y' start=''>f<hr>g") == '<div>de</div><p align="a b">f<hr>g'
+    assert markup.safe_html('<ol type="i" start="4"><li>x</ol><ol><li>y</ol>') == '<ol type="i" start="4" class="lt-i"><li>x</ol><ol class="lt-1"><li>y</ol>'
+    assert [markup.direction_runs(x) for x in ("abc", "a b", "(a)b", "12, 5", "+9 (3) x", "ا 12/5-ab 7 ث")] == [[], [(0, 3)], [(1, 4)], [], [(0, 6)], [(2, 9), (2, 11)]]
 
 
 def test_changed_numbers(spark):
@@ -226,11 +232,21 @@ def test_generators(spark):
 
 
 def test_pictures_and_signatures(spark):
-    picture = lambda box, kind="dark", fill=0.5: {"bbox": box, "kind": kind, "fill": fill}
-    assert documents.merged_regions([picture([0, 0, 100, 100])], [[10, 10, 30, 20]]) == [("Picture", [0, 0, 100, 100])]
-    assert documents.merged_regions([picture([0, 0, 20, 20])], [[5, 5, 25, 25], [100, 100, 120, 110], [105, 100, 125, 110]]) == [("Signature", [0, 0, 25, 25]), ("Signature", [100, 100, 125, 110])]
+    picture = lambda box, kind="dark", fill=0.5: ("picture", kind, fill, *box)
+    signed, none = lambda *box: ("signature", None, None, *box), ("none", None, None, None, None, None, None)
     stroke = picture([0, 0, 90, 10], fill=0.1)
-    assert documents.merged_regions([stroke], []) == [] and documents.merged_regions([stroke], None) == [("Picture", [0, 0, 90, 10])] and documents.merged_regions([picture([0, 0, 90, 10], "tone", 0.1)], []) != []
+    pages = {
+        "inside": ([picture([0, 0, 100, 100]), signed(10, 10, 30, 20)], {("Picture", 0, 0, 100, 100)}),
+        "nearly as large": ([picture([0, 0, 20, 20]), signed(0, 0, 18, 18)], {("Signature", 0, 0, 20, 20)}),
+        "two signatures": ([picture([0, 0, 20, 20]), signed(5, 5, 25, 25), signed(100, 100, 120, 110), signed(105, 100, 125, 110)], {("Signature", 0, 0, 25, 25), ("Signature", 100, 100, 125, 110)}),
+        "a chain": ([signed(0, 0, 20, 10), signed(8, 0, 28, 10), signed(16, 0, 36, 10), signed(90, 0, 99, 9)], {("Signature", 0, 0, 36, 10), ("Signature", 90, 0, 99, 9)}),
+        "a stroke": ([stroke, none], set()), "not searched": ([stroke], {("Picture", 0, 0, 90, 10)}), "a toned stroke": ([picture([0, 0, 90, 10], "tone", 0.1), none], {("Picture", 0, 0, 90, 10)}),
+        "a signed stroke": ([stroke, signed(0, 0, 60, 10)], {("Signature", 0, 0, 90, 10)}), "apart": ([picture([0, 0, 10, 10]), picture([5, 5, 15, 15]), signed(40, 40, 50, 50)], {("Picture", 0, 0, 10, 10), ("Picture", 5, 5, 15, 15), ("Signature", 40, 40, 50, 50)}),
+    }
+    rows = [(page, i, *f) for page, (finds, _) in pages.items() for i, f in enumerate(finds)]
+    got = documents.regions(spark.createDataFrame(rows, "page string, ord int, what string, kind string, fill double, x1 int, y1 int, x2 int, y2 int")).collect()
+    for page, (_, expected) in pages.items():
+        assert {tuple(r[1:]) for r in got if r.page == page} == expected, page
     finds = spark.createDataFrame([(1, 0, "picture", "dark", 0.5, 0, 50, 20, 70), (1, 1, "signature", None, None, 5, 55, 25, 75), (2, 0, "picture", "dark", 0.1, 0, 0, 90, 10)], "page int, ord int, what string, kind string, fill double, x1 int, y1 int, x2 int, y2 int")
     found = documents.regions(finds)
     assert sorted(map(tuple, found.collect())) == [(1, "Signature", 0, 50, 25, 75), (2, "Picture", 0, 0, 90, 10)]
