@@ -14,8 +14,8 @@ first. It serves twice:
 Equal sets are one class from the start. Links are wanted for components, so pairs whose ends are already
 connected need no check: first every class is compared with the first of its min-hash buckets; then, as long as
 more than a tenth of all links so far are found each time, with the first, in an order that changes, of each prefix shingle that
-several components still hold; and last every pair across components that shares a prefix shingle and passes the length and
-position bounds is compared. The last step leaves out no pair that could link two components, so the result is exact, while
+several components still hold; and last every pair across components that shares a prefix shingle and passes the bounds of length,
+position and bit map (a bit that only one map has stands for a shingle that only one set has) is compared. The last step leaves out no pair that could link two components, so the result is exact, while
 a group of n near copies costs a few n comparisons, not n * n. Each step's components are found on the components of the one before.
 
 Null or empty texts have no shingles and no links. Rows with the same text or the same doc_id are separate
@@ -32,7 +32,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import storage, textscan, vertical
 from .components import components
@@ -46,9 +46,11 @@ CUTS = (3, 5, 17)
 FRAGMENTS = len(CUTS) + 1
 #: Min-hash values a text in the first round.
 SKETCH = 4
+#: Bits of a text's map of its shared shingles, by which pairs that cannot link are told without their sets.
+MAP_BITS = 1024
 _KEY_SHIFT = np.uint64(24)
 _SEEDS = np.random.default_rng(7).integers(1, 2**63, SKETCH, dtype=np.uint64)
-_OUT = "rid long, doc_id long, text_hash long, n_shingles long, set_a long, set_b long, kept boolean, sketch array<long>, prefix array<long>, " + ", ".join(f"part{k} array<long>" for k in range(FRAGMENTS))
+_OUT = "rid long, doc_id long, text_hash long, n_shingles long, set_a long, set_b long, kept boolean, sketch array<long>, bits array<long>, prefix array<long>, " + ", ".join(f"part{k} array<long>" for k in range(FRAGMENTS))
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -56,6 +58,18 @@ def prefix_length(n: int, percent: int) -> int:
     return n - math.ceil(percent * n / 100) + 1
 
 
+def bit_map(shingles: np.ndarray) -> np.ndarray:
+    """MAP_BITS bits in 64-bit integers: each shingle sets one."""
+    bits = np.zeros(MAP_BITS, np.uint8)
+    bits[(textscan.mix(shingles ^ _SEEDS[0]) >> np.uint64(32)) % np.uint64(MAP_BITS)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
+def _only(a: Column, b: Column) -> Column:
+    """Bits of map a that b does not have: so many shingles of a's set, at least, are not in b's."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda n, k: n + k)  # fewer bytes of code than a sum of terms, which would not be compiled
+
+
 def _sets(column: pa.Array, size: int) -> Iterator[list[np.ndarray]]:
     for _, _, data, offsets in textscan.chunks(column):
         starts, ends, begins = textscan.word_bounds(data, offsets)
@@ -96,15 +110,15 @@ def _profiles(docs: DataFrame, percent: int, size: int) -> tuple[DataFrame, str]
                         shared, df = shared[order], df[order]
                         sketch = [int(textscan.mix(shared ^ s).min().view(np.int64)) for s in _SEEDS]
                         signed, cuts = shared.view(np.int64), [0, *np.searchsorted(df, CUTS), len(df)]
-                        line += [sketch, signed[:prefix].tolist(), *(signed[cuts[k] : cuts[k + 1]].tolist() for k in range(FRAGMENTS))]
+                        line += [sketch, bit_map(shared).tolist(), signed[:prefix].tolist(), *(signed[cuts[k] : cuts[k + 1]].tolist() for k in range(FRAGMENTS))]
                     else:
-                        line += [None] * (2 + FRAGMENTS)
+                        line += [None] * (3 + FRAGMENTS)
                     out.append(line)
                     rid += 1
                 fields = list(zip(*out, strict=True))
                 fields[1], fields[2] = ids.slice(row, len(out)), hashes.slice(row, len(out))
                 row += len(out)
-                kinds = [pa.int64()] * 6 + [pa.bool_()] + [pa.list_(pa.int64())] * (2 + FRAGMENTS)
+                kinds = [pa.int64()] * 6 + [pa.bool_()] + [pa.list_(pa.int64())] * (3 + FRAGMENTS)
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(fields, kinds, strict=True)], names=[c.split()[0] for c in _OUT.split(", ")])
         vertical.verify(check, expected)
         keys = sums = None
@@ -165,6 +179,7 @@ def _grouped(profiles: DataFrame, percent: int, scratch: storage.Scratch) -> Dat
     same = ["set_a", "set_b", "n_shingles"]
     classes = scratch.keep(profiles.where("kept").groupBy(*same).agg(F.min("rid").alias("class")))
     texts = profiles.where("kept").drop("doc_id", "text_hash", "set_a", "set_b", "kept").withColumnRenamed("n_shingles", "n")
+    texts = texts.withColumn("shared", reduce(lambda a, b: a + b, (F.size(f"part{k}") for k in range(FRAGMENTS))))
     texts = scratch.keep(texts.join(classes.select(F.col("class").alias("rid")), "rid", "left_semi"))
     alike = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
 
@@ -186,10 +201,16 @@ def _grouped(profiles: DataFrame, percent: int, scratch: storage.Scratch) -> Dat
         return met.where(f"ca <> cb AND {alike}").select("a", "b", "na", "nb", "ca", "cb").distinct()
 
     def across(rows: DataFrame) -> DataFrame:
-        """All pairs of rows (w, rid, n, rest, comp) with one w that different components hold and that the bounds leave."""
-        a, b = (rows.select("w", *(F.col(c).alias(f"{c[0]}{x}") for c in ("n", "comp")), F.col("rid").alias(x), F.col("rest").alias(f"rest_{x}")) for x in "ab")
-        bound = f"(100 + {percent}) * least(rest_a, rest_b) >= {percent} * (na + nb)"
-        return a.join(b, "w").where(f"a < b AND ca <> cb AND {alike} AND {bound}").select("a", "b", "na", "nb", "ca", "cb").distinct()
+        """All pairs of rows (w, rid, n, rest, comp) with one w that different components hold and that the bounds leave.
+
+        Two sets have no more in common than what either holds from w on, nor than what either holds but for the bits that only its map has.
+        """
+        rows = rows.join(texts.select("rid", "shared", "bits"), "rid")
+        a, b = (rows.select("w", *(F.col(c).alias(f"{c[0]}{x}") for c in ("n", "comp")), F.col("rid").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("rest", "shared", "bits"))) for x in "ab")
+        enough = lambda most: (100 + percent) * most >= percent * (F.col("na") + F.col("nb"))
+        mapped = [F.col(f"shared_{x}") - _only(F.col(f"bits_{x}"), F.col(f"bits_{y}")) for x, y in ("ab", "ba")]
+        met = a.join(b, "w").where(f"a < b AND ca <> cb AND {alike}").where(enough(F.least("rest_a", "rest_b"))).where(enough(F.least(*mapped)))
+        return met.select("a", "b", "na", "nb", "ca", "cb").distinct()
 
     moves: list[DataFrame] = []
 
@@ -200,8 +221,7 @@ def _grouped(profiles: DataFrame, percent: int, scratch: storage.Scratch) -> Dat
         storage.tidy(links.sparkSession)
         return links.count()
 
-    shared = reduce(lambda a, b: a + b, (F.coalesce(F.size(f"part{k}"), F.lit(0)) for k in range(FRAGMENTS)))
-    prefix = texts.select("rid", "n", (F.col("n") - shared).alias("alone"), F.posexplode("prefix").alias("i", "w"), F.col("rid").alias("comp"))
+    prefix = texts.select("rid", "n", (F.col("n") - F.col("shared")).alias("alone"), F.posexplode("prefix").alias("i", "w"), F.col("rid").alias("comp"))
     prefix = prefix.select("w", "rid", "n", (F.col("n") - F.col("alone") - F.col("i")).alias("rest"), "comp")  # rest: shingles from this one on
     sketch = texts.select(F.posexplode("sketch").alias("i", "h"), "rid", "n", F.col("rid").alias("comp")).select(F.xxhash64("i", "h").alias("w"), "rid", "n", "comp")
     links = merge(star(sketch, 0))

@@ -94,6 +94,15 @@ def test_near_copies_form_one_group(spark):
     assert sorted(map(tuple, got.collect()), key=repr) == brute_groups(table)
 
 
+def test_bit_maps_bound_the_overlap(spark):
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 400, n)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for n in (1, 30, 200, 350, 350)]
+    frame = spark.createDataFrame([(i, j, ngram_join.bit_map(a).tolist(), ngram_join.bit_map(b).tolist()) for i, a in enumerate(sets) for j, b in enumerate(sets)], "i int, j int, a array<long>, b array<long>")
+    for r in frame.select("i", "j", ngram_join._only(F.col("a"), F.col("b")).alias("only")).collect():
+        alone = len(np.setdiff1d(sets[r.i], sets[r.j]))
+        assert r.only <= alone and (r.i != r.j or r.only == 0) and (alone < 100 or r.only > alone // 3)
+
+
 def test_components(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (8, 7), (7, 9), (5, 5), (None, 1), (3, 30), (30, 31)], "a long, b long")
     assert {r.node: r.component for r in components.components(links, "a", "b").collect()} == {1: 1, 2: 1, 3: 1, 30: 1, 31: 1, 7: 7, 8: 7, 9: 7}
