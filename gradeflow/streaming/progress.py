@@ -11,9 +11,11 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.layout import CATEGORY_AND_TEXT
+from ..sources import scratch
 
 BREAK_AT = 10
 LOOP_BLOCKS, LOOP_CHARACTERS = 25, 6
@@ -30,9 +32,23 @@ def progress_stream(log: DataFrame) -> DataFrame:
     return log.groupBy("model").agg(F.count("*").alias("n"), F.count_if("is_error").alias("errors"), F.avg("latency_s").alias("latency_mean_s"))
 
 
-def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "1 hour") -> DataFrame:
-    """An addition of this engine: tumbling event-time windows under a watermark."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"))
+def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "1 hour", slide: str | None = None, by: str = "event_type") -> DataFrame:
+    """(start, stop, by, n): records of each key in tumbling, or with a slide in overlapping, windows of event time.
+
+    Records later than the watermark are not counted; a window's row comes once it is closed (append mode)."""
+    counts = events.withWatermark("ts", late).groupBy(F.window("ts", size, slide) if slide else F.window("ts", size), by).agg(F.count("*").alias("n"))
+    return counts.select(F.col("window.start").alias("start"), F.col("window.end").alias("stop"), by, "n")
+
+
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour", by: str = "user_id") -> DataFrame:
+    """(by, start, stop, n, errors): records of a key less than a gap apart, under a watermark; stop is a gap after the last (append mode)."""
+    counts = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), by).agg(F.count("*").alias("n"), F.count_if("is_error").alias("errors"))
+    return counts.select(by, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("stop"), "n", "errors")
+
+
+def dropped_late(query: StreamingQuery) -> int:
+    """Rows that a stream's stateful operators have left out as later than the watermark, over the batches whose progress Spark still holds."""
+    return sum(int(op.numRowsDroppedByWatermark) for batch in query.recentProgress for op in batch.stateOperators)
 
 
 def breaker_stream(log: DataFrame, key: str, at: int = BREAK_AT) -> DataFrame:
@@ -104,14 +120,8 @@ def append_new(batch: DataFrame, path: str, number: int) -> None:
 
 def drained(stream: DataFrame, mode: str, keys: list[str], path: str | None = None) -> DataFrame:
     """Runs a stream over what its source holds now and returns the last row of each key as a table. Rows go through files, not the driver."""
-    import tempfile
-    import uuid
-
     spark = stream.sparkSession
-    shared = path or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("a cluster needs a shared folder: set spark.checkpoint.dir")
-    place = f"{(shared or tempfile.mkdtemp(prefix='drained-')).rstrip('/')}/drained-{uuid.uuid4().hex}"
+    place = path or scratch.new_dir(spark, "drained")
 
     def keep(batch: DataFrame, number: int) -> None:
         append_new(batch, f"{place}/rows", number)
