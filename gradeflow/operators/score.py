@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import metrics, tables, text as texts
+from ..sources import scratch
 
 FAIL, HALLUCINATION = ("error", "empty"), ("repetition", "too_long")
 
@@ -63,8 +64,23 @@ def score_all(pairs: DataFrame, rules: texts.Rules = texts.Rules()) -> DataFrame
     return score_tables(rows.where(table), rules).unionByName(texts_)
 
 
+#: Columns of score rows besides the keys that `aggregate` reads.
+MEASURED = ("missing", "flags", "cer", "wer", "cer_raw", "char_edits", "ref_chars", "latency_s", *TABLE_MEASURES)
+
+
+def stored(rows: DataFrame, *keys: str) -> DataFrame:
+    """The keys and measures of score rows as a table in the shared folder. Means and ranks both read the rows: those that are still to be
+    computed would be computed for either, and distances cost more than a narrow table."""
+    found = rows.select(*(c for c in (*keys, *MEASURED) if c in rows.columns))
+    uri = f"{scratch.new_dir(rows.sparkSession, 'scores')}/rows"
+    found.write.parquet(uri)
+    return rows.sparkSession.read.schema(found.schema).parquet(uri)
+
+
 def aggregate(rows: DataFrame, sets: list[tuple[str, ...]] = (("model",), ("model", "category"))) -> DataFrame:
-    """Aggregates of score rows for every grouping set; columns not in a set are null there. Middle and rank values come from counts of equal ones."""
+    """Aggregates of score rows for every grouping set; columns not in a set are null there. Middle and rank values come from counts of equal ones.
+
+    Rows that are not a table yet are best `stored` first, for they are read twice."""
     keys = list(dict.fromkeys(c for s in sets for c in s))
     has = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("double")
     any_of = lambda names: F.count_if(F.arrays_overlap("flags", F.array(*map(F.lit, names))))

@@ -139,9 +139,10 @@ def error_streaks(spark, sf_dir):
     return predictions.error_streaks(log(spark, sf_dir), "user_id")
 
 
-@query("""SELECT event_type, count(*)::BIGINT AS n, count(*) FILTER (value > 50)::BIGINT AS slow, round(avg(value), 9) AS mean FROM events GROUP BY event_type""")
+@query("""SELECT user_id % 10 AS model, count(*)::BIGINT AS n, count(*) FILTER (event_type = 'error')::BIGINT AS errors, round(avg(value), 9) AS latency_mean_s FROM events GROUP BY 1""")
 def quick_status(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("slow"), F.round(F.avg("value"), 9).alias("mean"))
+    rows = log(spark, sf_dir).select((F.col("user_id") % 10).alias("model"), "is_error", F.col("value").alias("latency_s"))
+    return progress.progress_stream(rows).withColumn("latency_mean_s", F.round("latency_mean_s", 9))
 
 
 @query("""SELECT conv_id AS id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text, bool_or(role = 'system') AS stopped, sum(length(text))::BIGINT AS new_tokens, count(*)::BIGINT AS n_pages FROM conversations GROUP BY conv_id""")
@@ -158,6 +159,10 @@ def short_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("ordinal"), F.concat_ws(":", "conv_id", "turn").alias("id"), F.col("role").alias("category"), F.regexp_replace("text", r"[^\x00-\x7F]", "?").alias("gt"))
 
 
+def short_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score.stored(short_rows(spark, sf_dir), "model", "category")
+
+
 def short_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = short_items(spark, sf_dir)
     answers = predictions.run_models(items, MODELS).withColumn("latency_s", (F.length(F.coalesce("text", F.lit(""))) + 1) * 0.001)
@@ -182,24 +187,38 @@ def score_rows_short(spark, sf_dir):
 
 _WORDS = """w AS (SELECT p.*, list_filter(string_split_regex(gt, '\\s+'), lambda x: x <> '') AS w, list_filter(string_split_regex(answer, '\\s+'), lambda x: x <> '') AS v FROM pairs p WHERE model <> 'swapped'),
 e AS (SELECT model, id, len(w)::INTEGER AS ref_words, CASE model WHEN 'oracle' THEN 0 WHEN 'empty' THEN len(w) WHEN 'loop' THEN 80
-  ELSE len(w) - len(v) + CASE WHEN len(v) = 0 OR v[len(v)] = w[len(v)] OR list_contains(w[len(v) + 1:], v[len(v)]) THEN 0 ELSE 1 END END::INTEGER AS word_edits FROM w)"""
+  ELSE len(w) - len(v) + CASE WHEN len(v) = 0 OR v[len(v)] = w[len(v)] OR list_contains(w[len(v) + 1:], v[len(v)]) THEN 0 ELSE 1 END END::INTEGER AS word_edits FROM w
+  UNION ALL SELECT 'edited', id, len(w), len(list_filter(range(len(w)), lambda i: i % 5 = 2 OR i % 7 = 3))::INTEGER FROM w WHERE model = 'oracle')"""
 
 
 @query(f"""WITH {_ROWS}, {_WORDS} SELECT model, id, word_edits, ref_words, round(CASE WHEN ref_words > 0 THEN word_edits / ref_words::DOUBLE WHEN word_edits = 0 THEN 0.0 ELSE 1.0 END, 9) AS wer FROM e""")
 def word_errors(spark, sf_dir):
-    """All test models but the one whose distances only a distance can tell."""
-    return short_rows(spark, sf_dir).where("model <> 'swapped'").select("model", "id", "word_edits", "ref_words", F.round("wer", 9).alias("wer"))
+    """Test models whose distances follow from lengths; and answers with some words dropped and others replaced by words that the truth has not, whose
+    distance is their number, whatever way it is found."""
+    words = metrics.word_list(F.col("gt"))
+    kept = F.filter(F.transform(words, lambda w, i: F.when(i % 7 == 3, None).when(i % 5 == 2, F.concat(F.lit("new"), i.cast("string"))).otherwise(w)), lambda w: w.isNotNull())
+    edited = short_items(spark, sf_dir).select(F.lit("edited").alias("model"), "id", "gt", F.array_join(kept, " ").alias("answer"), F.lit(False).alias("missing"), F.lit(None).cast("string").alias("error"))
+    rows = [r.select("model", "id", "word_edits", "ref_words", F.round("wer", 9).alias("wer")) for r in (short_rows(spark, sf_dir).where("model <> 'swapped'"), score.score(edited.repartition("id"), normalised=True, repetition=False))]
+    return rows[0].unionByName(rows[1])
+
 
+#: Letters beyond ASCII in conversations, and for each a byte that none has: SQL counts edits of bytes.
+_ACCENTED = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
+_AS_BYTES = f"translate({{}}, '{_ACCENTED}', {' || '.join(f'chr({c})' for c in (*range(1, 9), *range(14, 27)))})"
 
-@query("""WITH i AS (SELECT conv_id || ':' || turn AS id, text AS gt, length(text) AS n FROM conversations), m(model) AS (VALUES ('oracle'), ('empty'), ('truncated'), ('loop')),
-  e AS (SELECT model, id, n::INTEGER AS ref_chars, CASE model WHEN 'oracle' THEN 0 WHEN 'empty' THEN n WHEN 'truncated' THEN n - n // 2 ELSE 480 END::INTEGER AS char_edits FROM i, m)
+
+@query(f"""WITH i AS (SELECT conv_id || ':' || turn AS id, text AS gt, length(text) AS n FROM conversations), m(model) AS (VALUES ('oracle'), ('empty'), ('truncated'), ('loop'), ('swapped'), ('accents')),
+  a AS (SELECT *, CASE model WHEN 'oracle' THEN gt WHEN 'empty' THEN '' WHEN 'truncated' THEN substr(gt, 1, n // 2) WHEN 'swapped' THEN translate(gt, 'eot', '3x') WHEN 'accents' THEN translate(gt, 'aoueß', 'äöüé')
+    ELSE gt || repeat(' lorem ipsum', 40) END AS answer FROM i, m),
+  e AS (SELECT model, id, n::INTEGER AS ref_chars, levenshtein({_AS_BYTES.format("gt")}, {_AS_BYTES.format("answer")})::INTEGER AS char_edits FROM a)
   SELECT *, round(CASE WHEN ref_chars > 0 THEN char_edits / ref_chars::DOUBLE WHEN char_edits = 0 THEN 0.0 ELSE 1.0 END, 9) AS cer FROM e""")
 def score_rows_unicode(spark, sf_dir):
-    """Distances over code points of texts as they are, by models whose edits follow from lengths."""
+    """Distances over code points of texts as they are; accents appear where there were none, and some letters go."""
     items = short_items(spark, sf_dir).drop("gt").join(table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), F.col("text").alias("gt")), "id")
-    names = ["oracle", "empty", "truncated", "loop"]
-    models = spark.createDataFrame([(m, i) for i, m in enumerate(names)], "model string, model_ordinal int")
-    rows = score.score(score.pair(items, models, predictions.run_models(items, names)), normalised=True, repetition=False)
+    names = ["oracle", "empty", "truncated", "loop", "swapped"]
+    models = spark.createDataFrame([(m, i) for i, m in enumerate([*names, "accents"])], "model string, model_ordinal int")
+    accents = items.select(F.lit("accents").alias("model"), F.lit(5).alias("model_ordinal"), "id", F.translate("gt", "aoueß", "äöüé").alias("text"), F.lit(None).cast("string").alias("error"), F.col("ordinal").alias("seq"))
+    rows = score.score(score.pair(items, models, predictions.run_models(items, names).unionByName(accents)), normalised=True, repetition=False)
     return rows.select("model", "id", "ref_chars", "char_edits", F.round("cer", 9).alias("cer"))
 
 
@@ -216,7 +235,7 @@ _SUMMARY = """SELECT model, category, count(*)::BIGINT AS n, count(*) FILTER (NO
 
 @query(f"WITH {_ROWS} {_SUMMARY}")
 def summary_all_and_category(spark, sf_dir):
-    out = score.aggregate(short_rows(spark, sf_dir))
+    out = score.aggregate(short_scores(spark, sf_dir))
     rounded = [F.round(c, 9).alias(c) for c in ("cer_mean", "cer_ci95", "cer_median", "cer_p90", "cer_micro", "latency_mean_s")]
     return out.select("model", "category", "n", "n_scored", "complete", *rounded)
 
@@ -227,7 +246,7 @@ _WILSON = "least(1.0, (k / n::DOUBLE + 3.8416 / (2 * n) + 1.96 * sqrt(k / n::DOU
 @query(f"""WITH {_ROWS}, c AS (SELECT model, category, count(*) FILTER (is_empty)::BIGINT AS n_fail, count(*) FILTER (too_long)::BIGINT AS k, count(*) FILTER (NOT missing)::BIGINT AS n FROM scored GROUP BY ALL)
   SELECT model, category, n_fail, k AS n_hallucination, round({_WILSON}, 9) AS upper95 FROM c""")
 def failure_rates_wilson(spark, sf_dir):
-    out = score.aggregate(short_rows(spark, sf_dir), [("model", "category")])
+    out = score.aggregate(short_scores(spark, sf_dir), [("model", "category")])
     return out.select("model", "category", "n_fail", "n_hallucination", F.round("hallucination_upper95", 9).alias("upper95"))
 
 
@@ -237,20 +256,40 @@ def worst_k(spark, sf_dir):
     return score.worst(rows, short_items(spark, sf_dir)).withColumns({"cer": F.round("cer", 9), "rank": F.col("rank").cast("long")})
 
 
-@query("""SELECT model, conv_id || ':' || turn AS id, model = 'loop' AS repeated FROM conversations, (VALUES ('oracle'), ('loop')) AS m(model)""")
+#: What is put after a text, and whether it is a repetition: units of 2 to 80 characters with a letter, ten times and over 100 characters.
+_UNIT = "The quick brown fox jumps over a lazy dog; five boxing wizards watch it from here"
+_TAILS = {
+    "none": ("", False), "words": (" ab c" * 25, True), "digits": (" 12 34" * 40, False), "nine": (" a longer unit" * 9, False), "ten": (" a longer unit" * 10, True), "short": ("ab" * 48, False),
+    "eighty": (_UNIT[:80] * 10, True), "beyond": ((_UNIT[:80] + "#") * 10, False), "apart": ((_UNIT[:20] + " \n ") * 11, True), "inside": (" xyz" * 30 + " and it ends otherwise", True),
+}
+
+
+@query(f"""SELECT tail, conv_id || ':' || turn AS id, repeated FROM conversations, (VALUES {", ".join(f"('{k}', {str(v[1]).lower()})" for k, v in _TAILS.items())}) AS t(tail, repeated)""")
 def repetition_flags(spark, sf_dir):
-    rows = short_items(spark, sf_dir)
-    made = predictions.run_models(rows, ["oracle", "loop"])
-    return made.select("model", "id", metrics.has_repetition(F.col("text")).alias("repeated"))
+    """Texts, which repeat nothing themselves, with tails that do, and with some that nearly do."""
+    tails = F.explode(F.create_map(*(F.lit(x) for k, (t, _) in _TAILS.items() for x in (k, t)))).alias("tail", "said")
+    rows = short_items(spark, sf_dir).select("id", "gt", tails)
+    return rows.select("tail", "id", metrics.has_repetition(F.concat("gt", F.lit(" | "), "said")).alias("repeated"))
 
 
-@query(r"""WITH i AS (SELECT conv_id || ':' || turn AS id, (len(list_filter(string_split_regex(regexp_replace(text, '[^\x00-\x7F]', '?', 'g'), '\s+'), lambda x: x <> '')) + 7) // 8 AS n FROM conversations),
-  p AS (SELECT id, list_transform(range(n), lambda i: least(3, 4 * i // n)) AS q FROM i)
-  SELECT model, id, CASE WHEN list_contains(q, 0) THEN v END AS q1, CASE WHEN list_contains(q, 1) THEN v END AS q2, CASE WHEN list_contains(q, 2) THEN v END AS q3, CASE WHEN list_contains(q, 3) THEN v END AS q4
-  FROM p, (VALUES ('oracle', 1.0::DOUBLE), ('empty', 0.0::DOUBLE)) AS m(model, v)""")
+_CHUNKS = r"""i AS (SELECT conv_id || ':' || turn AS id, list_filter(string_split_regex(regexp_replace(text, '[^\x00-\x7F]', '?', 'g'), '\s+'), lambda x: x <> '') AS w FROM conversations),
+c AS (SELECT id, (len(w) + 7) // 8 AS n, unnest(range((len(w) + 7) // 8)) AS k, w FROM i),
+s AS (SELECT id, n, k, least(3, 4 * k // n) AS q, array_to_string(w[8 * k + 1:8 * k + 8], ' ') AS said FROM c)"""
+
+
+@query(f"""WITH {_CHUNKS}, r AS (SELECT id, model, q, avg(CASE model WHEN 'empty' THEN 0 WHEN 'lost' THEN CASE WHEN k % 3 = 1 AND length(said) >= 40 THEN 0 ELSE 1 END ELSE 1 END) AS v
+    FROM s, (VALUES ('oracle'), ('empty'), ('misread'), ('lost'), ('joined')) AS m(model) GROUP BY ALL)
+  SELECT i.id, m.model, max(v) FILTER (q = 0) AS q1, max(v) FILTER (q = 1) AS q2, max(v) FILTER (q = 2) AS q3, max(v) FILTER (q = 3) AS q4 FROM i CROSS JOIN (VALUES ('oracle'), ('empty'), ('misread'), ('lost'), ('joined')) AS m(model) LEFT JOIN r ON r.id = i.id AND r.model = m.model GROUP BY ALL""")
 def position_recall(spark, sf_dir):
-    made = predictions.run_models(short_items(spark, sf_dir), ["oracle", "empty"]).join(short_items(spark, sf_dir).select("id", "gt"), "id")
-    return made.select("model", "id", metrics.position_recall("gt", "text").alias("p")).select("model", "id", *(F.get("p", F.lit(i)).alias(f"q{i + 1}") for i in range(4)))
+    """Answers that are right; nothing; right but for a letter in each longer passage; with other words for every third passage; and with an end that is not there."""
+    items = short_items(spark, sf_dir)
+    words = metrics.word_list(F.col("gt"))
+    chunks = F.transform(F.when(F.size(words) == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / 8).cast("int"))), lambda k: F.array_join(F.slice(words, 8 * k + 1, F.lit(8)), " "))
+    misread = F.transform(chunks, lambda c: F.when(F.length(c) >= 40, F.concat(F.lit("#"), F.substr(c, F.lit(2)))).otherwise(c))
+    lost = F.transform(chunks, lambda c, k: F.when((k % 3 == 1) & (F.length(c) >= 40), F.translate(c, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "#" * 52)).otherwise(c))
+    said = {"oracle": F.col("gt"), "empty": F.lit(""), "misread": F.array_join(misread, " "), "lost": F.array_join(lost, " "), "joined": F.concat("gt", F.lit(" 0123456789" * 9))}
+    rows = items.select("id", "gt", F.explode(F.create_map(*(x for k, v in said.items() for x in (F.lit(k), v)))).alias("model", "text"))
+    return rows.select("model", "id", metrics.position_recall("gt", "text").alias("p")).select("model", "id", *(F.get("p", F.lit(i)).alias(f"q{i + 1}") for i in range(4)))
 
 
 #: Every character that the native rules drop or change takes the place of some letter, so that each rule has work.
@@ -299,8 +338,7 @@ def plain_text_pages(spark, sf_dir):
 
 
 def _decision_input(spark, sf_dir):
-    rows = short_rows(spark, sf_dir)
-    out = score.aggregate(rows, [("category", "model")])
+    out = score.aggregate(short_scores(spark, sf_dir), [("category", "model")])
     facts = spark.createDataFrame([(m, i, "tesseract" if m == "swapped" else "vlm", 8 - i) for i, m in enumerate(MODELS)], "model string, model_ordinal int, adapter string, vram int")
     return out.join(F.broadcast(facts), "model").withColumn("is_table", F.lit(False))
 
@@ -333,7 +371,7 @@ def decide_final(spark, sf_dir):
 t AS (SELECT model AS name, avg(cer) FILTER (complete AND category <> 'system') AS text_cer, avg(cer) FILTER (complete AND category = 'system') AS table_exact, sum(n)::BIGINT AS n_done, count(*) FILTER (complete)::BIGINT AS complete_categories FROM a GROUP BY model)
 SELECT name, round(text_cer, 9) AS text_cer, round(table_exact, 9) AS table_exact, n_done, complete_categories, row_number() OVER (ORDER BY text_cer IS NULL, text_cer, model_ordinal) AS rank FROM models JOIN t ON name = model""")
 def leaderboard_ranks(spark, sf_dir):
-    rows = score.aggregate(short_rows(spark, sf_dir), [("model", "category")])
+    rows = score.aggregate(short_scores(spark, sf_dir), [("model", "category")])
     rows = rows.withColumns({"is_table": F.col("category") == "system", "cell_exact_mean": F.col("cer_mean")})
     queue = spark.createDataFrame([(m, i) for i, m in enumerate(MODELS)], "name string, queue_ordinal int")
     variants = rows.select(F.col("model").alias("name"), "category", F.col("model").alias("variant"), F.lit(0).alias("vram")).distinct()
@@ -416,10 +454,25 @@ def cells_exact(spark, sf_dir):
     return order_tables(spark, sf_dir).select("id", F.round(tables.exact_cells(F.col("truth"), F.col("answer")), 9).alias("cell_exact"))
 
 
-@query("""SELECT l_orderkey % 4 AS kind, count(*) FILTER (gt <> got)::BIGINT AS row_count_off, count(*)::BIGINT AS n FROM (SELECT l_orderkey, count(*) AS gt, count(*) FILTER (NOT (l_orderkey % 4 = 0 AND l_linenumber = 2)) AS got FROM lineitem GROUP BY 1) GROUP BY 1""")
+@query("""SELECT 'kind ' || l_orderkey % 4 AS category, count(*) FILTER (gt <> got)::BIGINT AS row_count_off, sum(CASE WHEN l_orderkey % 4 = 1 THEN gt ELSE 0 END)::BIGINT AS rows_wrong_ncols, count(*)::BIGINT AS n
+  FROM (SELECT l_orderkey, count(*) AS gt, count(*) FILTER (NOT (l_orderkey % 4 = 0 AND l_linenumber = 2)) AS got FROM lineitem GROUP BY 1) GROUP BY 1""")
 def row_count_off(spark, sf_dir):
-    rows = order_tables(spark, sf_dir).select((F.col("id") % 4).alias("kind"), F.size("truth").alias("gt"), F.size("answer").alias("got"))
-    return rows.groupBy("kind").agg(F.count_if(F.col("gt") != F.col("got")).alias("row_count_off"), F.count("*").alias("n"))
+    rows = tables.placement(order_tables(spark, sf_dir), "truth", "answer").withColumns({"category": F.concat(F.lit("kind "), (F.col("id") % 4).cast("string")), "missing": F.lit(False), "flags": F.array().cast("array<string>"), "cer": F.lit(None).cast("double"), "char_edits": F.lit(0), "ref_chars": F.lit(0)})
+    out = score.aggregate(score.stored(rows, "category"), [("category",)])
+    return out.select("category", "row_count_off", F.col("rows_wrong_ncols").cast("long").alias("rows_wrong_ncols"), "n")
+
+
+@query(f"""WITH {_CELLS}, r AS (SELECT l_orderkey AS id, count(*) AS n, count(*) FILTER (l_orderkey % 4 = 0 AND l_linenumber = 2) AS k FROM lineitem GROUP BY 1)
+  SELECT id, round(CASE WHEN id % 4 = 3 THEN 1 WHEN id % 4 = 0 THEN 1 - 5 * k / (7 + 5 * n)::DOUBLE ELSE teds END, 9) AS teds, n::INTEGER + 1 AS gt_rows, (n - k)::INTEGER + 1 AS pred_rows
+  FROM (SELECT *, 1 - n / (7 + 5 * n)::DOUBLE AS teds FROM r)""")
+def paged_table_scores(spark, sf_dir):
+    """Answers of two pages, each a table that begins with the truth's heading: as trees they are one table, and a heading that comes again is no row."""
+    head = F.array(F.array(*(F.lit(h) for h in ("line", "part", "number", "flag"))))
+    rows = order_tables(spark, sf_dir).select("id", F.concat(head, "truth").alias("truth"), F.coalesce("answer", F.array().cast("array<array<string>>")).alias("answer"))
+    half = F.ceil(F.size("answer") / 2).cast("int")
+    first, second = F.concat(head, F.slice("answer", F.lit(1), half)), F.concat(head, F.slice("answer", half + 1, F.size("answer")))
+    pairs = rows.select("id", html_of(F.col("truth")).alias("gt"), F.concat(html_of(first), F.lit("\n"), html_of(second)).alias("answer"), F.lit(2).alias("pages"))
+    return score.score_tables(pairs).select("id", F.round("teds", 9).alias("teds"), "gt_rows", "pred_rows")
 
 
 @query(f"""WITH {_CELLS}, r AS (SELECT l_orderkey AS id, l_orderkey % 4 AS kind, count(*) AS n, count(*) FILTER (l_orderkey % 4 = 0 AND l_linenumber = 2) AS k FROM lineitem GROUP BY ALL),
@@ -469,10 +522,10 @@ def tail_loop(spark, sf_dir):
     return blocks.tail_runs(rows, least=2, characters=5)
 
 
-@query("""WITH v AS (SELECT l_partkey AS cell, l_suppkey AS pass, min(l_returnflag) AS value FROM lineitem GROUP BY ALL HAVING count(DISTINCT l_returnflag) = 1)
+@query("""WITH v AS (SELECT l_orderkey AS cell, l_suppkey % 3 AS pass, min(l_linestatus) AS value FROM lineitem GROUP BY ALL HAVING count(DISTINCT l_linestatus) = 1)
   SELECT cell, min(value) AS value, count(*)::BIGINT AS n FROM v GROUP BY cell HAVING count(DISTINCT value) = 1 AND count(*) >= 2""")
 def marker_votes(spark, sf_dir):
-    return blocks.votes(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("cell"), F.col("l_suppkey").alias("pass"), F.col("l_returnflag").alias("candidate")))
+    return blocks.votes(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("cell"), (F.col("l_suppkey") % 3).alias("pass"), F.col("l_linestatus").alias("candidate")))
 
 
 @query(f"""WITH {_ROWS} SELECT a.model AS a, b.model AS b, round(avg(round(greatest(0.0, 1 - levenshtein(a.answer, b.answer) / greatest(1, length(a.answer))::DOUBLE), 3)), 6) AS agreement

@@ -24,10 +24,13 @@ def text_to_blocks(spark, sf_dir):
 
 
 @query(r"""WITH t AS (SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(html, '<style\b[^>]*>.*?</style\s*>', '', 'gis'), '<script\b[^>]*>.*?</script\s*>', '', 'gis'), '<head\b[^>]*>.*?</head\s*>', '', 'gis') AS bare FROM pages)
-  SELECT page_id, sha256(trim(regexp_extract(bare, '<body\b[^>]*>(.*?)(?:</body\s*>|\z)', 1, 'is'))) AS body, length(html)::INTEGER AS first_table FROM t""")
+  SELECT page_id, sha256(trim(regexp_extract(bare, '<body\b[^>]*>(.*?)(?:</body\s*>|\z)', 1, 'is'))) AS body, CASE WHEN page_id % 2 = 1 THEN '<TABLE x="1">' || page_id || chr(10) || '</table>' ELSE sha256(html) END AS first_table FROM t""")
 def page_bodies(spark, sf_dir):
-    """Pages have no tables, so the first table is the page."""
-    return table(spark, sf_dir, "pages").select("page_id", F.sha2(markup.body_html(F.col("html")), 256).alias("body"), F.length(markup.first_table(F.col("html"))).alias("first_table"))
+    """Pages have no tables, so the first table is the page; every second gets two."""
+    pages, odd = table(spark, sf_dir, "pages"), F.col("page_id") % 2 == 1
+    tables = F.concat("html", F.lit('<TABLE x="1">'), F.col("page_id").cast("string"), F.lit("\n</table><p></p><table></table>"))
+    found = markup.first_table(F.when(odd, tables).otherwise(F.col("html")))
+    return pages.select("page_id", F.sha2(markup.body_html(F.col("html")), 256).alias("body"), F.when(odd, found).otherwise(F.sha2(found, 256)).alias("first_table"))
 
 
 @query(r"""WITH w AS (SELECT doc_id, text, list_filter(string_split_regex(text, '[\s\x0B\x{0085}\x{00A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{1680}]+'), lambda x: x <> '') AS w FROM documents)
@@ -38,6 +41,17 @@ def text_statistics(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", *(found[k].alias(k) for k in ("n_chars", "arabic", "hebrew", "loop")))
 
 
+#: Letters that become Arabic letters and vowel marks.
+_LATIN, _ARABIC = "nrtslaeiou", "نرتسلَُِْٰ"
+
+
+@query(rf"""WITH t AS (SELECT doc_id, translate(text, '{_LATIN}', '{_ARABIC}') AS text FROM documents), c AS (SELECT doc_id, len(regexp_extract_all(text, '[\x{{0646}}\x{{0631}}\x{{062A}}\x{{0633}}\x{{0644}}]')) AS n, len(regexp_extract_all(text, '[\x{{064E}}\x{{0650}}\x{{064F}}\x{{0652}}\x{{0670}}]')) AS m FROM t)
+  SELECT doc_id, n::INTEGER AS arabic, round(m / greatest(n, 1)::DOUBLE, 3) AS vowels FROM c""")
+def vowel_marks(spark, sf_dir):
+    found = markup.text_statistics(F.translate("text", _LATIN, _ARABIC))
+    return table(spark, sf_dir, "documents").select("doc_id", found["arabic"].alias("arabic"), found["vowels"].alias("vowels"))
+
+
 @query(r"""WITH t AS (SELECT doc_id AS line, generate_subscripts(x, 1) - 1 AS ord, unnest(x) AS token FROM (SELECT doc_id, string_split(text, ' ') AS x FROM documents)),
   m AS (SELECT *, regexp_matches(token, '[A-Za-z]') AS alpha FROM t), f AS (SELECT *, CASE WHEN lag(alpha) OVER (PARTITION BY line ORDER BY ord) IS DISTINCT FROM alpha THEN 1 ELSE 0 END AS fresh FROM m),
   r AS (SELECT *, sum(fresh) OVER (PARTITION BY line ORDER BY ord) AS run FROM f)

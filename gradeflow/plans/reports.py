@@ -17,7 +17,7 @@ def _models(spark, names=MODELS):
 @query(f"""WITH {_ROWS}, a AS (SELECT model, any_value(model_ordinal) AS o, count(*) FILTER (missing) = 0 AS complete, avg(cer) AS cer FROM scored GROUP BY model)
   SELECT row_number() OVER (ORDER BY NOT complete, coalesce(cer, 9e9), o)::INTEGER AS place, model, complete, round(cer, 9) AS cer_mean FROM a""")
 def report_overview(spark, sf_dir):
-    totals = score.aggregate(catalog.short_rows(spark, sf_dir), [("model",)]).join(F.broadcast(_models(spark)), "model")
+    totals = score.aggregate(catalog.short_scores(spark, sf_dir), [("model",)]).join(F.broadcast(_models(spark)), "model")
     return report.in_report_order(totals).select("place", "model", "complete", F.round("cer_mean", 9).alias("cer_mean"))
 
 
@@ -52,13 +52,15 @@ def dataset_card(spark, sf_dir):
     return report.card(items)
 
 
-@query(f"""WITH {_ROWS}, p AS (SELECT id AS page, model AS system, answer AS text, length(answer) * 0.01::DOUBLE AS seconds FROM pairs WHERE model IN ('oracle', 'truncated', 'loop')),
+@query(f"""WITH {_ROWS}, p AS (SELECT id AS page, model AS system, answer AS text, length(answer) * 0.01::DOUBLE AS seconds FROM pairs WHERE model IN ('oracle', 'truncated', 'loop') UNION ALL SELECT id, 'stutter', answer || ' no no no no no', length(answer) * 0.01::DOUBLE FROM pairs WHERE model = 'oracle'),
   s AS (SELECT system, count(*)::BIGINT AS n, count(*) FILTER (length(text) < 20)::BIGINT AS blanks, avg(seconds) AS seconds FROM p GROUP BY system),
   g AS (SELECT a.system AS a, b.system AS b, avg(round(greatest(0.0, 1 - levenshtein(a.text, b.text) / greatest(1, length(a.text))::DOUBLE), 3)) AS agreement FROM p a JOIN p b ON a.page = b.page AND a.system <> b.system WHERE a.text <> '' AND b.text <> '' GROUP BY ALL)
-  SELECT s.system, n, 0.0::DOUBLE AS vowels, 0::BIGINT AS loops, blanks, round(seconds, 6) AS seconds, round((SELECT avg(agreement) FROM g WHERE g.a = s.system), 6) AS agreement FROM s""")
+  SELECT s.system, n, 0.0::DOUBLE AS vowels, CASE WHEN s.system = 'stutter' THEN n ELSE 0 END::BIGINT AS loops, blanks, round(seconds, 6) AS seconds, round((SELECT avg(agreement) FROM g WHERE g.a = s.system), 6) AS agreement FROM s""")
 def system_comparison(spark, sf_dir):
     made = predictions.run_models(catalog.short_items(spark, sf_dir), ["oracle", "truncated", "loop"])
-    out = report.comparison(made.select(F.col("id").alias("page"), F.col("model").alias("system"), "text", (F.length("text") * 0.01).alias("seconds")))
+    made = made.select(F.col("id").alias("page"), F.col("model").alias("system"), "text", (F.length("text") * 0.01).alias("seconds"))
+    stutter = made.where("system = 'oracle'").withColumns({"system": F.lit("stutter"), "text": F.concat("text", F.lit(" no no no no no"))})
+    out = report.comparison(made.unionByName(stutter))
     return out.withColumns({c: F.round(c, 6) for c in ("seconds", "agreement")})
 
 
@@ -97,7 +99,7 @@ def summary_tables_and_texts(spark, sf_dir):
     tables = catalog.order_tables(spark, sf_dir).select(key.alias("id"), F.concat(F.lit("kind "), (F.col("id") % 4).cast("string")).alias("category"), F.lit("table_html").alias("gt_type"), catalog.html_of(F.col("truth")).alias("gt"), catalog.html_of(F.col("answer")).alias("answer"), F.when(F.col("id") % 8 == 0, '{"hit_max_tokens": true}').alias("extra"))
     texts = table(spark, sf_dir, "conversations").where("text RLIKE '[A-Za-z]'").select(F.concat_ws(":", "conv_id", "turn").alias("id"), F.lit("texts").alias("category"), F.lit("text").alias("gt_type"), F.col("text").alias("gt"), F.col("text").alias("answer"), F.lit(None).cast("string").alias("extra"))
     pairs = tables.unionByName(texts).withColumns({"model": F.lit("m"), "missing": F.lit(False), "pages": F.lit(1), "error": F.lit(None).cast("string")})
-    out = score.aggregate(score.score_all(pairs), [("category",)])
+    out = score.aggregate(score.stored(score.score_all(pairs), "category"), [("category",)])
     rounded = [F.round(c, 7).alias(c) for c in ("teds_mean", "teds_ci95", "teds_struct_mean", "cell_exact_mean", "cell_aligned_mean")]
     return out.select("category", "n", "teds_n", *rounded, F.col("rows_wrong_ncols").cast("long").alias("rows_wrong_ncols"), "row_count_off", "n_hit_max_tokens", F.when(F.col("category") == "texts", F.get("pos_q", F.lit(0))).alias("q1"))
 
