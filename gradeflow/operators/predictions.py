@@ -49,10 +49,13 @@ def run_models(items: DataFrame, models: list[str]) -> DataFrame:
     return made
 
 
-def apply_adapter(items: DataFrame, adapter, schema: str = "id string, text string, confidence double, latency_s double, error string") -> DataFrame:
-    """Answers by an object with load(), predict_batch(frame) -> frame and close(): loaded once a task, a batch at a time.
+ANSWERS = "id string, text string, confidence double, latency_s double, error string"
 
-    A batch that fails is tried again item by item; an item that fails is a row with its error.
+
+def apply_adapter(items: DataFrame, adapter, schema: str = ANSWERS, batch: int = 0) -> DataFrame:
+    """Answers by an object with load(), predict_batch(frame) -> frame and close(): loaded once a task, `batch` items at a time (0: as they come).
+
+    A batch that fails is tried again item by item; an item that fails is a row with its error. Works on streams, too.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -64,12 +67,12 @@ def apply_adapter(items: DataFrame, adapter, schema: str = "id string, text stri
             return frame.where(frame.notna(), None)
 
         try:
-            for batch in batches:
+            for some in (frame.iloc[at : at + (batch or len(frame))] for frame in batches for at in range(0, len(frame), batch or len(frame))):
                 try:
-                    yield whole(adapter.predict_batch(batch))
+                    yield whole(adapter.predict_batch(some))
                 except Exception:  # noqa: BLE001 - any model error is data here
-                    for i in range(len(batch)):
-                        one = batch.iloc[i : i + 1]
+                    for i in range(len(some)):
+                        one = some.iloc[i : i + 1]
                         try:
                             yield whole(adapter.predict_batch(one))
                         except Exception as why:  # noqa: BLE001
@@ -112,3 +115,24 @@ def merge_pages(pages: DataFrame) -> DataFrame:
     """(id, text, confidence, stopped, new_tokens, n_pages): an item's pages in order, texts joined by a blank line."""
     texts = F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda x: x["text"])
     return pages.groupBy("id").agg(F.array_join(texts, "\n\n").alias("text"), F.avg("confidence").alias("confidence"), F.bool_or("stopped").alias("stopped"), F.sum("new_tokens").alias("new_tokens"), F.count("*").alias("n_pages"))
+
+
+def merged_logs(*logs: DataFrame, key: tuple[str, ...] = ("id", "seq")) -> DataFrame:
+    """One log of several copies of it (id, seq, ..., error), whatever their order: each record that any has, once.
+
+    No copy's records are lost, so none replaces a longer one. Where copies differ in a record, one without an error wins, then
+    the greater in its columns, so that all machines come to the same log. A full outer join on the key, as one aggregation that is
+    combined before its shuffle.
+    """
+    first, *more = logs
+    both = first
+    for log in more:
+        both = both.unionByName(log, allowMissingColumns=True)
+    rest = [c for c in both.columns if c not in key]
+    sound = (F.coalesce("error", F.lit("")) == "").alias("_sound") if "error" in rest else F.lit(True).alias("_sound")
+    return both.groupBy(*key).agg(F.max(F.struct(sound, *rest)).alias("_best")).select(*key, *(f"_best.{c}" for c in rest))
+
+
+def lost_records(merged: DataFrame, log: DataFrame, key: tuple[str, ...] = ("id", "seq")) -> DataFrame:
+    """Keys of a log that a merged one has not; none, if it was among its copies."""
+    return log.select(*key).join(merged.select(*key), list(key), "left_anti")

@@ -20,7 +20,7 @@ SEED, HOLDOUT = 13, 0.2
 MODELS = ["oracle", "empty", "truncated", "swapped", "loop"]
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import documents, places, reports, streams  # noqa: F401 - they register their queries
+    from . import documents, logs, places, reports, sql_only, streams  # noqa: F401 - they register their queries
 
     return dict(registry.QUERIES)
 
