@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .score import aggregate, stored
+
+#: Names of which more is broadcast no more.
+MAX_NAMES = 10_000
 REASONS = ("gated", "no_memory", "unsupported", "broken", "license")
 
 
@@ -43,6 +47,18 @@ def leaderboard(queue: DataFrame, variants: DataFrame, aggregates: DataFrame) ->
     return board.withColumn("rank", F.row_number().over(Window.orderBy(F.col("text_cer").isNull(), "text_cer", "queue_ordinal")))  # a row a model
 
 
+def stitched(variants: DataFrame, rows: DataFrame) -> DataFrame:
+    """Score rows (model, category, ...) of each queued name by the variants (name, category, variant) that stand for it, with the name."""
+    return rows.withColumnRenamed("model", "variant").join(variants.select("name", "category", "variant"), ["variant", "category"])
+
+
+def sections(variants: DataFrame, rows: DataFrame) -> DataFrame:
+    """Aggregates of stitched rows by name, and by name and category, with the variants that were used."""
+    met = stitched(variants, rows)
+    used = variants.groupBy("name").agg(F.array_sort(F.collect_set("variant")).alias("variants"))  # a few of a name
+    return aggregate(stored(met, "name", "category"), [("name",), ("name", "category")]).join(F.broadcast(used) if used.count() <= MAX_NAMES else used, "name")
+
+
 def skip_problem(code: Column, detail: Column, evidence_exists: Column) -> Column:
     """What is wrong with a skip entry; null if nothing is."""
     return F.when(~code.isin(*REASONS), "unknown reason").when(F.trim(F.coalesce(detail, F.lit(""))) == "", "no detail").when((code != "gated") & ~F.coalesce(evidence_exists, F.lit(False)), "no evidence")

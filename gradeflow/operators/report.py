@@ -192,9 +192,32 @@ def decision(stage: str, split: str, rows: DataFrame) -> tuple[str, str]:
     return json.dumps({"stage": stage, "split": split, "categories": found}, ensure_ascii=False, indent=2), "\n".join(out)
 
 
-def leaderboard_markdown(board: DataFrame, skips: DataFrame, waiting: list[str], title: str = "Leaderboard") -> str:
-    rows = board.orderBy("rank").collect()
-    out = [f"# {title}", "", *markdown_table(["#", "Model", "Done", "Text CER", "Cells in place", "Memory"], ([r["rank"], r.name, r.n_done, percent(r.text_cer), percent(r.table_exact), memory(r.vram)] for r in rows if r.n_done), 2)]
+def leaderboard_markdown(board: DataFrame, skips: DataFrame, waiting: list[str], title: str = "Leaderboard", sections: DataFrame | None = None, states: dict[str, str] = {}, tables: tuple[str, ...] = (), long: tuple[str, ...] = ()) -> str:  # noqa: B006 - never changed
+    """The leaderboard in rank order. With sections (of `leaderboard.sections`): failures, latency and variants of each model, its measure
+    in each category with its interval (of `tables` the cells in place, and the texts' errors beside them), and the places of
+    `long` categories by quarter. states: of models, as of `goal_states`."""
+    rows = [r for r in board.orderBy("rank").collect() if r.n_done]
+    found = _by(sections.collect(), "name", "category") if sections is not None else {}
+    whole = lambda r: found.get((r.name, None))
+    head = ["#", "Model", "Done", "Text CER", "Cells in place", "Memory", *["Looping or too long", "Failed", "s an item", "State", "Variants"] * bool(found)]
+    more = lambda r: [whole(r).n_hallucination, whole(r).n_fail, number(whole(r).latency_mean_s, 2), states.get(r.name, NONE), ", ".join(f"`{v}`" for v in whole(r).variants)] if whole(r) else [NONE] * 5 * bool(found)
+    out = [f"# {title}", "", *markdown_table(head, ([r["rank"], r.name, r.n_done, percent(r.text_cer), percent(r.table_exact), memory(r.vram), *more(r)] for r in rows), 2)]
+    categories = sorted({c for _, c in found if c is not None})
+    if rows and categories:
+
+        def measure(name: str, category: str) -> str:
+            a = found.get((name, category))
+            if a is None or not a.complete:
+                return NONE
+            return f"{interval(a.cell_exact_mean, a.cell_exact_ci95)} · CER {percent(a.cer_mean)}" if category in tables else interval(a.cer_mean, a.cer_ci95)
+
+        out += ["## By category", "", "Error rates of texts; of tables (*) the cells in place. Categories that are not complete are left open.", ""]
+        out += markdown_table(["Category", *(r.name for r in rows)], ([c + " *" * (c in tables), *(measure(r.name, c) for r in rows)] for c in categories))
+        by_place = [(r.name, c, a) for r in rows for c in categories if c in long and (a := found.get((r.name, c))) and a.n_scored]
+        if by_place:
+            quarters = lambda a: [percent(q, 0) for q in a.pos_q] if "pos_q" in a else [NONE] * 4
+            out += ["## Long documents by place", ""]
+            out += markdown_table(["Model", "Category", "Q1", "Q2", "Q3", "Q4", "Cut", "Rows of other width"], ([n, c, *quarters(a), a.n_hit_max_tokens, a.rows_wrong_ncols] for n, c, a in by_place), 2)
     if left := skips.collect():
         out += ["## Skipped", "", *markdown_table(["Model", "Reason", "Detail"], ([s.name, s.reason_code, (s.detail or "").replace("|", "/")] for s in left), 3)]
     return "\n".join([*out, *([f"Not run yet: {', '.join(waiting)}.", ""] if waiting else [])])

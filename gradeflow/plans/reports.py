@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import documents, predictions, report, score
+from ..operators import documents, leaderboard, predictions, report, score
 from . import catalog, registry
 from .catalog import _GOAL, _MANIFEST, _ROWS, MODELS
 from .registry import query, table
@@ -126,3 +126,17 @@ def names_published(spark, sf_dir):
     text = nation.where("n_nationkey % 3 = 0").agg(F.array_join(F.transform(F.collect_list("n_name"), lambda n: F.concat(F.lit("| "), n, F.lit(" | 1 |"))), "\n").alias("text"))
     names = nation.select(F.col("n_name").alias("name")).join(F.broadcast(text))  # one row
     return report.mentioned(names, F.col("text")).select("name", "in_text")
+
+
+@query(f"""WITH {_ROWS}, v(name, variant, category) AS (SELECT name, CASE WHEN category = 'user' THEN variant ELSE other END, category FROM (VALUES ('one', 'truncated', 'swapped'), ('two', 'oracle', 'loop')) AS n(name, variant, other), (SELECT DISTINCT role AS category FROM conversations)),
+  s AS (SELECT name, variant, scored.* EXCLUDE (model) FROM scored JOIN v ON v.variant = scored.model AND v.category = scored.category)
+  SELECT name, category, (SELECT string_agg(DISTINCT variant, ',' ORDER BY variant) FROM v WHERE v.name = s.name) AS variants, count(*)::BIGINT AS n, count(*) FILTER (missing) = 0 AS complete, round(avg(cer), 9) AS cer_mean, round(1.96 * stddev_samp(cer) / sqrt(count(cer)), 9) AS cer_ci95,
+    count(*) FILTER (is_empty)::BIGINT AS n_fail, count(*) FILTER (too_long)::BIGINT AS n_hallucination, round(avg(latency_s), 9) AS latency_mean_s FROM s GROUP BY GROUPING SETS ((name), (name, category))""")
+def leaderboard_sections(spark, sf_dir):
+    """Two queued models, each stitched from one variant for users' texts and another for the rest."""
+    rows = catalog.short_rows(spark, sf_dir)
+    names = spark.createDataFrame([("one", "truncated", "swapped"), ("two", "oracle", "loop")], "name string, variant string, other string")
+    kinds = table(spark, sf_dir, "conversations").select(F.col("role").alias("category")).distinct()
+    variants = kinds.join(F.broadcast(names)).select("name", "category", F.when(F.col("category") == "user", F.col("variant")).otherwise(F.col("other")).alias("variant"))  # two rows
+    out = leaderboard.sections(variants, rows)
+    return out.select("name", "category", F.array_join("variants", ",").alias("variants"), "n", "complete", *(F.round(c, 9).alias(c) for c in ("cer_mean", "cer_ci95")), "n_fail", "n_hallucination", F.round("latency_mean_s", 9).alias("latency_mean_s"))

@@ -9,7 +9,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.markup import changed_numbers
+from ..functions.markup import changed_numbers, isolated_runs
 
 # What documents are made of.
 COMPANIES = ("Northwind Traders", "Gulf Horizon LLC", "Blue Harbor Ltd", "Cedar & Sons", "Delta Instruments")
@@ -59,29 +59,73 @@ def _date(draw: Draw, name: str, at: Column | int = 0) -> Column:
     return F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), draw.below(900, name, at).cast("int")), "dd/MM/yyyy")
 
 
-def documents(spark: SparkSession, n: int, kind: str, seed: int = 0) -> DataFrame:
-    """(id, kind, page, gt, gt_type) of n documents of a kind; the page holds the truth. Invoices' truths are tables."""
-    if kind not in KINDS:
-        raise ValueError(f"no such kind: {kind}")
-    rows = spark.range(n)
-    draw = Draw(seed, F.concat(F.lit(f"{kind}:"), F.col("id").cast("string")))
-    company, person = draw.one(COMPANIES, "company"), draw.one(PEOPLE, "person")
-    paragraph = lambda *parts: F.concat(F.lit("<p>"), *parts, F.lit("</p>"))
+#: What documents say, by language; {..} are drawn. Each kind has several templates of paragraphs (h: a heading), of which one is drawn.
+SAID = {
+    "en": {
+        "companies": COMPANIES, "people": PEOPLE, "goods": GOODS, "heads": ("No.", "Item", "Qty", "Price"), "invoice": ("Invoice", "Tax invoice"), "total": "Total",
+        "clauses": CLAUSES,
+        "contract": (("h:Contract", "Between {company} and {person}.", "{clauses}"), ("h:Service agreement", "Made on {date} by {company}.", "{clauses}", "Signed: {person}")),
+        "letter": (("{date}", "Dear {person},", "we thank you for your order of {count} {good}.", "{company}"), ("{company}", "{date}", "Dear {person},", "the {count} {good} you asked for have left our store.", "Yours sincerely,", "{other}")),
+        "form": (("h:Form", "Name: {person}", "Born: {date}", "Employer: {company}", "Number: {number}"), ("h:Application", "Number: {number}", "Employer: {company}", "Name: {person}", "Since: {date}")),
+    },
+    "ar": {
+        "companies": ("شركة الأفق للتجارة", "مؤسسة النور", "مصنع الخليج", "مكتبة المدينة"), "people": ("سارة حداد", "عمر ناصر", "لينا فرح", "خالد منصور", "نور الدين"),
+        "goods": ("ورق طباعة", "مصباح", "كرسي مكتب", "مضخة ماء", "دفتر"), "heads": ("رقم", "الصنف", "الكمية", "السعر"), "invoice": ("فاتورة", "فاتورة ضريبية"), "total": "المجموع",
+        "clauses": ("يسلم المورد البضائع خلال {n} يوما.", "يستحق الدفع بعد {n} يوما من تاريخ الفاتورة.", "لكل طرف إنهاء العقد بإشعار قبل {n} يوما."),
+        "contract": (("h:عقد", "بين {company} و{person}.", "{clauses}"), ("h:اتفاقية خدمات", "حررت في {date} من {company}.", "{clauses}", "التوقيع: {person}")),
+        "letter": (("{date}", "السيد {person}،", "نشكركم على طلب {count} من {good}.", "{company}"), ("{company}", "السيد {person}،", "تم شحن {count} من {good}.", "مع التحية", "{other}")),
+        "form": (("h:استمارة", "الاسم: {person}", "تاريخ الميلاد: {date}", "جهة العمل: {company}", "الرقم: {number}"), ("h:طلب", "الرقم: {number}", "الاسم: {person}", "جهة العمل: {company}")),
+    },
+}
+#: Arabic documents with names, goods and dates in English.
+SAID["mixed"] = SAID["ar"] | {k: SAID["en"][k] for k in ("companies", "goods")}
+LANGUAGES = tuple(SAID)
+
+
+def _filled(draw: Draw, template: str, said: dict, place: int) -> Column:
+    """A template with what is drawn for it; several clauses are paragraphs of their own."""
+    n = lambda low, high, name, at=0: draw.between(low, high, name, at).cast("string")
+    clause = lambda i: F.concat(i.cast("string"), F.lit(". "), F.replace(draw.one(said["clauses"], "clause", i), F.lit("{n}"), n(5, 90, "days", i)))
+    drawn = {
+        "{company}": lambda: draw.one(said["companies"], "company"), "{person}": lambda: draw.one(said["people"], "person"), "{other}": lambda: draw.one(said["people"], "other"), "{good}": lambda: draw.one(said["goods"], "good"),
+        "{date}": lambda: _date(draw, "date"), "{count}": lambda: n(2, 500, "count"), "{number}": lambda: n(10**6, 10**7, "number"),
+        "{clauses}": lambda: F.array_join(F.transform(F.sequence(F.lit(1), draw.between(3, 6, "clauses").cast("int")), clause), "</p><p>"),
+    }
+    text = F.lit(template.removeprefix("h:"))
+    for key, value in drawn.items():
+        if key in template:
+            text = F.replace(text, F.lit(key), value())
+    return F.concat(F.lit("<h2>"), text, F.lit("</h2>")) if template.startswith("h:") else F.concat(F.lit("<p>"), text, F.lit("</p>"))
+
+
+def documents(spark: SparkSession, n: int, kind: str, seed: int = 0, lang: str = "en") -> DataFrame:
+    """(id, kind, lang, page, gt, gt_type) of n documents of a kind; the page holds the truth. Invoices' truths are tables.
+
+    Some Arabic documents write their numbers in Arabic digits. On Arabic pages runs of Latin words and numbers are kept from left to right,
+    which the truth does not show.
+    """
+    if kind not in KINDS or lang not in SAID:
+        raise ValueError(f"no such kind or language: {kind}, {lang}")
+    rows, said = spark.range(n), SAID[lang]
+    draw = Draw(seed, F.concat(F.lit(f"{kind}:{lang}:"), F.col("id").cast("string")))
     if kind == "invoice":
         lines = F.sequence(F.lit(1), draw.between(3, 8, "lines").cast("int"))
-        each = F.transform(lines, lambda i: _row([i, draw.one(GOODS, "good", i), draw.between(1, 40, "count", i), draw.money(1, 900, "price", i)]))
-        gt = F.concat(F.lit("<h2>Invoice</h2>"), paragraph(company), _table(_row([F.lit(h) for h in ("No.", "Item", "Qty", "Price")], "th"), F.array_join(each, "")))
-        said, kind_of_truth = gt, "table_html"
+        price = lambda i: draw.money(1, 900, "price", i)
+        each = F.transform(lines, lambda i: _row([i, draw.one(said["goods"], "good", i), draw.between(1, 40, "count", i), price(i)]))
+        total = F.aggregate(F.transform(lines, price), F.lit(0).cast("decimal(14,2)"), lambda a, v: (a + v).cast("decimal(14,2)"))
+        last = F.when(draw.below(2, "total") == 0, F.concat(F.lit(f'<tr><td colspan="3">{said["total"]}</td><td>'), total.cast("string"), F.lit("</td></tr>"))).otherwise("")
+        body = F.concat(F.lit("<h2>"), draw.one(said["invoice"], "title"), F.lit("</h2><p>"), draw.one(said["companies"], "company"), F.lit("</p>"), _table(_row([F.lit(h) for h in said["heads"]], "th"), F.array_join(each, ""), last))
     else:
-        parts = {
-            "contract": [F.lit("<h2>Contract</h2>"), paragraph(F.lit("Between "), company, F.lit(" and "), person, F.lit(".")), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: paragraph(i.cast("string"), F.lit(". "), F.replace(draw.one(CLAUSES, "clause", i), F.lit("{n}"), draw.between(5, 90, "days", i).cast("string")))), "")],
-            "letter": [paragraph(_date(draw, "date")), paragraph(F.lit("Dear "), person, F.lit(",")), paragraph(F.lit("we thank you for your order of "), draw.between(2, 500, "count").cast("string"), F.lit(" "), draw.one(GOODS, "good"), F.lit(".")), paragraph(company)],
-            "form": [F.lit("<h2>Form</h2>"), paragraph(F.lit("Name: "), person), paragraph(F.lit("Born: "), _date(draw, "born")), paragraph(F.lit("Employer: "), company), paragraph(F.lit("Number: "), draw.between(10**6, 10**7, "number").cast("string"))],
-        }[kind]
-        said = F.concat(*parts)
-        gt, kind_of_truth = F.regexp_replace(F.regexp_replace(F.regexp_replace(said, "</(?:p|h2)>", "\n"), "<[^>]+>", ""), "\n$", ""), "text"
-    page = F.concat(F.lit('<!doctype html><html lang="en"><body><div class="page">'), said, F.lit("</div></body></html>"))
-    return rows.select(F.concat(F.lit(f"syn_{kind}_"), F.col("id").cast("string")).alias("id"), F.lit(kind).alias("kind"), page.alias("page"), gt.alias("gt"), F.lit(kind_of_truth).alias("gt_type"))
+        forms = [F.concat(*(_filled(draw, part, said, i) for i, part in enumerate(form))) for form in said[kind]]
+        body = F.get(F.array(*forms), draw.below(len(forms), "form").cast("int"))
+    if lang != "en":
+        outside = lambda part: F.when(part.startswith("<"), part).otherwise(F.translate(part, "0123456789", "٠١٢٣٤٥٦٧٨٩"))
+        body = F.when(draw.below(2, "digits") == 0, F.array_join(F.transform(F.split(body, "(?=<)|(?<=>)"), outside), "")).otherwise(body)
+    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(body, "</(?:p|h2)>", "\n"), "<[^>]+>", ""), "\n$", "")
+    shown = body if lang == "en" else isolated_runs(body)
+    page = F.concat(F.lit(f'<!doctype html><html lang="{lang[:2]}"{"" if lang == "en" else ' dir="rtl"'}><body><div class="page">'), shown, F.lit("</div></body></html>"))
+    name = F.concat(F.lit(f"syn_{kind}_" if lang == "en" else f"syn_{kind}_{lang}_"), F.col("id").cast("string"))
+    return rows.select(name.alias("id"), F.lit(kind).alias("kind"), F.lit(lang).alias("lang"), page.alias("page"), (body if kind == "invoice" else text).alias("gt"), F.lit("table_html" if kind == "invoice" else "text").alias("gt_type"))
 
 
 def page_bounds(rows: Column, pages: int) -> Column:
@@ -169,17 +213,28 @@ def samples(frame: DataFrame, n: int, seed: int = 0, keep: str = "true", gt: str
     return rows.orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), "uid"), 256), "uid").limit(n)
 
 
-def test_set(spark: SparkSession, n: int, holdout: float = 0.5, seed: int = 0, public: DataFrame | None = None) -> DataFrame:
-    """(id, category, gt, gt_type, split, source) of all generators and, if given, of public samples (uid, gt, gt_type, category, source)."""
+def test_set(spark: SparkSession, n: int, holdout: float = 0.5, seed: int = 0, public: DataFrame | None = None, languages: tuple[str, ...] = ("en",), long: DataFrame | None = None, markers: int = 0) -> DataFrame:
+    """(id, category, gt, gt_type, split, source) of the generators: documents of every kind and language, long tables, `markers` tables
+    with raised marks, long texts of the articles `long` (of `articles`) in every length; and of public samples (uid, gt, gt_type, category, source)."""
     from ..functions.hashing import split_of
 
-    made = [documents(spark, n, kind, seed).select("id", F.lit(f"syn_{kind}").alias("category"), "gt", "gt_type", F.lit("synthetic").alias("source")) for kind in KINDS]
-    made.append(long_tables(spark, -(-n // len(TABLE_BINS)), seed).select("id", F.lit("syn_longtable").alias("category"), "gt", "gt_type", F.lit("synthetic").alias("source")))
+    own = lambda frame, category: frame.select("id", F.lit(category).alias("category"), "gt", "gt_type", F.lit("synthetic").alias("source"))
+    made = [own(documents(spark, n, kind, seed, lang), f"syn_{kind}" if lang == "en" else f"syn_{kind}_{lang}") for lang in languages for kind in KINDS]
+    made.append(own(long_tables(spark, -(-n // len(TABLE_BINS)), seed), "syn_longtable"))
+    if markers:
+        marked = marker_tables(spark, markers, seed).select(F.concat(F.lit("syn_markers_"), F.col("id").cast("string")).alias("id"), "gt", F.lit("table_html").alias("gt_type"))
+        made.append(own(marked, "syn_markers"))
+    for pages, characters in TEXT_BINS if long is not None else ():
+        texts = long_texts(long, pages, characters, seed).select(F.concat(F.lit(f"syn_longtext_{pages}_"), F.col("id").cast("string")).alias("id"), "gt", F.lit("text").alias("gt_type"))
+        made.append(own(texts, "syn_longtext"))
     if public is not None:
         made.append(public.select(F.concat_ws("_", "source", "uid").alias("id"), "category", "gt", "gt_type", "source"))
     return reduce(DataFrame.unionByName, made).withColumn("split", split_of(F.col("id"), seed, holdout))
 
 
 def missing_from(listed: DataFrame, present: DataFrame) -> DataFrame:
-    """(name) of files that a data set lists and a folder has not: the check after a download."""
-    return listed.select("name").join(present.select("name"), "name", "left_anti")
+    """(name, problem) of files that a data set lists (name, digest) and a folder (name, digest) has not, has with other content, or has besides:
+    the check after a download. The fingerprint of the whole set is `operators.dataset.fingerprint`."""
+    both = listed.alias("l").join(present.alias("p"), "name", "full_outer")
+    problem = F.when(F.col("p.digest").isNull(), "missing").when(F.col("l.digest").isNull(), "not listed").when(F.col("l.digest") != F.col("p.digest"), "other content")
+    return both.select("name", problem.alias("problem")).where("problem IS NOT NULL")

@@ -1,6 +1,7 @@
 """Configuration, guards, adapters, reports, markers, markup and generators on small cases with known outcomes."""
 
 import json
+import re
 import sys
 
 import pytest
@@ -120,6 +121,50 @@ def test_whole_score_rows_and_reports(spark):
     assert "pos_q4" in csv.columns and {r.category for r in csv.collect()} == {"ALL", "en", "tab"}
 
 
+def test_leaderboard_sections(spark):
+    schema = "model string, category string, missing boolean, flags array<string>, cer double, char_edits int, ref_chars int, latency_s double, cell_exact double, pos_q array<double>, rows_wrong_ncols int"
+    rows = [("a", "en", False, [], 0.1, 1, 10, 1.0, None, None, None), ("a", "en", False, ["empty"], 0.3, 3, 10, 3.0, None, None, None), ("a__b", "tab", False, ["too_long"], 0.5, 5, 10, 2.0, 0.8, None, 2), ("a__b", "en", False, [], 0.0, 0, 10, 1.0, None, None, None),
+            ("c", "en", False, [], 0.2, 2, 10, 1.0, None, None, None), ("c", "long", False, ["hit_max_tokens"], 0.4, 4, 10, 1.0, None, [1.0, 0.5, None, 0.0], None), ("c", "tab", True, None, None, None, None, None, None, None, None)]
+    variants = spark.createDataFrame([("one", "en", "a"), ("one", "tab", "a__b"), ("two", "en", "c"), ("two", "long", "c"), ("two", "tab", "c")], "name string, category string, variant string")
+    found = leaderboard.sections(variants, spark.createDataFrame(rows, schema)).cache()
+    assert {(r.name, r.category): (r.n, round(r.cer_mean, 9) if r.cer_mean is not None else None, r.variants) for r in found.collect()} == {
+        ("one", None): (3, 0.3, ["a", "a__b"]), ("one", "en"): (2, 0.2, ["a", "a__b"]), ("one", "tab"): (1, 0.5, ["a", "a__b"]),
+        ("two", None): (3, 0.3, ["c"]), ("two", "en"): (1, 0.2, ["c"]), ("two", "long"): (1, 0.4, ["c"]), ("two", "tab"): (1, None, ["c"])}
+    board = spark.createDataFrame([("two", 2, 2, 0.3, None, None), ("one", 1, 3, 0.2, 0.8, 2048.0), ("none", 3, 0, None, None, None)], "name string, rank int, n_done int, text_cer double, table_exact double, vram double")
+    skips = spark.createDataFrame([("s", "gated", "x|y")], "name string, reason_code string, detail string")
+    assert report.leaderboard_markdown(board, skips, ["none"], "Board", found, {"one": "complete"}, ("tab",), ("long",)) == """# Board
+
+| # | Model | Done | Text CER | Cells in place | Memory | Looping or too long | Failed | s an item | State | Variants |
+|---|---|---:|---:|---:|---:|---:|---:|---:|---:|---:|
+| 1 | one | 3 | 20.0% | 80.0% | 2.0 GB | 1 | 1 | 2.00 | complete | `a`, `a__b` |
+| 2 | two | 2 | 30.0% | — | — | 0 | 0 | 1.00 | — | `c` |
+
+## By category
+
+Error rates of texts; of tables (*) the cells in place. Categories that are not complete are left open.
+
+| Category | one | two |
+|---|---:|---:|
+| en | 20.0% ±19.6 | 20.0% |
+| long | — | 40.0% |
+| tab * | 80.0% · CER 50.0% | — |
+
+## Long documents by place
+
+| Model | Category | Q1 | Q2 | Q3 | Q4 | Cut | Rows of other width |
+|---|---|---:|---:|---:|---:|---:|---:|
+| two | long | 100% | 50% | — | 0% | 1 | 0 |
+
+## Skipped
+
+| Model | Reason | Detail |
+|---|---|---|
+| s | gated | x/y |
+
+Not run yet: none.
+"""
+
+
 def test_status_and_decision(spark):
     quick = spark.createDataFrame([("m", None, 3, 1, 0.25, 1.5), ("m", "en", 3, 1, 0.25, 1.5)], "model string, category string, n long, errors long, cer_mean double, latency_mean_s double")
     text = report.status_markdown(quick, {"en": 3, "ar": 2}, {"m": "running"})
@@ -213,6 +258,19 @@ def test_generators(spark):
         assert len({r.gt for r in rows}) > 1 and all(r.gt in r.page if kind == "invoice" else all(f">{line}<" in r.page for line in r.gt.split("\n")) for r in rows)
     with pytest.raises(ValueError, match="poem"):
         generators.documents(spark, 1, "poem")
+    for lang in ("ar", "mixed"):
+        for kind in generators.KINDS:
+            rows = generators.documents(spark, 16, kind, 5, lang).collect()
+            bare = lambda page: re.sub("<span dir=\"ltr\">([^<]*)</span>", r"\1", page)
+            assert all((r.gt in bare(r.page)) if kind == "invoice" else all(f">{line}<" in bare(r.page) for line in r.gt.split("\n")) for r in rows)
+            assert len({re.sub("[0-9٠-٩]+", "", r.gt) for r in rows}) > 3 and all('dir="rtl"' in r.page and re.search("[\u0627-\u064a]", r.gt) for r in rows)
+            assert {bool(re.search("[٠-٩]", r.gt)) for r in rows} == {True, False}, kind
+        assert any(re.search("[A-Za-z]", r.gt) for r in rows) == (lang == "mixed")
+    first_lines = {re.split("\n", r.gt)[0] for r in generators.documents(spark, 20, "contract").collect()}
+    assert first_lines == {"Contract", "Service agreement"}
+    with_total = [r.gt for r in generators.documents(spark, 20, "invoice").collect() if "Total" in r.gt]
+    cells = [markup.rows_of(t) for t in with_total]
+    assert with_total and all(abs(sum(float(r[3][0]) for r in c[1:-1]) - float(c[-1][-1][0])) < 0.005 and c[-1][0][1] == 3 for c in cells)
     tables = generators.long_tables(spark, 3, 2)
     pairs = tables.select("id", "gt", F.array_join("pages", "\n").alias("answer"), F.size("pages").alias("pages"), "n_rows", "header_repeated")
     for r in score.score_tables(pairs).collect():
@@ -227,6 +285,9 @@ def test_generators(spark):
     assert [r.id for r in found.collect()] == [1]
     long = generators.long_texts(found, 2, 1500).first()
     assert len(long.pages) == 2 and "\n".join(long.pages) == long.gt and long.gt.startswith("T\nHeading\n") and 1500 <= len(long.gt) < 2000
+    whole = generators.test_set(spark, 2, languages=("en", "ar", "mixed"), long=found, markers=5)
+    counts = {r.category: r["count"] for r in whole.groupBy("category").count().collect()}
+    assert counts["syn_markers"] == 5 and counts["syn_longtext"] == 2 and counts["syn_letter_ar"] == counts["syn_form_mixed"] == 2 and whole.count() == whole.select("id").distinct().count()
     made = generators.test_set(spark, 4, 0.5, 3)
     assert made.count() == 4 * 4 + 2 * 3 and made.count() == made.select("id").distinct().count() and {r.split for r in made.collect()} == {"dev", "holdout"}
 
@@ -263,7 +324,9 @@ def test_sessions_jobs_and_locks(spark, tmp_path):
     digests = spark.createDataFrame([("b.txt", "22"), ("a.txt", "11")], "name string, digest string")
     files.write_lock(digests, str(tmp_path / "lock"))
     assert leaderboard.changed_files(files.lock(spark, str(tmp_path / "lock")), digests.where("name = 'a.txt'")).first().name == "b.txt"
-    assert [r.name for r in generators.missing_from(digests, digests.where("name = 'a.txt'")).collect()] == ["b.txt"]
+    assert [tuple(r) for r in generators.missing_from(digests, digests.where("name = 'a.txt'")).collect()] == [("b.txt", "missing")]
+    other = digests.withColumn("digest", F.when(F.col("name") == "a.txt", "x").otherwise(F.col("digest"))).unionByName(spark.createDataFrame([("c.txt", "y")], "name string, digest string").select(*digests.columns))
+    assert {tuple(r) for r in generators.missing_from(digests, other).collect()} == {("a.txt", "other content"), ("c.txt", "not listed")}
 
 
 def test_streams_of_texts_and_samples(spark, tmp_path):
