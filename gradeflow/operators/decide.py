@@ -13,6 +13,10 @@ FINALISTS = 4
 TRADITIONAL = ("tesseract", "easyocr", "paddleocr", "kraken_layout")
 
 
+#: Models of a configuration that are broadcast; more are joined.
+MAX_MODELS = 10_000
+
+
 def category_kinds(items: DataFrame) -> DataFrame:
     """(category, any_table, is_table): any item a table, for reports; all items tables, for decisions."""
     table = F.col("gt_type") == "table_html"
@@ -66,3 +70,13 @@ def final(aggregates: DataFrame, max_unstable: float = MAX_UNSTABLE) -> DataFram
     rows = eliminate(aggregates, max_unstable).where("status = 'kept'")
     order = Window.partitionBy("category").orderBy("n_hallucination", F.coalesce("latency_mean_s", F.lit(0.0)), F.coalesce("vram", F.lit(0)), "rank")
     return rows.select("category", "model", "value", "rank", (F.col("rank") > 1).alias("tied"), (F.row_number().over(order) == 1).alias("winner"))
+
+
+def with_models(aggregates: DataFrame, models: DataFrame, kinds: DataFrame | None = None) -> DataFrame:
+    """Aggregates (category, model, ...) with what the configuration says of models (model, model_ordinal, adapter, vram), and with is_table
+    of the categories' kinds (of `category_kinds`; without them no category is of tables). Models that it does not know are left out."""
+    small = models.limit(MAX_MODELS + 1).count() <= MAX_MODELS
+    met = aggregates.join(F.broadcast(models) if small else models, "model")
+    if kinds is None:
+        return met.withColumn("is_table", F.lit(False))
+    return met.join(kinds.select("category", "is_table"), "category", "left").withColumn("is_table", F.coalesce("is_table", F.lit(False)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import json
 from collections.abc import Callable, Iterable
 
@@ -227,3 +228,33 @@ def frame_markdown(frame: DataFrame, head: list[str], show: dict[str, Callable]
     """A report's frame (speed test, comparison, card) as a table; show: formatters by column."""
     rows = [[show.get(c, lambda v: NONE if v is None else v)(r[c]) for c in frame.columns] for r in frame.collect()]
     return "\n".join(markdown_table(head, rows))
+
+
+def comparison_page(pages: DataFrame, title: str = "Comparison", shown: int = 20) -> str:
+    """An HTML page of texts (page, system, text, seconds) without truths: the systems' measures, and the first `shown` pages' texts side by
+    side, which may be anything and are shown as they are."""
+    measures = comparison(pages).orderBy("system").collect()
+    systems = [r.system for r in measures]
+    few = pages.select("page").distinct().orderBy("page").limit(shown)
+    texts_of = {(r.page, r.system): r.text for r in pages.join(F.broadcast(few), "page").select("page", "system", "text").collect()}  # `shown` pages
+    cell = lambda tag, v: f"<{tag}>{html.escape(str(v))}</{tag}>"
+    head = ["System", "Pages", "Vowel marks", "Agreement", "Loops", "Blank", "s a page"]
+    rows = [[r.system, r.n, number(r.vowels), number(r.agreement), r.loops, r.blanks, number(r.seconds, 2)] for r in measures]
+    table = lambda head, rows: "<table><tr>" + "".join(cell("th", h) for h in head) + "</tr>" + "".join("<tr>" + "".join(cell("td", v) for v in r) + "</tr>" for r in rows) + "</table>"
+    out = [f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title>", cell("h1", title), table(head, rows)]
+    for page in sorted({p for p, _ in texts_of}):
+        side = "".join(f'<td dir="auto"><pre>{html.escape(texts_of.get((page, s)) or "")}</pre></td>' for s in systems)
+        out.append(f"{cell('h2', page)}<table><tr>{''.join(cell('th', s) for s in systems)}</tr><tr>{side}</tr></table>")
+    return "\n".join(out)
+
+
+def exported(jobs: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """(file, job, markdown) of files by name (all, if none is given) from the newest job that holds each: its pages' texts in order, with what
+    went wrong. jobs: (id, files array<struct<name, pages array<struct<text, error, note>>>>)."""
+    files = jobs.select("id", F.explode("files").alias("f")).select("id", F.col("f.name").alias("file"), F.col("f.pages").alias("pages"))
+    files = files.where(F.col("file").isin(*names)) if names else files
+    newest = files.groupBy("file").agg(F.max_by(F.struct("id", "pages"), "id").alias("n")).select("file", F.col("n.id").alias("job"), "n.pages")
+    said = lambda p: F.concat_ws("\n\n", F.when(F.coalesce(p["error"], F.lit("")) != "", F.concat(F.lit("> Error: "), p["error"])), F.when(F.coalesce(p["note"], F.lit("")) != "", F.concat(F.lit("> "), p["note"])), F.nullif(F.trim(p["text"]), F.lit("")))
+    page = lambda p, i: F.concat(F.lit("## Page "), (i + 1).cast("string"), F.lit("\n\n"), said(p))
+    whole = F.concat(F.lit("# "), F.col("file"), F.lit("\n\n"), F.array_join(F.transform("pages", page), "\n\n"))
+    return newest.select("file", "job", whole.alias("markdown"))

@@ -340,7 +340,7 @@ def plain_text_pages(spark, sf_dir):
 def _decision_input(spark, sf_dir):
     out = score.aggregate(short_scores(spark, sf_dir), [("category", "model")])
     facts = spark.createDataFrame([(m, i, "tesseract" if m == "swapped" else "vlm", 8 - i) for i, m in enumerate(MODELS)], "model string, model_ordinal int, adapter string, vram int")
-    return out.join(F.broadcast(facts), "model").withColumn("is_table", F.lit(False))
+    return decide.with_models(out, facts)
 
 
 _DECIDE = f"""{_ROWS}, facts(model, adapter, vram) AS (VALUES {", ".join(f"('{m}', '{'tesseract' if m == 'swapped' else 'vlm'}', {8 - i})" for i, m in enumerate(MODELS))}),

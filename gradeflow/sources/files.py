@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Iterator
 
+import pandas as pd
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from . import scratch
+
 PREDICTION = "id string, text string, confidence double, latency_s double, extra string, error string"
 MANIFEST = "id string, image string, category string, gt string, gt_file string, gt_type string, doc_id string, split string, lang string"
 # The type of a truth by its file's suffix.
@@ -159,6 +165,68 @@ def append_job(job: DataFrame, root: str) -> None:
     job.write.mode("append").partitionBy("id").json(root)
 
 
+def delete_job(root: str, id: str) -> None:
+    """Removes a job's folder: one directly below root that holds a job's record, and nothing else."""
+    fs, top = pafs.FileSystem.from_uri(root)
+    place = f"{top}/{id}"
+    own = [i for i in fs.get_file_info(pafs.FileSelector(top, allow_not_found=True)) if i.base_name == id and i.type == pafs.FileType.Directory]
+    records = fs.get_file_info(pafs.FileSelector(place, recursive=True)) if own else []
+    if not any(i.base_name.endswith(".json") for i in records):
+        raise ValueError(f"there is no job {id!r} in {root}")
+    fs.delete_dir(place)
+
+
+def _stem(path: Column) -> Column:
+    return F.regexp_replace(F.regexp_extract(path, "[^/]+$", 0), r"\.[^.]*$", "")
+
+
+def write_layout_files(pages: DataFrame, root: str) -> DataFrame:
+    """Writes what `operators.documents.layout_files` gives of each page to <root>/<name>/: layout as .json, Markdown as .md, and without
+    headers and footers as _nohf.md; and for each document <root>/<name>.jsonl with a line a page. Pages of a document with
+    several are named by their number. Returns (file_path, page_no, and the files' paths); files are whole under their names or not there."""
+    kinds = {"layout": ("layout_info_path", ".json"), "markdown": ("md_content_path", ".md"), "markdown_body": ("md_content_nohf_path", "_nohf.md")}
+    paths = [p for p, _ in kinds.values()]
+    schema = "name string, file_path string, page_no int, " + ", ".join(f"{p} string" for p in paths)
+
+    def put(uri: str, said: str) -> None:
+        fs, path = pafs.FileSystem.from_uri(uri)
+        fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        temp = f"{path}.{uuid.uuid4().hex}.tmp"
+        with fs.open_output_stream(temp) as out:
+            out.write(said.encode())
+        fs.move(temp, path)
+
+    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for kind, (path, suffix) in kinds.items():
+                frame[path] = [f"{root}/{r.name_}/{r.page}{suffix}" if getattr(r, kind) is not None else None for r in frame.itertuples()]
+                for uri, said in zip(frame[path], frame[kind], strict=True):
+                    if uri is not None:
+                        put(uri, said)
+            yield frame.rename(columns={"name_": "name"})[["name", "file_path", "page_no", *paths]]
+
+    def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: tuple[str, list[str]] | None = None
+        for frame in frames:
+            for name, line in zip(frame["name"], frame["line"], strict=True):  # a document's pages follow each other
+                if held and held[0] != name:
+                    put(f"{root}/{held[0]}.jsonl", "".join(held[1]))
+                held = (name, [*(held[1] if held and held[0] == name else []), f"{line}\n"])
+            yield frame[["name"]]
+        if held:
+            put(f"{root}/{held[0]}.jsonl", "".join(held[1]))
+
+    several = F.count("*").over(Window.partitionBy("file_path")) > 1
+    name = _stem(F.col("file_path"))
+    named = pages.select(name.alias("name_"), F.when(several, F.concat(name, F.lit("_page_"), F.col("page_no").cast("string"))).otherwise(name).alias("page"), "file_path", F.col("page_no").cast("int").alias("page_no"), *kinds)
+    place = scratch.new_dir(pages.sparkSession, "layout")
+    named.mapInPandas(write, schema).write.mode("overwrite").parquet(f"{place}/pages")
+    written = pages.sparkSession.read.schema(schema).parquet(f"{place}/pages")
+    line = F.to_json(F.struct("page_no", "file_path", *paths))
+    written.select("name", "page_no", line.alias("line")).repartition("name").sortWithinPartitions("name", "page_no").mapInPandas(index, "name string").agg(F.count("*")).collect()
+    return written.drop("name")
+
+
 def markdown(frame: DataFrame) -> str:
     """A Markdown table of a report's rows, which are few; percent signs and rounding are the report's."""
     rows = frame.collect()

@@ -88,18 +88,20 @@ def token_loop_stream(tokens: DataFrame, key: str, stops: Callable[[list[int]],
 def text_loop_stream(texts: DataFrame, key: str) -> DataFrame:
     """(key, n, stopped): pieces of layout JSON (key, seq, text) so far, and whether its last block has come too often in a row.
 
-    The state is the last block and how often it came, and the text after the last whole one.
+    The state is the last block and how often it came, and of the text after the last whole one what may begin a block. A piece without
+    a quotation mark ends no block, so it is only kept; others are searched from the place where a block may begin.
     """
-    pattern = re.compile(CATEGORY_AND_TEXT)
+    pattern, opening = re.compile(CATEGORY_AND_TEXT), '"category"'
 
     def advance(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, times, rest, n = state.get if state.exists else ("", 0, "", 0)
         for piece in pd.concat(list(frames)).sort_values("seq")["text"]:
             rest, n, end = rest + piece, n + len(piece), 0
-            for found in pattern.finditer(rest):
+            for found in pattern.finditer(rest) if '"' in piece else ():
                 times = times + 1 if found[0] == last else 1
                 last, end = found[0], found.end()
-            rest = rest[end:]
+            begin = rest.find(opening, end)
+            rest = rest[begin:] if begin >= 0 else rest[max(end, len(rest) - len(opening) + 1) :]
         said = pattern.fullmatch(last)
         state.update((last, times, rest, n))
         yield pd.DataFrame({key: [keys[0]], "n": [n], "stopped": [bool(said) and times >= LOOP_BLOCKS and len(said[2]) >= LOOP_CHARACTERS]})

@@ -344,3 +344,37 @@ def test_streams_of_texts_and_samples(spark, tmp_path):
 
 def test_formats():
     assert [report.percent(None), report.percent(0.1234), report.interval(0.5, 0.01), report.interval(0.5, None), report.interval(None, 1.0), report.number(None), report.number(1.5, 1), report.memory(0), report.memory(1536)] == ["—", "12.3%", "50.0% ±1.0", "50.0%", "—", "—", "1.5", "—", "1.5 GB"]
+
+
+def test_layout_files(spark, tmp_path):
+    block = "array<struct<category:string,text:string,bbox:array<int>>>"
+    pages = [("in/a.pdf", 0, [("Page-header", "top", [0, 0, 9, 9]), ("Title", "One", [1, 2, 3, 4])]), ("in/a.pdf", 1, [("Text", "two", [1, 2, 3, 4])]), ("in/b.png", 0, [])]
+    made = documents.layout_files(spark.createDataFrame(pages, f"file_path string, page_no int, blocks {block}"))
+    got = {(r.file_path, r.page_no): r for r in files.write_layout_files(made, f"file://{tmp_path}").collect()}
+    assert got["in/a.pdf", 1].md_content_path == f"file://{tmp_path}/a/a_page_1.md" and got["in/b.png", 0].layout_info_path == f"file://{tmp_path}/b/b.json"
+    assert (tmp_path / "a/a_page_0.md").read_text() == "top\n\n# One" and (tmp_path / "a/a_page_0_nohf.md").read_text() == "# One"
+    assert json.loads((tmp_path / "a/a_page_1.json").read_text()) == [{"category": "Text", "text": "two", "bbox": [1, 2, 3, 4]}]
+    assert [json.loads(line)["page_no"] for line in (tmp_path / "a.jsonl").read_text().splitlines()] == [0, 1] and len((tmp_path / "b.jsonl").read_text().splitlines()) == 1
+    assert not list(tmp_path.rglob("*.tmp"))
+
+
+def test_jobs_are_deleted_with_care(spark, tmp_path):
+    files.append_job(spark.createDataFrame([("j1", "m"), ("j2", "m")], "id string, model string"), str(tmp_path / "id_root"))
+    root = f"file://{tmp_path}/id_root"
+    (tmp_path / "id_root" / "empty").mkdir()
+    for bad in ("empty", "..", "../id_root", "nothing", "", "id=j1/.."):
+        with pytest.raises(ValueError, match="no job"):
+            files.delete_job(root, bad)
+    files.delete_job(root, "id=j1")
+    assert not (tmp_path / "id_root" / "id=j1").exists() and (tmp_path / "id_root" / "id=j2").exists()
+
+
+def test_comparison_page_and_export(spark):
+    pages = spark.createDataFrame([("p1", "a", "<b>same</b> text of both", 1.0), ("p1", "b", "<b>same</b> text of both", 3.0), ("p2", "a", "other", 1.0)], "page string, system string, text string, seconds double")
+    page = report.comparison_page(pages, "A & B", 1)
+    assert page.startswith("<!doctype html>") and "<h1>A &amp; B</h1>" in page and "<tr><td>a</td><td>2</td><td>0.000</td><td>1.000</td><td>0</td><td>1</td><td>1.00</td></tr>" in page
+    assert page.count("<pre>&lt;b&gt;same&lt;/b&gt; text of both</pre>") == 2 and "other" not in page
+    job = "id string, files array<struct<name:string,pages:array<struct<text:string,error:string,note:string>>>>"
+    jobs = spark.createDataFrame([("1", [("f", [("old", None, None)])]), ("2", [("f", [(" new ", None, "cut"), (None, "boom", "")]), ("g", [])]), ("0", None)], job)
+    assert {r.file: (r.job, r.markdown) for r in report.exported(jobs).collect()} == {"f": ("2", "# f\n\n## Page 1\n\n> cut\n\nnew\n\n## Page 2\n\n> Error: boom"), "g": ("2", "# g\n\n")}
+    assert [r.file for r in report.exported(jobs, ["g"]).collect()] == ["g"]
