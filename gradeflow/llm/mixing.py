@@ -37,6 +37,10 @@ MAX_SOURCES = 200_000
 BUCKETS = 4096
 #: Words that the dynamic program fits at least: its table has a cell for each.
 WINDOW = 4096
+#: Sources of so many documents are fitted as a whole.
+FEW = 64
+#: Cells of the table at most; where there would be more, a cell stands for several words.
+MOST_CELLS = 1 << 24
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -59,12 +63,12 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int | None
     """How many documents of each length to take (at most counts) so that their words come as near to budget as can be found.
 
     The dynamic program fits `window` words, by default WINDOW or four of the longest documents, whichever is more, so that it
-    always has several documents of any length to choose from.
+    always has several documents of any length to choose from; of FEW documents or fewer it fits all, and no sum is nearer then.
     """
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
-    window = window or max(WINDOW, 4 * int(lengths[counts > 0].max()))
+    window = window or max(WINDOW, total if counts.sum() <= FEW else 4 * int(lengths[counts > 0].max()))
     # a source that the table holds as a whole is fitted as a whole
     take = np.array([int(c) * budget // total for c in counts], np.int64) if total > window else np.zeros(len(counts), np.int64)
     missing = budget - int((lengths * take).sum())
@@ -84,7 +88,9 @@ def _fill(lengths: np.ndarray, counts: np.ndarray, take: np.ndarray, missing: in
     Documents of one length go in by lots of 1, 2, 4, ..., of which any number of them can be made; a sum remembers the lot that
     reached it first, and the sums before it the lots before.
     """
-    fits = min(missing, window)
+    unit = -(-(2 * min(missing, window) + 1) // MOST_CELLS)
+    lengths = lengths if unit == 1 else np.rint(lengths / unit).astype(np.int64)
+    fits = min(missing, window) // unit
     cells = 2 * fits + 1  # a sum above may be nearer than any below
     by = np.full(cells, -1, np.int32)
     reach = np.zeros(cells, bool)

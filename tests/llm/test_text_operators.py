@@ -181,8 +181,34 @@ def test_fit_of_long_documents_and_of_few_is_exact():
             sums = {s + n * k for s in sums for k in range(c + 1)}
         budget = int(rng.integers(0, max(sums) + 1))
         got = int((lengths * mixing.fit(lengths, counts, budget)).sum())
-        if max(sums) <= max(mixing.WINDOW, 4 * int(lengths.max())):
-            assert abs(got - budget) == min(abs(s - budget) for s in sums)
+        assert abs(got - budget) == min(abs(s - budget) for s in sums)
+
+
+def test_fit_of_few_documents_of_any_length_is_exact():
+    rng = np.random.default_rng(13)
+    cases = [(np.array([2313, 3116, 11482, 12990, 15861, 16030, 19855]), np.array([1, 2, 2, 1, 2, 1, 1]), 103_121)]
+    for _ in range(150):
+        lengths = np.unique(rng.integers(1, 20_000, rng.integers(1, 10)))
+        counts = rng.integers(1, 4, len(lengths))
+        cases.append((lengths, counts, int(rng.integers(0, (lengths * counts).sum() + 1))))
+    for lengths, counts, budget in cases:
+        sums = np.zeros(int((lengths * counts).sum()) + 1, bool)
+        sums[0] = True
+        for n in np.repeat(lengths, counts).tolist():
+            sums[n:] |= sums[:-n].copy()
+        take = mixing.fit(lengths, counts, budget)
+        assert (take >= 0).all() and (take <= counts).all()
+        assert abs(int((lengths * take).sum()) - budget) == np.abs(np.flatnonzero(sums) - budget).min()
+
+
+def test_fit_of_huge_documents_is_bounded(monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_CELLS", 1 << 12)
+    rng = np.random.default_rng(14)
+    lengths = np.unique(rng.integers(1, 3_000_000, 40))
+    counts = rng.integers(1, 4, len(lengths))
+    budget = int((lengths * counts).sum() * 0.37)
+    take = mixing.fit(lengths, counts, budget)
+    assert (take <= counts).all() and abs(int((lengths * take).sum()) - budget) < 20_000
 
 
 def brute_winnow(text, k=winnow.K, window=winnow.WINDOW):
