@@ -123,13 +123,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, passes:
     if not chosen:
         return fit([], np.zeros(0))
     wanted = {r.doc_id: r.toxic for r in chosen}
-    ids = np.array(sorted(wanted), np.int64)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
-            at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
-            batch = batch.filter(pa.array((ids[at] == own) & np.asarray(batch.column("doc_id").is_valid())))
             for row, end, _, _, _, _, words, sentence, _, rows in _sentences(batch.column("text")):
                 keys = np.unique(sentence << BITS | words)  # words of a sentence count once
                 sentence, words = keys >> BITS, (keys & ((1 << BITS) - 1)).astype(np.int32)
@@ -150,7 +146,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, passes:
             yield pa.RecordBatch.from_arrays([pa.array([model.weights.astype(np.float32).tobytes()]), pa.array([model.bias]), pa.array([model.empty])], names=["weights", "bias", "empty"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    features = texts.mapInArrow(hashed, "doc_id long, words binary, sentences binary")
+    sample = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in wanted], "doc_id long"))  # `most` rows; other texts never leave the JVM
+    features = texts.join(sample, "doc_id", "left_semi").mapInArrow(hashed, "doc_id long, words binary, sentences binary")
     found = features.repartitionById(1, F.lit(0)).mapInArrow(trained, "weights binary, bias double, empty double").collect()  # at most one row
     if not found:
         return fit([], np.zeros(0))
