@@ -48,6 +48,8 @@ FRAGMENTS = len(CUTS) + 1
 SKETCH = 4
 #: Bits of a text's map of its shared shingles, by which pairs that cannot link are told without their sets.
 MAP_BITS = 1024
+#: Shingles that a task holds before it sums them.
+FLUSH_KEYS = 1_000_000
 _KEY_SHIFT = np.uint64(24)
 _SEEDS = np.random.default_rng(7).integers(1, 2**63, SKETCH, dtype=np.uint64)
 _OUT = "rid long, doc_id long, text_hash long, n_shingles long, set_a long, set_b long, kept boolean, sketch array<long>, bits array<long>, prefix array<long>, " + ", ".join(f"part{k} array<long>" for k in range(FRAGMENTS))
@@ -85,7 +87,7 @@ def _profiles(docs: DataFrame, percent: int, size: int) -> tuple[DataFrame, str]
             keys = np.concatenate(sets) >> _KEY_SHIFT
             yield keys, np.ones(len(keys), np.uint64)
 
-    totals = vertical.partition_totals(docs, extract, "ngrams", least=2, bits=40)
+    totals = vertical.partition_totals(docs, extract, "ngrams", least=2, bits=40, flush_keys=FLUSH_KEYS)
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sums, expected = totals.of_partition()

@@ -132,6 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, passes:
                 cuts = np.searchsorted(rows[sentence], np.arange(end - row + 1))
                 out = [(words[a:b].tobytes(), (sentence[a:b] - sentence[a] if b > a else sentence[:0]).astype(np.int32).tobytes()) for a, b in zip(cuts, cuts[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, end - row), pa.array([w for w, _ in out], pa.binary()), pa.array([s for _, s in out], pa.binary())], names=["doc_id", "words", "sentences"])
+        storage.release()
 
     def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = sorted((i, w, n) for batch in batches for i, w, n in zip(*(c.to_pylist() for c in batch.columns), strict=True))
@@ -187,6 +188,7 @@ def score(docs: DataFrame, model: Model, worst: bool = False, name: str = "score
                         scores[rows[s]], froms[rows[s]], tos[rows[s]] = float(each[s]), starts[b] - offsets[rows[s]], ends[e - 1] - offsets[rows[s]]
                     out += [pa.array(texts, pa.string()), pa.array(scores, pa.float64()), pa.array(froms, pa.int64()), pa.array(tos, pa.int64())]
                 yield pa.RecordBatch.from_arrays(out, names=names)
+        storage.release()  # the same workers serve the stages after this one
 
     kept = docs.drop(*(c.split()[0].strip("`") for c in extra))
     kept = kept.withColumn("text", F.col("text").cast("string"))

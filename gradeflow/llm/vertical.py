@@ -126,10 +126,10 @@ def lookup(keys: np.ndarray, totals: np.ndarray, wanted: np.ndarray) -> np.ndarr
     return np.where(keys[at] == wanted, totals[at], np.uint64(0))
 
 
-def partition_totals(docs: DataFrame, extract: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]], label: str, least: int = 1, bits: int = 64, stats: Callable[[np.ndarray, np.ndarray], bytes] | None = None) -> Totals:
+def partition_totals(docs: DataFrame, extract: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]], label: str, least: int = 1, bits: int = 64, stats: Callable[[np.ndarray, np.ndarray], bytes] | None = None, flush_keys: int = FLUSH_KEYS) -> Totals:
     """Totals of the keys that `extract` finds in the frame's batches: (keys below 2**bits, weights).
 
-    Only totals of at least `least` come back. `stats` condenses a fragment's keys and totals to a few KB,
+    A task holds `flush_keys` keys, or a batch's, before it sums them. Only totals of at least `least` come back. `stats` condenses a fragment's keys and totals to a few KB,
     which the driver gets from each fragment.
     """
     spark = docs.sparkSession
@@ -154,7 +154,7 @@ def partition_totals(docs: DataFrame, extract: Callable[[pa.RecordBatch], Iterat
                 for keys, weights in extract(check.add(batch)):
                     held.append((keys, weights.astype(np.uint64)))
                     size += len(keys)
-                    if size >= FLUSH_KEYS:
+                    if size >= flush_keys:
                         yield from flush(held)
                         held, size = [], 0
             if held:
