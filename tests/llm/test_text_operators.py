@@ -590,3 +590,17 @@ def test_language_model_scores_token_by_token():
 
     got = gru_lm.score_pool(p, v, np.concatenate(docs), np.r_[0, np.cumsum([len(d) for d in docs])], np.zeros(sum(map(len, docs))))
     assert np.allclose(got, [brute(d) for d in docs], rtol=1e-4)
+
+
+def test_decontamination_of_long_texts_and_repeated_items(spark):
+    rng = np.random.default_rng(15)
+    item = [f"i{x}" for x in rng.integers(0, 10**5, 30)]
+    long = [f"w{x}" for x in rng.integers(0, 10**5, 60_000)]
+    at = [50, 30_000, 59_900]
+    for a in at:
+        long[a : a + 30] = item
+    docs = [(1, " ".join(long)), (2, "clean text " * 50), (3, " ".join(["lead"] * 9 + item[:28]))]
+    items = [(7, " ".join(item)), (7, " ".join(item)), (7, "another passage of five words and more"), (None, " ".join(item))]
+    got = decontam.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    # items with equal ids count each by itself; of the passages in a long text the first is reported
+    assert sorted(((r.doc_id, r.item_id, r.start_word) for r in got), key=str) == sorted([(d, i, w) for d, w in ((1, 50), (3, 7)) for i in (7, 7, None)], key=str)
