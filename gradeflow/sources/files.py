@@ -184,6 +184,7 @@ def write_layout_files(pages: DataFrame, root: str) -> DataFrame:
     """Writes what `operators.documents.layout_files` gives of each page to <root>/<name>/: layout as .json, Markdown as .md, and without
     headers and footers as _nohf.md; and for each document <root>/<name>.jsonl with a line a page. Pages of a document with
     several are named by their number. Returns (file_path, page_no, and the files' paths); files are whole under their names or not there."""
+    # fixed values: the columns that name the files, and the files' ends
     kinds = {"layout": ("layout_info_path", ".json"), "markdown": ("md_content_path", ".md"), "markdown_body": ("md_content_nohf_path", "_nohf.md")}
     paths = [p for p, _ in kinds.values()]
     schema = "name string, file_path string, page_no int, " + ", ".join(f"{p} string" for p in paths)
