@@ -175,7 +175,7 @@ def marker_tables(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
 def articles(frame: DataFrame, n: int, least: int = 12_000) -> DataFrame:
     """(id, title, parts array<struct<kind, text>>) of the first n articles (id, title, text) by id that are long and of
     paragraphs: at least 8, of 150 characters on the average. Short lines without an end are headings."""
-    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda line: F.trim(line)), lambda x: x != "")
     kind = lambda x: F.when((F.length(x) < 60) & ~x.rlike("[.!?؟:،,;]$"), "h2").otherwise("p")
     rows = frame.where(F.length("text") >= least).select("id", "title", F.transform(lines, lambda x: F.struct(kind(x).alias("kind"), x.alias("text"))).alias("parts"))
     said = F.transform(F.filter("parts", lambda p: p["kind"] == "p"), lambda p: F.length(p["text"]))
