@@ -111,15 +111,19 @@ def votes(readings: DataFrame, least: int = 2) -> DataFrame:
     return single.groupBy("cell").agg(F.count_distinct("value").alias("values"), F.min("value").alias("value"), F.count("*").alias("n")).where((F.col("values") == 1) & (F.col("n") >= least)).drop("values")
 
 
+def label_prefixes(lines: DataFrame) -> DataFrame:
+    """Lines (..., line), each with every label that it is (stage 0) or begins with before a blank (stage 1)."""
+    ends = F.transform(F.filter(F.sequence(F.lit(1), F.length("line")), lambda i: F.substring(F.col("line"), i, F.lit(1)) == " "), lambda i: F.substring(F.col("line"), F.lit(1), i - 1))
+    every = F.when(F.col("line").contains(" "), F.array_union(F.array("line"), ends)).otherwise(F.array("line"))
+    return lines.withColumn("label", F.explode(every)).withColumn("stage", F.when(F.col("line") == F.col("label"), 0).otherwise(1))
+
+
 def row_of_label(labels: DataFrame, lines: DataFrame) -> DataFrame:
     """Of each label the first line that is it, else the first that begins with it and a blank: two joins, not a comparison of all pairs.
 
     labels (doc, label), lines (doc, ord, line).
     """
-    ends = F.transform(F.sequence(F.lit(1), F.length("line")), lambda i: F.when(F.substring(F.col("line"), i, F.lit(1)) == " ", F.substring(F.col("line"), F.lit(1), i - 1)))
-    prefixes = lines.select("doc", "ord", "line", F.explode(F.array_union(F.array("line"), F.array_compact(ends))).alias("label"))
-    met = labels.join(prefixes, ["doc", "label"]).withColumn("stage", F.when(F.col("line") == F.col("label"), 0).otherwise(1))
-    return met.groupBy("doc", "label").agg(F.min_by("line", F.struct("stage", "ord")).alias("line"))
+    return labels.join(label_prefixes(lines), ["doc", "label"]).groupBy("doc", "label").agg(F.min_by("line", F.struct("stage", "ord")).alias("line"))
 
 
 def agreement(texts: DataFrame) -> DataFrame:

@@ -6,38 +6,35 @@ in the row of the same label. Frames: readings (doc, pass, text).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.markup import detail_lines, marked_rows, marker_of
-from .blocks import row_of_label
+from ..functions.markup import detail_lines, marker_of, split_rows
+from .blocks import label_prefixes
 
 
 def marks(texts: DataFrame, key: str = "doc") -> DataFrame:
     """(key, label, value, mark), once each, of the marks before numbers in the tables of (key, text)."""
-    rows = texts.select(key, F.explode(marked_rows("text")).alias("r")).select(key, "r.label", F.explode(F.flatten("r.cells")).alias("word"))
+    rows = split_rows(texts, key).select(key, "label", F.explode(F.flatten("cells")).alias("word"))
     value = F.regexp_extract("word", r"^.*?(\d[\d.,]*)$", 1)
     return rows.select(key, "label", value.alias("value"), marker_of(F.col("word"), value).alias("mark")).where("value <> '' AND mark IS NOT NULL").distinct()
 
 
 def base_cells(base: DataFrame) -> DataFrame:
     """(doc, row, col, label, value) of cells that are one value with a digit, in rows of a label and more."""
-    rows = base.select("doc", F.posexplode(marked_rows("text")).alias("row", "r")).select("doc", "row", "r.label", F.posexplode("r.cells").alias("col", "words"))
+    rows = split_rows(base, "doc").select("doc", "row", "label", F.posexplode("cells").alias("col", "words"))
     return rows.where("size(words) = 1 AND label <> '' AND words[0] RLIKE '[0-9]'").select("doc", "row", "col", "label", F.get("words", F.lit(0)).alias("value"))
 
 
 def ballots(base: DataFrame, readings: DataFrame) -> DataFrame:
     """(doc, row, col, label, value, pass, mark): of each further reading the one mark that it gives a cell; readings that give several do not vote."""
     cells = base_cells(base)
-    lines = readings.select("doc", "pass", F.posexplode(detail_lines(F.col("text"))).alias("ord", "l")).select("doc", "pass", "ord", F.col("l.label").alias("line"), "l.words")
-    keyed = lines.withColumn("doc", F.struct("doc", "pass"))
-    wanted = cells.select("doc", "label").distinct().join(readings.select("doc", "pass").distinct(), "doc").select(F.struct("doc", "pass").alias("doc"), "label")
-    met = row_of_label(wanted, keyed.select("doc", "ord", "line"))
-    # of equal lines the first; a line of plain text loses its label
-    first = keyed.groupBy("doc", "line").agg(F.min_by("words", "ord").alias("words"))
-    found = met.join(first, ["doc", "line"]).select(F.col("doc.doc").alias("doc"), F.col("doc.pass").alias("pass"), "label", F.explode("words").alias("word"))
-    said = cells.join(found, ["doc", "label"]).withColumn("mark", marker_of(F.col("word"), F.col("value"))).where("mark IS NOT NULL")
-    one = said.groupBy("doc", "row", "col", "label", "value", "pass").agg(F.count_distinct("mark").alias("n"), F.min("mark").alias("mark"))
-    return one.where("n = 1").drop("n")
+    # a label's line is one that is it, else the first that begins with it and a blank; a line of plain text loses its label
+    lines = label_prefixes(detail_lines(readings, "doc", "pass"))
+    met = cells.join(lines, ["doc", "label"]).groupBy("doc", "row", "col", "label", "value", "pass").agg(F.min_by("words", F.struct("stage", "ord")).alias("words"))
+    said = F.array_distinct(F.array_compact(F.transform("words", lambda w: marker_of(w, F.col("value")))))
+    return met.withColumn("said", said).where("size(said) = 1").select("doc", "row", "col", "label", "value", "pass", F.get("said", F.lit(0)).alias("mark"))
 
 
 def applied(votes: DataFrame, least: int = 1) -> DataFrame:
@@ -48,15 +45,14 @@ def applied(votes: DataFrame, least: int = 1) -> DataFrame:
 
 def totals(truth: DataFrame, base: DataFrame, fused: DataFrame) -> DataFrame:
     """(doc, in_truth, kept, right, wrong): marks (doc, label, value, mark) of the truth, how many the base and the fused
-    reading have of them, and how many the fusion added that are not there. By set operations."""
-    sizes = {
-        "in_truth": truth, "kept": truth.intersect(base), "right": truth.intersect(fused), "wrong": fused.exceptAll(fused.intersect(base)).distinct().subtract(truth),
-    }
-    counted = None
-    for name, frame in sizes.items():
-        one = frame.groupBy("doc").agg(F.count("*").alias("n")).withColumn("what", F.lit(name))
-        counted = one if counted is None else counted.unionByName(one)
-    return counted.groupBy("doc").pivot("what", list(sizes)).agg(F.sum("n")).na.fill(0)
+    reading have of them, and how many the fusion added that are not there. Each side is read once."""
+    sides = {"t": truth, "b": base, "f": fused}
+    one = lambda name, frame: frame.select("doc", "label", "value", "mark", *(F.lit(int(n == name)).alias(n) for n in sides))
+    rows = reduce(DataFrame.unionAll, (one(n, frame) for n, frame in sides.items()))
+    marks = rows.groupBy("doc", "label", "value", "mark").agg(*(F.sum(n).alias(n) for n in sides))
+    has = lambda condition: F.count_if(F.expr(condition))
+    counted = marks.groupBy("doc").agg(F.sum("t").alias("in_truth"), has("t > 0 AND b > 0").alias("kept"), has("t > 0 AND f > 0").alias("right"), has("t = 0 AND f > if(b > 0, 1, 0)").alias("wrong"))
+    return counted.where("in_truth + wrong > 0")
 
 
 def by_pass(votes: DataFrame, truth: DataFrame, base: DataFrame) -> DataFrame:
