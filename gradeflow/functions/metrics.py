@@ -142,6 +142,21 @@ def _periodic(codes: np.ndarray, period: int) -> Iterator[tuple[int, int]]:
             yield int(start), int(end) + period
 
 
+#: Characters up to which all periods of a text are tried in one table.
+ONE_TABLE = 4096
+
+
+def _periods(codes: np.ndarray, most: int) -> Sequence[int]:
+    """Of the periods up to `most` those that some part may have; all of a long text, where a period at a time costs no more."""
+    n = len(codes)
+    if most < 1 or n > ONE_TABLE:
+        return range(1, most + 1)
+    ahead = np.lib.stride_tricks.sliding_window_view(np.r_[codes, np.full(most, 1 << 31, np.uint32)], most + 1)  # no character is 1 << 31
+    at = np.arange(1, n + 1, dtype=np.int16)[:, None]
+    broken = np.where(ahead[:, 1:] == ahead[:, :1], np.int16(0), at)
+    return (np.flatnonzero((at - np.maximum.accumulate(broken, 0)).max(0) >= np.arange(1, most + 1) * (UNIT_TIMES - 1)) + 1).tolist()
+
+
 def repeated_unit(text: str) -> str | None:
     """A unit of 2 to 80 characters with a letter that follows itself nine times or more, white space between or not, over at least 100 characters.
 
@@ -152,8 +167,10 @@ def repeated_unit(text: str) -> str | None:
     blanks = [c for c in np.unique(codes) if chr(c).isspace()]
     place = np.flatnonzero(~np.isin(codes, blanks))
     bare = codes[place]
-    for period in range(1, min(UNIT_MOST, len(bare) // UNIT_TIMES) + 1):
+    for period in _periods(bare, min(UNIT_MOST, len(bare) // UNIT_TIMES)):
         for start, end in _periodic(bare, period):
+            if not any(map(str.isalpha, text[place[start] : place[start + period - 1] + 1])):  # all copies have the same letters
+                continue
             for first in range(start, min(start + period, end - period * UNIT_TIMES + 1)):
                 heads = place[np.arange(first, end - period + 1, period)]
                 tails = place[np.arange(first + period - 1, end, period)][: len(heads)] + 1
