@@ -240,8 +240,8 @@ class Searched:
             out = out * np.uint64(0x9E3779B97F4A7C15) + codes[i : i + len(out)]
         return out
 
-    def _starts(self, passage: str, edits: int, q: int, need: int) -> Iterator[int]:
-        """Windows that share `need` grams of q characters with the passage, none further than `edits` from its place."""
+    def _starts(self, passage: str, edits: int, q: int, need: int) -> Iterator[range]:
+        """Runs of windows, the likeliest window first, that share `need` grams of q characters with the passage, none further than `edits` from its place."""
         if q not in self.sorted:
             grams = self._grams(self.codes, q)
             order = np.argsort(grams, kind="stable")
@@ -253,9 +253,13 @@ class Searched:
         places = order[np.repeat(low - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())] - np.repeat(np.arange(len(wanted)), counts)
         places.sort()
         first, last = places[: max(0, len(places) - need + 1)], places[need - 1 :]
+        if len(places):
+            fresh = np.flatnonzero(np.r_[True, places[1:] != places[:-1]])
+            best = int(places[fresh[np.diff(np.r_[fresh, len(places)]).argmax()]])
+            yield range(best, best + 1)
         at = -len(passage)
         for a, b in zip(first[last - first <= 2 * edits].tolist(), last[last - first <= 2 * edits].tolist()):
-            yield from range(max(at, b - edits), a + edits + 1)
+            yield range(max(at, b - edits), a + edits + 1)
             at = max(at, a + edits + 1)
 
     def holds(self, passage: str, least: float) -> bool:
@@ -272,10 +276,18 @@ class Searched:
             return partial_ratio(passage, self.text) >= least
         k = int(n * (100 - least) / 100 + 1e-9)
         q = max((q for q in range(1, 9) if n - q + 1 - k * (2 * q - 1) > 0), default=0)
-        whole = self._starts(passage, k, q, n - q + 1 - k * (2 * q - 1)) if q else range(size - n + 1)
+        whole = self._starts(passage, k, q, n - q + 1 - k * (2 * q - 1)) if q else (range(at, at + 16) for at in range(0, size - n + 1, 16))
         short = int(n * least / (200 - least))  # a shorter window cannot be alike enough
-        ends = [self.text[:m] for m in range(short, n)] + [self.text[size - m :] for m in range(short, n)]
-        return any(_alike(passage, w) >= least for w in ends) or any(_alike(passage, self.text[at : at + n]) >= least for at in whole if 0 <= at <= size - n)
+        for run in whole:
+            run = range(max(0, run.start), min(run.stop, size - n + 1))
+            # no window has more of the passage than all of a run's windows together
+            if len(run) > 1 and 100.0 * common_subsequence(passage, self.text[run.start : run.stop - 1 + n]) / n < least:
+                continue
+            if any(_alike(passage, self.text[at : at + n]) >= least for at in run):
+                return True
+        # no window that is cut has more of the passage than the widest one at its end has
+        able = [end for end in (True, False) if (most := common_subsequence(passage, self.text[: n - 1] if end else self.text[size - n + 1 :])) * 200.0 / (n + max(most, short)) >= least]
+        return any(_alike(passage, self.text[:m] if end else self.text[size - m :]) >= least for end in able for m in range(short, n))
 
 
 def quarters(marks: list[float]) -> list[float | None]:
