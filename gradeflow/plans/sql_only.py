@@ -47,4 +47,4 @@ def sql_layout_blocks(spark, sf_dir):
 def sql_table_cells(spark, sf_dir):
     sql.register(spark, tables=catalog.order_tables(spark, sf_dir).select("id", catalog.html_of(F.col("truth")).alias("html")))
     return spark.sql("""SELECT id, count(*) AS cells, sum(if(place = 0, cell::BIGINT, 0)) AS first, count(DISTINCT if(place = 3, cell, NULL)) AS flags
-        FROM table_cells(TABLE(tables), 'html') GROUP BY id""")
+        FROM (SELECT id, inline(said) FROM (SELECT id, if(bare_tables(html), bare_cells(html), read_cells(if(bare_tables(html), NULL, coalesce(html, '')))) AS said FROM tables)) GROUP BY id""")
