@@ -117,6 +117,7 @@ def find(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, radius:
         found = own if found is None else found.unionByName(own)
     found, uri = storage.written(found, "anchors")
     kept.append(uri)
+    storage.tidy(docs.sparkSession)
     hits = found.select("rid", "size", F.explode("at").alias("pos"), "hashes").select("rid", "size", "pos", F.size("hashes").alias("n"), F.get("hashes", F.col("pos")).alias("h")).join(hint(grams), ["size", "h"])
     near = hits.groupBy("rid", "size", "n", "item", "m", "need").agg(F.array_sort(F.collect_list("pos")).alias("at"))
     near = near.where(F.size("at") >= F.when(F.col("n") < F.col("m"), _needed_of(F.col("n") + F.col("m"), percent)).otherwise(F.col("need")))
@@ -126,11 +127,13 @@ def find(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, radius:
     starts = F.array_distinct(F.flatten(F.transform(starts, lambda s: F.sequence(F.greatest(F.lit(0), s["last"] - F.col("m") + 1), s["first"]))))
     starts = F.when(F.col("n") < F.col("m"), F.array(F.lit(0))).otherwise(starts)
     anchored = storage.checkpointed(near.select("rid", "size", "m", "item", F.explode(starts).alias("start")))
+    storage.tidy(docs.sparkSession)
     windows = anchored.select("rid", "size", "m", "start").distinct()
     met = windows.join(found.select("rid", "size", "doc_id", "text_hash", "hashes"), ["rid", "size"]).where("start + least(m, size(hashes)) <= size(hashes)")
     met = met.select("rid", "doc_id", "text_hash", "size", "m", "start", F.expr("slice(hashes, start + 1, m)").alias("window"))
     met, uri = storage.written(met.withColumn("print", simhash(F.col("window"))), "windows")  # so that no fingerprint is computed twice
     kept.append(uri)
+    storage.tidy(docs.sparkSession)
     formed = met
     # multi-index blocks
     count = F.expr("transform(array_distinct(shingles), h -> named_struct('h', h, 'n', size(filter(shingles, x -> x = h))))")
@@ -146,6 +149,7 @@ def find(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, radius:
     met = met.drop("block", "value", "item_print").unionByName(loose.drop("repeats", "item_print"))
     met, uri = storage.written(met, "pairs")  # so that no pair beyond the radius is verified
     kept.append(uri)
+    storage.tidy(docs.sparkSession)
     common = F.expr("aggregate(counted, 0, (a, c) -> a + least(c.n, size(filter(window, x -> x = c.h))))")
     met = met.withColumn("common", common).where(f"100 * common >= {percent} * (m + size(window) - common)")
     best = met.groupBy("rid", "item").agg(F.max(F.struct("common", (-F.col("start")).alias("back"), "doc_id", "text_hash", "item_id", "m", F.size("window").alias("n"), "size", "distance")).alias("b"))

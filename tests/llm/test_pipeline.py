@@ -100,3 +100,18 @@ def test_toxicity_stage_rejects_what_the_operator_calls_toxic(spark, sf_dir):
     called = {r.doc_id for r in queries.op9_toxicity(spark, sf_dir).where("predicted = 1").collect()}
     kept = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, sf_dir).select("doc_id").collect()}
     assert called and kept == {r.doc_id for r in docs.select("doc_id").collect()} - called
+
+
+def test_the_driver_lets_go_of_decontamination_step_by_step(spark, monkeypatch):
+    """After each table that is written, for the driver's memory has a limit and a step's plans need much of it."""
+    from gradeflow.llm import decontam, storage
+
+    seen = []
+    for name in ("written", "checkpointed", "tidy"):
+        monkeypatch.setattr(storage, name, lambda *a, f=getattr(storage, name), name=name: seen.append(name) or f(*a))
+    text = "one two three four five six seven eight"
+    docs = spark.createDataFrame([(1, f"x {text} y"), (2, "nothing of it in here at all")], "doc_id long, text string")
+    found = decontam.find(docs, spark.createDataFrame([(7, text)], "item_id long, text string"))
+    assert [(r.doc_id, r.item_id) for r in found.collect()] == [(1, 7)]
+    after = [b for a, b in zip(seen, seen[1:]) if a == "written"]
+    assert after == ["tidy"] * 3 and seen.count("tidy") == 4
