@@ -68,10 +68,11 @@ def score_all(pairs: DataFrame, rules: texts.Rules = texts.Rules()) -> DataFrame
 MEASURED = ("missing", "flags", "cer", "wer", "cer_raw", "char_edits", "ref_chars", "latency_s", *TABLE_MEASURES)
 
 
-def stored(rows: DataFrame, *keys: str) -> DataFrame:
+def stored(rows: DataFrame, *keys: str, measures: tuple[str, ...] = MEASURED) -> DataFrame:
     """The keys and measures of score rows as a table in the shared folder. Means and ranks both read the rows: those that are still to be
-    computed would be computed for either, and distances cost more than a narrow table."""
-    found = rows.select(*(c for c in (*keys, *MEASURED) if c in rows.columns))
+    computed would be computed for either, and distances cost more than a narrow table. Of measures left out nothing is computed; `missing` and
+    `flags` are always among them."""
+    found = rows.select(*(c for c in (*keys, *dict.fromkeys(("missing", "flags", *measures))) if c in rows.columns))
     uri = f"{scratch.new_dir(rows.sparkSession, 'scores')}/rows"
     found.write.parquet(uri)
     return rows.sparkSession.read.schema(found.schema).parquet(uri)
@@ -80,7 +81,7 @@ def stored(rows: DataFrame, *keys: str) -> DataFrame:
 def aggregate(rows: DataFrame, sets: list[tuple[str, ...]] = (("model",), ("model", "category"))) -> DataFrame:
     """Aggregates of score rows for every grouping set; columns not in a set are null there. Middle and rank values come from counts of equal ones.
 
-    Rows that are not a table yet are best `stored` first, for they are read twice."""
+    Rows that are not a table yet are best `stored` first, for they are read twice. What would follow from measures that rows do not have is null."""
     keys = list(dict.fromkeys(c for s in sets for c in s))
     has = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("double")
     any_of = lambda names: F.count_if(F.arrays_overlap("flags", F.array(*map(F.lit, names))))
@@ -90,7 +91,7 @@ def aggregate(rows: DataFrame, sets: list[tuple[str, ...]] = (("model",), ("mode
     measures = [
         F.count("*").alias("n"), n_scored.alias("n_scored"), (n_scored == F.count("*")).alias("complete"),
         *mean_ci("cer", "cer"),
-        (F.sum("char_edits") / F.nullif(F.sum("ref_chars"), F.lit(0))).alias("cer_micro"), F.avg(has("wer")).alias("wer_mean"), F.avg(has("cer_raw")).alias("cer_raw_mean"),
+        (F.sum(has("char_edits")) / F.nullif(F.sum(has("ref_chars")), F.lit(0))).alias("cer_micro"), F.avg(has("wer")).alias("wer_mean"), F.avg(has("cer_raw")).alias("cer_raw_mean"),
         F.count(has("teds")).alias("teds_n"), *mean_ci("teds", "teds"), F.avg(has("teds_struct")).alias("teds_struct_mean"),
         any_of(FAIL).alias("n_fail"), halluc.alias("n_hallucination"), metrics.wilson_upper(halluc, n_scored).alias("hallucination_upper95"),
         F.avg(has("latency_s")).alias("latency_mean_s"), *mean_ci("cell_exact", "cell_exact"), F.avg(has("cell_aligned")).alias("cell_aligned_mean"),
@@ -100,6 +101,8 @@ def aggregate(rows: DataFrame, sets: list[tuple[str, ...]] = (("model",), ("mode
     if "pos_q" in rows.columns:
         measures.append(F.array(*(F.avg(F.get("pos_q", F.lit(i))) for i in range(4))).alias("pos_q"))
     out = rows.groupingSets([[F.col(c) for c in s] for s in sets], *(F.col(c) for c in keys)).agg(*measures, F.grouping_id().alias("_set"))
+    if "cer" not in rows.columns:
+        return out.drop("_set").withColumns({c: F.lit(None).cast("double") for c in ("cer_median", "cer_p90")})
     ranks = metrics.quantiles(rows, sets, "cer").withColumnsRenamed({c: f"_of_{c}" for c in ("_set", *keys)})
     same = F.col("_set") == F.col("_of__set")
     for c in keys:
