@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .storage import Scratch, checkpointed
+from .storage import Scratch, checkpointed, tidy
 
 #: Links that a task holds when it replaces them by a forest; more go on as several forests.
 HELD = 1_000_000
@@ -81,6 +81,8 @@ def components(links: DataFrame, a: str, b: str, least: bool = True) -> DataFram
             moves.append(move)
             ends = edges.join(move, "u").select(F.col("to").alias("a"), F.col("v").alias("u")).join(move, "u").where("a <> to")
             edges = scratch.keep(ends.select(F.least("a", "to").alias("u"), F.greatest("a", "to").alias("v")).distinct())
+            del both, near, ends
+            tidy(links.sparkSession)
         if not moves:
             return links.sparkSession.createDataFrame([], "node long, component long")
         found = moves[0].select(F.col("u").alias("node"), F.col("to").alias("component"))

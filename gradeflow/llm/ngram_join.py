@@ -146,11 +146,7 @@ def similarity_groups(docs: DataFrame, percent: int = PERCENT, size: int = WORDS
 
     component_id is the least doc_id reachable by links, the row's own included.
     """
-    profiles, uri = _profiles(docs, percent, size)
-    try:
-        return _groups(profiles, percent).select("doc_id", "n_shingles", "component_id")
-    finally:
-        storage.remove(uri)
+    return _groups(*_profiles(docs, percent, size), percent).select("doc_id", "n_shingles", "component_id")
 
 
 def representatives(docs: DataFrame, percent: int = PERCENT, size: int = WORDS) -> DataFrame:
@@ -159,11 +155,7 @@ def representatives(docs: DataFrame, percent: int = PERCENT, size: int = WORDS)
     The row with the least doc_id (null last), then the least hash, stands for its group. Rows without words are
     groups by doc_id and text.
     """
-    profiles, uri = _profiles(docs, percent, size)
-    try:
-        groups = _groups(profiles, percent)
-    finally:
-        storage.remove(uri)
+    groups = _groups(*_profiles(docs, percent, size), percent)
     order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_hash")
     least = storage.checkpointed(groups.where("comp IS NOT NULL").groupBy("comp").agg(F.min(order).alias("head")).select("head.doc_id", "head.text_hash"))
     keys = groups.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"), F.bool_or(F.col("comp").isNull()).alias("alone"))
@@ -172,17 +164,32 @@ def representatives(docs: DataFrame, percent: int = PERCENT, size: int = WORDS)
     return storage.checkpointed(keys.where("alone OR h IS NOT NULL").select("doc_id", "text_hash", "n", F.lit(1).alias("times")))
 
 
-def _groups(profiles: DataFrame, percent: int) -> DataFrame:
+def _groups(profiles: DataFrame, uri: str, percent: int) -> DataFrame:
+    """Of the profiles at uri, which are removed as soon as their shingles stand in a smaller table."""
     with storage.Scratch(profiles.sparkSession, "groups") as scratch:
-        return _grouped(profiles, percent, scratch)
+        try:
+            every, classes, texts = _representing(profiles, scratch)
+        finally:
+            storage.remove(uri)
+        storage.tidy(profiles.sparkSession)
+        return _grouped(every, classes, texts, percent, scratch)
 
 
-def _grouped(profiles: DataFrame, percent: int, scratch: storage.Scratch) -> DataFrame:
-    same = ["set_a", "set_b", "n_shingles"]
+_SAME = ["set_a", "set_b", "n_shingles"]
+
+
+def _representing(profiles: DataFrame, scratch: storage.Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All rows without shingles; the classes of equal sets; and a row with its shingles for each class."""
+    same = _SAME
+    every = scratch.keep(profiles.select("doc_id", "text_hash", *same, "kept"))
     classes = scratch.keep(profiles.where("kept").groupBy(*same).agg(F.min("rid").alias("class")))
     texts = profiles.where("kept").drop("doc_id", "text_hash", "set_a", "set_b", "kept").withColumnRenamed("n_shingles", "n")
     texts = texts.withColumn("shared", reduce(lambda a, b: a + b, (F.size(f"part{k}") for k in range(FRAGMENTS))))
-    texts = scratch.keep(texts.join(classes.select(F.col("class").alias("rid")), "rid", "left_semi"))
+    return every, classes, scratch.keep(texts.join(classes.select(F.col("class").alias("rid")), "rid", "left_semi"))
+
+
+def _grouped(every: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, scratch: storage.Scratch) -> DataFrame:
+    same, spark = _SAME, every.sparkSession
     alike = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
 
     def relabelled(rows: DataFrame, moves: DataFrame) -> DataFrame:
@@ -193,7 +200,9 @@ def _grouped(profiles: DataFrame, percent: int, scratch: storage.Scratch) -> Dat
     def mixed(rows: DataFrame) -> DataFrame:
         """Of rows (w, ..., comp), those whose w is met in several components."""
         several = rows.groupBy("w").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("w")
-        return scratch.keep(rows.join(several, "w", "left_semi"))
+        left = scratch.keep(rows.join(several, "w", "left_semi"))
+        storage.tidy(spark)
+        return left
 
     def star(rows: DataFrame, turn: int) -> DataFrame:
         """Pairs of the rows (w, rid, n, comp) of a w with the first of them, but for those of its component; each turn and quarter of the w orders the rows anew."""
@@ -219,8 +228,10 @@ def _grouped(profiles: DataFrame, percent: int, scratch: storage.Scratch) -> Dat
     def merge(pairs: DataFrame) -> int:
         """Adds the map of components that the links among the pairs make; how many links there are."""
         links = scratch.keep(_linked(pairs, texts, percent).select("ca", "cb"))
+        del pairs
+        storage.tidy(spark)
         moves.append(components(links, "ca", "cb", least=False))
-        storage.tidy(links.sparkSession)
+        storage.tidy(spark)
         return links.count()
 
     prefix = texts.select("rid", "n", (F.col("n") - F.col("shared")).alias("alone"), F.posexplode("prefix").alias("i", "w"), F.col("rid").alias("comp"))
@@ -239,6 +250,7 @@ def _grouped(profiles: DataFrame, percent: int, scratch: storage.Scratch) -> Dat
     named = classes.withColumn("comp", F.col("class"))
     for move in moves:
         named = relabelled(named, move)
-    placed = scratch.keep(profiles.select("doc_id", "text_hash", *same, "kept").join(named.drop("class"), same, "left").select("doc_id", "text_hash", "n_shingles", F.when(F.col("kept"), F.col("comp")).alias("comp")))
+    storage.tidy(spark)
+    placed = scratch.keep(every.join(named.drop("class"), same, "left").select("doc_id", "text_hash", "n_shingles", F.when(F.col("kept"), F.col("comp")).alias("comp")))
     least = placed.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     return storage.checkpointed(placed.join(least, "comp", "left").select("doc_id", "text_hash", "n_shingles", "comp", F.coalesce("component_id", "doc_id").alias("component_id")))

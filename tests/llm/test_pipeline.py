@@ -115,3 +115,13 @@ def test_the_driver_lets_go_of_decontamination_step_by_step(spark, monkeypatch):
     assert [(r.doc_id, r.item_id) for r in found.collect()] == [(1, 7)]
     after = [b for a, b in zip(seen, seen[1:]) if a == "written"]
     assert after == ["tidy"] * 3 and seen.count("tidy") == 4
+
+
+def test_driver_lets_go_of_each_round_of_components(spark, monkeypatch):
+    from gradeflow.llm import components
+
+    calls = []
+    monkeypatch.setattr(components, "tidy", calls.append)
+    links = spark.createDataFrame([(1, 2), (2, 3), (9, 8)], "a long, b long")
+    assert {r.node: r.component for r in components.components(links, "a", "b").collect()} == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8}
+    assert calls
