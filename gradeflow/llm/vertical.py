@@ -33,15 +33,17 @@ KEYS, CHECK, STATS = 0, 1, 2
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Sorted 64-bit keys as differences, or counts, in the narrowest type, compressed."""
+    """Sorted 64-bit keys as differences, or counts, in the narrowest type, compressed: all lowest bytes first, for the highest ones
+    are nearly alike and shrink only where they stand together."""
     top = int(values.max()) if len(values) else 0
     kind = np.uint8 if top < 2**8 else np.uint16 if top < 2**16 else np.uint32 if top < 2**32 else np.uint64
-    return bytes([np.dtype(kind).itemsize]) + zstandard.compress(values.astype(kind).tobytes(), 1)
+    return bytes([np.dtype(kind).itemsize]) + zstandard.compress(np.ascontiguousarray(values.astype(kind).view(np.uint8).reshape(len(values), -1 if len(values) else 1).T).tobytes(), 1)
 
 
 def unpack(data: bytes) -> np.ndarray:
     kind = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[data[0]]
-    return np.frombuffer(zstandard.decompress(data[1:]), kind).astype(np.uint64)
+    planes = np.frombuffer(zstandard.decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel().astype(np.uint64)
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:
@@ -105,9 +107,8 @@ class Totals:
         data = storage.get_file(f"{self.uri}/{TaskContext.get().partitionId()}.totals")
         if data is None:
             return np.zeros(0, np.uint64), np.zeros(0, np.uint64), 0
-        n, check = (int(x) for x in np.frombuffer(data[:16], np.uint64))
-        body = np.frombuffer(zstandard.decompress(data[16:]), np.uint64)
-        return body[:n], body[n:], check
+        n, check = (int(x) for x in np.frombuffer(data[:16], np.uint64))  # n: bytes of the keys
+        return unpack_sorted(data[16 : 16 + n]), unpack(data[16 + n :]), check
 
     def remove(self) -> None:
         storage.remove(self.uri)
@@ -217,12 +218,15 @@ def partition_totals(docs: DataFrame, extract: Callable[[pa.RecordBatch], Iterat
                 keys = np.concatenate([k for k, _ in got]) if got else np.zeros(0, np.uint64)
                 sums = np.concatenate([s for _, s in got]) if got else np.zeros(0, np.uint64)
                 order = np.argsort(keys, kind="stable")
-                body = zstandard.compress(np.concatenate([keys[order], sums[order]]).tobytes(), 1)
-                storage.put_file(f"{uri}/{part}.totals", np.uint64(len(keys)).tobytes(), check, body)
+                body = pack_sorted(keys[order])
+                storage.put_file(f"{uri}/{part}.totals", np.uint64(len(body)).tobytes(), check, body, pack(sums[order]))
 
         yield from _batches(rows())
         storage.release()
 
     found = docs.mapInArrow(scan, _SCHEMA).repartitionById(frags, "frag").mapInArrow(total, _SCHEMA)
     found = found.repartitionById(frags, "frag").mapInArrow(store, _SCHEMA)
-    return Totals(uri, [bytes(r.sums) for r in found.select("sums").collect()])
+    totals = Totals(uri, [bytes(r.sums) for r in found.select("sums").collect()])
+    del found
+    storage.tidy(spark)  # the files hold all that is wanted of the shuffles
+    return totals

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 llm = pytest.importorskip("gradeflow.llm")
-from gradeflow.llm import components, decontam, gru_lm, huffman, licenses, mixing, ngram_join, queries, rows, storage, textscan, tokenbin, toxicity, winnow  # noqa: E402
+from gradeflow.llm import components, decontam, gru_lm, huffman, licenses, mixing, ngram_join, queries, rows, storage, textscan, tokenbin, toxicity, vertical, winnow  # noqa: E402
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 WORDS = " ".join(f"word{i}" for i in range(60))
@@ -604,3 +604,11 @@ def test_decontamination_of_long_texts_and_repeated_items(spark):
     got = decontam.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     # items with equal ids count each by itself; of the passages in a long text the first is reported
     assert sorted(((r.doc_id, r.item_id, r.start_word) for r in got), key=str) == sorted([(d, i, w) for d, w in ((1, 50), (3, 7)) for i in (7, 7, None)], key=str)
+
+
+def test_sorted_keys_are_packed_near_their_entropy():
+    keys = np.unique(np.random.default_rng(4).integers(0, 2**34, 20_000, dtype=np.uint64))  # gaps of 20 bits, 21.1 bits of entropy
+    packed = vertical.pack_sorted(keys)
+    assert (vertical.unpack_sorted(packed) == keys).all() and len(packed) < 3.0 * len(keys)
+    for some in ([], [0], [255], [256, 1], [2**63, 5]):
+        assert vertical.unpack(vertical.pack(np.array(some, np.uint64))).tolist() == some
