@@ -133,11 +133,14 @@ def _profiles(docs: DataFrame, percent: int, size: int) -> tuple[DataFrame, str]
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Of distinct pairs (a, b, na, nb, ...), those that link: overlaps counted fragment by fragment, and summed per pair."""
+    """Of distinct pairs (a, b, na, nb, ...), those that link: overlaps counted fragment by fragment, and summed per pair.
+
+    Sets and pairs are sorted together whatever the number of pairs, so that what is shuffled follows the input.
+    """
     parts = [f"part{k}" for k in range(FRAGMENTS)]
     side = lambda x: texts.select(F.col("rid").alias(x), *(F.col(p).alias(f"{p}_{x}") for p in parts))
     partial = [F.size(F.array_intersect(f"{p}_a", f"{p}_b")) for p in parts]
-    both = pairs.join(side("b"), "b").join(side("a"), "a").select(*pairs.columns, reduce(lambda x, y: x + y, partial).alias("common"))
+    both = pairs.join(side("b").hint("merge"), "b").join(side("a").hint("merge"), "a").select(*pairs.columns, reduce(lambda x, y: x + y, partial).alias("common"))
     return both.where(f"100 * common >= {percent} * (na + nb - common)").select(*pairs.columns)
 
 
@@ -146,7 +149,8 @@ def similarity_groups(docs: DataFrame, percent: int = PERCENT, size: int = WORDS
 
     component_id is the least doc_id reachable by links, the row's own included.
     """
-    return _groups(*_profiles(docs, percent, size), percent).select("doc_id", "n_shingles", "component_id")
+    with storage.no_shuffle_left(docs.sparkSession):
+        return _groups(*_profiles(docs, percent, size), percent).select("doc_id", "n_shingles", "component_id")
 
 
 def representatives(docs: DataFrame, percent: int = PERCENT, size: int = WORDS) -> DataFrame:
@@ -155,13 +159,14 @@ def representatives(docs: DataFrame, percent: int = PERCENT, size: int = WORDS)
     The row with the least doc_id (null last), then the least hash, stands for its group. Rows without words are
     groups by doc_id and text.
     """
-    groups = _groups(*_profiles(docs, percent, size), percent)
-    order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_hash")
-    least = storage.checkpointed(groups.where("comp IS NOT NULL").groupBy("comp").agg(F.min(order).alias("head")).select("head.doc_id", "head.text_hash"))
-    keys = groups.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"), F.bool_or(F.col("comp").isNull()).alias("alone"))
-    heads = least.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).distinct()
-    keys = keys.join(heads, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
-    return storage.checkpointed(keys.where("alone OR h IS NOT NULL").select("doc_id", "text_hash", "n", F.lit(1).alias("times")))
+    with storage.no_shuffle_left(docs.sparkSession):
+        groups = _groups(*_profiles(docs, percent, size), percent)
+        order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_hash")
+        least = storage.checkpointed(groups.where("comp IS NOT NULL").groupBy("comp").agg(F.min(order).alias("head")).select("head.doc_id", "head.text_hash"))
+        keys = groups.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"), F.bool_or(F.col("comp").isNull()).alias("alone"))
+        heads = least.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).distinct()
+        keys = keys.join(heads, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
+        return storage.checkpointed(keys.where("alone OR h IS NOT NULL").select("doc_id", "text_hash", "n", F.lit(1).alias("times")))
 
 
 def _groups(profiles: DataFrame, uri: str, percent: int) -> DataFrame:

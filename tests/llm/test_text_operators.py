@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -94,6 +95,27 @@ def test_near_copies_form_one_group(spark):
     assert sorted(map(tuple, got.collect()), key=repr) == brute_groups(table)
 
 
+def test_groups_leave_no_shuffle_files(spark, documents, monkeypatch):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for d in disk.localDirsString() for f in Path(d).rglob("shuffle_*.data")}
+    monkeypatch.setattr(storage, "tidy", lambda spark: None)
+    monkeypatch.setattr(components, "tidy", lambda spark: None)
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting, before = spark.conf.get(name, None), files()
+    ngram_join.similarity_groups(documents)
+    assert len(files() - before) < 20
+    assert spark.conf.get(name, None) == setting
+
+
+def test_sets_of_few_pairs_are_not_dealt_with_otherwise_than_those_of_many(spark):
+    parts = {f"part{k}": F.array(F.lit(1)) for k in range(ngram_join.FRAGMENTS)}
+    texts = spark.range(4).withColumnRenamed("id", "rid").withColumns({k: v.cast("array<long>") for k, v in parts.items()})
+    pairs = spark.createDataFrame([(0, 1, 4, 4)], "a long, b long, na long, nb long")
+    linked = ngram_join._linked(pairs, texts, 75)
+    assert linked.collect() == [(0, 1, 4, 4)]
+    assert "BroadcastHashJoin" not in linked._jdf.queryExecution().toString()
+
+
 def test_bit_maps_bound_the_overlap(spark):
     rng = np.random.default_rng(8)
     sets = [np.unique(rng.integers(0, 400, n)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for n in (1, 30, 200, 350, 350)]
