@@ -231,7 +231,12 @@ def _grouped(every: DataFrame, classes: DataFrame, texts: DataFrame, percent: in
     moves: list[DataFrame] = []
 
     def merge(pairs: DataFrame) -> int:
-        """Adds the map of components that the links among the pairs make; how many links there are."""
+        """Adds the map of components that the links among the pairs make; how many links there are.
+
+        The pairs are written first: one plan for all would have the driver hold both halves' stages at once.
+        """
+        pairs = scratch.keep(pairs)
+        storage.tidy(spark)
         links = scratch.keep(_linked(pairs, texts, percent).select("ca", "cb"))
         del pairs
         storage.tidy(spark)

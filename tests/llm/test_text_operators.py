@@ -634,3 +634,10 @@ def test_sorted_keys_are_packed_near_their_entropy():
     assert (vertical.unpack_sorted(packed) == keys).all() and len(packed) < 3.0 * len(keys)
     for some in ([], [0], [255], [256, 1], [2**63, 5]):
         assert vertical.unpack(vertical.pack(np.array(some, np.uint64))).tolist() == some
+
+
+def test_pairs_are_written_before_their_sets_are_joined(spark, documents, monkeypatch):
+    plans, linked = [], ngram_join._linked
+    monkeypatch.setattr(ngram_join, "_linked", lambda pairs, *a: plans.append(pairs._jdf.queryExecution().optimizedPlan().toString()) or linked(pairs, *a))
+    ngram_join.similarity_groups(documents)
+    assert plans and not any("Join" in p or "Aggregate" in p for p in plans)
