@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -95,16 +96,25 @@ def test_near_copies_form_one_group(spark):
     assert sorted(map(tuple, got.collect()), key=repr) == brute_groups(table)
 
 
-def test_groups_leave_no_shuffle_files(spark, documents, monkeypatch):
-    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
-    files = lambda: {f for d in disk.localDirsString() for f in Path(d).rglob("shuffle_*.data")}
-    monkeypatch.setattr(storage, "tidy", lambda spark: None)
-    monkeypatch.setattr(components, "tidy", lambda spark: None)
+def test_queries_of_groups_remove_their_shuffle_files(spark, documents, monkeypatch):
     name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    setting, before = spark.conf.get(name, None), files()
+    before, during, linked = spark.conf.get(name, None), [], ngram_join._linked
+    monkeypatch.setattr(ngram_join, "_linked", lambda *a: during.append(spark.conf.get(name, None)) or linked(*a))
     ngram_join.similarity_groups(documents)
-    assert len(files() - before) < 20
-    assert spark.conf.get(name, None) == setting
+    assert during and set(during) == {"true"}
+    assert spark.conf.get(name, None) == before
+
+
+def test_no_shuffle_left(spark, tmp_path):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for d in disk.localDirsString() for f in Path(d).rglob("shuffle_*.data")}
+    before = files()
+    with storage.no_shuffle_left(spark):
+        spark.range(10_000).groupBy(F.col("id") % 1000).count().write.parquet(f"{tmp_path}/written")
+    until = time.monotonic() + 10
+    while files() - before and time.monotonic() < until:
+        time.sleep(0.1)
+    assert not files() - before
 
 
 def test_sets_of_few_pairs_are_not_dealt_with_otherwise_than_those_of_many(spark):
